@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash
+from . import decontaminate, packing, simhash, toxicity
 from .common import table
 
 
@@ -30,11 +30,17 @@ def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op9_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_greedy_tiling": op1_greedy_tiling,
         "op5_minimum_bin_slack": op5_minimum_bin_slack,
         "op8_simhash_bktree": op8_simhash_bktree,
+        "op9_classifier_chain": op9_classifier_chain,
     }
 
 

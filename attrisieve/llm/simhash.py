@@ -122,3 +122,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def hex_of(code: str) -> F.Column:
     return F.lower(F.lpad(F.hex(code), 16, "0"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
+    """docs with one row of each component: the smallest id (a null one last), then the smallest hash of its text.
+
+    All columns stay. Of fully repeated rows one is kept.
+    """
+    found = checkpoint(simhash_components(docs, id_col, text_col, shingle, radius))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    chosen = found.groupBy("component_id").agg(F.min(order).alias("k"), F.count("*").alias("rows"))
+    keep = chosen.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
+    repeated = not found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    keyed = docs.withColumn("_key", F.xxhash64(F.col(f"`{text_col}`")))
+    kept = keyed.join(keep, (keyed["_key"] == keep["_key"]) & keyed[id_col].eqNullSafe(keep["_id"]), "left_semi")
+    return (kept.dropDuplicates([id_col, "_key"]) if repeated else kept).drop("_key")
