@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash, toxicity
+from . import arc, decontaminate, packing, simhash, toxicity
 from .common import table
 
 
@@ -35,14 +35,32 @@ def op9_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n,
+         sha256(coalesce(html, '')) AS h
+  FROM pages
+), f AS (SELECT h, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY h)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.h AS payload_digest,
+       CASE WHEN p.n >= 100 AND p.page_id <> f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.n >= 100 AND p.page_id <> f.first_id THEN f.first_id END AS refers_to, p.url
+FROM p LEFT JOIN f ON p.h = f.h AND p.n >= 100
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_greedy_tiling": op1_greedy_tiling,
         "op5_minimum_bin_slack": op5_minimum_bin_slack,
         "op8_simhash_bktree": op8_simhash_bktree,
         "op9_classifier_chain": op9_classifier_chain,
+        "op10_arc_to_warc": op10_arc_to_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_arc_to_warc": OP10_SQL}
