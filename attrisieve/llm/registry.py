@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, decontaminate, packing, simhash, toxicity
+from . import arc, decontaminate, packing, simhash, toxicity, urlrules
 from .common import table
 
 
@@ -25,6 +25,49 @@ def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "alias_of")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, coalesce(html, '') AS html,
+         CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
+  FROM pages
+), q AS (
+  SELECT page_id, url, html,
+         coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path,
+         regexp_extract(url, '(?s)^[^:/?#]*://([^#]*)', 1) AS bare
+  FROM p
+), k AS (
+  SELECT *, CASE WHEN regexp_extract(bare, '(?s)^([^/?]*)', 1) <> '' THEN
+           translate(regexp_extract(bare, '(?s)^([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+           || CASE WHEN regexp_extract(bare, '(?s)^[^/?]*(.*)$', 1)[1] = '/' THEN '' ELSE '/' END
+           || regexp_extract(bare, '(?s)^[^/?]*(.*)$', 1) END AS key,
+         CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM q
+), own AS (
+  SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM k
+), tags AS (
+  SELECT key, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM own WHERE key IS NOT NULL
+), aims AS (
+  SELECT key, url, regexp_extract(tag, '(?is)(?:\bhref\s*=\s*["'']?|\burl\s*=\s*)([^"''\s>]+)', 1) AS target FROM tags
+  WHERE regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)^<meta\b.*http-equiv\s*=\s*["'']?refresh\b')
+), edges AS (SELECT key AS a, regexp_extract(target, '(?s)^[^:/?#]*://([^#]*)', 1) AS b FROM aims WHERE target <> ''),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.other = w.a),
+roots AS (SELECT node, min(other) AS alias_of FROM reach GROUP BY node),
+votes AS (SELECT alias_of, bool_or(said = 'allow') AS allowed, bool_or(said = 'block') AS blocked FROM own JOIN roots ON own.key = roots.node GROUP BY alias_of)
+SELECT page_id, host, path, rule,
+       coalesce(said, CASE WHEN blocked AND NOT coalesce(allowed, false) THEN 'block' ELSE 'allow' END) AS verdict, roots.alias_of
+FROM own LEFT JOIN roots ON own.key = roots.node LEFT JOIN votes ON votes.alias_of = roots.alias_of
+"""
+
+
 def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -56,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_greedy_tiling": op1_greedy_tiling,
         "op5_minimum_bin_slack": op5_minimum_bin_slack,
+        "op6_redirect_equivalence": op6_redirect_equivalence,
         "op8_simhash_bktree": op8_simhash_bktree,
         "op9_classifier_chain": op9_classifier_chain,
         "op10_arc_to_warc": op10_arc_to_warc,
@@ -63,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_arc_to_warc": OP10_SQL}
+    return {"op6_redirect_equivalence": OP6_SQL, "op10_arc_to_warc": OP10_SQL}
