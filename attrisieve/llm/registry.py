@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, decontaminate, packing, simhash, toxicity, urlrules
+from . import arc, decontaminate, mih, packing, simhash, toxicity, urlrules
 from .common import table
 
 
@@ -68,6 +68,28 @@ FROM own LEFT JOIN roots ON own.key = roots.node LEFT JOIN votes ON votes.alias_
 """
 
 
+def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = mih.codes(table(spark, sf_dir, "embeddings"))
+    return mih.top_k(coded, coded.where(F.col("id") % 50 == 0)).select("query_id", F.col("id").alias("vec_id"), "distance", F.col("rank").cast("bigint").alias("rank"))
+
+
+OP7_SQL = """
+WITH c AS (
+  SELECT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i], 0) > 0) AS bits FROM embeddings WHERE embedding IS NOT NULL
+), h AS (
+  SELECT vec_id,
+         CAST(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN bits[i] THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END)) AS BIGINT) AS lo,
+         CAST(list_sum(list_transform(range(33, 65), lambda i: CASE WHEN bits[i] THEN 1::BIGINT << (i - 33) ELSE 0::BIGINT END)) AS BIGINT) AS hi
+  FROM c
+), d AS (
+  SELECT q.vec_id AS query_id, b.vec_id, CAST(bit_count(xor(q.lo, b.lo)) + bit_count(xor(q.hi, b.hi)) AS INTEGER) AS distance
+  FROM h q JOIN h b ON q.vec_id % 50 = 0
+)
+SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank
+FROM d QUALIFY rank <= 10
+"""
+
+
 def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -100,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_greedy_tiling": op1_greedy_tiling,
         "op5_minimum_bin_slack": op5_minimum_bin_slack,
         "op6_redirect_equivalence": op6_redirect_equivalence,
+        "op7_multi_index_hashing": op7_multi_index_hashing,
         "op8_simhash_bktree": op8_simhash_bktree,
         "op9_classifier_chain": op9_classifier_chain,
         "op10_arc_to_warc": op10_arc_to_warc,
@@ -107,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_redirect_equivalence": OP6_SQL, "op10_arc_to_warc": OP10_SQL}
+    return {"op6_redirect_equivalence": OP6_SQL, "op7_multi_index_hashing": OP7_SQL, "op10_arc_to_warc": OP10_SQL}
