@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, decontaminate, mih, packing, simhash, toxicity, urlrules
+from . import arc, decontaminate, licences, mih, packing, simhash, toxicity, urlrules
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -120,6 +124,7 @@ FROM p LEFT JOIN f ON p.h = f.h AND p.n >= 100
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_greedy_tiling": op1_greedy_tiling,
+        "op4_licence_sentences": op4_licence_sentences,
         "op5_minimum_bin_slack": op5_minimum_bin_slack,
         "op6_redirect_equivalence": op6_redirect_equivalence,
         "op7_multi_index_hashing": op7_multi_index_hashing,
@@ -130,4 +135,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_redirect_equivalence": OP6_SQL, "op7_multi_index_hashing": OP7_SQL, "op10_arc_to_warc": OP10_SQL}
+    return {"op4_licence_sentences": licences.oracle_sql(), "op6_redirect_equivalence": OP6_SQL, "op7_multi_index_hashing": OP7_SQL, "op10_arc_to_warc": OP10_SQL}
