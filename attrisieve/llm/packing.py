@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encoder, end = ChunkTokenizer(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
+            for row, text in enumerate(batch.column(1).cast(pa.binary())):
                 ids = encoder.encode(text.as_py()) + end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, decontaminate, licences, mih, packing, simhash, toxicity, urlrules
+from . import arc, decontaminate, licences, lm, mih, packing, simhash, toxicity, urlrules
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -124,6 +128,7 @@ FROM p LEFT JOIN f ON p.h = f.h AND p.n >= 100
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_greedy_tiling": op1_greedy_tiling,
+        "op2_causal_attention": op2_causal_attention,
         "op4_licence_sentences": op4_licence_sentences,
         "op5_minimum_bin_slack": op5_minimum_bin_slack,
         "op6_redirect_equivalence": op6_redirect_equivalence,

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 
-#: Chunks a Python worker remembers at most; beyond that its memo starts anew. Bounds memory only, never the result.
-MEMO_CHUNKS = 1_500_000
+#: Chunks a Python worker remembers at most, in two generations. Bounds memory only, never the result.
+MEMO_CHUNKS = 700_000
+#: Words sent to the merges in one string.
+_RUN = 256
 
-_SIMPLE = re.compile("([a-zß-öø-ÿ]+)([.,]?)").fullmatch
+_SIMPLE = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 def _memos() -> dict:
@@ -22,49 +25,93 @@ def _memos() -> dict:
 class ChunkTokenizer:
     """Ids as little-endian uint32 bytes, equal to those of tokenizers' encode(text, add_special_tokens=False).
 
-    Holds for files that lower-case, drop white space and never join two sides of it: a text's ids are then those of its
-    chunks between ASCII white space. A chunk of Latin letters, with a full stop or comma behind it or not, skips the
-    normaliser and the splitting, which leave it as it is, and goes to the merges at once; any other chunk takes the
-    library's whole path. ``special`` False takes the strings of special tokens in a text for ordinary text.
+    Holds for files that lower-case, drop white space, mark word ends and never join two sides of white space: a text's ids
+    are then those of its chunks between ASCII white space. A chunk of Latin letters, with a full stop or comma behind it
+    or not, skips the normaliser, which leaves it as it is, and goes to the merges among others, told apart by their word
+    ends; any other chunk takes the library's whole path. ``special`` False takes the strings of special tokens in a text
+    for ordinary text.
     """
 
     def __init__(self, path: str, special: bool = False):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = not special
         self.merges = Tokenizer(self.whole.model)
-        self.memo: dict[bytes, bytes] = _memos().setdefault((path, special), {})
+        self.merges.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
+        self.memo, self.old = _memos().setdefault((path, special), ({}, {}))
+        self.key = (path, special)
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.stand_in = {b: b for b in own} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(own)))}
-        self.marks = {m: self._ids(self.whole.encode(m, add_special_tokens=False).ids) for m in (".", ",")} | {"": b""}
+        self.marks = {m: self._ids(self.whole.encode(m.decode(), add_special_tokens=False).ids) for m in (b".", b",")}
 
     @staticmethod
     def _ids(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
+    def _merge(self, words: list[bytes]) -> None:
+        """Learn words of Latin letters."""
+        runs = [words[k : k + _RUN] for k in range(0, len(words), _RUN)]
+        shown = ["\n".join([w.decode() if w.isascii() else w.decode("latin-1").translate(self.stand_in) for w in run]) for run in runs]
+        for run, found in zip(runs, self.merges.encode_batch_fast(shown, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            self.memo.update(zip(run, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+
     def _learn(self, chunks: set[bytes]) -> None:
-        memo = self.memo
-        simple: list[tuple[bytes, bytes, str]] = []
-        other: list[bytes] = []
+        if len(self.memo) + len(chunks) > MEMO_CHUNKS // 2:
+            self.memo, self.old = {}, self.memo
+            _memos()[self.key] = self.memo, self.old
+        memo, old = self.memo, self.old
+        words, marked, other = set(), [], []
         for chunk in chunks:
-            if m := _SIMPLE(chunk.decode()):
-                simple.append((chunk, m[1].encode(), m[2]))
+            if chunk in old:
+                memo[chunk] = old[chunk]
+                continue
+            word = chunk[:-1] if chunk[-1:] in (b".", b",") else chunk
+            if word.isalpha() or _SIMPLE(word.decode()):
+                if word not in memo:
+                    words.add(word)
+                if word is not chunk:
+                    marked.append((chunk, word))
             else:
                 other.append(chunk)
-        words = list({w for _, w, _ in simple if w not in memo})
-        shown = [w.decode("latin-1").translate(self.stand_in) for w in words]
-        memo.update((w, self._ids(e.ids)) for w, e in zip(words, self.merges.encode_batch_fast(shown, add_special_tokens=False), strict=True))
-        memo.update((chunk, memo[w] + self.marks[mark]) for chunk, w, mark in simple if mark)
+        self._merge(list(words))
+        memo.update((chunk, memo[word] + self.marks[chunk[-1:]]) for chunk, word in marked)
         texts = [c.decode() for c in other]
         memo.update((c, self._ids(e.ids)) for c, e in zip(other, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True))
 
-    def encode(self, text: str | None) -> bytes:
-        chunks = (text or "").encode().lower().split()
+    def encode_each(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct chunks, lower-cased and without ASCII white space; the memo stays as it is."""
+        kept = self.memo, self.old
+        self.memo, self.old = {}, {}
+        out = []
+        for at in range(0, len(chunks), MEMO_CHUNKS // 4):
+            some = chunks[at : at + MEMO_CHUNKS // 4]
+            self._learn(set(some))
+            out += [self.memo[c] for c in some]
+            self.memo, self.old = {}, {}
+        self.memo, self.old = kept
+        _memos()[self.key] = kept
+        return out
+
+    def encode(self, text: bytes | None) -> bytes:
+        """Ids of a UTF-8 text."""
+        chunks = (text or b"").lower().split()
         try:
             return b"".join(map(self.memo.__getitem__, chunks))
         except KeyError:
-            if len(self.memo) > MEMO_CHUNKS:
-                self.memo.clear()
-            self._learn({c for c in chunks if c not in self.memo})
+            wanted = set(chunks)
+            self._learn(wanted.difference(self.memo))
+            if len(wanted) <= MEMO_CHUNKS // 2 and not wanted.difference(self.memo):
+                return b"".join(map(self.memo.__getitem__, chunks))
+            half = len(chunks) // 2  # a swap of generations took some away, or they are too many for one
+            if half:
+                return self.encode(b" ".join(chunks[:half])) + self.encode(b" ".join(chunks[half:]))
+            self._learn(wanted)
             return b"".join(map(self.memo.__getitem__, chunks))
