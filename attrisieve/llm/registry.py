@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, decontaminate, licences, lm, mih, packing, simhash, toxicity, urlrules
+from . import arc, chat, decontaminate, licences, lm, mih, packing, simhash, toxicity, urlrules
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op2_causal_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_viterbi_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_licence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
@@ -129,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_greedy_tiling": op1_greedy_tiling,
         "op2_causal_attention": op2_causal_attention,
+        "op3_viterbi_turns": op3_viterbi_turns,
         "op4_licence_sentences": op4_licence_sentences,
         "op5_minimum_bin_slack": op5_minimum_bin_slack,
         "op6_redirect_equivalence": op6_redirect_equivalence,
