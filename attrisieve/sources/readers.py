@@ -66,7 +66,7 @@ def whitespace_table(spark: SparkSession, path: str, least_columns: int) -> Data
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     rows = whole.select(F.posexplode(lines).alias("row_id", "line")).where("row_id >= 2")
     parts = rows.select("row_id", F.split(F.trim("line"), r"\s+").alias("parts"))
@@ -120,7 +120,7 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
     """(path, metrics): the numbers of JSON summary files; an empty map where a file can't be read as JSON, no rows where there are none."""
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
     try:
-        raw = spark.read.option("wholetext", "true").text(path)
+        raw = spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], "path string, metrics map<string,double>")
     numbers = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: v.try_cast("double").isNotNull())
@@ -129,9 +129,9 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
 
 def yaml_args(spark: SparkSession, path: str) -> DataFrame:
     """(path, args): the args list of YAML metadata files, read as a flat block list, which is how they are written."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     block = F.regexp_extract("value", r"(?m)^args:\s*\n((?:[ \t]*-[^\n]*(?:\n|$))*)", 1)
-    items = F.transform(F.filter(F.split(block, r"\n"), lambda x: F.trim(x) != ""), lambda x: F.trim(F.lit("'\"") , F.regexp_replace(x, r"^\s*-\s*", "")))
+    items = F.transform(F.filter(F.split(block, r"\n"), lambda x: F.trim(x) != ""), lambda x: F.trim(F.regexp_replace(x, r"^\s*-\s*", ""), F.lit("'\"")))
     return raw.select(F.input_file_name().alias("path"), items.alias("args"))
 
 
