@@ -19,19 +19,19 @@ SENTENCES = (
     ("ApacheCopy", r"^you may obtain a copy of the license at( http[a-z0-9/ ]*)?$"),
     ("ApacheAsIs", r"^unless required by applicable law or agreed to in writing, .* without warranties or conditions of any kind.*$"),
     ("MITRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?mit license$"),
-    ("MITGrant", r"^permission is hereby granted, free of charge, to any person obtaining a copy of this software .*$"),
-    ("MITNotice", r"^the above copyright notice and this permission notice shall be included in all copies .*$"),
+    ("MITGrant", r"^permission is hereby granted, free of charge, to any person obtaining a copy of this software( .*)?$"),
+    ("MITNotice", r"^the above copyright notice and this permission notice shall be included in all copies( .*)?$"),
     ("AsIs", r"^(the|this) software is provided (as is|by the copyright holders and contributors as is).*$"),
-    ("NoLiability", r"^in no event shall the (authors|copyright holder|copyright owner|regents).* be liable .*$"),
+    ("NoLiability", r"^in no event shall the (authors|copyright holder|copyright owner|regents).* be liable( .*)?$"),
     ("ISCGrant", r"^permission to use, copy, modify, and(/| )?or distribute this software for any purpose with or without fee is hereby granted.*$"),
-    ("BSDGrant", r"^redistribution and use in source and binary forms, with or without modification, are permitted .*$"),
+    ("BSDGrant", r"^redistribution and use in source and binary forms, with or without modification, are permitted( .*)?$"),
     ("BSDSource", r"^(1 )?redistributions of source code must retain the above copyright notice.*$"),
     ("BSDBinary", r"^(2 )?redistributions in binary form must reproduce the above copyright notice.*$"),
-    ("BSDEndorse", r"^(3 )?neither the name .* may be used to endorse or promote products .*$"),
+    ("BSDEndorse", r"^(3 )?neither the name .* may be used to endorse or promote products( .*)?$"),
     ("BSDRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?([23] clause )?bsd license$"),
     ("GPL3Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu general public license,? version 3( 0)?( or later)?$"),
     ("GPL2Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu general public license,? version 2( 0)?( or later)?$"),
-    ("GPLRedistribute", r"^(this program is free software )?you can redistribute it and(/| )?or modify it under the terms of the gnu general public license .*$"),
+    ("GPLRedistribute", r"^(this program is free software )?you can redistribute it and(/| )?or modify it under the terms of the gnu general public license( .*)?$"),
     ("GPL3OrLater", r"^.*either version 3 of the license, or .* any later version$"),
     ("GPL2OrLater", r"^.*either version 2 of the license, or .* any later version$"),
     ("LGPLRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu lesser general public license,? version (2 1|3)( 0)?( or later)?$"),
