@@ -129,8 +129,15 @@ FROM p LEFT JOIN f ON p.h = f.h AND p.n >= 100
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
         "op1_greedy_tiling": op1_greedy_tiling,
         "op2_causal_attention": op2_causal_attention,
         "op3_viterbi_turns": op3_viterbi_turns,
