@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sampling import shuffle_key
+from ..session import shared_dir
 
 SPLITS = ("train", "validation", "test")
 
@@ -59,18 +60,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) over edges (a, b) of strings: the smallest node reachable.
 
     Labels spread along edges and are then looked up through each other, so long chains need few rounds; each round is
-    checkpointed where the session names a folder for that.
+    checkpointed to the shared folder.
     """
-    spark = edges.sparkSession
+    shared_dir(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct()
-    cut = (lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df.cache())
-    both = cut(both)
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
+    both = both.checkpoint()
+    labels = (both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node")).checkpoint()
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("best"))
         spread = labels.join(heard, labels["node"] == heard["a"]).select("node", F.least("root", "best").alias("root"), F.col("root").alias("old"))
         jump = spread.select(F.col("node").alias("via"), F.col("root").alias("further"))
-        now = cut(spread.join(jump, spread["root"] == jump["via"]).select("node", F.least("root", "further").alias("root"), "old"))
+        now = spread.join(jump, spread["root"] == jump["via"]).select("node", F.least("root", "further").alias("root"), "old").checkpoint()
         changed = now.where("root <> old").limit(1).count()
         labels = now.select("node", "root")
         if not changed:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 from ..operators import attributes, boolean, catalogue, costs, losses, mining, models, profiling, ranking, reshape, runs, splits
-from ..session import table
+from ..session import shared_dir, table
 from ..streaming import metrics as streaming
 from . import evaluation, fixtures
 from .fixtures import BUCKETS_SQL, EXAMPLES_SQL, GENERATED_SQL, HARD_SQL, HISTORY_SQL, JUDGED_SQL, PARTS_SQL, RUNS_SQL, SEED, draw_sql
@@ -501,8 +501,7 @@ def streaming_last_metrics(spark, sf):
     import uuid
 
     name = f"stream_{uuid.uuid4().hex}"
-    folder = spark.sparkContext.getCheckpointDir() or f"/tmp/{name}"
-    return streaming.run_available(spark, f"{sf}/events.parquet", streaming.last_metrics, name, f"{folder}/{name}").select("run_id", "metric", "value")
+    return streaming.run_available(spark, f"{sf}/events.parquet", streaming.last_metrics, name, f"{shared_dir(spark)}/{name}").select("run_id", "metric", "value")
 
 
 def queries() -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +34,16 @@ def local_session(cores: int | str | None = None, shuffle_partitions: int = 8, m
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the fixture folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as spark.checkpoint.dir names it; a temporary one only in a local session without."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="attrisieve-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
