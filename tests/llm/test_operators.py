@@ -99,6 +99,13 @@ def test_tiles_equal_the_definition():
         assert decontaminate.tiles(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), least) == slow_tiles(a, b, least)
 
 
+def test_words_are_what_the_pattern_finds():
+    draw = random.Random(4)
+    for _ in range(500):
+        t = "".join(draw.choice("aB_1 .,-\n\x00éÉßÑ\u2014\u201c\xa0日İ½²") for _ in range(draw.randint(0, 20)))
+        assert decontaminate.words(t) == [w.encode() for w in re.findall(r"\w+", t.lower())]
+
+
 def test_contamination(spark, monkeypatch):
     item = "the quick brown fox jumps over the lazy dog near a quiet river bank today"
     w = item.split()
@@ -186,10 +193,17 @@ def test_base_scores(spark, sf, scored):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isfinite(r["score"]) and r["score"] < 0
 
 
-def test_model_score_is_close_to_base_or_better(scored):
+def test_model_score_beats_base_on_held_out(scored):
     out = [r for r in scored.values() if r["held_out"]]
     tokens_ = sum(r["n_tokens"] for r in out)
-    assert sum(r["score"] - r["base_score"] for r in out) / tokens_ > -0.08
+    assert sum(r["score"] - r["base_score"] for r in out) / tokens_ > 0
+
+
+def test_topics_follow_the_words_before():
+    points = np.log(np.array([[0.9, 0.1]] * 4 + [[0.1, 0.9]] * 60 + [[0.9, 0.1]] * 3))
+    topic, sure = lm.topic_of_context(points, np.array([64, 3]), np.log([0.5, 0.5]))
+    assert len(topic) == 69 and topic[1] == 0 and topic[63] == 1 and sure[0] == 0.5 and sure[65] == 0.5 and topic[66] == 0
+    assert math.isclose(sure[1], 0.9)
 
 
 def test_lm_edges(spark, path, monkeypatch):
@@ -266,6 +280,7 @@ def test_tokens_equal_the_library(path):
     encoder = tokens.ChunkTokenizer(path)
     for t in odd:
         assert np.frombuffer(encoder.encode(t.encode()), dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert encoder.encode_many([t.encode() for t in odd]) == [encoder.encode(t.encode()) for t in odd]
 
 
 def test_small_memo_gives_the_same(path, monkeypatch):
@@ -274,6 +289,7 @@ def test_small_memo_gives_the_same(path, monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_CHUNKS", 2)
     tokens._memos().clear()
     assert tokens.ChunkTokenizer(path).encode(text) == want
+    assert tokens.ChunkTokenizer(path).encode_many([text, None, text[:40]]) == [want, b"", tokens.ChunkTokenizer(path).encode(text[:40])]
     tokens._memos().clear()
 
 
@@ -405,7 +421,7 @@ def test_chain_on_held_out(spark):
 def test_chain_edges(spark):
     texts = ["you idiot scum", "you stupid trash", *["kind words", "good day", "well met"] * 6] * 12
     chain = toxicity.fit_chain(texts, np.array([[1, 0, 1], [0, 1, 1], *[[0, 0, 0]] * 18] * 12, dtype=float), toxicity.CATEGORIES)
-    docs = docs_of(spark, [None, "", "an idiot", "kind words " * 20000, "an idiot"], [1, 2, None, 4, 5]).withColumn("toxic", F.lit(True))
+    docs = docs_of(spark, [None, "", "you idiot scum", "kind words " * 20000, "you idiot scum"], [1, 2, None, 4, 5]).withColumn("toxic", F.lit(True))
     got = toxicity.score(docs, chain).collect()
     assert len(got) == 5 and {r["doc_id"] for r in got if r["toxic_flag"]} == {None, 5}
     assert sorted(r["doc_id"] for r in toxicity.clean(docs, chain).collect()) == [1, 2, 4]
