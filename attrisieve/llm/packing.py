@@ -24,8 +24,8 @@ from .tokens import ChunkTokenizer
 
 CAPACITY = 4096
 END_ID = 1
-#: Pieces ranked together; more pieces get more buckets.
-BUCKET_ROWS = 20_000
+#: Pieces of a length ranked together; a length with more is dealt into buckets of about so many.
+BUCKET_ROWS = 500
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -35,8 +35,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encoder, end = ChunkTokenizer(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             at, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1).cast(pa.binary())):
-                ids = encoder.encode(text.as_py()) + end
+            for row, found in enumerate(encoder.encode_many(batch.column(1).cast(pa.binary()).to_pylist())):
+                ids = found + end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k : k + 4 * capacity]
                     at.append(row)
@@ -113,10 +113,12 @@ def slots(found: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {length: np.array(x, dtype=np.int64) for length, x in rows.items()}
 
 
-def ranked(parts: DataFrame, total: int) -> DataFrame:
+def ranked(parts: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """parts with rank: 0, 1, 2... among the pieces of its length, without bringing a length to one task."""
-    buckets = max(1, -(-total // BUCKET_ROWS))
-    keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    many = [(length, -(-n // BUCKET_ROWS)) for length, n in histogram.items()]
+    buckets = parts.sparkSession.createDataFrame(many, "length bigint, buckets bigint")
+    keyed = parts.join(F.broadcast(buckets), "length")  # a row per length, at most as many as the capacity
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "buckets")).drop("buckets")
     sizes = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     bases = sizes.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
@@ -154,7 +156,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kind = parts.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    dealt = ranked(parts, sum(histogram.values())).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    dealt = ranked(parts, histogram).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return dealt.mapInPandas(place, schema)
 
 

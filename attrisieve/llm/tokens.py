@@ -115,3 +115,18 @@ class ChunkTokenizer:
                 return self.encode(b" ".join(chunks[:half])) + self.encode(b" ".join(chunks[half:]))
             self._learn(wanted)
             return b"".join(map(self.memo.__getitem__, chunks))
+
+    def encode_many(self, texts: list[bytes | None], block: int = 64) -> list[bytes]:
+        """Ids of each of some UTF-8 texts; what a block of them has new is learnt at once."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), block):
+            some = texts[at : at + block]
+            split = [(t or b"").lower().split() for t in some]
+            if new := set().union(*split).difference(self.memo):
+                self._learn(new)
+            get = self.memo.__getitem__
+            try:
+                out += [b"".join(map(get, chunks)) for chunks in split]
+            except KeyError:  # a swap of generations took some away
+                out = out[:at] + [self.encode(t) for t in some]
+        return out
