@@ -50,7 +50,7 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, segments: int = SEGM
     parts = F.array(*[F.struct(F.lit(i).alias("s"), _segment("code", i, bits).alias("value")) for i in range(segments)])
     entries = checkpoint(index.select("code", F.explode(parts).alias("p")).select("code", "p.s", "p.value"))
     asked = checkpoint(queries.select(F.col("id").alias("query_id"), "code").distinct())
-    open_ = checkpoint(asked.select("code").distinct())
+    open_ = checkpoint(asked.select("code").distinct().withColumn("bound", F.lit(BITS)))  # bound: the kth distance so far
     best = None  # (q, code, distance): the k best verified codes of every query code so far
     for radius in range(bits + 1):
         if size == 0 or open_.isEmpty():
@@ -58,13 +58,16 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, segments: int = SEGM
         last = segments * comb(bits, radius) >= size or radius == bits
         if last:
             # probing would now cost more than every code: the rest of the queries meet all codes, in blocks
-            found = _against_all(index.select("code"), open_.withColumnRenamed("code", "q"), k)
+            found = _against_all(index.select("code"), open_.select(F.col("code").alias("q")), k)
         else:
             near = F.filter(F.sequence(F.lit(0), F.lit((1 << bits) - 1)), lambda x: F.bit_count(x) == radius)
             seg = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), _segment("code", i, bits).alias("v")) for i in range(segments)]))
-            probes = open_.select(F.col("code").alias("q"), seg.alias("p")).select("q", "p.s", "p.v", F.explode(near).alias("flip"))
-            probes = probes.select("q", "s", F.col("v").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
-            found = probes.join(entries, ["s", "value"]).select("q", "code").distinct().withColumn("distance", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))))
+            probes = open_.select(F.col("code").alias("q"), "bound", seg.alias("p")).select("q", "bound", "p.s", "p.v", F.explode(near).alias("flip"))
+            probes = probes.select("q", "bound", "s", F.col("v").bitwiseXOR(F.col("flip").cast("bigint")).alias("value"))
+            # verified within the join: codes further than the kth so far can't matter any more
+            apart = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+            meet = (probes["s"] == entries["s"]) & (probes["value"] == entries["value"]) & (apart <= F.col("bound"))
+            found = probes.join(entries, meet).select("q", "code", apart.alias("distance")).distinct()
         merged = found if best is None else best.unionByName(found).distinct()
         order = F.row_number().over(W.partitionBy("q").orderBy("distance", "code"))
         # k nearest codes and every further one as near as the kth: a tie may hold smaller ids
@@ -75,8 +78,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, segments: int = SEGM
         sized = best.join(index, "code").select("q", "distance", F.size("ids").alias("w"))
         upto = F.sum("w").over(W.partitionBy("q").orderBy("distance").rangeBetween(W.unboundedPreceding, W.currentRow))
         proven = sized.withColumn("upto", upto).groupBy("q").agg(F.min(F.when(F.col("upto") >= k, F.col("distance"))).alias("kth"))
-        done = proven.where(F.col("kth") <= segments * (radius + 1) - 1).select(F.col("q").alias("code"))
-        open_ = checkpoint(open_.join(done, "code", "left_anti"))
+        left = open_.select("code").join(proven.withColumnRenamed("q", "code"), "code", "left").where(F.coalesce("kth", F.lit(BITS)) > segments * (radius + 1) - 1)
+        open_ = checkpoint(left.select("code", F.coalesce("kth", F.lit(BITS)).alias("bound")))
     if best is None:
         return asked.join(index, "code").select("query_id", F.explode("ids").alias("id"), F.lit(0).alias("distance"), F.lit(1).alias("rank")).limit(0)
     rows = best.join(index, "code").select("q", "distance", F.explode("ids").alias("id"))
