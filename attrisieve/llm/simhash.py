@@ -111,13 +111,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     so exact copies and repeated rows do. A row with a null id keeps its row and links others, but gives no component its
     name. An empty table gives no rows; columns other than the two named are ignored.
     """
+    return _rooted(docs, id_col, text_col, shingle, radius, seed, tree_rows).drop("root")
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, seed: int = 42, tree_rows: int = 2048) -> DataFrame:
+    """simhash_components() and the least fingerprint of each component, as its root."""
     prints = checkpoint(fingerprints(docs, id_col, text_col, shingle, seed))
     codes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     stars = connected_components(links(codes.select("fp"), radius, tree_rows))
     rooted = codes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_code = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(by_code, "fp").select("doc_id", "text_key", "fp", "component_id")
+    by_code = rooted.join(names, "root").select("fp", "component_id", "root")
+    return prints.join(by_code, "fp").select("doc_id", "text_key", "fp", "component_id", "root")
 
 
 def hex_of(code: str) -> F.Column:
@@ -129,9 +134,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     All columns stay. Of fully repeated rows one is kept.
     """
-    found = checkpoint(simhash_components(docs, id_col, text_col, shingle, radius))
+    return keep_first(docs, _rooted(docs, id_col, text_col, shingle, radius), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each root in found (doc_id, text_key, root), chosen as keep_one does."""
+    found = checkpoint(found.select("doc_id", "text_key", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    chosen = found.groupBy("component_id").agg(F.min(order).alias("k"), F.count("*").alias("rows"))
+    chosen = found.groupBy("root").agg(F.min(order).alias("k"))
     keep = chosen.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
     repeated = not found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     keyed = docs.withColumn("_key", F.xxhash64(F.col(f"`{text_col}`")))

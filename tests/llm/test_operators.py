@@ -405,6 +405,12 @@ def test_shards_cover_every_close_pair():
             assert any(not flips & m for m in masks)
 
 
+def test_keep_one_of_unnamed_and_shared_ids(spark):
+    texts = [f"{w} alone {w}{w} stands {w}{w}{w} here" for w in ("ash", "birch", "cedar", "elm", "fir", "gum")]
+    docs = docs_of(spark, [*texts, texts[0]], [None, None, None, None, 7, 7, None])
+    assert sorted(r["text"] for r in simhash.keep_one(docs).collect()) == sorted(texts)
+
+
 # ---- 9 toxicity
 
 
