@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attrisieve.llm import decontaminate, packing, simhash, toxicity
+from attrisieve.llm import decontaminate, nearcopies, packing, simhash, toxicity
 from attrisieve.llm.common import fresh_path, table
 from attrisieve.llm.registry import tokenizer_path
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each component of SimHash links."""
-    return simhash.keep_one(docs)
+    """One document, the one with the smallest id, of each group of texts with five-word similarities of 0.8 or more."""
+    return simhash.keep_first(docs, nearcopies.near_copies(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,29 @@ def test_stages_return_the_columns_of_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_near_dedup_equals_brute_force_similarity(spark, sf):
+    from itertools import combinations
+
+    base = [r["text"].split() for r in table(spark, sf, "documents").collect() if 60 <= len((r["text"] or "").split()) <= 600][:12]
+    edit = lambda words, step: " ".join("changed" + str(k) if k % step == 7 else w for k, w in enumerate(words))
+    texts = [" ".join(w) for w in base] + [edit(w, step) for w in base for step in (30, 42, 47, 51, 60, 110)] + ["", None, "two words", "Two  words"]
+    schema = table(spark, sf, "documents").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], schema)
+
+    def cut(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [cut(t) for t in texts]
+    root = list(range(len(texts)))
+    apart = 0
+    for a, b in combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            apart += (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 3
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+    assert apart > 20  # links that SimHash within 3 bits doesn't see
+    got = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, sf).collect()}
+    assert got == {i for i, x in enumerate(root) if i == x}
