@@ -3,8 +3,8 @@
 Tokens are subword ids of a public tokenizer, each document ended by one more id. The commonest ids are symbols of their
 own, the rest share symbols by rank; the model predicts the next symbol, and exact counts over all training text give the id
 within its symbol, so the product is a probability over all ids. Counting covers every training token. The attention
-weights are fitted in rounds of model averaging: in each, every training document gives windows in proportion to its
-length, shards of them are trained on separately from the same start, and their weights are averaged by tokens.
+weights are fitted in rounds of model averaging: in each, every training document gives all its overlapping windows, each
+once; shards of them are trained on separately from the same start, and their weights are averaged by tokens.
 
 Scoring cuts a document into overlapping windows: the first CONTEXT positions of a window are context only, so each token is
 scored once. As one layer of attention depends on symbols and distances alone, scoring gathers the exponentials of the
@@ -38,11 +38,9 @@ from .tokens import ChunkTokenizer
 SYMBOLS, OWN = 64, 40
 DIM, WINDOW, CONTEXT = 8, 16, 4
 STRIDE = WINDOW - CONTEXT
-#: Training takes one window in so many.
-WINDOW_SHARE = 160
 ROUNDS = 2
-#: Windows one shard trains on, and models averaged at once.
-SHARD_WINDOWS, FAN_IN = 12_000, 64
+#: Windows one shard trains on, models averaged at once, and windows of a document dealt together.
+SHARD_WINDOWS, FAN_IN, DEALT = 12_000, 64, 256
 #: Words whose counts travel to every task, and the longest of them in bytes.
 HEAD_WORDS, HEAD_BYTES = 65_536, 64
 PAD = SYMBOLS + 1
@@ -349,48 +347,48 @@ def id_counts(words: DataFrame, tokenizer: str, ends: int) -> np.ndarray:
     return total
 
 
-def fit(training: DataFrame, tokenizer: str, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Fit the attention weights to column text, given the id counts of all of it."""
-    symbol_of, inside = symbols(counts)
-    weights = fresh_weights(np.bincount(symbol_of, counts, minlength=SYMBOLS))
-    spark = training.sparkSession
-    shipped = spark.sparkContext.broadcast(symbol_of)
+def training_lines(symbol: np.ndarray) -> np.ndarray:
+    """The overlapping windows of one document's symbols, each with the symbol that follows it: (n, WINDOW + 1)."""
+    seen, target, counted, _ = lay_windows(symbol, np.array([len(symbol)]))
+    return np.column_stack([seen, np.where(counted[:, -1], target[:, -1], PAD)]).astype("<i2")
+
+
+def training_windows(training: DataFrame, tokenizer: str, symbol_of: np.ndarray) -> DataFrame:
+    """(key, n, lines) of all windows of columns doc_id and text, n of them a row; the key is a hash to deal rows by."""
+    shipped = training.sparkSession.sparkContext.broadcast(symbol_of)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = ChunkTokenizer(tokenizer), shipped.value
+        end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            key, rows = [], []
-            for text in batch.column(0).cast(pa.binary()):
-                raw = text.as_py() or b""
-                # windows are drawn by stretches of text, so that only those are tokenised
-                lead = zlib.crc32(raw)
-                words = raw.lower().split()
-                for k, at in enumerate(range(0, max(1, len(words)), STRIDE // 2)):
-                    if (k * 2654435761 + lead) % 4294967296 % WINDOW_SHARE == 0:
-                        before = words[max(0, at - CONTEXT) : at]
-                        head = table[np.frombuffer(encoder.encode(b" ".join(before)), dtype="<u4")][-CONTEXT:] if before else np.zeros(0, dtype=np.int32)
-                        tail = words[at : at + STRIDE]
-                        ids = encoder.encode(b" ".join(tail)) + (END_ID.to_bytes(4, "little") if at + STRIDE >= len(words) else b"")
-                        own = table[np.frombuffer(ids, dtype="<u4")]
-                        row = np.full(WINDOW + 1, PAD, dtype="<i2")
-                        if at - CONTEXT <= 0:
-                            head = np.r_[SYMBOLS, head][-CONTEXT - 1 :]
-                            row[CONTEXT + 1 - len(head) : CONTEXT + 1] = head
-                        else:
-                            row[CONTEXT + 1 - len(head) : CONTEXT + 1] = head
-                        own = own[: WINDOW - CONTEXT]
-                        row[CONTEXT + 1 : CONTEXT + 1 + len(own)] = own
-                        rows.append(row.tobytes())
-                        key.append(zlib.crc32(rows[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(rows, pa.binary())], names=["key", "line"])
-
-    drawn = checkpoint(training.select("text").mapInArrow(cut, "key bigint, line binary"))
-    shards = max(1, -(-drawn.count() // (rounds * SHARD_WINDOWS)))
-    dealt = drawn.select("line", F.pmod("key", F.lit(rounds)).alias("round"), F.pmod(F.floor(F.col("key") / rounds), F.lit(shards)).cast("int").alias("shard"))
+            for start in range(0, batch.num_rows, 256):
+                key, many, rows = [], [], []
+                part = batch.slice(start, 256)
+                for name, text in zip(part.column(0), part.column(1).cast(pa.binary()), strict=True):
+                    ids = encoder.encode(b" ".join(_split(text))) + end
+                    lines = training_lines(table[np.frombuffer(ids, dtype="<u4")])
+                    for at in range(0, len(lines), DEALT):
+                        own = lines[at : at + DEALT]
+                        rows.append(own.tobytes())
+                        many.append(len(own))
+                        key.append(zlib.crc32(rows[-1], zlib.crc32((name.as_py() or "").encode())))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(many, pa.int32()), pa.array(rows, pa.binary())], names=["key", "n", "lines"])
+
+    return training.select(F.col("doc_id").cast("string"), "text").mapInArrow(cut, "key bigint, n int, lines binary")
+
+
+def fit(training: DataFrame, tokenizer: str, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Fit the attention weights to columns doc_id and text, given the id counts of all of it."""
+    symbol_of, inside = symbols(counts)
+    weights = fresh_weights(np.bincount(symbol_of, counts, minlength=SYMBOLS))
+    spark = training.sparkSession
+    drawn = checkpoint(training_windows(training, tokenizer, symbol_of))
+    shards = max(1, -(-(drawn.agg(F.sum("n")).first()[0] or 0) // SHARD_WINDOWS))
+    dealt = drawn.select("lines", F.pmod("key", F.lit(shards)).cast("int").alias("shard"))
     for number in range(rounds):
         start = spark.sparkContext.broadcast(weights)
 
-        models = dealt.where(F.col("round") == number).groupBy("shard").applyInPandas(_learner(start, number), "shard int, n double, w binary")
+        models = dealt.groupBy("shard").applyInPandas(_learner(start, number), "shard int, n double, w binary")
         left = shards
         while left > FAN_IN:  # averages of averages, so the driver never gets more than FAN_IN models
             left = -(-left // FAN_IN)
@@ -406,10 +404,11 @@ def _learner(start, number: int):
     """What a shard does in a round: one pass of training over its windows in a fixed order."""
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = np.frombuffer(b"".join(sorted(pdf["line"])), dtype="<i2").reshape(-1, WINDOW + 1).astype(np.int64)
+        lines = np.frombuffer(b"".join(sorted(pdf["lines"])), dtype="<i2").reshape(-1, WINDOW + 1).astype(np.int64)
         lines = lines[np.random.default_rng(number).permutation(len(lines))]
         target = lines[:, 1:]
         counted = target < SYMBOLS
+        counted[:, :CONTEXT] = False  # those are scored positions of the window before
         learnt = train(start.value, lines[:, :-1], np.where(counted, target, 0), counted, 0.03 / (1 + number))
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1].to_numpy(), "n": [float(counted.sum())], "w": [_flat(learnt)]})
 

@@ -206,6 +206,21 @@ def test_topics_follow_the_words_before():
     assert math.isclose(sure[1], 0.9)
 
 
+def test_training_takes_every_window(spark, path):
+    texts = [None, "", "a", *[" ".join(f"w{k % 7}" for k in range(n)) for n in (5, 11, 12, 13, 40, 700)], *["same words in a copy"] * 3]
+    docs = docs_of(spark, texts)
+    encoder = tokens.ChunkTokenizer(path)
+    symbol_of = np.arange(len(encoder.ends)) % lm.SYMBOLS
+    rows = lm.training_windows(docs, path, symbol_of).collect()
+    lines = [np.frombuffer(r["lines"], dtype="<i2").reshape(-1, lm.WINDOW + 1) for r in rows]
+    assert [len(x) for x in lines] == [r["n"] for r in rows]
+    lines = np.concatenate(lines)
+    symbols_ = [symbol_of[np.frombuffer(encoder.encode((t or "").encode()), dtype="<u4").tolist() + [lm.END_ID]] for t in texts]
+    assert len(lines) == sum(-(-len(x) // lm.STRIDE) for x in symbols_)
+    target = lines[:, lm.CONTEXT + 1 :]
+    assert Counter(target[target < lm.SYMBOLS].tolist()) == Counter(np.concatenate(symbols_).tolist())  # each symbol once
+
+
 def test_lm_edges(spark, path, monkeypatch):
     monkeypatch.setattr(lm, "HEAD_WORDS", 2)  # all but two words take the joined way
     docs = docs_of(spark, [None, "", "a b a", "a b a", "Ünï \U0001f389 a", "word " * 3000], [1, 2, 3, 3, None, 6])
