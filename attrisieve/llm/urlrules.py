@@ -52,7 +52,7 @@ def url_key(url: Column) -> Column:
 def _targets(html: Column) -> Column:
     """URLs a page declares itself the same as: rel=canonical links and refresh redirects."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    telling = F.filter(tags, lambda t: t.rlike(r"(?i)^<link\b.*\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?i)^<meta\b.*http-equiv\s*=\s*[\"']?refresh\b"))
+    telling = F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)^<meta\b.*http-equiv\s*=\s*[\"']?refresh\b"))
     found = F.transform(telling, lambda t: F.regexp_extract(t, r"(?is)(?:\bhref\s*=\s*[\"']?|\burl\s*=\s*)([^\"'\s>]+)", 1))
     return F.filter(found, lambda u: u != "")
 

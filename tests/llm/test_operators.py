@@ -356,6 +356,12 @@ def test_urls(spark):
     assert urlrules.judge(df.limit(0)).count() == 0
 
 
+def test_tags_over_several_lines(spark):
+    rows = [(1, "https://a.net/x", None), (2, "https://one.test/", '<link\n rel="canonical"\n href="https://a.net/x">'), (3, "https://two.test/", '<meta\n http-equiv="refresh"\n content="0; url=https://a.net/x">')]
+    got = {r["page_id"]: (r["verdict"], r["alias_of"]) for r in urlrules.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: ("block", "a.net/x") for k in (1, 2, 3)}
+
+
 # ---- 7 exact top-k
 
 
