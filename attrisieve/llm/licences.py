@@ -76,12 +76,13 @@ RULES = (
     ("unknown", ("UnknownRef",)),
 )
 
-#: A text without any of these has no known sentence, which spares it the cutting.
+#: What the SQL passes over texts and sentences by; it takes single blanks only, so it may miss sentences that scan() finds.
 HINT = r"(?i)licen[cs]ed|released under|distributed under|licen[cs]e\b|redistribut|permission (?:is hereby|to use)|provided .?as is|in no event shall|public domain"
-#: Sentences with none of these aren't known ones.
 TELLING = HINT + r"|you may|neither the name|version [23]|copyright notice|warrant"
 #: Ends of sentences: a stop, question or exclamation mark or semicolon before white space, a colon before a line end, an empty line.
 CUT = r"[.!?;]+(?:\s+|$)|\n\s*\n|:\s*\n"
+#: A text or sentence without any of these has no known sentence; blanks may be any signs, as they are gone once normalised.
+LIKELY = TELLING.replace(" .?", " ").replace(r"\b", "").replace(" ", "[^a-z0-9]+")
 #: Comment marks at the start of a line.
 MARKS = r"(?m)^[ \t]*(?://+|#+|\*+|--|;+|/\*+)[ \t]?"
 SIGNS = r"[^a-z0-9,/]+"
@@ -102,9 +103,12 @@ def identifier(sentence: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order. A sentence that isn't known is tried again line by line."""
-    telling = F.filter(F.split(F.regexp_replace(text, MARKS, ""), CUT), lambda s: s.rlike(TELLING))
+    likely = F.filter(F.split(F.regexp_replace(text, MARKS, ""), CUT), lambda s: s.rlike(LIKELY))
     known = lambda s: normal(s).rlike("|".join(f"(?:{p})" for _, p in SENTENCES[:-1]))
-    each = F.transform(telling, lambda s: F.when(known(s), F.array(normal(s))).otherwise(F.transform(F.split(s, r"\n"), normal)))
+    lines = lambda s: F.transform(F.split(s, r"\n"), normal)
+    # a reference to an unknown licence may run over lines, but not where one of them is known by itself
+    wrapped = lambda s: normal(s).rlike(SENTENCES[-1][1]) & ~F.exists(lines(s), lambda y: y.rlike("|".join(f"(?:{p})" for _, p in SENTENCES)))
+    each = F.transform(likely, lambda s: F.when(known(s) | wrapped(s), F.array(normal(s))).otherwise(lines(s)))
     return F.filter(F.transform(F.flatten(each), identifier), lambda x: x.isNotNull())
 
 
@@ -127,7 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     source = own_columns(docs, doc_id=id_col, text=text_col)
     none = F.array().cast("array<string>")
-    found = source.select("doc_id", F.when(F.col("text").rlike(HINT), identifiers(F.col("text"))).otherwise(none).alias("ids"))
+    found = source.select("doc_id", F.when(F.col("text").rlike(LIKELY), identifiers(F.col("text"))).otherwise(none).alias("ids"))
     named = found.select("doc_id", "ids", F.when(F.size("ids") > 0, match_rules(F.col("ids"))).otherwise(none).alias("names"))
     return named.select("doc_id", F.array_join("ids", " ").alias("sentence_ids"), F.array_join("names", " ").alias("licences"))
 

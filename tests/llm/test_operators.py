@@ -281,6 +281,28 @@ def test_licences(spark):
     assert got == {k: want for k, (_, want) in enumerate(cases)}
 
 
+EXAMPLES = {
+    "ApacheRef": "Licensed under the Apache License, Version 2.0 (the License)", "ApacheNoUse": "you may not use this file except in compliance with the License", "ApacheCopy": "You may obtain a copy of the License at http://x",
+    "ApacheAsIs": "Unless required by applicable law or agreed to in writing, it comes without warranties or conditions of any kind", "MITRef": "This software is released under the MIT licence", "MITGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    "MITNotice": "The above copyright notice and this permission notice shall be included in all copies", "AsIs": 'The software is provided "as is"', "NoLiability": "In no event shall the authors be liable",
+    "ISCGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "BSDGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted", "BSDSource": "Redistributions of source code must retain the above copyright notice",
+    "BSDBinary": "Redistributions in binary form must reproduce the above copyright notice", "BSDEndorse": "Neither the name of it nor others may be used to endorse or promote products", "BSDRef": "This code is licensed under the 3-clause BSD license", "GPL3Ref": "Licensed under the GNU General Public License, version 3 or later",
+    "GPL2Ref": "Licensed under the GNU General Public License version 2", "GPLRedistribute": "You can redistribute it and/or modify it under the terms of the GNU General Public License", "GPL3OrLater": "either version 3 of the License, or (at your option) any later version", "GPL2OrLater": "either version 2 of the License, or (at your option) any later version",
+    "LGPLRef": "Licensed under the GNU Lesser General Public License, version 3", "AGPLRef": "Licensed under the GNU Affero General Public License, version 3", "MPLRef": "This file is subject to the terms of the Mozilla Public License, version 2.0", "CCBYNC": "Distributed under CC BY-NC 4.0", "CCBYSA": "Distributed under CC BY-SA 4.0", "CCBY": "Released under CC BY 4.0",
+    "CC0": "Released under CC0 1.0", "Unlicense": "This is free and unencumbered software released into the public domain", "UnknownRef": "It is released under the Foo License",
+}
+
+
+def test_sentences_wrapped_at_every_blank(spark):
+    assert set(EXAMPLES) >= {n for n, _ in licences.SENTENCES}
+    cases = []
+    for name, text in EXAMPLES.items():
+        words = text.split(" ")
+        cases += [(name, text + ".")] + [(name, lead + " ".join(words[:k]) + gap + " ".join(words[k:]) + ".") for k in range(1, len(words)) for lead, gap in (("", "\n"), ("// ", "\n// "), (" * ", "\n * "))]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licences.scan(docs_of(spark, [t for _, t in cases])).collect()}
+    assert [(name, text, got[k]) for k, (name, text) in enumerate(cases) if got[k] != name] == []
+
+
 # ---- 5 packing
 
 
