@@ -45,6 +45,23 @@ SENTENCES = (
     ("UnknownRef", r"^.*\b(licensed|released|distributed) under .*\blicense\b.*$"),
 )
 
+#: Sentences of the official notices, tried before the others; the SQL hasn't them.
+_GRANT = r"^(.* is free software )?you can redistribute it and(/| )?or modify it under the terms of the gnu "
+_FSF = r" as published by the free software foundation,? "
+_LATER = r" of the license,? or at your option any later version$"
+NOTICES = (
+    ("AGPL3Notice", _GRANT + "affero general public license,?" + _FSF + "either version 3" + _LATER),
+    ("LGPL3Notice", _GRANT + "lesser general public license,?" + _FSF + "either version 3" + _LATER),
+    ("LGPL21Notice", _GRANT + "lesser general public license,?" + _FSF + "either version 2 1" + _LATER),
+    ("LGPL2Notice", _GRANT + "(lesser|library) general public license,?" + _FSF + "either version 2" + _LATER),
+    ("GPL3Notice", _GRANT + "general public license,?" + _FSF + "either version 3" + _LATER),
+    ("GPL2Notice", _GRANT + "general public license,?" + _FSF + "either version 2" + _LATER),
+    ("AGPLRedistribute", _GRANT + "affero general public license( .*)?$"),
+    ("LGPLRedistribute", _GRANT + "(lesser|library) general public license( .*)?$"),
+    ("GPLRedistribute", _GRANT + "general public license(,? .*)?$"),
+    ("LGPL21OrLater", "^either version 2 1" + _LATER),
+)
+
 #: Ordered rules: licence and the identifiers that must follow one another (fixed values). Whole texts stand before references.
 RULES = (
     ("MIT", ("MITGrant", "MITNotice", "AsIs", "NoLiability")),
@@ -81,8 +98,25 @@ HINT = r"(?i)licen[cs]ed|released under|distributed under|licen[cs]e\b|redistrib
 TELLING = HINT + r"|you may|neither the name|version [23]|copyright notice|warrant"
 #: Ends of sentences: a stop, question or exclamation mark or semicolon before white space, a colon before a line end, an empty line.
 CUT = r"[.!?;]+(?:\s+|$)|\n\s*\n|:\s*\n"
+#: Rules of the notices: those tried before the others, and those of a redistribution grant alone, tried after them.
+NOTICE_RULES = (
+    ("AGPL-3.0-or-later", ("AGPL3Notice",)),
+    ("LGPL-3.0-or-later", ("LGPL3Notice",)),
+    ("LGPL-2.1-or-later", ("LGPL21Notice",)),
+    ("LGPL-2.0-or-later", ("LGPL2Notice",)),
+    ("GPL-3.0-or-later", ("GPL3Notice",)),
+    ("GPL-2.0-or-later", ("GPL2Notice",)),
+    ("AGPL-3.0-or-later", ("AGPLRedistribute", "GPL3OrLater")),
+    ("LGPL-3.0-or-later", ("LGPLRedistribute", "GPL3OrLater")),
+    ("LGPL-2.1-or-later", ("LGPLRedistribute", "LGPL21OrLater")),
+    ("LGPL-2.0-or-later", ("LGPLRedistribute", "GPL2OrLater")),
+)
+LONE_RULES = (("AGPL", ("AGPLRedistribute",)), ("LGPL", ("LGPLRedistribute",)), ("GPL", ("GPLRedistribute",)))
+
 #: A text or sentence without any of these has no known sentence; blanks may be any signs, as they are gone once normalised.
 LIKELY = TELLING.replace(" .?", " ").replace(r"\b", "").replace(" ", "[^a-z0-9]+")
+#: CUT, but not after the stop of "v. 2".
+STOP = r"(?!(?<=\b[vV])\.\s+[0-9])" + f"(?:{CUT})"
 #: Comment marks at the start of a line.
 MARKS = r"(?m)^[ \t]*(?://+|#+|\*+|--|;+|/\*+)[ \t]?"
 SIGNS = r"[^a-z0-9,/]+"
@@ -96,18 +130,18 @@ def normal(sentence: Column) -> Column:
 def identifier(sentence: Column) -> Column:
     """The known sentence a normalised one is; null for any other."""
     out = None
-    for name, pattern in SENTENCES:
+    for name, pattern in NOTICES + SENTENCES:
         out = F.when(sentence.rlike(pattern), name) if out is None else out.when(sentence.rlike(pattern), name)
     return out
 
 
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order. A sentence that isn't known is tried again line by line."""
-    likely = F.filter(F.split(F.regexp_replace(text, MARKS, ""), CUT), lambda s: s.rlike(LIKELY))
-    known = lambda s: normal(s).rlike("|".join(f"(?:{p})" for _, p in SENTENCES[:-1]))
+    likely = F.filter(F.split(F.regexp_replace(text, MARKS, ""), STOP), lambda s: s.rlike(LIKELY))
+    known = lambda s: normal(s).rlike("|".join(f"(?:{p})" for _, p in NOTICES + SENTENCES[:-1]))
     lines = lambda s: F.transform(F.split(s, r"\n"), normal)
     # a reference to an unknown licence may run over lines, but not where one of them is known by itself
-    wrapped = lambda s: normal(s).rlike(SENTENCES[-1][1]) & ~F.exists(lines(s), lambda y: y.rlike("|".join(f"(?:{p})" for _, p in SENTENCES)))
+    wrapped = lambda s: normal(s).rlike(SENTENCES[-1][1]) & ~F.exists(lines(s), lambda y: y.rlike("|".join(f"(?:{p})" for _, p in NOTICES + SENTENCES)))
     each = F.transform(likely, lambda s: F.when(known(s) | wrapped(s), F.array(normal(s))).otherwise(lines(s)))
     return F.filter(F.transform(F.flatten(each), identifier), lambda x: x.isNotNull())
 
@@ -116,7 +150,7 @@ def match_rules(found: Column) -> Column:
     """Licences by the ordered rules over a sequence of identifiers: sorted, each once."""
     text = F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" "))
     hits = []
-    for licence, sequence in RULES:
+    for licence, sequence in NOTICE_RULES + RULES + LONE_RULES:
         needle = f" {'  '.join(sequence)} "
         hits.append(F.when(F.instr(text, needle) > 0, F.lit(licence)))
         text = F.replace(text, F.lit(needle), F.lit(" | "))

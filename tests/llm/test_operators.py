@@ -303,6 +303,20 @@ def test_sentences_wrapped_at_every_blank(spark):
     assert [(name, text, got[k]) for k, (name, text) in enumerate(cases) if got[k] != name] == []
 
 
+def test_official_notices(spark):
+    gpl = "{what} is free software{sign} you can redistribute it and/or modify\nit under the terms of the GNU {kind}General Public License as published by\nthe Free Software Foundation{then} either version {v} of the License, or\n(at your option) any later version.\n\n{what} is distributed in the hope that it will be useful."
+    of = lambda what, kind, v, sign, then: gpl.format(what=what, kind=kind, v=v, sign=sign, then=then)
+    cases = [
+        (of("This program", "", 3, ":", ","), "GPL-3.0-or-later"), (of("Foo", "", 3, ":", ","), "GPL-3.0-or-later"), (of("This program", "", 2, ";", ";"), "GPL-2.0-or-later"), (of("This program", "Affero ", 3, ":", ","), "AGPL-3.0-or-later"),
+        (of("This library", "Lesser ", "2.1", ";", ";"), "LGPL-2.1-or-later"), (of("This program", "Lesser ", 3, ":", ","), "LGPL-3.0-or-later"), (of("This library", "Library ", 2, ";", ";"), "LGPL-2.0-or-later"),
+        ("You can redistribute it and/or modify it under the terms of the GNU General Public License.", "GPL"), ("You can redistribute it and/or modify it under the terms of the GNU Affero General Public License.", "AGPL"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ]
+    cases += [("".join(f"// {line}\n" for line in text.split("\n")), want) for text, want in cases]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(docs_of(spark, [t for t, _ in cases])).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, want in cases]
+
+
 # ---- 5 packing
 
 
