@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.sampling import randint, sample_array
 
 BUCKETS = ("pos", "neg", "common", "neither")
+#: Assignments brute_force_distance lists at once.
+BLOCK = 1 << 14
 
 
 def _strings(a: Column) -> Column:
@@ -42,12 +44,15 @@ def distance(attributes: Column, required: Column, forbidden: Column) -> Column:
 def brute_force_distance(rows: DataFrame, key: str, features: str, signs: str) -> DataFrame:
     """(key, distance): the least Hamming distance from a row's feature bits to any assignment that its signs accept.
 
-    features: array<boolean>; signs: array<int> of 1 (required) or -1 (forbidden). All 2**n assignments are tried, so n should
-    stay below about twenty; this is the reference form the closed one is tested against.
+    features: array<boolean>; signs: array<int> of 1 (required) or -1 (forbidden), 62 at most. All 2**n assignments are tried,
+    in blocks, so a row never holds them all; the time still doubles with each condition. This is the reference form the
+    closed one is tested against.
     """
-    bits = lambda a, test: F.aggregate(F.transform(a, lambda v, i: F.when(test(v), F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    own = rows.select(key, bits(F.col(features), lambda v: v).alias("own"), bits(F.col(signs), lambda v: v > 0).alias("want"), F.size(features).alias("n"))
-    tried = own.select(key, "own", "want", F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.col("n")) - 1)).alias("z"))
+    bits = lambda a, test: F.aggregate(F.transform(a, lambda v, i: F.when(test(v), F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    last = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size(features)) - 1
+    own = rows.select(key, bits(F.col(features), lambda v: v).alias("own"), bits(F.col(signs), lambda v: v > 0).alias("want"), last.alias("last"))
+    blocks = own.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), "last", F.lit(BLOCK).cast("bigint"))).alias("first"))
+    tried = blocks.select(key, "own", "want", F.explode(F.sequence("first", F.least(F.col("first") + (BLOCK - 1), "last"))).alias("z"))
     accepted = tried.where(F.col("z") == F.col("want"))
     return accepted.groupBy(key).agg(F.min(F.bit_count(F.col("z").bitwiseXOR(F.col("own")))).alias("distance"))
 

@@ -99,8 +99,17 @@ def condition_violations(spark, sf):
 
 @_query(f"WITH {GENERATED_SQL} SELECT key, CAST({_DIST.format(a='b')} AS INTEGER) AS distance FROM generated WHERE num_attributes <= 10")
 def brute_force_distance(spark, sf):
-    """Distances of hard negatives by trying every assignment, for queries of ten conditions at most (the operator's domain); the SQL is the closed form."""
-    g = fixtures.generated(spark, sf).where("num_attributes <= 10")
+    """brute_force_distance_all for the queries of ten conditions at most alone, as its SQL has it."""
+    return _brute_force(fixtures.generated(spark, sf).where("num_attributes <= 10"))
+
+
+@_query(f"WITH {GENERATED_SQL} SELECT key, CAST({_DIST.format(a='b')} AS INTEGER) AS distance FROM generated")
+def brute_force_distance_all(spark, sf):
+    """Distances of hard negatives by trying every assignment, for all queries; the SQL is the closed form."""
+    return _brute_force(fixtures.generated(spark, sf))
+
+
+def _brute_force(g: DataFrame) -> DataFrame:
     conditions = F.concat("required", "forbidden")
     rows = g.select("key", F.transform(conditions, lambda a: F.array_contains(F.col("b"), a)).alias("features"), F.transform(conditions, lambda a: F.when(F.array_contains(F.col("required"), a), 1).otherwise(-1)).alias("signs"))
     return attributes.brute_force_distance(rows, "key", "features", "signs")
