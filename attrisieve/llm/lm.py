@@ -1,29 +1,29 @@
 """Operator 2: language-model scoring with a causal self-attention model trained in numpy.
 
-Tokens are subword ids of a public tokenizer, each document ended by one more id. The commonest ids are symbols of their
-own, the rest share symbols by rank; the model predicts the next symbol, and exact counts over all training text give the id
-within its symbol, so the product is a probability over all ids. Counting covers every training token. The attention
-weights are fitted in rounds of model averaging: in each, every training document gives all its overlapping windows, each
-once; shards of them are trained on separately from the same start, and their weights are averaged by tokens.
+Tokens are subword ids of a public tokenizer, each document ended by one more id. The model reads overlapping windows: the
+first CONTEXT positions of a window are context only, so each token is scored once, and no position sees a later one. Its
+input is a symbol per id (the commonest ids have one of their own, the rest share some), its output a gate over MIXTURES
+shares of all ids: p(id | context) = sum over k of gate_k(context) * share_k(id). The gates are what attention computes; the
+shares are a table learnt with them by expectation maximisation. So a token costs a few dozen numbers, not a row per id, and
+the probabilities of all ids add up to one.
 
-Scoring cuts a document into overlapping windows: the first CONTEXT positions of a window are context only, so each token is
-scored once. As one layer of attention depends on symbols and distances alone, scoring gathers the exponentials of the
-attention logits from a table over pairs of symbols.
+Training reads every training document once, all its windows, each partition from the same start, which a bounded sample
+gives (WARM_DOCS, WARM_IDS). The weights of the partitions are averaged by tokens and their expected counts added up, in
+groups of FAN_IN, so no task and not the driver ever holds more than a few models, however many partitions there are. The
+same pass counts words. The shares therefore rest on every training token.
 
-A word's probability is a mixture of what attention gives the ids of the word and of the word's smoothed share of the training
-text; alone, a model this small knows too little of whole words. The share is that within the likeliest topic, as far as the
-words just before point to one, and that of all text otherwise. Topics are groups of training documents with like letters
-(k-means over all of them, begun from a small sample), which mostly are languages.
+A word's probability is a mixture of what attention gives its ids and of its smoothed share of the training text. The weight
+of the share is fitted in the training pass: each block of texts is predicted from the words and weights before it.
 
 Word counts are a table, not a dictionary: the commonest words (a fixed number) travel to every task, the counts of all
-others are joined to the documents that have them.
+others are joined to the documents that have them. How many travel changes no result.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,432 +35,269 @@ from pyspark.sql import functions as F
 from .common import checkpoint, own_columns
 from .tokens import ChunkTokenizer
 
-SYMBOLS, OWN = 64, 40
-DIM, WINDOW, CONTEXT = 8, 16, 4
+SYMBOLS, OWN = 512, 496
+MIXTURES, DIM, WINDOW, CONTEXT = 32, 16, 24, 8
 STRIDE = WINDOW - CONTEXT
-ROUNDS = 2
-#: Windows one shard trains on, models averaged at once, and windows of a document dealt together.
-SHARD_WINDOWS, FAN_IN, DEALT = 12_000, 64, 256
-#: Words whose counts travel to every task, and the longest of them in bytes.
-HEAD_WORDS, HEAD_BYTES = 65_536, 64
-PAD = SYMBOLS + 1
-#: Topics documents are grouped into by their letters, and how many words back a word looks for its topic.
-TOPICS, TOPIC_ROUNDS, TOPIC_SAMPLE, TOPIC_REACH = 6, 4, 512, 48
-_LETTERS = np.r_[np.arange(97, 123), np.arange(128, 256)]
-#: Weight of the word's share of the training text in the mixture with attention.
-WORD_WEIGHT = 0.85
+START, PAD = SYMBOLS, SYMBOLS + 1
 END_ID = 1
+#: Documents and ids the start of training is fitted on at most, its batches, and windows of a batch.
+WARM_DOCS, WARM_IDS, WARM_BATCHES, BATCH = 800, 600_000, 500, 256
+#: Batches between two looks at the shares, and tokens' worth of the ids' own frequencies in each share.
+REFRESH, PRIOR = 48, 20.0
+WARM_RATE, RATE = 0.02, 0.004
+#: Models averaged at once, texts read together.
+FAN_IN, BLOCK = 16, 256
+#: Words whose counts travel to every task, and the longest of them in bytes.
+HEAD_WORDS, HEAD_BYTES = 262_144, 64
+_LN10 = float(np.log(10))
+_SHAPES = {"bias": (MIXTURES,), "distance": (WINDOW,), "embed": (SYMBOLS + 2, DIM), "hidden": (DIM, DIM), "key": (DIM, DIM), "mix": (DIM, DIM), "out": (DIM, MIXTURES), "query": (DIM, DIM), "value": (DIM, DIM)}
+_SEES = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))[CONTEXT:]
+_BACK = np.maximum(np.arange(WINDOW)[CONTEXT:, None] - np.arange(WINDOW)[None, :], 0)
 
 
 @dataclass
 class Model:
-    """Weights by name, and what turns a symbol's probability into an id's."""
+    """Weights by name, the symbol of each id, the shares (ids, MIXTURES), and the weight of a word's share of the text."""
 
     weights: dict[str, np.ndarray]
     symbol_of: np.ndarray
-    inside: np.ndarray  # log10 of an id's share of its symbol
+    shares: np.ndarray
+    word_weight: float
 
 
-def symbols(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol of each id and log10 of its share, from counts over the training text (one added to each)."""
+def symbols(counts: np.ndarray) -> np.ndarray:
+    """Symbol of each id: one of its own for the commonest, shared by powers of two of the id's number for the others."""
     order = np.argsort(-counts, kind="stable")
-    symbol_of = np.empty(len(counts), dtype=np.int32)
+    symbol_of = OWN + np.minimum(np.log2(np.arange(len(counts)) + 1.0), SYMBOLS - OWN - 1).astype(np.int32)
     symbol_of[order[:OWN]] = np.arange(min(OWN, len(counts)))
-    rest = order[OWN:]
-    symbol_of[rest] = OWN + np.minimum(np.log2(np.arange(len(rest)) + 1.0) * 1.5, SYMBOLS - OWN - 1).astype(np.int32)
-    smoothed = counts + 1.0
-    total = np.bincount(symbol_of, smoothed, minlength=SYMBOLS)
-    return symbol_of, np.log10(smoothed / total[symbol_of])
+    return symbol_of
 
 
-def fresh_weights(symbol_counts: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
-    """Small random weights; the output bias starts at the symbols' frequencies."""
+def fresh_weights(seed: int = 1) -> dict[str, np.ndarray]:
+    """Random weights to begin with."""
     draw = np.random.default_rng(seed)
-    normal = lambda *shape: (draw.normal(size=shape) * 0.1).astype(np.float32)
-    bias = np.log((symbol_counts + 1) / (symbol_counts.sum() + len(symbol_counts)))
-    start = normal(1, DIM)
-    return {"embed": normal(SYMBOLS + 2, DIM) + start, "query": normal(DIM, DIM), "key": normal(DIM, DIM), "value": normal(DIM, DIM), "distance": np.zeros(WINDOW, dtype=np.float32), "mix": normal(DIM, DIM), "hidden": normal(DIM, DIM), "out": normal(DIM, SYMBOLS), "bias": bias.astype(np.float32)}
+    return {k: (draw.normal(size=shape) * 0.3).astype(np.float32) if len(shape) > 1 else np.zeros(shape, dtype=np.float32) for k, shape in _SHAPES.items()}
+
+
+def shares_of(expected: np.ndarray) -> np.ndarray:
+    """Shares from expected counts (ids, MIXTURES): each also gets PRIOR tokens dealt as all text is, one added to each id."""
+    total = expected.sum(axis=1) + 1.0
+    smoothed = expected + (PRIOR / total.sum() * total)[:, None]
+    return (smoothed / smoothed.sum(axis=0)).astype(np.float32)
+
 
+def lay_windows(ids: np.ndarray, lengths: np.ndarray, symbol_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seen, target) of the overlapping windows of documents whose ids are laid end to end.
 
-_LATER = np.triu(np.full((WINDOW, WINDOW), -1e9, dtype=np.float32), 1)
-_BACK = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
+    seen (n, WINDOW) are symbols, CONTEXT of them before the first scored position; START stands before a document and
+    padding before that. target (n, STRIDE) are the ids that follow the scored positions, -1 where there is none; read row
+    by row they are the documents' ids in order.
+    """
+    rooms = -(-lengths // STRIDE)
+    first = np.cumsum(rooms + 1) - rooms  # in strides; a stride of padding stands before each document
+    at = np.repeat(first * STRIDE - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(ids))
+    line = np.full(int((rooms + 1).sum()) * STRIDE, PAD, dtype=np.int32)
+    aim = np.full(len(line), -1, dtype=np.int32)
+    line[at[1:]] = symbol_of[ids[:-1]]
+    line[first * STRIDE] = START
+    aim[at] = ids
+    rows = np.repeat(first - (np.cumsum(rooms) - rooms), rooms) + np.arange(int(rooms.sum()))
+    seen = np.lib.stride_tricks.sliding_window_view(line, WINDOW)[STRIDE - CONTEXT :: STRIDE]
+    return seen[rows - 1], aim.reshape(-1, STRIDE)[rows]
 
 
 def forward(w: dict[str, np.ndarray], seen: np.ndarray) -> dict[str, np.ndarray]:
-    """Hidden states for windows of symbols (n, WINDOW): position t sees symbols up to t, but no padding."""
-    e = w["embed"][seen]
-    q, k, v = e @ w["query"], e @ w["key"], e @ w["value"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(DIM**-0.5) + (w["distance"][_BACK] + _LATER)
-    s += np.where(seen == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
+    """What the scored positions of windows (n, WINDOW) compute; gates (n * STRIDE, MIXTURES) add up to one in each row."""
+    e = w["embed"].take(seen.ravel(), axis=0)
+    now = np.ascontiguousarray(e.reshape(-1, WINDOW, DIM)[:, CONTEXT:])
+    q = (now.reshape(-1, DIM) @ w["query"]).reshape(now.shape)
+    k, v = ((e @ w[x]).reshape(-1, WINDOW, DIM) for x in ("key", "value"))
+    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    s *= np.float32(DIM**-0.5)
+    s += w["distance"][_BACK]
+    np.minimum(s, 40, out=s)  # keeps the exponentials in range; no trained logit comes near
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+    s *= _SEES
+    s *= (seen != PAD)[:, None, :]
+    s /= np.maximum(s @ np.ones((WINDOW, 1), dtype=np.float32), np.float32(1e-20))
     a = s @ v
-    pre = e @ w["hidden"] + a @ w["mix"]
-    return {"e": e, "q": q, "k": k, "v": v, "s": s, "a": a, "h": np.maximum(pre, 0) + e}
-
-
-class Scorer:
-    """The same hidden states for the scored positions of windows, from tables over symbols."""
-
-    def __init__(self, w: dict[str, np.ndarray]):
-        e = w["embed"]
-        self.pair = np.exp(np.clip((e @ w["query"]) @ (e @ w["key"]).T * DIM**-0.5, -30, 30)).astype(np.float32)
-        self.pair[:, PAD] = 0
-        self.near = np.where(_LATER < 0, 0, np.exp(w["distance"][_BACK])).astype(np.float32)[CONTEXT:]
-        self.given = np.concatenate([e @ w["value"] @ w["mix"], np.ones((len(e), 1), dtype=np.float32)], axis=1)
-        self.own = (e @ w["hidden"]).astype(np.float32)
-        self.w = w
-
-    def hidden(self, seen: np.ndarray) -> np.ndarray:
-        now = seen[:, CONTEXT:]
-        weight = self.pair.ravel().take((now * len(self.pair))[:, :, None] + seen[:, None, :])
-        weight *= self.near
-        mixed = (weight @ self.given.take(seen, axis=0)).reshape(-1, DIM + 1)
-        now = now.ravel()
-        h = mixed[:, :DIM] / np.maximum(mixed[:, DIM:], np.float32(1e-30))
-        h += self.own.take(now, axis=0)
-        np.maximum(h, 0, out=h)
-        h += self.w["embed"].take(now, axis=0)
-        return h
-
-
-def log_probs(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of each target symbol's probability from hidden states (n, DIM)."""
-    logits = h @ w["out"]
-    logits += w["bias"]
-    picked = logits[np.arange(len(target)), target]
-    np.minimum(logits, 60, out=logits)  # keeps the exponentials in range; no trained logit comes near
-    np.exp(logits, out=logits)
-    return picked - np.log(logits @ np.ones(logits.shape[1], dtype=logits.dtype))
-
-
-def gradients(w: dict[str, np.ndarray], seen: np.ndarray, target: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean negative log probability over the counted positions of windows."""
+    flat, heard = now.reshape(-1, DIM), a.reshape(-1, DIM)
+    h = np.maximum(flat @ w["hidden"] + heard @ w["mix"], 0) + flat
+    g = h @ w["out"]
+    g += w["bias"]
+    np.minimum(g, 60, out=g)
+    np.exp(g, out=g)
+    g /= g @ np.ones((MIXTURES, 1), dtype=np.float32)
+    return {"e": e, "now": flat, "q": q, "k": k, "v": v, "s": s, "a": heard, "h": h, "gates": g}
+
+
+def log_probs(model: Model, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 probability of each id of documents laid end to end."""
+    seen, target = lay_windows(ids, lengths, model.symbol_of)
+    parts, ones = [np.zeros(0, dtype=np.float32)], np.ones(MIXTURES, dtype=np.float32)
+    for at in range(0, len(seen), BATCH):
+        aim = target[at : at + BATCH].ravel()
+        there = np.flatnonzero(aim >= 0)
+        p = forward(model.weights, seen[at : at + BATCH])["gates"].take(there, axis=0)
+        p *= model.shares.take(aim.take(there), axis=0)
+        parts.append(p @ ones)
+    return np.log10(np.maximum(np.concatenate(parts), np.float32(1e-37))).astype(np.float64)
+
+
+def gradients(w: dict[str, np.ndarray], shares: np.ndarray, seen: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(gradients of the mean negative log probability, what each mixture is answerable for of each target, probabilities).
+
+    The latter two are for the targets that are there, in order.
+    """
     f = forward(w, seen)
-    n = max(1, int(counted.sum()))
-    h = f["h"].reshape(-1, DIM)
-    logits = h @ w["out"] + w["bias"]
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    logits[np.arange(len(h)), target.ravel()] -= 1
-    logits *= (counted.ravel() / np.float32(n))[:, None]
-    g = {"out": h.T @ logits, "bias": logits.sum(axis=0)}
-    dh = (logits @ w["out"].T).reshape(f["h"].shape)
-    dpre = dh * (f["h"] > f["e"])
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-    g["hidden"], g["mix"] = flat(f["e"]).T @ flat(dpre), flat(f["a"]).T @ flat(dpre)
-    da = dpre @ w["mix"].T
-    ds = da @ f["v"].transpose(0, 2, 1)
-    dv = f["s"].transpose(0, 2, 1) @ da
-    ds = f["s"] * (ds - (ds * f["s"]).sum(axis=2, keepdims=True))
-    g["distance"] = np.bincount(_BACK.ravel(), np.tril(ds.sum(axis=0)).ravel(), minlength=WINDOW).astype(np.float32)
+    aim = target.ravel()
+    there = np.flatnonzero(aim >= 0)
+    blame = f["gates"].take(there, axis=0) * shares.take(aim.take(there), axis=0)
+    p = np.maximum(blame @ np.ones(MIXTURES, dtype=np.float32), np.float32(1e-37))
+    blame /= p[:, None]
+    slack = np.zeros_like(f["gates"])
+    slack[there] = (f["gates"].take(there, axis=0) - blame) * np.float32(1 / max(1, len(there)))
+    g = {"out": f["h"].T @ slack, "bias": np.ones(len(slack), dtype=np.float32) @ slack}
+    dh = slack @ w["out"].T
+    dpre = dh * (f["h"] > f["now"])
+    g["hidden"], g["mix"] = f["now"].T @ dpre, f["a"].T @ dpre
+    da = (dpre @ w["mix"].T).reshape(f["q"].shape)
+    s = f["s"]
+    ds = da @ np.ascontiguousarray(f["v"].transpose(0, 2, 1))
+    back = np.ascontiguousarray(s.transpose(0, 2, 1))
+    dv = (back @ da).reshape(-1, DIM)
+    ds -= (ds * s) @ np.ones((WINDOW, 1), dtype=np.float32)
+    ds *= s
+    g["distance"] = np.bincount(_BACK.ravel(), ds.sum(axis=0).ravel(), minlength=WINDOW).astype(np.float32)
     ds *= np.float32(DIM**-0.5)
-    dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-    e = flat(f["e"])
-    g["query"], g["key"], g["value"] = e.T @ flat(dq), e.T @ flat(dk), e.T @ flat(dv)
-    de = dh + dpre @ w["hidden"].T + dq @ w["query"].T + dk @ w["key"].T + dv @ w["value"].T
-    order = np.argsort(seen.ravel(), kind="stable")
-    ids = seen.ravel()[order]
-    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    g["embed"] = np.zeros_like(w["embed"])
-    g["embed"][ids[starts]] = np.add.reduceat(flat(de)[order], starts, axis=0)
-    return g
-
-
-def train(w: dict[str, np.ndarray], seen: np.ndarray, target: np.ndarray, counted: np.ndarray, rate: float, batch: int = 64) -> dict[str, np.ndarray]:
-    """One pass of Adam over windows in the order given."""
-    w = {k: v.copy() for k, v in w.items()}
-    first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    steps = -(-len(seen) // batch)
-    for t in range(steps):
-        part = slice(t * batch, (t + 1) * batch)
-        slow = rate * (1 - 0.9 * t / max(1, steps))
-        for k, slope in gradients(w, seen[part], target[part], counted[part]).items():
-            first[k] += 0.1 * (slope - first[k])
-            second[k] += 0.01 * (slope * slope - second[k])
-            w[k] -= np.float32(slow) * (first[k] / (1 - 0.9 ** (t + 1))) / (np.sqrt(second[k] / (1 - 0.99 ** (t + 1))) + 1e-8)
-    return w
-
-
-def lay_windows(symbol: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(seen, target, counted, owner) of the overlapping windows of documents laid end to end.
-
-    seen (n, WINDOW) begins CONTEXT symbols before the first scored position; the start symbol stands before a document
-    and padding before that. target and counted are (n, STRIDE); each symbol of a document is counted just once.
-    """
-    docs = len(lengths)
-    size = lengths + CONTEXT + 1 + STRIDE
-    base = np.cumsum(size) - size
-    line = np.full(int(size.sum()), PAD, dtype=np.int64)
-    line[base + CONTEXT] = SYMBOLS
-    place = np.arange(len(symbol)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    line[np.repeat(base + CONTEXT + 1, lengths) + place] = symbol
-    many = -(-lengths // STRIDE)
-    owner = np.repeat(np.arange(docs), many)
-    first = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE
-    at = (base[owner] + first)[:, None] + np.arange(WINDOW)
-    seen = line[at]
-    target = line[at[:, CONTEXT:] + 1]
-    counted = target != PAD
-    return seen, np.where(counted, target, 0), counted, owner
-
-
-def score_symbols(scorer: Scorer, symbol: np.ndarray, lengths: np.ndarray, block: int = 512) -> np.ndarray:
-    """log10 probability of each symbol of documents laid end to end, windows of all batched."""
-    seen, target, counted, _ = lay_windows(symbol, lengths)
-    parts = []
-    for at in range(0, len(seen), block):
-        some = slice(at, at + block)
-        parts.append(log_probs(scorer.w, scorer.hidden(seen[some]), target[some].ravel())[counted[some].ravel()])
-    return np.concatenate(parts).astype(np.float64) / np.log(10)
-
-
-def mixed(share: np.ndarray, attention: np.ndarray) -> np.ndarray:
-    """log10 of the mixture of two probabilities given by their log10."""
-    ln = np.log(10)
-    return np.logaddexp(share * ln + np.log(WORD_WEIGHT), attention * ln + np.log(1 - WORD_WEIGHT)) / ln
-
+    dq = (ds @ f["k"]).reshape(-1, DIM)
+    dk = (np.ascontiguousarray(ds.transpose(0, 2, 1)) @ f["q"]).reshape(-1, DIM)
+    e = f["e"]
+    g["query"], g["key"], g["value"] = f["now"].T @ dq, e.T @ dk, e.T @ dv
+    de = dk @ w["key"].T
+    de += dv @ w["value"].T
+    de.reshape(-1, WINDOW, DIM)[:, CONTEXT:] += (dh + dpre @ w["hidden"].T + dq @ w["query"].T).reshape(f["q"].shape)
+    g["embed"] = summed(seen.ravel(), de, len(w["embed"]))
+    return g, blame, p
+
+
+def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sums (size, width) of rows by the place each belongs to."""
+    out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
+    if len(at):
+        order = np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")
+        place = at[order]
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        out[place[starts]] = np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
+    return out
 
-def topic_of_context(points: np.ndarray, n_words: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(likeliest topic, its probability) before each word, and before the end of each document.
 
-    points (words, TOPICS) are the natural logs of each word's shares within topics; a word looks back TOPIC_REACH words,
-    no further than its document's start. The result holds each document's words and then its end.
-    """
-    total = np.concatenate([np.zeros((1, points.shape[1])), np.cumsum(points, axis=0)])
-    starts = np.cumsum(n_words) - n_words
-    at = np.repeat(starts, n_words + 1) + (np.arange(len(points) + len(n_words)) - np.repeat(starts + np.arange(len(n_words)), n_words + 1))
-    since = np.maximum(at - TOPIC_REACH, np.repeat(starts, n_words + 1))
-    seen = total[at] - total[since] + prior
-    seen -= seen.max(axis=1, keepdims=True)
-    np.exp(seen, out=seen)
-    best = seen.argmax(axis=1)
-    return best, seen[np.arange(len(seen)), best] / seen.sum(axis=1)
+class Trainer:
+    """Adam for the weights, expectation maximisation for the shares, in one pass over windows."""
+
+    def __init__(self, weights: dict[str, np.ndarray], expected: np.ndarray, rate: Callable[[int], float], forget: float = 1.0):
+        self.w = {k: v.copy() for k, v in weights.items()}
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
+        self.before, self.rate, self.forget = expected, rate, forget
+        self.expected = np.zeros_like(expected)
+        self.shares = shares_of(expected)
+        self.steps, self.tokens = 0, 0
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settle(self) -> None:
+        """Add what has been held back to the expected counts and look at the shares again."""
+        if self.held:
+            at, rows = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.expected += summed(at, rows, len(self.expected))
+            self.held = []
+            self.shares = shares_of(self.before + self.expected)
+
+    def step(self, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Probabilities of the targets that are there, and one step that learns from them."""
+        found, blame, p = gradients(self.w, self.shares, seen, target)
+        self.steps += 1
+        self.tokens += len(p)
+        t, rate = self.steps, np.float32(self.rate(self.steps))
+        for k, slope in found.items():
+            first, second = self.first[k], self.second[k]
+            first += np.float32(0.1) * (slope - first)
+            second += np.float32(0.01) * (slope * slope - second)
+            self.w[k] -= rate * (first / np.float32(1 - 0.9**t)) / (np.sqrt(second / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+        aim = target.ravel()
+        self.held.append((aim[aim >= 0], blame))
+        if t % REFRESH == 0:
+            self.expected *= self.forget
+            self.settle()
+        return p
+
+    def learn(self, ids: np.ndarray, lengths: np.ndarray, symbol_of: np.ndarray) -> np.ndarray:
+        """log10 probability of each id, each given before it was learnt from; windows are taken in a fixed random order."""
+        seen, target = lay_windows(ids, lengths, symbol_of)
+        found = np.zeros(target.shape, dtype=np.float64)
+        order = np.random.default_rng(len(seen)).permutation(len(seen))
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
+            aim, out = target[some], np.zeros((len(some), STRIDE))
+            out[aim >= 0] = np.log10(self.step(seen[some], aim))
+            found[some] = out
+        return found[target >= 0]
+
+
+def warm_start(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(weights, expected counts, symbol of each id) from a sample of documents laid end to end, read again and again."""
+    counts = np.bincount(ids, minlength=size).astype(np.float64)
+    symbol_of = symbols(counts)
+    draw = np.random.default_rng(2)
+    begun = (counts + 1e-3)[:, None] * np.exp(draw.normal(size=(size, MIXTURES)) * 0.5) / MIXTURES
+    if not len(ids):
+        return fresh_weights(), np.zeros((size, MIXTURES), dtype=np.float32), symbol_of
+    trainer = Trainer(fresh_weights(), (begun / max(1.0, begun.sum())).astype(np.float32), lambda t: WARM_RATE * (1 - 0.9 * min(1.0, t / WARM_BATCHES)), 0.95)
+    trainer.shares = (begun / begun.sum(axis=0)).astype(np.float32)
+    while trainer.steps < WARM_BATCHES:
+        trainer.learn(ids, lengths, symbol_of)
+    trainer.settle()
+    return trainer.w, trainer.expected * np.float32(min(1.0, len(ids) / max(1.0, trainer.expected.sum()))), symbol_of
+
+
+def mixed(share: np.ndarray, attention: np.ndarray, weight: float) -> np.ndarray:
+    """log10 of the mixture of two probabilities given by their log10."""
+    return np.logaddexp(share * _LN10 + np.log(weight), attention * _LN10 + np.log(1 - weight)) / _LN10
 
 
 def held_out(doc_id: object, fold: int = 2, folds: int = 7) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def letter_profile(raw: bytes) -> np.ndarray:
-    """Square roots of the shares of letters (a-z and bytes past ASCII) in a text, as bytes."""
-    seen = np.bincount(np.frombuffer(raw.lower(), dtype=np.uint8), minlength=256)[_LETTERS]
-    return np.round(np.sqrt(seen / max(1, seen.sum())) * 255).astype(np.uint8)
-
-
-def nearest(profiles: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """The closest centre of each profile."""
-    return ((centres**2).sum(axis=1)[None, :] - 2 * profiles.astype(np.float64) @ centres.T).argmin(axis=1)
-
-
-def fit_topics(training: DataFrame) -> np.ndarray:
-    """Centres of the topics (TOPICS, letters); all zero where there is no text."""
-
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([letter_profile(t.as_py() or b"").tobytes() for t in batch.column(0).cast(pa.binary())], pa.binary())], names=["p"])
-
-    profiles = checkpoint(training.select("text").mapInArrow(profile, "p binary"))
-    unpack = lambda rows: np.frombuffer(b"".join(bytes(x) for x in rows), dtype=np.uint8).reshape(-1, len(_LETTERS))
-    sample = unpack([r["p"] for r in profiles.orderBy(F.xxhash64("p"), "p").limit(TOPIC_SAMPLE).collect()]).astype(np.float64)
-    centres = np.zeros((TOPICS, len(_LETTERS)))
-    if not len(sample):
-        return centres
-    chosen = [0]
-    while len(chosen) < TOPICS:  # each further start is the profile furthest from those before
-        gap = ((sample[:, None, :] - sample[chosen][None, :, :]) ** 2).sum(axis=2).min(axis=1)
-        chosen.append(int(gap.argmax()))
-    centres = sample[chosen]
-    for _ in range(TOPIC_ROUNDS):
-        shipped = training.sparkSession.sparkContext.broadcast(centres)
-
-        def gather(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((TOPICS, len(_LETTERS) + 1))
-            for batch in batches:
-                some = np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), dtype=np.uint8).reshape(-1, len(_LETTERS))
-                topic = nearest(some, shipped.value)
-                np.add.at(total, topic, np.column_stack([some, np.ones(len(some))]))
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total.ravel()[used])], names=["at", "s"])
-
-        total = np.zeros(TOPICS * (len(_LETTERS) + 1))
-        for row in profiles.mapInArrow(gather, "at bigint, s double").groupBy("at").agg(F.sum("s").alias("s")).toLocalIterator():
-            total[row["at"]] = row["s"]
-        total = total.reshape(TOPICS, -1)
-        centres = np.where(total[:, -1:] > 0, total[:, :-1] / np.maximum(total[:, -1:], 1), centres)
-    return centres
-
-
-def _counted(found: list[dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
-    for topic, words in enumerate(found):
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(np.full(len(words), topic), pa.int32()), pa.array(list(words.values()), pa.int64())], names=["word", "topic", "c"])
-
-
 def _split(text) -> list[bytes]:
     """ASCII-lower-cased runs of other than ASCII white space."""
     return (text.as_py() or b"").lower().split()
 
 
-def word_counts(training: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(word, c, by_topic) over all words of column text, combined before the shuffle; ends are not among them."""
-    shipped = training.sparkSession.sparkContext.broadcast(centres)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[dict[bytes, int]] = [{} for _ in range(TOPICS)]
-        for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                words = _split(text)
-                own = found[int(nearest(letter_profile(text.as_py() or b"")[None, :], shipped.value)[0])]
-                for word in words:
-                    own[word] = own.get(word, 0) + 1
-                if sum(map(len, found)) > 400_000:
-                    yield from _counted(found)
-                    found = [{} for _ in range(TOPICS)]
-        yield from _counted(found)
-
-    counted = training.select("text").mapInArrow(run, "word binary, topic int, c bigint")
-    per_topic = [F.coalesce(F.sum(F.when(F.col("topic") == k, F.col("c"))), F.lit(0)) for k in range(TOPICS)]
-    return counted.groupBy("word").agg(F.sum("c").alias("c"), F.array(*per_topic).alias("by_topic"))
-
-
-def id_counts(words: DataFrame, tokenizer: str, ends: int) -> np.ndarray:
-    """Counts of all ids over the training text, from its word counts; the driver gets one number per id of the tokenizer."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkTokenizer(tokenizer)
-        total = np.zeros(len(encoder.ends), dtype=np.int64)
-        for batch in batches:
-            pieces = encoder.encode_each(batch.column(0).to_pylist())
-            ids = np.frombuffer(b"".join(pieces), dtype="<u4")
-            total += np.bincount(ids, np.repeat(batch.column(1).to_numpy(), [len(x) // 4 for x in pieces]), minlength=len(total)).astype(np.int64)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], names=["id", "c"])
-
-    counted = words.select("word", "c").mapInArrow(run, "id bigint, c bigint").groupBy("id").agg(F.sum("c").alias("c"))
-    total = np.zeros(len(ChunkTokenizer(tokenizer).ends), dtype=np.int64)
-    for row in counted.toLocalIterator():
-        total[row["id"]] = row["c"]
-    total[END_ID] += ends
-    return total
-
-
-def training_lines(symbol: np.ndarray) -> np.ndarray:
-    """The overlapping windows of one document's symbols, each with the symbol that follows it: (n, WINDOW + 1)."""
-    seen, target, counted, _ = lay_windows(symbol, np.array([len(symbol)]))
-    return np.column_stack([seen, np.where(counted[:, -1], target[:, -1], PAD)]).astype("<i2")
-
-
-def training_windows(training: DataFrame, tokenizer: str, symbol_of: np.ndarray) -> DataFrame:
-    """(key, n, lines) of all windows of columns doc_id and text, n of them a row; the key is a hash to deal rows by."""
-    shipped = training.sparkSession.sparkContext.broadcast(symbol_of)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = ChunkTokenizer(tokenizer), shipped.value
-        end = END_ID.to_bytes(4, "little")
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                key, many, rows = [], [], []
-                part = batch.slice(start, 256)
-                for name, text in zip(part.column(0), part.column(1).cast(pa.binary()), strict=True):
-                    ids = encoder.encode(b" ".join(_split(text))) + end
-                    lines = training_lines(table[np.frombuffer(ids, dtype="<u4")])
-                    for at in range(0, len(lines), DEALT):
-                        own = lines[at : at + DEALT]
-                        rows.append(own.tobytes())
-                        many.append(len(own))
-                        key.append(zlib.crc32(rows[-1], zlib.crc32((name.as_py() or "").encode())))
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(many, pa.int32()), pa.array(rows, pa.binary())], names=["key", "n", "lines"])
-
-    return training.select(F.col("doc_id").cast("string"), "text").mapInArrow(cut, "key bigint, n int, lines binary")
-
-
-def fit(training: DataFrame, tokenizer: str, counts: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Fit the attention weights to columns doc_id and text, given the id counts of all of it."""
-    symbol_of, inside = symbols(counts)
-    weights = fresh_weights(np.bincount(symbol_of, counts, minlength=SYMBOLS))
-    spark = training.sparkSession
-    drawn = checkpoint(training_windows(training, tokenizer, symbol_of))
-    shards = max(1, -(-(drawn.agg(F.sum("n")).first()[0] or 0) // SHARD_WINDOWS))
-    dealt = drawn.select("lines", F.pmod("key", F.lit(shards)).cast("int").alias("shard"))
-    for number in range(rounds):
-        start = spark.sparkContext.broadcast(weights)
-
-        models = dealt.groupBy("shard").applyInPandas(_learner(start, number), "shard int, n double, w binary")
-        left = shards
-        while left > FAN_IN:  # averages of averages, so the driver never gets more than FAN_IN models
-            left = -(-left // FAN_IN)
-            models = checkpoint(models).withColumn("shard", F.pmod("shard", F.lit(left)).cast("int")).groupBy("shard").applyInPandas(_mean, "shard int, n double, w binary")
-        found = list(models.toLocalIterator())
-        if found:
-            mean = _mean(pd.DataFrame([r.asDict() for r in found]))["w"].iloc[0]
-            weights = _unflat(mean, weights)
-    return Model(weights, symbol_of, inside)
-
-
-def _learner(start, number: int):
-    """What a shard does in a round: one pass of training over its windows in a fixed order."""
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = np.frombuffer(b"".join(sorted(pdf["lines"])), dtype="<i2").reshape(-1, WINDOW + 1).astype(np.int64)
-        lines = lines[np.random.default_rng(number).permutation(len(lines))]
-        target = lines[:, 1:]
-        counted = target < SYMBOLS
-        counted[:, :CONTEXT] = False  # those are scored positions of the window before
-        learnt = train(start.value, lines[:, :-1], np.where(counted, target, 0), counted, 0.03 / (1 + number))
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1].to_numpy(), "n": [float(counted.sum())], "w": [_flat(learnt)]})
-
-    return learn
-
-
-def _flat(w: dict[str, np.ndarray]) -> bytes:
-    return b"".join(w[k].astype("<f4").tobytes() for k in sorted(w))
-
-
-def _unflat(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    flat, at, out = np.frombuffer(raw, dtype="<f4"), 0, {}
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].astype(np.float32).reshape(like[k].shape)
-        at += like[k].size
-    return out
-
-
-def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One model: the mean of some, weighted by what each was trained on."""
-    total = max(1e-9, pdf["n"].sum())
-    mean = sum(np.frombuffer(w, dtype="<f4").astype(np.float64) * (n / total) for w, n in zip(pdf["w"], pdf["n"], strict=True))
-    return pd.DataFrame({"shard": pdf["shard"].iloc[:1].to_numpy(), "n": [float(pdf["n"].sum())], "w": [mean.astype("<f4").tobytes()]})
-
-
 class Lexicon:
-    """What a task knows of each word it has met: symbols, log10 share within them, and its count if it is a head word."""
+    """Ids and a count of each word a task has met."""
 
     LIMIT = 600_000
 
     @classmethod
-    def of_worker(cls, key: str, tokenizer: str, model: Model, head: dict[bytes, tuple[int, list[int]]]) -> Lexicon:
-        """The lexicon a worker process keeps between the tasks of one scoring run."""
+    def of_worker(cls, key: str, tokenizer: str, head: dict[bytes, int] | None = None) -> Lexicon:
+        """The lexicon a worker process keeps between the tasks of one pass; its counts start at the head's, else at 0."""
         import tokenizers
 
         kept = tokenizers.__dict__.get("_attrisieve_lexicon", (None, None))
         if kept[0] != key:
-            kept = key, cls(tokenizer, model, head)
+            kept = key, cls(tokenizer, head)
             tokenizers.__dict__["_attrisieve_lexicon"] = kept
         return kept[1]
 
-    def __init__(self, tokenizer: str, model: Model, head: dict[bytes, tuple[int, list[int]]]):
-        self.encoder, self.model, self.head = ChunkTokenizer(tokenizer), model, head
-        self.symbol_of = model.symbol_of.astype(np.int16)
+    def __init__(self, tokenizer: str, head: dict[bytes, int] | None = None):
+        self.encoder, self.head = ChunkTokenizer(tokenizer, special=True), head
         self._reset()
 
     def _reset(self) -> None:
         self.place: dict[bytes, int] = {}
         self.words: list[bytes] = []
-        self.symbols = np.zeros(1 << 16, dtype=np.int16)
-        self.start, self.size, self.inside, self.count = (np.zeros(1 << 14, dtype=t) for t in (np.int64, np.int64, np.float64, np.int64))
-        self.by_topic = np.zeros((1 << 14, TOPICS), dtype=np.int64)
+        self.ids = np.zeros(1 << 16, dtype=np.int32)
+        self.start, self.size, self.count = (np.zeros(1 << 14, dtype=t) for t in (np.int64, np.int64, np.int64))
         self.used = 0
 
     def _learn(self, words: list[bytes]) -> None:
@@ -468,121 +305,234 @@ class Lexicon:
         ids = np.frombuffer(b"".join(raw), dtype="<u4")
         size = np.array([len(x) // 4 for x in raw], dtype=np.int64)
         n, at = len(self.words), self.used
-        while at + len(ids) > len(self.symbols):
-            self.symbols = np.concatenate([self.symbols, np.zeros_like(self.symbols)])
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(words) > len(self.start):
-            for name in ("start", "size", "inside", "count", "by_topic"):
+            for name in ("start", "size", "count"):
                 own = getattr(self, name)
                 setattr(self, name, np.concatenate([own, np.zeros_like(own)]))
-        self.symbols[at : at + len(ids)] = self.symbol_of[ids]
-        stop = np.cumsum(size)
-        upto = np.r_[0.0, np.cumsum(self.model.inside[ids])]
-        self.start[n : n + len(words)], self.size[n : n + len(words)] = at + stop - size, size
-        self.inside[n : n + len(words)] = upto[stop] - upto[stop - size]
-        none = (-1, [0] * TOPICS)
-        known = [self.head.get(w, none) for w in words]
-        self.count[n : n + len(words)] = [c for c, _ in known]
-        self.by_topic[n : n + len(words)] = np.array([t for _, t in known], dtype=np.int64).reshape(-1, TOPICS)
+        self.ids[at : at + len(ids)] = ids
+        self.start[n : n + len(words)], self.size[n : n + len(words)] = at + np.cumsum(size) - size, size
+        self.count[n : n + len(words)] = 0 if self.head is None else [self.head.get(w, -1) for w in words]
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
         self.words += words
         self.used = at + len(ids)
 
-    def places(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Places of the words of each text; valid until the next call."""
+    def counted(self) -> Iterator[pa.RecordBatch]:
+        """(word, c) of the words counted, which then stand at 0 again."""
+        used = np.flatnonzero(self.count[: len(self.words)])
+        for at in range(0, len(used), 1 << 16):
+            some = used[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array([self.words[k] for k in some.tolist()], pa.binary()), pa.array(self.count[some])], names=["word", "c"])
+        self.count[:] = 0
+
+    def full(self, texts: list[list[bytes]]) -> bool:
+        return len(self.place) + len(set().union(*texts).difference(self.place)) > self.LIMIT
+
+    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places of all words, words of each text, ids of all texts with END_ID behind each, ids of each text)."""
         new = set().union(*texts).difference(self.place)
-        if len(self.place) + len(new) > self.LIMIT:
+        if len(self.place) + len(new) > self.LIMIT and self.place:
             self._reset()
             new = set().union(*texts)
         if new:
             self._learn(list(new))
         get = self.place.__getitem__
-        return [np.fromiter(map(get, x), dtype=np.int64, count=len(x)) for x in texts]
+        n_words = np.array([len(x) for x in texts], dtype=np.int64)
+        place = np.fromiter((k for x in texts for k in map(get, x)), dtype=np.int64, count=int(n_words.sum()))
+        size = self.size[place]
+        total = np.r_[0, np.cumsum(size)]
+        stops = np.cumsum(n_words)
+        lengths = total[stops] - total[stops - n_words] + 1
+        ids = np.full(int(lengths.sum()), END_ID, dtype=np.int32)
+        inside = np.ones(len(ids), dtype=bool)
+        inside[np.cumsum(lengths) - 1] = False
+        ids[inside] = self.ids[np.repeat(self.start[place] - total[:-1], size) + np.arange(total[-1])]
+        return place, n_words, ids, lengths
+
+    def word_sums(self, points: np.ndarray, place: np.ndarray, n_words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of its ids' points for each word, points of each text's end)."""
+        size = self.size[place]
+        upto = np.r_[0.0, np.cumsum(points)]
+        first = np.cumsum(size) - size + np.repeat(np.arange(len(n_words)), n_words)
+        return upto[first + size] - upto[first], points[np.cumsum(lengths) - 1]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Record batches of at most BLOCK texts, and the words of each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            yield part, [_split(t) for t in part.column(text_at).cast(pa.binary())]
+
+
+_FOUND = "word binary, c bigint, shard bigint, n double, words double, share double, weights binary, ids binary, expected binary"
+
+
+def _no_model(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(batch.num_rows, f.type) for f in list(schema)[2:])], schema=schema)
+
+
+_FOUND_ARROW = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("shard", pa.int64()), ("n", pa.float64()), ("words", pa.float64()), ("share", pa.float64()), ("weights", pa.binary()), ("ids", pa.binary()), ("expected", pa.binary())])
+
+
+def train(training: DataFrame, tokenizer: str) -> tuple[DataFrame, Model]:
+    """(word, c) of all words of columns doc_id and text, and the model, from one pass over all windows after a warm start."""
+    spark = training.sparkSession
+    chosen = training.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), "doc_id").limit(WARM_DOCS).distinct()
+    sample = training.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").limit(WARM_DOCS).repartition(1)
+
+    def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkTokenizer(tokenizer, special=True)
+        texts = sorted((t.as_py() or b"" for batch in batches for t in batch.column(0).cast(pa.binary())), key=zlib.crc32)
+        found, left = [], WARM_IDS
+        for text in texts:
+            own = np.r_[np.frombuffer(encoder.encode(text), dtype="<u4").astype(np.int32), np.int32(END_ID)]
+            if len(own) <= left or not found:
+                found.append(own[:WARM_IDS])
+                left -= len(found[-1])
+        weights, expected, symbol_of = warm_start(np.concatenate(found) if found else np.zeros(0, dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64), len(encoder.ends))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (_flat(weights), expected.astype("<f4").tobytes(), symbol_of.astype("<i4").tobytes())], names=["w", "e", "s"])
+
+    (begun,) = sample.mapInArrow(warm, "w binary, e binary, s binary").collect()
+    symbol_of = np.frombuffer(begun["s"], dtype="<i4")
+    size = len(symbol_of)
+    start = spark.sparkContext.broadcast((_unflat(begun["w"]), np.frombuffer(begun["e"], dtype="<f4").reshape(size, MIXTURES), symbol_of))
+    key = uuid.uuid4().hex
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        weights, expected, symbol_of = start.value
+        lexicon, trainer = Lexicon.of_worker(key, tokenizer), Trainer(weights, expected, lambda t: RATE / (1 + t / 500) ** 0.5)
+        lexicon.count[:] = 0  # a task that failed may have left some
+        share, words, seen, met = 0.5, 0.0, 0, 0
+        for _, texts in _blocks(batches, 0):
+            if lexicon.full(texts):
+                yield from (_no_model(x, _FOUND_ARROW) for x in lexicon.counted())
+                seen, met = 0, 0
+            place, n_words, ids, lengths = lexicon.read(texts)
+            attention, _ = lexicon.word_sums(trainer.learn(ids, lengths, symbol_of), place, n_words, lengths)
+            if seen:  # how much of each word its share so far explains, the share of the mixture as it stands
+                by_share = (lexicon.count[place] + 1.0) / (seen + met + 1)
+                part = share * by_share / (share * by_share + (1 - share) * 10.0**attention)
+                words += len(place)
+                share += (part.sum() - share * len(place)) / max(1.0, words)
+            here = np.bincount(place, minlength=len(lexicon.words))
+            met += int(((lexicon.count[: len(here)] == 0) & (here > 0)).sum())
+            lexicon.count[: len(here)] += here
+            seen += len(place)
+        yield from (_no_model(x, _FOUND_ARROW) for x in lexicon.counted())
+        trainer.settle()
+        if trainer.tokens:
+            used = np.flatnonzero(trainer.expected.any(axis=1))
+            values = [None, None, TaskContext.get().partitionId(), float(trainer.tokens), words, share, _flat(trainer.w), used.astype("<i4").tobytes(), trainer.expected[used].astype("<f4").tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
+
+    found = checkpoint(training.select("text").mapInArrow(learn, _FOUND))
+    models = found.where("word is null").drop("word", "c")
+    left = models.count()
+    while left > 1:  # sums of sums, so none holds more than FAN_IN models
+        left = -(-left // FAN_IN)
+        models = checkpoint(models.withColumn("shard", F.floor(F.col("shard") / FAN_IN) if left > 1 else F.lit(0).cast("bigint")).groupBy("shard").applyInPandas(_together(size), models.schema))
+        left = models.count()
+    last = models.first()
+    if last is None:
+        model = Model(start.value[0], symbol_of, shares_of(np.zeros((size, MIXTURES))), 0.5)
+    else:
+        model = Model(_unflat(last["weights"]), symbol_of, shares_of(_expected(last["ids"], last["expected"], size)), float(np.clip(last["share"], 0.01, 0.99)))
+    return found.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), model
+
+
+def _flat(w: dict[str, np.ndarray]) -> bytes:
+    return b"".join(w[k].astype("<f4").tobytes() for k in sorted(w))
+
+
+def _unflat(raw: bytes) -> dict[str, np.ndarray]:
+    flat, at, out = np.frombuffer(raw, dtype="<f4"), 0, {}
+    for k in sorted(_SHAPES):
+        size = int(np.prod(_SHAPES[k]))
+        out[k] = flat[at : at + size].astype(np.float32).reshape(_SHAPES[k])
+        at += size
+    return out
+
+
+def _expected(ids: bytes, values: bytes, size: int) -> np.ndarray:
+    out = np.zeros((size, MIXTURES))
+    out[np.frombuffer(ids, dtype="<i4")] = np.frombuffer(values, dtype="<f4").reshape(-1, MIXTURES)
+    return out
+
+
+def _together(size: int):
+    """One model from some: weights averaged by tokens, expected counts added."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n", kind="stable")
+        tokens = max(1e-9, pdf["n"].sum())
+        weights = sum(np.frombuffer(w, dtype="<f4").astype(np.float64) * (n / tokens) for w, n in zip(pdf["weights"], pdf["n"], strict=True))
+        total = sum(_expected(i, x, size) for i, x in zip(pdf["ids"], pdf["expected"], strict=True))
+        used = np.flatnonzero(total.any(axis=1))
+        words = pdf["words"].sum()
+        share = (pdf["share"] * pdf["words"]).sum() / words if words else 0.5
+        return pd.DataFrame({"shard": pdf["shard"].iloc[:1].to_numpy(), "n": [tokens], "words": [words], "share": [share], "weights": [weights.astype("<f4").tobytes()], "ids": [used.astype("<i4").tobytes()], "expected": [total[used].astype("<f4").tobytes()]})
+
+    return join
 
 
-def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs.
+def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", fold: int = 2, folds: int = 7) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, attention_score) per row of docs.
 
-    Learns from rows whose crc32(doc_id as text) mod folds isn't fold. Tokens of the base: words, then one end. Null and
-    empty texts are the end alone; a row with a null id is in training; repeated rows count and are scored as often as they
-    occur; an empty table gives no rows; other columns are ignored.
+    Learns from rows whose crc32(doc_id as text) mod folds isn't fold. Tokens of the base: words, then one end. score is the
+    log10 probability of the text by the mixture, attention_score by attention alone. Null and empty texts are the end
+    alone; a row with a null id is in training; repeated rows count and are scored as often as they occur; an empty table
+    gives no rows; other columns are ignored. A text of any length is scored whole, by one task. The attention weights
+    depend on how the table is split into partitions; the columns of the base don't.
     """
     source = own_columns(docs, doc_id=id_col, text=text_col)
     spark = source.sparkSession
     out_of = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
     marked = source.withColumn("held_out", out_of)
     training = marked.where(~F.col("held_out"))
-    centres = fit_topics(training)
-    words = checkpoint(word_counts(training, centres))
+    words, model = train(training, tokenizer)
+    words = checkpoint(words)
     ends = training.count()
-    sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.sum(F.col("by_topic")[k]).alias(f"t{k}") for k in range(TOPICS)]).first()
+    sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (sums["n"] or 0) + ends, sums["v"] + (1 if ends else 0)
     floor = float(np.log10(total + distinct + 1))
     end_share = float(np.log10(ends + 1)) - floor
-    in_topic = np.array([sums[f"t{k}"] or 0 for k in range(TOPICS)], dtype=float)
-    topic_floor = np.log10(in_topic + distinct + 1)
-    prior = np.log((in_topic + 1) / (in_topic + 1).sum())
-    model = fit(training, tokenizer, id_counts(words, tokenizer, ends), rounds)
-    top = words.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD_WORDS)
+    top = words.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD_WORDS).toArrow()
     key = uuid.uuid4().hex
-    shipped = spark.sparkContext.broadcast((model, {bytes(r["word"]): (r["c"], r["by_topic"]) for r in top.toLocalIterator()}))
+    shipped = spark.sparkContext.broadcast((model, dict(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, head = shipped.value
-        lexicon, scorer = Lexicon.of_worker(key, tokenizer, own, head), Scorer(own.weights)
-        end_symbol, end_inside = own.symbol_of[END_ID], own.inside[END_ID]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [_split(t) for t in part.column(1).cast(pa.binary())]
-                places = lexicon.places(texts)
-                n_words = np.array([len(p) for p in places], dtype=np.int64)
-                flat = np.concatenate(places)
-                owner = np.repeat(np.arange(len(texts)), n_words)
-                size = lexicon.size[flat]
-                lengths = np.bincount(owner, size, minlength=len(texts)).astype(np.int64) + 1
-                # symbols of all words, each document's end behind its last
-                shift = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                symbol = np.full(int(lengths.sum()), end_symbol, dtype=np.int16)
-                inside_doc = np.ones(len(symbol), dtype=bool)
-                inside_doc[np.cumsum(lengths) - 1] = False
-                symbol[inside_doc] = lexicon.symbols[np.repeat(lexicon.start[flat], size) + shift]
-                points = np.r_[0.0, np.cumsum(score_symbols(scorer, symbol, lengths))]
-                first = np.cumsum(size) - size + owner
-                attention = points[first + size] - points[first] + lexicon.inside[flat]
-                stops = np.cumsum(lengths)
-                score_ = mixed(np.full(len(texts), end_share), points[stops] - points[stops - 1] + end_inside)
-                count = lexicon.count[flat]
-                known = count >= 0
-                share = np.log10(count[known] + 1.0) - floor
-                base = np.bincount(owner[known], share, minlength=len(texts)) + end_share
-                within = np.log10(lexicon.by_topic[flat] + 1.0) - topic_floor
-                within[~known] = 0  # counts of other words aren't here, so they tell nothing of the topic
-                topic, sure = topic_of_context(within * np.log(10), n_words, prior)
-                is_word = np.ones(len(topic), dtype=bool)
-                is_word[np.cumsum(n_words + 1) - 1] = False
-                topic, sure = topic[is_word], sure[is_word]
-                own_share = np.log10(sure[known] * 10.0 ** within[known, topic[known]] + (1 - sure[known]) * 10.0**share)
-                score_ += np.bincount(owner[known], mixed(own_share, attention[known]), minlength=len(texts))
-                n_known = np.bincount(owner[known], minlength=len(texts)).astype(np.int64)
-                rare = np.flatnonzero(~known)
-                cuts = np.searchsorted(owner[rare], np.arange(len(texts) + 1))
-                names_, values = [lexicon.words[x] for x in flat[rare].tolist()], attention[rare]
-                tail = [names_[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
-                slices = list(zip(cuts, cuts[1:], strict=False))
-                tail_a, tail_k, tail_p = ([v[x:y] for x, y in slices] for v in (values, topic[rare].astype(np.int32), sure[rare].astype(np.float32)))
-                columns = [part.column(0), part.column(2), pa.array(n_words + 1), pa.array(n_known), pa.array(base), pa.array(score_), pa.array(tail, pa.list_(pa.binary())), pa.array(tail_a, pa.list_(pa.float64())), pa.array(tail_k, pa.list_(pa.int32())), pa.array(tail_p, pa.list_(pa.float32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "tail_a", "tail_k", "tail_p"])
+        lexicon = Lexicon.of_worker(key, tokenizer, head)
+        for part, texts in _blocks(batches, 1):
+            place, n_words, ids, lengths = lexicon.read(texts)
+            attention, end = lexicon.word_sums(log_probs(own, ids, lengths), place, n_words, lengths)
+            owner = np.repeat(np.arange(len(texts)), n_words)
+            by_owner = lambda at, x, n=len(texts): np.bincount(owner[at], x, minlength=n)  # noqa: B023, E731
+            count = lexicon.count[place]
+            known = count >= 0
+            share = np.log10(count[known] + 1.0) - floor
+            base = by_owner(known, share) + end_share
+            score_ = by_owner(known, mixed(share, attention[known], own.word_weight)) + mixed(np.full(len(texts), end_share), end, own.word_weight)
+            alone = np.bincount(owner, attention, minlength=len(texts)) + end
+            n_known = np.bincount(owner[known], minlength=len(texts)).astype(np.int64)
+            rare = np.flatnonzero(~known)
+            offsets = pa.array(np.searchsorted(owner[rare], np.arange(len(texts) + 1)).astype(np.int32))
+            names = pa.array([lexicon.words[x] for x in place[rare].tolist()], pa.binary())
+            columns = [part.column(0), part.column(2), pa.array(n_words + 1), pa.array(n_known), pa.array(base), pa.array(score_), pa.array(alone), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(attention[rare].astype(np.float32)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "attention_score", "tail", "tail_a"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    scored = marked.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, tail array<binary>, tail_a array<double>, tail_k array<int>, tail_p array<float>")
+    scored = marked.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, attention_score double, tail array<binary>, tail_a array<float>")
     scored = checkpoint(scored.withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_a", "tail_k", "tail_p")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_a").alias("a"), F.col("t.tail_k").alias("k"), F.col("t.tail_p").cast("double").alias("p"))
+    rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_a")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_a").alias("a"))
     share = F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(floor)
-    size = F.element_at(F.array(*[F.lit(float(x)) for x in in_topic + distinct + 1]), F.col("k") + 1)
-    within = (F.coalesce(F.get("by_topic", F.col("k")), F.lit(0)) + 1) / size
-    own_share = F.col("p") * within + (1 - F.col("p")) * F.pow(F.lit(10.0), "b")
-    mixture = F.log10(WORD_WEIGHT * own_share + (1 - WORD_WEIGHT) * F.pow(F.lit(10.0), "a"))
+    weight = model.word_weight
+    mixture = F.log10(F.lit(weight) * F.pow(F.lit(10.0), "b") + F.lit(1 - weight) * F.pow(F.lit(10.0), F.col("a").cast("double")))
     met = rare.join(words, "word", "left").withColumn("b", share).groupBy("row").agg(F.count("c").alias("more"), F.sum("b").alias("more_base"), F.sum(mixture).alias("more_score"))
-    joined = scored.drop("tail", "tail_a", "tail_k", "tail_p").join(met, "row", "left")
+    joined = scored.drop("tail", "tail_a").join(met, "row", "left")
     plus = lambda x, y: (F.col(x) + F.coalesce(y, F.lit(0)))
-    return joined.select("doc_id", "held_out", "n_tokens", (plus("n_known", "more") + (1 if ends else 0)).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score"))
+    return joined.select("doc_id", "held_out", "n_tokens", (plus("n_known", "more") + (1 if ends else 0)).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score"), "attention_score")

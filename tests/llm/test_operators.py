@@ -141,34 +141,71 @@ def test_contamination_against_brute_force(spark, sf):
 # ---- 2 language model
 
 
+def random_model(rng, size=700):
+    w = {k: (v + rng.normal(size=v.shape) * 0.1).astype(np.float64) for k, v in lm.fresh_weights().items()}
+    shares = rng.random((size, lm.MIXTURES))
+    return lm.Model(w, lm.symbols(rng.integers(0, 99, size).astype(float)), shares / shares.sum(axis=0), 0.4)
+
+
+def slow_log_prob(model, before, wanted):
+    """log10 p(wanted | ids before, seen through the window that scores it), position by position."""
+    w, t = model.weights, len(before)
+    line = [lm.START, *(int(model.symbol_of[x]) for x in before)]
+    line = line[max(0, t - t % lm.STRIDE - lm.CONTEXT) :]  # what its window holds up to it
+    e = [w["embed"][x] for x in line]
+    q = e[-1] @ w["query"]
+    far = [len(line) - 1 - j for j in range(len(line))]
+    heat = np.exp([q @ (x @ w["key"]) / lm.DIM**0.5 + w["distance"][d] for x, d in zip(e, far)])
+    heard = sum(h * (x @ w["value"]) for h, x in zip(heat / heat.sum(), e))
+    hidden = np.maximum(e[-1] @ w["hidden"] + heard @ w["mix"], 0) + e[-1]
+    gates = np.exp(hidden @ w["out"] + w["bias"])
+    return math.log10(gates / gates.sum() @ model.shares[wanted])
+
+
+def test_attention_scores_equal_the_definition():
+    rng = np.random.default_rng(0)
+    model = random_model(rng)
+    docs = [rng.integers(0, 700, n).astype(np.int32) for n in (1, 2, lm.STRIDE, lm.STRIDE + 1, 61, 3)]
+    got = lm.log_probs(model, np.concatenate(docs), np.array([len(d) for d in docs]))
+    want = [slow_log_prob(model, d[:k], d[k]) for d in docs for k in range(len(d))]
+    assert np.abs(got - want).max() < 1e-4
+
+
+def test_probabilities_of_all_ids_add_up_to_one():
+    model = random_model(np.random.default_rng(3), 50)
+    assert math.isclose(sum(10 ** slow_log_prob(model, [4, 7, 7], x) for x in range(50)), 1)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
-    w = {k: v.astype(np.float64) + rng.normal(size=v.shape) * 0.1 for k, v in lm.fresh_weights(rng.integers(1, 99, lm.SYMBOLS).astype(float)).items()}
-    seen, target, counted, _ = lm.lay_windows(rng.integers(0, lm.SYMBOLS, 61), np.array([1, 30, 13, 17]))
-    mask, goal = np.zeros(seen.shape, bool), np.zeros(seen.shape, int)
-    mask[:, lm.CONTEXT :], goal[:, lm.CONTEXT :] = counted, target
-    loss = lambda: -lm.log_probs(w, lm.forward(w, seen)["h"][mask], goal[mask]).mean()
-    slopes = lm.gradients(w, seen, goal, mask)
-    for k in w:
-        at = tuple(rng.integers(0, n) for n in w[k].shape)
-        kept = w[k][at]
-        w[k][at] = kept + 1e-5
-        up = loss()
-        w[k][at] = kept - 1e-5
-        down = loss()
-        w[k][at] = kept
-        assert abs((up - down) / 2e-5 - slopes[k][at]) < 1e-5 + 2e-3 * abs(slopes[k][at])
-    assert counted.sum() == 61  # each symbol once
-    w = {k: v.astype(np.float32) for k, v in w.items()}
-    assert np.abs(lm.Scorer(w).hidden(seen)[counted.ravel()] - lm.forward(w, seen)["h"][:, lm.CONTEXT :].reshape(-1, lm.DIM)[counted.ravel()]).max() < 1e-4
+    model = random_model(rng)
+    w = model.weights
+    seen, target = lm.lay_windows(rng.integers(0, 700, 61).astype(np.int32), np.array([1, 30, 13, 17]), model.symbol_of)
+
+    def loss():
+        p = (lm.forward(w, seen)["gates"] * model.shares[target.ravel()]).sum(axis=1)
+        return -np.log(p[target.ravel() >= 0]).mean()
+
+    slopes, blame, _ = lm.gradients(w, model.shares, seen, target)
+    assert np.allclose(blame.sum(axis=1), 1)
+    for name, value in w.items():
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in value.shape) if name != "embed" else (int(seen[0, lm.CONTEXT]), int(rng.integers(0, lm.DIM)))
+            kept, step = value[at], 1e-5
+            value[at] = kept + step
+            up = loss()
+            value[at] = kept - step
+            down = loss()
+            value[at] = kept
+            assert abs((up - down) / (2 * step) - slopes[name][at]) < 1e-4
 
 
 def test_attention_looks_back_only():
-    w = lm.fresh_weights(np.ones(lm.SYMBOLS))
+    w = lm.fresh_weights()
     a = np.arange(lm.WINDOW)[None, :] % lm.SYMBOLS
     b = a.copy()
     b[0, -1] = 5
-    assert np.array_equal(lm.forward(w, a)["h"][0, :-1], lm.forward(w, b)["h"][0, :-1])
+    assert np.array_equal(lm.forward(w, a)["gates"][:-1], lm.forward(w, b)["gates"][:-1])
 
 
 @pytest.fixture(scope="module")
@@ -199,26 +236,46 @@ def test_model_score_beats_base_on_held_out(scored):
     assert sum(r["score"] - r["base_score"] for r in out) / tokens_ > 0
 
 
-def test_topics_follow_the_words_before():
-    points = np.log(np.array([[0.9, 0.1]] * 4 + [[0.1, 0.9]] * 60 + [[0.9, 0.1]] * 3))
-    topic, sure = lm.topic_of_context(points, np.array([64, 3]), np.log([0.5, 0.5]))
-    assert len(topic) == 69 and topic[1] == 0 and topic[63] == 1 and sure[0] == 0.5 and sure[65] == 0.5 and topic[66] == 0
-    assert math.isclose(sure[1], 0.9)
+def test_attention_alone_learns(scored):
+    out = [r for r in scored.values() if r["held_out"]]
+    assert sum(r["attention_score"] for r in out) / sum(r["n_tokens"] for r in out) > -5.2  # ids by their frequencies alone: below -6
 
 
-def test_training_takes_every_window(spark, path):
-    texts = [None, "", "a", *[" ".join(f"w{k % 7}" for k in range(n)) for n in (5, 11, 12, 13, 40, 700)], *["same words in a copy"] * 3]
+def test_scores_follow_from_the_model(spark, path):
+    texts = [" ".join(f"w{(k * j) % 11}" for k in range(1, 40)) for j in range(1, 9)] + [None, "two words"]
     docs = docs_of(spark, texts)
+    training = docs.where(~(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2))
+    words, model = lm.train(training, path)
+    count = {bytes(r["word"]): r["c"] for r in words.collect()}
+    kept = [t or "" for i, t in enumerate(texts) if not lm.held_out(i)]
+    assert count == Counter(w for t in kept for w in t.encode().split()) and 0 < model.word_weight < 1
+    encoder = tokens.ChunkTokenizer(path)
+    total = sum(count.values()) + len(kept) + len(count) + 2
+    got = {r["doc_id"]: r for r in lm.score(docs, path).collect()}
+    for i, t in enumerate(texts):
+        ids, want = [], 0.0
+        for word in [*(t or "").encode().split(), None]:
+            own = [lm.END_ID] if word is None else np.frombuffer(encoder.encode(word), dtype="<u4").tolist()
+            alone = 0.0
+            for x in own:
+                alone += slow_log_prob(model, ids, x)
+                ids.append(x)
+            c = len(kept) if word is None else count.get(word, 0)
+            want += math.log10(model.word_weight * (c + 1) / total + (1 - model.word_weight) * 10**alone)
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-3)
+
+
+def test_training_takes_every_token_once(spark, path):
+    texts = [None, "", "a", *[" ".join(f"w{k % 7}" for k in range(n)) for n in (5, 11, 12, 13, 40, 700)], *["same words in a copy"] * 3]
+    _, model = lm.train(docs_of(spark, texts).repartition(3), path)
     encoder = tokens.ChunkTokenizer(path)
-    symbol_of = np.arange(len(encoder.ends)) % lm.SYMBOLS
-    rows = lm.training_windows(docs, path, symbol_of).collect()
-    lines = [np.frombuffer(r["lines"], dtype="<i2").reshape(-1, lm.WINDOW + 1) for r in rows]
-    assert [len(x) for x in lines] == [r["n"] for r in rows]
-    lines = np.concatenate(lines)
-    symbols_ = [symbol_of[np.frombuffer(encoder.encode((t or "").encode()), dtype="<u4").tolist() + [lm.END_ID]] for t in texts]
-    assert len(lines) == sum(-(-len(x) // lm.STRIDE) for x in symbols_)
-    target = lines[:, lm.CONTEXT + 1 :]
-    assert Counter(target[target < lm.SYMBOLS].tolist()) == Counter(np.concatenate(symbols_).tolist())  # each symbol once
+    ids = np.concatenate([np.r_[np.frombuffer(encoder.encode((t or "").encode()), dtype="<u4"), lm.END_ID] for t in texts])
+    weights, expected, symbol_of = lm.warm_start(ids[:50].astype(np.int32), np.array([50]), len(encoder.ends))
+    trainer = lm.Trainer(weights, expected, lambda t: 0.01)
+    trainer.learn(ids.astype(np.int32), np.array([len(ids)]), symbol_of)
+    trainer.settle()
+    assert np.allclose(trainer.expected.sum(axis=1), np.bincount(ids, minlength=len(encoder.ends)), atol=1e-2)
+    assert np.allclose(model.shares.sum(axis=0, dtype=float), 1, atol=1e-4)
 
 
 def test_lm_edges(spark, path, monkeypatch):
