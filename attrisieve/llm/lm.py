@@ -25,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -40,10 +41,10 @@ MIXTURES, DIM, WINDOW, CONTEXT = 32, 16, 24, 8
 STRIDE = WINDOW - CONTEXT
 START, PAD = SYMBOLS, SYMBOLS + 1
 END_ID = 1
-#: Documents and ids the start of training is fitted on at most, its batches, and windows of a batch.
-WARM_DOCS, WARM_IDS, WARM_BATCHES, BATCH = 800, 600_000, 500, 256
+#: Documents and ids the start of training is fitted on at most, how often and for about how many batches, and windows of a batch.
+WARM_DOCS, WARM_IDS, WARM_PASSES, WARM_BATCHES, BATCH = 800, 600_000, 20, 1000, 128
 #: Batches between two looks at the shares, and tokens' worth of the ids' own frequencies in each share.
-REFRESH, PRIOR = 48, 20.0
+REFRESH, PRIOR = 96, 20.0
 WARM_RATE, RATE = 0.02, 0.004
 #: Models averaged at once, texts read together.
 FAN_IN, BLOCK = 16, 256
@@ -138,25 +139,28 @@ def log_probs(model: Model, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     for at in range(0, len(seen), BATCH):
         aim = target[at : at + BATCH].ravel()
         there = np.flatnonzero(aim >= 0)
-        p = forward(model.weights, seen[at : at + BATCH])["gates"].take(there, axis=0)
-        p *= model.shares.take(aim.take(there), axis=0)
-        parts.append(p @ ones)
+        p = model.shares.take(np.maximum(aim, 0), axis=0)
+        p *= forward(model.weights, seen[at : at + BATCH])["gates"]
+        parts.append((p @ ones).take(there))
     return np.log10(np.maximum(np.concatenate(parts), np.float32(1e-37))).astype(np.float64)
 
 
 def gradients(w: dict[str, np.ndarray], shares: np.ndarray, seen: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """(gradients of the mean negative log probability, what each mixture is answerable for of each target, probabilities).
 
-    The latter two are for the targets that are there, in order.
+    Where there is no target, no mixture is answerable.
     """
     f = forward(w, seen)
     aim = target.ravel()
-    there = np.flatnonzero(aim >= 0)
-    blame = f["gates"].take(there, axis=0) * shares.take(aim.take(there), axis=0)
+    counted = aim >= 0
+    blame = shares.take(np.maximum(aim, 0), axis=0)
+    blame *= f["gates"]
     p = np.maximum(blame @ np.ones(MIXTURES, dtype=np.float32), np.float32(1e-37))
-    blame /= p[:, None]
-    slack = np.zeros_like(f["gates"])
-    slack[there] = (f["gates"].take(there, axis=0) - blame) * np.float32(1 / max(1, len(there)))
+    blame *= (counted / p)[:, None]
+    slack = f["gates"]
+    slack *= counted[:, None]
+    slack -= blame
+    slack *= np.float32(1 / max(1, counted.sum()))
     g = {"out": f["h"].T @ slack, "bias": np.ones(len(slack), dtype=np.float32) @ slack}
     dh = slack @ w["out"].T
     dpre = dh * (f["h"] > f["now"])
@@ -213,18 +217,17 @@ class Trainer:
             self.shares = shares_of(self.before + self.expected)
 
     def step(self, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Probabilities of the targets that are there, and one step that learns from them."""
+        """Probabilities of the targets (any where there is none), and one step that learns from them."""
         found, blame, p = gradients(self.w, self.shares, seen, target)
         self.steps += 1
-        self.tokens += len(p)
+        self.tokens += int((target >= 0).sum())
         t, rate = self.steps, np.float32(self.rate(self.steps))
         for k, slope in found.items():
             first, second = self.first[k], self.second[k]
             first += np.float32(0.1) * (slope - first)
             second += np.float32(0.01) * (slope * slope - second)
             self.w[k] -= rate * (first / np.float32(1 - 0.9**t)) / (np.sqrt(second / np.float32(1 - 0.99**t)) + np.float32(1e-8))
-        aim = target.ravel()
-        self.held.append((aim[aim >= 0], blame))
+        self.held.append((np.maximum(target.ravel(), 0), blame))
         if t % REFRESH == 0:
             self.expected *= self.forget
             self.settle()
@@ -233,14 +236,12 @@ class Trainer:
     def learn(self, ids: np.ndarray, lengths: np.ndarray, symbol_of: np.ndarray) -> np.ndarray:
         """log10 probability of each id, each given before it was learnt from; windows are taken in a fixed random order."""
         seen, target = lay_windows(ids, lengths, symbol_of)
-        found = np.zeros(target.shape, dtype=np.float64)
+        found = np.zeros(target.shape, dtype=np.float32)
         order = np.random.default_rng(len(seen)).permutation(len(seen))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            aim, out = target[some], np.zeros((len(some), STRIDE))
-            out[aim >= 0] = np.log10(self.step(seen[some], aim))
-            found[some] = out
-        return found[target >= 0]
+            found[some] = np.log10(self.step(seen[some], target[some])).reshape(-1, STRIDE)
+        return found[target >= 0].astype(np.float64)
 
 
 def warm_start(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -253,8 +254,10 @@ def warm_start(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[dict[st
         return fresh_weights(), np.zeros((size, MIXTURES), dtype=np.float32), symbol_of
     trainer = Trainer(fresh_weights(), (begun / max(1.0, begun.sum())).astype(np.float32), lambda t: WARM_RATE * (1 - 0.9 * min(1.0, t / WARM_BATCHES)), 0.95)
     trainer.shares = (begun / begun.sum(axis=0)).astype(np.float32)
-    while trainer.steps < WARM_BATCHES:
+    for _ in range(WARM_PASSES):
         trainer.learn(ids, lengths, symbol_of)
+        if trainer.steps >= WARM_BATCHES:
+            break
     trainer.settle()
     return trainer.w, trainer.expected * np.float32(min(1.0, len(ids) / max(1.0, trainer.expected.sum()))), symbol_of
 
@@ -291,6 +294,7 @@ class Lexicon:
 
     def __init__(self, tokenizer: str, head: dict[bytes, int] | None = None):
         self.encoder, self.head = ChunkTokenizer(tokenizer, special=True), head
+        self.forgotten: list[pa.RecordBatch] = []
         self._reset()
 
     def _reset(self) -> None:
@@ -301,9 +305,7 @@ class Lexicon:
         self.used = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        raw = self.encoder.encode_each(words)
-        ids = np.frombuffer(b"".join(raw), dtype="<u4")
-        size = np.array([len(x) // 4 for x in raw], dtype=np.int64)
+        ids, size = self.encoder.encode_flat(words)
         n, at = len(self.words), self.used
         while at + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -326,20 +328,24 @@ class Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array([self.words[k] for k in some.tolist()], pa.binary()), pa.array(self.count[some])], names=["word", "c"])
         self.count[:] = 0
 
-    def full(self, texts: list[list[bytes]]) -> bool:
-        return len(self.place) + len(set().union(*texts).difference(self.place)) > self.LIMIT
-
     def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(places of all words, words of each text, ids of all texts with END_ID behind each, ids of each text)."""
-        new = set().union(*texts).difference(self.place)
-        if len(self.place) + len(new) > self.LIMIT and self.place:
-            self._reset()
-            new = set().union(*texts)
-        if new:
-            self._learn(list(new))
-        get = self.place.__getitem__
+        """(places of all words, words of each text, ids of all texts with END_ID behind each, ids of each text).
+
+        Places are good until the next call; forgotten tells when one has taken all earlier words away.
+        """
         n_words = np.array([len(x) for x in texts], dtype=np.int64)
-        place = np.fromiter((k for x in texts for k in map(get, x)), dtype=np.int64, count=int(n_words.sum()))
+        words = list(chain.from_iterable(texts))
+        look = lambda: np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        place = look()
+        if len(unknown := np.flatnonzero(place < 0)):
+            new = {words[k] for k in unknown.tolist()}
+            if self.place and len(self.place) + len(new) > self.LIMIT:
+                self.forgotten += [*self.counted()] if self.head is None else []
+                self._reset()
+                new = set(words)
+            self._learn(list(new))
+            place = look() if len(unknown) * 2 > len(words) or len(new) == len(self.place) else place
+            place[unknown] = [self.place[words[k]] for k in unknown.tolist()]
         size = self.size[place]
         total = np.r_[0, np.cumsum(size)]
         stops = np.cumsum(n_words)
@@ -394,7 +400,7 @@ def train(training: DataFrame, tokenizer: str) -> tuple[DataFrame, Model]:
         weights, expected, symbol_of = warm_start(np.concatenate(found) if found else np.zeros(0, dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64), len(encoder.ends))
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (_flat(weights), expected.astype("<f4").tobytes(), symbol_of.astype("<i4").tobytes())], names=["w", "e", "s"])
 
-    (begun,) = sample.mapInArrow(warm, "w binary, e binary, s binary").collect()
+    (begun,) = sample.mapInArrow(warm, "w binary, e binary, s binary").collect() or [r.to_pylist()[0] for r in warm(iter(()))]
     symbol_of = np.frombuffer(begun["s"], dtype="<i4")
     size = len(symbol_of)
     start = spark.sparkContext.broadcast((_unflat(begun["w"]), np.frombuffer(begun["e"], dtype="<f4").reshape(size, MIXTURES), symbol_of))
@@ -405,13 +411,13 @@ def train(training: DataFrame, tokenizer: str) -> tuple[DataFrame, Model]:
 
         weights, expected, symbol_of = start.value
         lexicon, trainer = Lexicon.of_worker(key, tokenizer), Trainer(weights, expected, lambda t: RATE / (1 + t / 500) ** 0.5)
-        lexicon.count[:] = 0  # a task that failed may have left some
+        lexicon.count[:], lexicon.forgotten = 0, []  # a task that failed may have left some
         share, words, seen, met = 0.5, 0.0, 0, 0
         for _, texts in _blocks(batches, 0):
-            if lexicon.full(texts):
-                yield from (_no_model(x, _FOUND_ARROW) for x in lexicon.counted())
-                seen, met = 0, 0
             place, n_words, ids, lengths = lexicon.read(texts)
+            if lexicon.forgotten:
+                yield from (_no_model(x, _FOUND_ARROW) for x in lexicon.forgotten)
+                lexicon.forgotten, seen, met = [], 0, 0
             attention, _ = lexicon.word_sums(trainer.learn(ids, lengths, symbol_of), place, n_words, lengths)
             if seen:  # how much of each word its share so far explains, the share of the mixture as it stands
                 by_share = (lexicon.count[place] + 1.0) / (seen + met + 1)

@@ -13,6 +13,8 @@ MEMO_CHUNKS = 700_000
 _RUN = 256
 
 _SIMPLE = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: ASCII signs that may stand behind a word without changing its ids; not the apostrophe, which opens contractions.
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
 
 
 def _memos() -> dict:
@@ -26,10 +28,10 @@ class ChunkTokenizer:
     """Ids as little-endian uint32 bytes, equal to those of tokenizers' encode(text, add_special_tokens=False).
 
     Holds for files that lower-case, drop white space, mark word ends and never join two sides of white space: a text's ids
-    are then those of its chunks between ASCII white space. A chunk of Latin letters, with a full stop or comma behind it
-    or not, skips the normaliser, which leaves it as it is, and goes to the merges among others, told apart by their word
-    ends; any other chunk takes the library's whole path. ``special`` False takes the strings of special tokens in a text
-    for ordinary text.
+    are then those of its chunks between ASCII white space. Latin letters at the start of a chunk skip the normaliser, which
+    leaves them as they are, and go to the merges among others, told apart by their word ends; ASCII signs behind them are
+    a piece of their own; any other chunk takes the library's whole path. ``special`` False takes the strings of special
+    tokens in a text for ordinary text.
     """
 
     def __init__(self, path: str, special: bool = False):
@@ -47,7 +49,7 @@ class ChunkTokenizer:
         self.key = (path, special)
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.stand_in = {b: b for b in own} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(own)))}
-        self.marks = {m: self._ids(self.whole.encode(m.decode(), add_special_tokens=False).ids) for m in (b".", b",")}
+        self.marks: dict[bytes, bytes] = {b"": b""}
 
     @staticmethod
     def _ids(ids: list[int]) -> bytes:
@@ -63,6 +65,55 @@ class ChunkTokenizer:
             raw = ids.tobytes()
             self.memo.update(zip(run, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
 
+    def _mark(self, signs: bytes) -> bytes:
+        """Ids of ASCII signs behind a word; few are remembered, as there is no end to runs of signs."""
+        known = self.marks.get(signs)
+        if known is None:
+            known = self._ids(self.whole.encode(signs.decode(), add_special_tokens=False).ids)
+            if len(self.marks) < 10_000 and len(signs) < 64:
+                self.marks[signs] = known
+        return known
+
+    def encode_flat(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all of some chunks one behind another, ids of each chunk), without the memo.
+
+        Chunks are lower-cased and without ASCII white space.
+        """
+        words: dict[bytes, int] = {}
+        front, signs, other = np.full(len(chunks), -1, dtype=np.int64), {}, []
+        for k, chunk in enumerate(chunks):
+            word = chunk.rstrip(_SIGNS)
+            if word.isalpha() or _SIMPLE(word.decode()):
+                front[k] = words.setdefault(word, len(words))
+                if len(word) < len(chunk):
+                    signs[k] = self._mark(chunk[len(word) :])
+            else:
+                other.append(k)
+        listed = list(words)
+        runs = [listed[k : k + _RUN] for k in range(0, len(listed), _RUN)]
+        shown = ["\n".join([w.decode() if w.isascii() else w.decode("latin-1").translate(self.stand_in) for w in run]) for run in runs]
+        parts = [np.array(x.ids, dtype=np.int32) for x in self.merges.encode_batch_fast(shown, add_special_tokens=False)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        starts = np.r_[0, stops[:-1]] if len(stops) else stops
+        # pieces: words, then signs, then other chunks; a chunk is one piece or a word and its signs
+        tail = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in signs.values()]
+        tail += [np.array(x.ids, dtype=np.int32) for x in self.whole.encode_batch_fast([chunks[k].decode() for k in other], add_special_tokens=False)]
+        sizes = np.array([len(x) for x in tail], dtype=np.int64)
+        begin = np.r_[starts, len(ids) + np.cumsum(sizes) - sizes]
+        size = np.r_[stops - starts, sizes]
+        flat = np.concatenate([ids, *tail])
+        second = np.fromiter(signs, dtype=np.int64, count=len(signs))
+        front[other] = len(listed) + len(second) + np.arange(len(other))
+        chunk_of = np.r_[np.arange(len(chunks)), second]
+        piece = np.r_[front, len(listed) + np.arange(len(second))]
+        order = np.argsort(chunk_of, kind="stable")
+        piece = piece[order]
+        n = size[piece]
+        total = int(n.sum())
+        out = flat[np.repeat(begin[piece] - (np.cumsum(n) - n), n) + np.arange(total)]
+        return out, np.bincount(chunk_of[order], n, minlength=len(chunks)).astype(np.int64)
+
     def _learn(self, chunks: set[bytes]) -> None:
         if len(self.memo) + len(chunks) > MEMO_CHUNKS // 2:
             self.memo, self.old = {}, self.memo
@@ -73,16 +124,16 @@ class ChunkTokenizer:
             if chunk in old:
                 memo[chunk] = old[chunk]
                 continue
-            word = chunk[:-1] if chunk[-1:] in (b".", b",") else chunk
+            word = chunk.rstrip(_SIGNS)
             if word.isalpha() or _SIMPLE(word.decode()):
                 if word not in memo:
                     words.add(word)
-                if word is not chunk:
+                if len(word) < len(chunk):
                     marked.append((chunk, word))
             else:
                 other.append(chunk)
         self._merge(list(words))
-        memo.update((chunk, memo[word] + self.marks[chunk[-1:]]) for chunk, word in marked)
+        memo.update((chunk, memo[word] + self._mark(chunk[len(word) :])) for chunk, word in marked)
         texts = [c.decode() for c in other]
         memo.update((c, self._ids(e.ids)) for c, e in zip(other, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True))
 
