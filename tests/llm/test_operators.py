@@ -466,13 +466,17 @@ def test_top_k_equals_brute_force(spark, n, k):
     bits[: n // 3] = bits[0]
     df = spark.createDataFrame([(i, [float(x) - 0.5 for x in b]) for i, b in enumerate(bits)] + [(n, None), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
     coded = mih.codes(df)
-    got = {}
-    for r in mih.top_k(coded, coded.where("id % 7 = 0"), k).collect():
+    got, covered = {}, {}
+    for r in mih.top_k(coded.withColumn("q", F.lit(1)), coded.where("id % 7 = 0").withColumn("bound", F.lit(0)), k).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["id"]))
+        covered.setdefault(r["query_id"], set()).add(r["covered"])
     ints = [int("".join(map(str, b.astype(int)[::-1])), 2) for b in bits]
     for q in range(0, n, 7):
         want = sorted(((ints[q] ^ x).bit_count(), i) for i, x in enumerate(ints))[:k]
         assert sorted(got[q]) == [(j + 1, d, i) for j, (d, i) in enumerate(want)]
+        (radius,) = covered[q]  # closed by the covering bound, at the first step that proves it
+        first = max(want[-1][0], (mih.TOGETHER + 1) * mih.SEGMENTS - 1 if want[-1][0] >= mih.SEGMENTS else mih.SEGMENTS - 1)
+        assert radius == first or len(want) < k
     assert mih.top_k(coded.limit(0), coded.limit(0), k).count() == 0
 
 
