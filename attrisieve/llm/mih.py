@@ -109,7 +109,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, segments: int = SEGM
         # not met by an earlier step: further off in the segments before, as far off at least in those behind
         new = reduce(lambda x, y: x & y, [F.col("s").isin([s for s, _ in steps]), *[F.when(F.col("s") > i, in_segment[i] > level).when(F.col("s") < i, in_segment[i] >= level).otherwise(F.lit(True)) for i in range(segments)]])
         probes = _probes(open_.repartition(spread, "q"), cuts, steps)
-        met = probes.join(entries.where(F.col("s").isin([s for s, _ in steps])), ["s", "value"]).where(new & (F.bit_count(apart) <= F.col("bound")))
+        met = probes.hint("merge").join(entries.where(F.col("s").isin([s for s, _ in steps])), ["s", "value"])  # there are far more probes than Spark can tell
+        met = met.where(new & (F.bit_count(apart) <= F.col("bound")))
         found = met.select("q", F.bit_count(apart).alias("distance"), F.posexplode("ids").alias("n", "id")).select("q", "distance", "id", "n")
         order = F.row_number().over(W.partitionBy("q").orderBy("distance", "id", "n"))
         best = checkpoint(best.unionByName(found).withColumn("place", order).where(F.col("place") <= k).drop("place"))
