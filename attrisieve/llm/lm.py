@@ -293,7 +293,7 @@ class Lexicon:
         return kept[1]
 
     def __init__(self, tokenizer: str, head: dict[bytes, int] | None = None):
-        self.encoder, self.head = ChunkTokenizer(tokenizer, special=True), head
+        self.encoder, self.head = ChunkTokenizer(tokenizer), head
         self.forgotten: list[pa.RecordBatch] = []
         self._reset()
 
@@ -389,7 +389,7 @@ def train(training: DataFrame, tokenizer: str) -> tuple[DataFrame, Model]:
     sample = training.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").limit(WARM_DOCS).repartition(1)
 
     def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkTokenizer(tokenizer, special=True)
+        encoder = ChunkTokenizer(tokenizer)
         texts = sorted((t.as_py() or b"" for batch in batches for t in batch.column(0).cast(pa.binary())), key=zlib.crc32)
         found, left = [], WARM_IDS
         for text in texts:

@@ -31,10 +31,10 @@ class ChunkTokenizer:
     are then those of its chunks between ASCII white space. Latin letters at the start of a chunk skip the normaliser, which
     leaves them as they are, and go to the merges among others, told apart by their word ends; ASCII signs behind them are
     a piece of their own; any other chunk takes the library's whole path. ``special`` False takes the strings of special
-    tokens in a text for ordinary text.
+    tokens in a text for ordinary text, as the library does only when told to.
     """
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str, special: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -43,6 +43,7 @@ class ChunkTokenizer:
         self.merges = Tokenizer(self.whole.model)
         self.merges.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
         vocab = self.whole.get_vocab()
+        self.specials = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()] if special else []
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
         self.memo, self.old = _memos().setdefault((path, special), ({}, {}))
@@ -51,6 +52,16 @@ class ChunkTokenizer:
         self.stand_in = {b: b for b in own} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(own)))}
         self.marks: dict[bytes, bytes] = {b"": b""}
 
+    def chunks(self, text: bytes | None) -> list[bytes]:
+        """A text's chunks, lower-cased; one that would only then hold a special token's string keeps its case."""
+        text = text or b""
+        low = text.lower()
+        found = low.split()
+        if self.specials and any(low.count(s.lower()) != text.count(s) for s in self.specials):
+            changed = lambda raw, c: any(c.count(s.lower()) != raw.count(s) for s in self.specials)
+            return [raw if changed(raw, c) else c for raw, c in zip(text.split(), found, strict=True)]
+        return found
+
     @staticmethod
     def _ids(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
@@ -153,7 +164,9 @@ class ChunkTokenizer:
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a UTF-8 text."""
-        chunks = (text or b"").lower().split()
+        return self._joined(self.chunks(text))
+
+    def _joined(self, chunks: list[bytes]) -> bytes:
         try:
             return b"".join(map(self.memo.__getitem__, chunks))
         except KeyError:
@@ -163,7 +176,7 @@ class ChunkTokenizer:
                 return b"".join(map(self.memo.__getitem__, chunks))
             half = len(chunks) // 2  # a swap of generations took some away, or they are too many for one
             if half:
-                return self.encode(b" ".join(chunks[:half])) + self.encode(b" ".join(chunks[half:]))
+                return self._joined(chunks[:half]) + self._joined(chunks[half:])
             self._learn(wanted)
             return b"".join(map(self.memo.__getitem__, chunks))
 
@@ -172,7 +185,7 @@ class ChunkTokenizer:
         out: list[bytes] = []
         for at in range(0, len(texts), block):
             some = texts[at : at + block]
-            split = [(t or b"").lower().split() for t in some]
+            split = [self.chunks(t) for t in some]
             if new := set().union(*split).difference(self.memo):
                 self._learn(new)
             get = self.memo.__getitem__

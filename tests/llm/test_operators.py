@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from attrisieve.llm import arc, bktree, chat, components, decontaminate, licences, lm, mih, packing, registry, simhash, tokens, toxicity, urlrules
+from attrisieve.llm import arc, bktree, chat, components, decontaminate, licences, lm, mih, nearcopies, packing, registry, simhash, tokens, toxicity, urlrules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -380,10 +380,9 @@ def test_official_notices(spark):
 def test_tokens_equal_the_library(path):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
+    whole = Tokenizer.from_file(path)  # as the library comes: strings of special tokens are special
     draw = random.Random(0)
-    odd = ["", "It's the dog's I'LL", "é é ﬁ ǅ İstanbul ΣΑΣ ς ẞ", "x y\x1cq\x85r", "12345 a1b2,c3.", "<|endoftext|>a", "日本語 🎉👍🏽", "...,,, ,a .b a.b a,b. (a). a., a,.", "ͅa ́b", "\x00a b\x00", "the " * 3000]
+    odd = ["", "It's the dog's I'LL", "é é ﬁ ǅ İstanbul ΣΑΣ ς ẞ", "x y\x1cq\x85r", "12345 a1b2,c3.", "<|endoftext|>a", "a <|endoftext|> b", "x<|startoftext|>!", "<|EndOfText|> <|endoftext|>", "<|ENDOFTEXT|>.", "日本語 🎉👍🏽", "...,,, ,a .b a.b a,b. (a). a., a,.", "ͅa ́b", "\x00a b\x00", "the " * 3000]
     odd += ["".join(draw.choice("ab.,' é́ßÀ1 \x1c日🎉ſK") for _ in range(draw.randint(0, 40))) for _ in range(500)]
     encoder = tokens.ChunkTokenizer(path)
     for t in odd:
@@ -413,6 +412,37 @@ def test_fullest_equals_brute_force():
         assert sum(k * n for k, n in found.items()) == max(s for s in sums if s <= room) and all(n <= counts[k] for k, n in found.items())
 
 
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every way."""
+    best = len(lengths)
+
+    def place(rest, bins):
+        nonlocal best
+        if len(bins) >= best and rest or len(bins) > best:
+            return
+        if not rest:
+            best = min(best, len(bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + rest[0] <= capacity and bins[k] not in bins[:k]:
+                place(rest[1:], [*bins[:k], bins[k] + rest[0], *bins[k + 1 :]])
+        place(rest[1:], [*bins, rest[0]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best
+
+
+def test_plan_against_every_packing():
+    draw, more = random.Random(4), 0
+    for _ in range(60):
+        lengths = [draw.randint(1, 20) for _ in range(draw.randint(1, 9))]
+        found = packing.plan(dict(Counter(lengths)), 20)
+        assert Counter(x for times, inside in found for k, n in inside.items() for x in [k] * (n * times)) == Counter(lengths)
+        assert all(sum(k * n for k, n in inside.items()) <= 20 for _, inside in found)
+        more += sum(times for times, _ in found) - fewest(lengths, 20)
+    assert more <= 3
+
+
 def test_packing(spark, path, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
     texts = [None, "", "one two", "one two", *[" ".join(["word"] * n) for n in range(1, 90, 3)], "long " * 9000]
@@ -523,6 +553,30 @@ def test_shards_cover_every_close_pair():
             assert any(not flips & m for m in masks)
 
 
+def test_keep_one_leaves_columns_alone(spark):
+    docs = docs_of(spark, ["a b c d", "a b c d", "e f g h"]).withColumn("text_key", F.lit("mine")).withColumn("_key", F.lit(7)).withColumn("kept_id", F.lit(8))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text_key"], r["_key"], r["kept_id"]) for r in kept.collect()) == [(0, "mine", 7, 8), (2, "mine", 7, 8)]
+
+
+def test_near_copies_links_are_found():
+    rng = np.random.default_rng(5)
+    masks, missed, tried = nearcopies.tables(250_000), 0, 0
+    for _ in range(400):
+        found = rng.integers(0, 2**63, int(rng.integers(60, 900)), dtype=np.uint64)
+        other = np.r_[found[: int(len(found) * 8 / 9) + 1], rng.integers(0, 2**63, len(found) // 9, dtype=np.uint64)]
+        a, b = nearcopies.code(found), nearcopies.code(other)
+        tried += 1
+        near = int(np.bitwise_count(a ^ b).sum()) <= nearcopies.RADIUS
+        missed += not (near and any(not (int(a[0] ^ b[0]) & x or int(a[1] ^ b[1]) & y) for x, y in masks))
+    assert missed / tried < 0.04  # at a similarity of just 0.8
+
+
+def test_simhash_of_a_set_by_definition():
+    found = np.random.default_rng(1).integers(0, 2**63, 70_001, dtype=np.uint64)
+    assert int(nearcopies.code(found)[0]) == sum(1 << k for k in range(64) if 2 * int(((found >> np.uint64(k)) & np.uint64(1)).sum()) > len(found))
+
+
 def test_keep_one_of_unnamed_and_shared_ids(spark):
     texts = [f"{w} alone {w}{w} stands {w}{w}{w} here" for w in ("ash", "birch", "cedar", "elm", "fir", "gum")]
     docs = docs_of(spark, [*texts, texts[0]], [None, None, None, None, 7, 7, None])
@@ -544,11 +598,17 @@ def test_chain_on_held_out(spark):
 
 def test_chain_edges(spark):
     texts = ["you idiot scum", "you stupid trash", *["kind words", "good day", "well met"] * 6] * 12
-    chain = toxicity.fit_chain(texts, np.array([[1, 0, 1], [0, 1, 1], *[[0, 0, 0]] * 18] * 12, dtype=float), toxicity.CATEGORIES)
+    chain = toxicity.fit_chain(texts, np.array([[0, 1, 0], [1, 1, 1], *[[0, 0, 0]] * 18] * 12, dtype=float), toxicity.CATEGORIES)
     docs = docs_of(spark, [None, "", "you idiot scum", "kind words " * 20000, "you idiot scum"], [1, 2, None, 4, 5]).withColumn("toxic", F.lit(True))
     got = toxicity.score(docs, chain).collect()
     assert len(got) == 5 and {r["doc_id"] for r in got if r["toxic_flag"]} == {None, 5}
     assert sorted(r["doc_id"] for r in toxicity.clean(docs, chain).collect()) == [1, 2, 4]
+    said = [(str(i), 1, int(i % 2)) for i in range(30)] * 2 + [(None, 1, 1), ("5", None, 1)]
+    labels = spark.createDataFrame(said, "doc_id string, quality int, toxic int")
+    named = spark.createDataFrame([(str(i % 30), "you idiot scum" if i % 2 else "kind words") for i in range(900)] + [("3", None)], "doc_id string, text string")
+    assert toxicity.training_rows(named, labels, 7).count() == 7  # ids of any type, repeated ones once
+    found = toxicity.score(named, toxicity.fit(named, labels)).collect()
+    assert all(r["toxic_flag"] == (int(r["doc_id"]) % 2 == 1) for r in found if r["doc_id"] != "3") and len(found) == 901
     nothing = toxicity.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.clean(docs, nothing).count() == 5 and toxicity.score(docs.limit(0), chain).count() == 0
 

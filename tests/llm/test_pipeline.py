@@ -1,32 +1,36 @@
 """The pipeline against a version without Spark's operators' shortcuts."""
 
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from attrisieve.llm import decontaminate, packing, simhash, toxicity
 from attrisieve.llm.common import table
 
 
-def test_stages_keep_columns_and_match_brute_force(spark, sf):
-    docs = table(spark, sf, "documents")
-    chain = toxicity.fit(docs, table(spark, sf, "labels"))
-    rows = [r for r in docs.collect() if chain.predict([r["text"]])[0, -1] < 0.5]
-    prints = [simhash.fingerprint(r["text"]) for r in rows]
+def shingle_set(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def kept_of(rows):
+    """Indices of the rows that stay: one of each group of texts with a five-word similarity of 0.8 or more."""
+    sets = [shingle_set(r["text"]) for r in rows]
     root = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]), key=lambda k: rows[k]["doc_id"])
+            root = [low if x == high else x for x in root]
+    return [i for i, x in enumerate(root) if i == x]
+
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    order = sorted(range(len(rows)), key=lambda i: rows[i]["doc_id"])
-    for a in range(len(order)):
-        for b in range(a):
-            i, j = order[a], order[b]
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
-                x, y = find(i), find(j)
-                if x != y:
-                    low = min(x, y, key=lambda k: rows[k]["doc_id"])
-                    root[x if low == y else y] = low
-    rows = [r for i, r in enumerate(rows) if find(i) == i]
+def test_stages_match_brute_force(spark, sf):
+    docs = table(spark, sf, "documents")
+    chain = toxicity.fit(docs, table(spark, sf, "labels"))
+    at = chain.categories.index(toxicity.DECIDES)
+    rows = [r for r in docs.orderBy("doc_id").collect() if chain.predict([r["text"]])[0, at] < 0.5]
+    rows = [rows[i] for i in kept_of(rows)]
     bench = decontaminate.Block([(r["item_id"], r["text"]) for r in table(spark, sf, "benchmark").collect()], 5)
     rows = [r for r in rows if next(bench.match(bench.number(r["text"]), 0.5), None) is None]
     got = corpus_pipeline.run(spark, sf).toPandas()
@@ -34,6 +38,18 @@ def test_stages_keep_columns_and_match_brute_force(spark, sf):
     assert got["sequence_id"].nunique() == -(-got["length"].sum() // packing.CAPACITY)
 
 
+def test_stages_on_odd_rows(spark, sf):
+    docs = table(spark, sf, "documents")
+    odd = spark.createDataFrame([(None, "two words", None, None, None), (900_001, None, "en", "s", 0), (900_002, "", "en", "s", 0), (900_003, "word " * 30_000, "en", "s", 1), (900_003, "word " * 30_000, "en", "s", 1)], docs.schema)
+    odd = odd.withColumn("rank", F.lit(1)).withColumn("text_key", F.lit("x")).withColumn("shard", F.lit(2)).withColumn("toxic", F.lit(None).cast("int"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, sf)
+        assert got.columns == odd.columns
+        assert got.count() == (3 if name == "simhash_near_dedup" else 5)
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd, sf).toPandas()
+    assert packed["length"].sum() == 3 + 1 + 1 + 2 * 30_001
+
+
 def test_stages_return_the_columns_of_documents(spark, sf):
     docs = table(spark, sf, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
@@ -42,26 +58,15 @@ def test_stages_return_the_columns_of_documents(spark, sf):
 
 
 def test_near_dedup_equals_brute_force_similarity(spark, sf):
-    from itertools import combinations
-
     base = [r["text"].split() for r in table(spark, sf, "documents").collect() if 60 <= len((r["text"] or "").split()) <= 600][:12]
     edit = lambda words, step: " ".join("changed" + str(k) if k % step == 7 else w for k, w in enumerate(words))
     texts = [" ".join(w) for w in base] + [edit(w, step) for w in base for step in (30, 42, 47, 51, 60, 110)] + ["", None, "two words", "Two  words"]
     schema = table(spark, sf, "documents").schema
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], schema)
 
-    def cut(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    sets = [cut(t) for t in texts]
-    root = list(range(len(texts)))
-    apart = 0
-    for a, b in combinations(range(len(texts)), 2):
-        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-            apart += (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 3
-            low, high = sorted((root[a], root[b]))
-            root = [low if x == high else x for x in root]
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    apart = sum((simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 3 for a, b in pairs)
     assert apart > 20  # links that SimHash within 3 bits doesn't see
     got = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, sf).collect()}
-    assert got == {i for i, x in enumerate(root) if i == x}
+    assert got == set(kept_of([{"doc_id": i, "text": t} for i, t in enumerate(texts)]))
