@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,38 +20,35 @@ from pyspark.sql import functions as F
 
 from .common import own_columns
 
-#: Labelled rows the models are fitted on at most, chosen by a hash of the id.
-FIT_ROWS = 4000
+#: Labelled documents the models are fitted on at most, chosen by a hash of the id, and bytes of them all and of each.
+FIT_ROWS, FIT_BYTES, FIT_TEXT_BYTES = 4000, 64 << 20, 1 << 20
 FOLDS = 5
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7)
 _MIX = 40503
 #: Features kept per model: in so many rows at least, of so much chi-square at least, and so many at most.
 MIN_ROWS, LEAST_CHI, SELECTED = 3, 12.0, 2500
-#: Weak labels: a row labelled toxic is also in a category when it has one of its words (fixed values).
-CATEGORY_WORDS = {
-    "insult": ("clown", "idiot", "loser", "moron", "scum"),
-    "contempt": ("disgusting", "pathetic", "stupid", "trash", "worthless"),
-}
-CATEGORIES = (*CATEGORY_WORDS, "toxic")
+#: Categories in the order of the chain, and the one that decides: all come from the columns quality and toxic of the labels.
+CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
+DECIDES = "toxic"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
-def _features_of(word: str) -> list[int]:
+def _features_of(word: str) -> array:
     parts = [f"={word}", *(f"{word[:n]}" for n in PREFIXES if len(word) >= n)]
-    return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
+    return array("i", [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts])
 
 
-def features(text: str | None, memo: dict[str, list[int]] | None = None) -> np.ndarray:
+def features(text: str | None, memo: dict[str, array] | None = None) -> np.ndarray:
     """Hashed features of the whole text; a null or wordless one has none.
 
     Each feature of a word counts as present, as had by two distinct words and by three; so does the number of distinct
     words, in powers of two, since a long clean text meets more word beginnings by chance.
     """
     memo = {} if memo is None else memo
-    if len(memo) > 300_000:
+    if len(memo) > 200_000:
         memo.clear()
-    found: list[int] = []
+    found = array("i")
     words = set(_WORDS((text or "").lower()))
     for word in words:
         own = memo.get(word)
@@ -59,7 +57,8 @@ def features(text: str | None, memo: dict[str, list[int]] | None = None) -> np.n
         found += own
     if not found:
         return np.zeros(0, dtype=np.int64)
-    ids, counts = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+    ids, counts = np.unique(np.frombuffer(found, dtype=np.int32), return_counts=True)
+    ids = ids.astype(np.int64)
     again = [(ids[counts >= k] * _MIX + k) % BUCKETS for k in (2, 3)]
     length = np.arange(1, len(words).bit_length() + 1) * _MIX % BUCKETS
     return np.unique(np.concatenate([ids, *again, length]))
@@ -158,18 +157,27 @@ def fit_chain(texts: list[str | None], labels: np.ndarray, categories: tuple[str
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(text, label per category) of at most fit_rows labelled documents, by the hash of their id."""
-    own = own_columns(labels, doc_id="doc_id", toxic="toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    chosen = own.orderBy(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(9)), "doc_id").limit(fit_rows)
-    joined = own_columns(docs, doc_id="doc_id", text="text").join(F.broadcast(chosen), "doc_id")
-    has = {c: F.col("toxic").cast("boolean") & F.coalesce(F.lower("text").rlike(r"\b(" + "|".join(w) + r")\b"), F.lit(False)) for c, w in CATEGORY_WORDS.items()}
-    return joined.select("text", *[has[c].cast("int").alias(c) for c in has], F.col("toxic").cast("boolean").cast("int").alias("toxic"))
+    """(place, text, label per category) of at most fit_rows labelled documents, by the hash of their id.
+
+    Ids may have any type. An id that several labels or documents share counts once: toxic or of low quality if one label
+    says so, with the text whose hash is smallest. Rows with a null id, label or text are left out.
+    """
+    own = own_columns(labels, doc_id="doc_id", quality="quality", toxic="toxic").dropna()
+    own = own.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.max((F.col("quality").cast("int") == 0).cast("int")).alias("low_quality"))
+    chosen = own.withColumn("place", F.xxhash64(F.col("doc_id").cast("string"), F.lit(9))).orderBy("place", "doc_id").limit(fit_rows)
+    texts = own_columns(docs, doc_id="doc_id", text="text").where(F.octet_length("text") <= FIT_TEXT_BYTES)
+    joined = texts.join(F.broadcast(chosen), "doc_id")  # chosen has fit_rows rows at most
+    one = joined.groupBy("doc_id", "place", "toxic", "low_quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("place", "text", "low_quality", "toxic", (F.col("toxic") * F.col("low_quality")).alias("toxic_low_quality"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Chain:
     """The chain fitted on a bounded sample of labelled documents; without any, it finds nothing toxic."""
-    texts, y = [], []
-    for row in training_rows(docs, labels, fit_rows).toLocalIterator():
+    texts, y, room = [], [], FIT_BYTES
+    for row in training_rows(docs, labels, fit_rows).orderBy("place", "text").toLocalIterator():
+        room -= len(row["text"].encode("utf-8", "surrogatepass"))
+        if room < 0:
+            break
         texts.append(row["text"])
         y.append([row[c] for c in CATEGORIES])
     labels_ = np.array(y, dtype=float).reshape(len(texts), len(CATEGORIES))
@@ -195,7 +203,8 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "
     """(doc_id, a probability per category, toxic_flag) per row of docs.
 
     The whole text counts; null and empty texts get the chain's constants. Null ids and repeated rows are scored like any
-    other, an empty table gives no rows, other columns are ignored. toxic_flag: the last category reaches the threshold.
+    other, an empty table gives no rows, other columns are ignored. toxic_flag: the category DECIDES reaches the threshold. A
+    text of any length is read whole, by one task.
     """
     source = own_columns(docs, doc_id=id_col, text=text_col)
     shipped = _shipped(docs, chain)
@@ -205,20 +214,23 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "
         own, memo = _chain(shipped.value), {}
         for batch in batches:
             p = own.predict(batch.column(1).to_pylist(), memo)
-            columns = [batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, -1] >= threshold)]
+            columns = [batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, own.categories.index(DECIDES)] >= threshold)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *own.categories, "toxic_flag"])
 
     return source.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in chain.categories) + ", toxic_flag boolean")
 
 
 def clean(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs without the rows whose last category reaches the threshold; all columns stay, no row moves."""
+    """docs without the rows whose category DECIDES reaches the threshold; all columns stay, no row moves.
+
+    Null and empty texts get the chain's constants; null ids, repeated rows and columns of any name are kept as they are.
+    """
     at, shipped = docs.columns.index(text_col), _shipped(docs, chain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memo = _chain(shipped.value), {}
         for batch in batches:
             p = own.predict(batch.column(at).to_pylist(), memo)
-            yield batch.filter(pa.array(p[:, -1] < threshold))
+            yield batch.filter(pa.array(p[:, own.categories.index(DECIDES)] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
