@@ -1,60 +1,77 @@
-"""Burkhard-Keller trees over 64-bit codes, many trees at once, in numpy."""
+"""Burkhard-Keller trees over binary codes, many trees at once, in numpy."""
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
 
-_KEYS = 65
+import numpy as np
 
 
 class Forest:
     """One tree per shard; a child hangs at its Hamming distance to its parent.
 
-    ``shard`` (any integers, equal values adjacent) and ``codes`` (uint64) are parallel; the first code of a shard is its
-    root. Insertion and search move all codes one level at a time.
+    ``shard`` (any integers, equal values adjacent) and ``codes`` (uint64, one or several words a code) are parallel; the first
+    code of a shard is its root. Insertion and search move all codes one level at a time.
     """
 
     def __init__(self, shard: np.ndarray, codes: np.ndarray):
         n = len(codes)
-        self.codes = codes
-        self.child = np.full(n * _KEYS, -1, dtype=np.int32)
+        self.codes = codes.reshape(n, -1)
+        keys = 64 * self.codes.shape[1] + 1
+        child = np.full(n * keys, -1, dtype=np.int32)
         starts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if n else np.zeros(0, dtype=np.int64)
-        self.shards = shard[starts]
-        self.roots = starts
+        self.shards, self.roots = shard[starts], starts
+        self.largest = int(np.diff(np.r_[starts, n]).max()) if n else 0
         at = np.repeat(starts, np.diff(np.r_[starts, n]))
         active = np.flatnonzero(at != np.arange(n))
         at = at[active]
+        parent, key = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int16)
         while active.size:
-            slot = at * _KEYS + np.bitwise_count(codes[active] ^ codes[at])
-            free = np.flatnonzero(self.child[slot] < 0)
+            gap = self.apart(self.codes[active], at)
+            slot = at * keys + gap
+            free = np.flatnonzero(child[slot] < 0)
             _, first = np.unique(slot[free], return_index=True)
             placed = free[first]
-            self.child[slot[placed]] = active[placed]
+            child[slot[placed]] = active[placed]
+            parent[active[placed]], key[active[placed]] = at[placed], gap[placed]
             stay = np.ones(active.size, dtype=bool)
             stay[placed] = False
-            at = self.child[slot[stay]].astype(np.int64)
+            at = child[slot[stay]].astype(np.int64)
             active = active[stay]
+        # children of a node, one behind another
+        hung = np.flatnonzero(parent >= 0)
+        self.children = hung[np.argsort(parent[hung], kind="stable")]
+        self.many = np.bincount(parent[hung], minlength=n)
+        self.first = np.cumsum(self.many) - self.many
+        self.key = key[self.children].astype(np.int64)
+
+    def apart(self, codes: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Hamming distances of codes to nodes, row by row."""
+        gap = np.bitwise_count(codes[:, 0] ^ self.codes[node, 0]).astype(np.int64)
+        for k in range(1, self.codes.shape[1]):
+            gap += np.bitwise_count(codes[:, k] ^ self.codes[node, k])
+        return gap
 
-    def search(self, shard: np.ndarray, codes: np.ndarray, radius: int, block: int = 8192):
+    def search(self, shard: np.ndarray, codes: np.ndarray, radius: int, room: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Yield (index into codes, index of node) of all pairs within the radius, following only edges within it."""
-        where = np.searchsorted(self.shards, shard)
-        known = np.flatnonzero((where < len(self.shards)) & (self.shards[np.minimum(where, max(0, len(self.shards) - 1))] == shard)) if len(self.shards) else np.zeros(0, dtype=np.int64)
+        if not len(self.shards):
+            return
+        codes = codes.reshape(len(codes), -1)
+        where = np.minimum(np.searchsorted(self.shards, shard), len(self.shards) - 1)
+        known = np.flatnonzero(self.shards[where] == shard)
+        block = max(16, room // max(1, self.largest))
         for start in range(0, known.size, block):
             probe = known[start : start + block]
             node = self.roots[where[probe]]
             while probe.size:
-                distance = np.bitwise_count(codes[probe] ^ self.codes[node]).astype(np.int64)
-                hit = distance <= radius
+                gap = self.apart(codes[probe], node)
+                hit = gap <= radius
                 yield probe[hit], node[hit]
-                probes, nodes = [], []
-                for step in range(-radius, radius + 1):
-                    key = distance + step
-                    fits = np.flatnonzero((key >= 0) & (key < _KEYS))
-                    below = self.child[node[fits] * _KEYS + key[fits]]
-                    found = below >= 0
-                    probes.append(probe[fits[found]])
-                    nodes.append(below[found].astype(np.int64))
-                probe, node = np.concatenate(probes), np.concatenate(nodes)
+                many = self.many[node]
+                source = np.repeat(np.arange(probe.size), many)
+                place = np.repeat(self.first[node] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                follow = np.abs(self.key[place] - gap[source]) <= radius
+                probe, node = probe[source[follow]], self.children[place[follow]]
 
 
 def roots_of(n: int, a: np.ndarray, b: np.ndarray, parent: np.ndarray | None = None) -> np.ndarray:

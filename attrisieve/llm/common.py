@@ -31,6 +31,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared folder now and go on from the copy, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -44,3 +50,11 @@ def parallelism(spark: SparkSession) -> int:
 def own_columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Only the columns an operator reads, under its own names, so extra columns can't clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in wanted.items()])
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name like the wanted one that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken or f"{wanted}_".lower() in taken:
+        wanted += "_"
+    return wanted

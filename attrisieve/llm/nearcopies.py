@@ -1,35 +1,42 @@
-"""Near copies by the similarity of five-word shingles, for the near-duplicate stage of the pipeline.
-
-Two texts are linked when the Jaccard similarity of their sets of word shingles is at least LEAST. SimHash can't give the
-candidates: at a similarity of 0.8 fingerprints differ in up to a dozen bits and more, a radius at which blocks and trees
-exclude next to nothing. Candidates are texts that agree on all minima of a MinHash band, which a pair at 0.8 escapes with a
-chance of (1 - 0.8**4)**24, about 3 in a million. Each candidate is checked on the whole shingle sets.
-
-Texts with one set are one node. A bucket is first linked to its least and greatest node, which joins a large group in
-linear work; then every pair of a bucket whose nodes are still apart is checked, so no candidate is left out.
+"""Near copies by SimHash in BK-trees with an exact check, for the near-duplicate stage of the pipeline.
+
+Two texts are linked when the Jaccard similarity of their sets of five-word shingles is at least LEAST. Candidates are texts
+whose 128-bit SimHashes of those sets differ in RADIUS bits or fewer; a pair at a similarity of 0.8 differs in 19 on average
+and in more than RADIUS with a chance of some 2 in 10,000. So wide a radius is past what blocks of bits can promise by the
+pigeonhole principle, so shards are drawn: the codes that agree on a random choice of bits, by tables() many choices. The
+number of bits follows the number of texts, so that shards stay small, and the number of tables the bits, so that a pair at
+a similarity of 0.8 escapes all of them with a chance of ESCAPES at most. A BK-tree over each shard finds its candidates.
+
+Texts with one set are one node. A shard's nodes are first compared with its least and its greatest, which joins a large
+group in linear work; then every node outside the largest group of its shard is sought in the shard's trees, and the
+candidates that still are apart are checked, so none is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, own_columns
+from .bktree import Forest
+from .common import checkpoint, own_columns, parallelism
 from .components import connected_components
 
 WORDS = 5
 #: The least similarity of a link, as a fraction of whole numbers.
 LEAST = (4, 5)
-BANDS, BAND_ROWS = 24, 4
-_DRAW = np.random.default_rng(8)
-_TIMES = _DRAW.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _DRAW.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
-_PIECE = 1 << 12
+BITS, RADIUS = 128, 34
+#: Nodes in a shard on average, and the chance that all tables miss a pair that differs in EXPECTED bits.
+SHARD_ROWS, ESCAPES, EXPECTED = 64, 0.01, 20
+#: Rows of a sub-tree, and of the shards one task gets at a time.
+TREE_ROWS, GROUP_ROWS = 2048, 50_000
+_PIECE = 255 * 64
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -42,69 +49,126 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(x) for x in map(b" ".join, zip(*[words[k:] for k in range(size)], strict=False))), dtype=np.uint64))
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    """A key per band of the minima of a set of hashes; none for an empty set."""
-    if not len(found):
-        return np.zeros(0, dtype=np.int64)
-    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, dtype=np.uint64)
+def code(found: np.ndarray) -> np.ndarray:
+    """SimHash (two words) of a set of hashes: a bit is set where it is set in over half of them."""
+    ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(found), _PIECE):
-        np.minimum(least, (found[at : at + _PIECE, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    raw = least.reshape(BANDS, BAND_ROWS)
-    return np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) for k in range(BANDS)], dtype=np.uint64).view(np.int64)
+        some = found[at : at + _PIECE]
+        mixed = (some ^ (some >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        both = np.stack([some, mixed ^ (mixed >> np.uint64(29))], axis=1)
+        bits = np.unpackbits(both.view(np.uint8), axis=1, bitorder="little")
+        whole = len(bits) - len(bits) % 255  # sums of 255 bits fit a byte
+        ones += bits[:whole].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        ones += bits[whole:].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<u8")
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, node, keys) per row; node is a hash of the text's shingle set."""
+    """(doc_id, text_key, node, lo, hi) per row; node is a hash of the text's shingle set, lo and hi (null without words) its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(2)]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "text_key", "node", "keys"])
+            codes = np.array([code(s) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            none = np.array([not len(s) for s in sets], dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), *(pa.array(codes[:, k], mask=none) for k in (0, 1))], names=["doc_id", "text_key", "node", "lo", "hi"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, node bigint, lo bigint, hi bigint")
+
+
+def tables(nodes: int) -> list[tuple[int, int]]:
+    """Masks (of lo, of hi) of the bits that a shard's codes agree on, one pair per table."""
+    bits = max(8, math.ceil(math.log2(max(1, nodes) / SHARD_ROWS)))
+    agree = math.prod((BITS - EXPECTED - k) / (BITS - k) for k in range(bits))
+    draw, out = np.random.default_rng(8), []
+    for _ in range(math.ceil(math.log(ESCAPES) / math.log1p(-agree))):
+        mask = sum(1 << int(k) for k in draw.choice(BITS, bits, replace=False))
+        out.append((mask & (1 << 64) - 1, mask >> 64))
+    return out
+
+
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
+
+
+def _apart(lo: str, hi: str, lo2: str, hi2: str) -> Column:
+    return F.bit_count(F.col(lo).bitwiseXOR(F.col(lo2))) + F.bit_count(F.col(hi).bitwiseXOR(F.col(hi2)))
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, node bigint, keys array<bigint>")
 
+def _sets(source: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, found) for nodes (node, text_key): the shingle set of each."""
 
-def _sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "found"])
 
-    return texts.mapInArrow(run, "node bigint, found array<bigint>")
+    texts = source.select("text_key", "text").join(nodes.select("node", "text_key"), "text_key").dropDuplicates(["node"])
+    return checkpoint(texts.select("node", "text").mapInArrow(run, "node bigint, found array<bigint>"))
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough."""
+    pairs = checkpoint(pairs)
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    sets = _sets(source, wanted)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
     shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("s"))
-    return shared.where(F.col("s") * LEAST[1] >= (F.col("n") - F.col("s")) * LEAST[0]).select("a", "b")
+    return checkpoint(shared.where(F.col("s") * LEAST[1] >= (F.col("n") - F.col("s")) * LEAST[0]).select("a", "b"))
+
+
+def _sought(placed: DataFrame, rows: int) -> DataFrame:
+    """Candidates (a, b) of different roots, from shards (key, n, main, node, lo, hi, root): each node outside main is sought in the shard's trees."""
+    blocks = F.ceil(F.col("n") / TREE_ROWS).cast("int")
+    dealt = placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")).withColumn("probe", F.col("root") != F.col("main"))
+    # a node stands in its own sub-tree; one that is sought also goes to the shard's other ones
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
+    groups = max(parallelism(placed.sparkSession), math.ceil(rows / GROUP_ROWS))
+    shard = F.xxhash64("key", "part")
+    dealt = dealt.select(F.pmod(shard, F.lit(groups)).cast("int").alias("g"), shard.alias("shard"), "node", "lo", "hi", "root", "probe", (F.col("part") == F.col("own")).alias("tree"))
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["shard", "node"], kind="stable")
+        shard, node, root = (pdf[x].to_numpy() for x in ("shard", "node", "root"))
+        codes = np.stack([pdf["lo"].to_numpy(), pdf["hi"].to_numpy()], axis=1).view(np.uint64)
+        grown, probing = np.flatnonzero(pdf["tree"].to_numpy()), np.flatnonzero(pdf["probe"].to_numpy())
+        forest = Forest(shard[grown], codes[grown])
+        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for probe, hit in forest.search(shard[probing], codes[probing], RADIUS):
+            x, y = probing[probe], grown[hit]
+            other = root[x] != root[y]
+            a.append(np.minimum(node[x[other]], node[y[other]]))
+            b.append(np.maximum(node[x[other]], node[y[other]]))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
+
+    return dealt.groupBy("g").applyInPandas(find, "a bigint, b bigint")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, root) per row of docs; rows share a root when links join their texts.
 
     Null and empty texts are copies of one another; null ids and repeated rows are rows like any other; an empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. A text of any length is read whole, by one task.
     """
     source = own_columns(docs, doc_id=id_col, text=text_col).withColumn("text_key", F.xxhash64("text"))
     read = checkpoint(_read(source.select("doc_id", "text_key", "text")))
-    nodes = read.groupBy("node").agg(F.min(F.struct("text_key", "keys")).alias("k")).select("node", "k.text_key", "k.keys")
-    keyed = checkpoint(nodes.select("node", "text_key", F.explode("keys").alias("key")))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    members = checkpoint(keyed.join(buckets, "key"))
-    wanted = members.groupBy("node").agg(F.first("text_key").alias("text_key"))
-    sets = checkpoint(_sets(source.dropDuplicates(["text_key"]).join(wanted, "text_key").select("node", "text")) if not members.isEmpty() else _sets(source.limit(0).select(F.col("text_key").alias("node"), "text")))
-    stars = members.select(F.explode(F.array("low", "high")).alias("end"), "node").where("end <> node")
-    stars = checkpoint(stars.select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b")).distinct())
-    linked = checkpoint(_checked(stars, sets))
-    first = connected_components(linked).withColumnRenamed("node", "n")
-    placed = checkpoint(members.join(first, members["node"] == first["n"], "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    main = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    apart = placed.join(main, "key")
-    other = apart.where("root <> main").select("key", F.col("node").alias("p"), F.col("root").alias("p_root"))
-    rest = other.join(apart.select("key", "node", "root"), "key").where("p_root <> root")
-    rest = rest.select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    linked = linked.union(checkpoint(_checked(rest, sets)))
-    found = connected_components(linked).withColumnRenamed("node", "n")
-    return read.join(found, read["node"] == found["n"], "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    nodes = checkpoint(read.where("lo is not null").groupBy("node").agg(F.min(F.struct("text_key", "lo", "hi")).alias("k")).select("node", "k.text_key", "k.lo", "k.hi"))
+    count = nodes.count()
+    masks = tables(count)
+    keys = F.array(*[F.xxhash64(F.lit(k), F.col("lo").bitwiseAND(_signed(x)), F.col("hi").bitwiseAND(_signed(y))) for k, (x, y) in enumerate(masks)])
+    keyed = nodes.select("node", "lo", "hi", F.explode(keys).alias("key"))
+    whole = F.struct("node", "lo", "hi")
+    ends = keyed.groupBy("key").agg(F.min(whole).alias("low"), F.max(whole).alias("high"), F.count("*").alias("n")).where("n > 1")
+    stars = keyed.join(ends, "key").select("node", "lo", "hi", F.explode(F.array("low", "high")).alias("end")).select("node", "lo", "hi", F.col("end.node").alias("e"), F.col("end.lo").alias("e_lo"), F.col("end.hi").alias("e_hi"))
+    close = stars.where((F.col("e") != F.col("node")) & (_apart("lo", "hi", "e_lo", "e_hi") <= RADIUS))
+    stars = checkpoint(close.select(F.least("e", "node").alias("a"), F.greatest("e", "node").alias("b")).distinct())
+    linked = _checked(stars, nodes, source)
+    first = connected_components(linked).withColumnRenamed("node", "m")
+    rooted = nodes.join(first, nodes["node"] == first["m"], "left").select("node", "lo", "hi", F.coalesce("root", "node").alias("root"))
+    placed = rooted.select("node", "lo", "hi", "root", F.explode(keys).alias("key"))
+    main = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1").drop("parts")
+    rest = _sought(placed.join(main, "key"), count * len(masks)).distinct().join(stars, ["a", "b"], "left_anti")
+    linked = linked.union(_checked(rest, nodes, source))
+    found = connected_components(linked).withColumnRenamed("node", "m")
+    return read.join(found, read["node"] == found["m"], "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest, roots_of
-from .common import checkpoint, own_columns, parallelism
+from .common import checkpoint, free_name, own_columns, parallelism
 from .components import connected_components
 
-_PIECE = 1 << 16
+_PIECE = 255 * 256
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -42,7 +42,10 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
         some = words[at : at + _PIECE + shingle - 1]
         joined = map(b" ".join, zip(*[some[k:] for k in range(shingle)], strict=False)) if shingle > 1 else some
         hashes = np.fromiter((digest(x, seed) for x in joined), dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        whole = len(bits) - len(bits) % 255  # sums of 255 bits fit a byte
+        ones += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        ones += bits[whole:].sum(axis=0, dtype=np.uint8)
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
@@ -109,7 +112,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the smallest doc_id whose fingerprint can be reached over links of at most ``radius`` differing bits.
     Null and empty texts have fingerprint 0 and are linked like any other; equal fingerprints always share a component,
     so exact copies and repeated rows do. A row with a null id keeps its row and links others, but gives no component its
-    name. An empty table gives no rows; columns other than the two named are ignored.
+    name. An empty table gives no rows; columns other than the two named are ignored. A text of any length is read whole, by
+    one task.
     """
     return _rooted(docs, id_col, text_col, shingle, radius, seed, tree_rows).drop("root")
 
@@ -142,8 +146,9 @@ def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     found = checkpoint(found.select("doc_id", "text_key", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     chosen = found.groupBy("root").agg(F.min(order).alias("k"))
-    keep = chosen.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"))
+    key, name = free_name(docs, "text_key"), free_name(docs, "kept_id")
+    keep = chosen.select(F.col("k.doc_id").alias(name), F.col("k.text_key").alias(f"{key}_"))
     repeated = not found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(f"`{text_col}`")))
-    kept = keyed.join(keep, (keyed["_key"] == keep["_key"]) & keyed[id_col].eqNullSafe(keep["_id"]), "left_semi")
-    return (kept.dropDuplicates([id_col, "_key"]) if repeated else kept).drop("_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{text_col}`")))
+    kept = keyed.join(keep, (F.col(key) == F.col(f"{key}_")) & F.col(f"`{id_col}`").eqNullSafe(F.col(name)), "left_semi")
+    return (kept.dropDuplicates([id_col, key]) if repeated else kept).drop(key)
