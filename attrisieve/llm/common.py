@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,13 @@ def own_columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in wanted.items()])
 
 
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Record batches of at most so many rows, so that what is made of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name like the wanted one that df doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

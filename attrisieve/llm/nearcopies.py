@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest
-from .common import checkpoint, own_columns, parallelism
+from .common import checkpoint, own_columns, parallelism, slices
 from .components import connected_components
 
 WORDS = 5
@@ -67,7 +67,7 @@ def _read(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, node, lo, hi) per row; node is a hash of the text's shingle set, lo and hi (null without words) its SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(t.as_py()) for t in batch.column(2)]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
             codes = np.array([code(s) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
@@ -100,7 +100,7 @@ def _sets(source: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, found) for nodes (node, text_key): the shingle set of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shingles(t.as_py()).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "found"])
 

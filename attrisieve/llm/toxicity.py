@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns
+from .common import own_columns, slices
 
 #: Labelled documents the models are fitted on at most, chosen by a hash of the id, and bytes of them all and of each.
 FIT_ROWS, FIT_BYTES, FIT_TEXT_BYTES = 4000, 64 << 20, 1 << 20
@@ -46,7 +46,7 @@ def features(text: str | None, memo: dict[str, array] | None = None) -> np.ndarr
     words, in powers of two, since a long clean text meets more word beginnings by chance.
     """
     memo = {} if memo is None else memo
-    if len(memo) > 200_000:
+    if len(memo) > 150_000:
         memo.clear()
     found = array("i")
     words = set(_WORDS((text or "").lower()))
@@ -212,7 +212,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memo = _chain(shipped.value), {}
-        for batch in batches:
+        for batch in slices(batches):
             p = own.predict(batch.column(1).to_pylist(), memo)
             columns = [batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, own.categories.index(DECIDES)] >= threshold)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *own.categories, "toxic_flag"])
@@ -229,7 +229,7 @@ def clean(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memo = _chain(shipped.value), {}
-        for batch in batches:
+        for batch in slices(batches):
             p = own.predict(batch.column(at).to_pylist(), memo)
             yield batch.filter(pa.array(p[:, own.categories.index(DECIDES)] < threshold))
 
