@@ -16,6 +16,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import own_columns
 
@@ -191,15 +193,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Items shorter than min_tile match as a whole; items and documents without words match nothing (nulls included). Each
     row of docs is judged on its own, so repeated rows give repeated results; null ids are carried; empty tables give no
-    rows; other columns are ignored.
+    rows; other columns are ignored. item_id is a bigint where the benchmark's ids are whole numbers, else a string. A text
+    of any length is matched whole, by one task.
     """
     spark: SparkSession = docs.sparkSession
     source = own_columns(docs, doc_id=id_col, text=text_col)
     kinds = source.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType
-    item_kind = pa.int64() if kinds[1].simpleString() in ("bigint", "int") else pa.string()
+    item_kind = pa.int64() if isinstance(kinds[1], IntegralType) else pa.string()
+    named = benchmark.select(F.col(f"`{item_col}`").cast("bigint" if item_kind == pa.int64() else "string").alias("name"), F.col(f"`{item_text_col}`").alias("text"))
     schema = f"doc_id {kinds[0]}, item_id {'bigint' if item_kind == pa.int64() else 'string'}, covered int, item_tokens int, tiles int, share double"
     out = None
-    for rows in _blocks(benchmark, item_col, item_text_col):
+    for rows in _blocks(named, "name", "text"):
         shipped = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:

@@ -7,9 +7,11 @@ pigeonhole principle, so shards are drawn: the codes that agree on a random choi
 number of bits follows the number of texts, so that shards stay small, and the number of tables the bits, so that a pair at
 a similarity of 0.8 escapes all of them with a chance of ESCAPES at most. A BK-tree over each shard finds its candidates.
 
-Texts with one set are one node. A shard's nodes are first compared with its least and its greatest, which joins a large
-group in linear work; then every node outside the largest group of its shard is sought in the shard's trees, and the
-candidates that still are apart are checked, so none is left out.
+Texts with one set are one node. Each node's nearest candidate in a shard and, if it is one, the shard's least node are
+checked first, which joins a large group in linear work, as a large shard is cut into sub-trees and a node is only sought in
+its own. Nodes without any candidate are done. Of the others, every node outside the largest group of its shard is then
+sought in all trees of the shard, and the candidates that still are apart are checked, so none is left out. Texts are fetched
+once, for the nodes that have a candidate.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import Forest
@@ -92,10 +94,6 @@ def _signed(mask: int) -> Column:
     return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
 
 
-def _apart(lo: str, hi: str, lo2: str, hi2: str) -> Column:
-    return F.bit_count(F.col(lo).bitwiseXOR(F.col(lo2))) + F.bit_count(F.col(hi).bitwiseXOR(F.col(hi2)))
-
-
 def _sets(source: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, found) for nodes (node, text_key): the shingle set of each."""
 
@@ -108,25 +106,62 @@ def _sets(source: DataFrame, nodes: DataFrame) -> DataFrame:
     return checkpoint(texts.select("node", "text").mapInArrow(run, "node bigint, found array<bigint>"))
 
 
-def _checked(pairs: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar enough."""
-    pairs = checkpoint(pairs)
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    sets = _sets(source, wanted)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
     shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("s"))
     return checkpoint(shared.where(F.col("s") * LEAST[1] >= (F.col("n") - F.col("s")) * LEAST[0]).select("a", "b"))
 
 
+def _grouped(rows: int, spark: SparkSession, shard: Column) -> Column:
+    """A number that deals shards to tasks, each about GROUP_ROWS rows at a time."""
+    return F.pmod(shard, F.lit(max(parallelism(spark), math.ceil(rows / GROUP_ROWS)))).cast("int").alias("g")
+
+
+def _nearest(keyed: DataFrame, rows: int) -> DataFrame:
+    """(a, b): for each node of shards (key, node, lo, hi) the nearest candidate in its sub-tree and the shard's least node, if it is one."""
+    large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TREE_ROWS)
+    least = checkpoint(keyed.join(large, "key").groupBy("key", "n").agg(F.min(F.struct("node", "lo", "hi")).alias("c")).select("key", "n", F.col("c.node").alias("c_node"), F.col("c.lo").alias("c_lo"), F.col("c.hi").alias("c_hi")))
+    part = F.pmod(F.xxhash64("node", F.lit(7)), F.coalesce(F.ceil(F.col("n") / TREE_ROWS), F.lit(1)))
+    shard = F.xxhash64("key", part)
+    dealt = keyed.join(least, "key", "left").select(_grouped(rows, keyed.sparkSession, shard), shard.alias("shard"), "node", "lo", "hi", F.col("n").isNotNull().alias("large"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("c_node", "c_lo", "c_hi")])  # no nulls, which pandas would make floats of
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["shard", "node"], kind="stable")
+        shard, node = pdf["shard"].to_numpy(), pdf["node"].to_numpy()
+        codes = np.stack([pdf["lo"].to_numpy(), pdf["hi"].to_numpy()], axis=1).view(np.uint64)
+        best = np.full(len(node), np.iinfo(np.int64).max)
+        forest = Forest(shard, codes)
+        for probe, hit in forest.search(shard, codes, RADIUS):
+            probe, hit = probe[probe != hit], hit[probe != hit]
+            np.minimum.at(best, probe, forest.apart(codes[probe], hit) << 32 | hit)
+        own = np.flatnonzero(best < np.iinfo(np.int64).max)
+        a, b = [node[own]], [node[best[own] & 0xFFFFFFFF]]
+        at = forest.roots[np.searchsorted(forest.shards, shard)]
+        close = np.flatnonzero(forest.apart(codes, at) <= RADIUS)
+        a.append(node[close])
+        b.append(node[at[close]])
+        far = np.flatnonzero(pdf["large"].to_numpy())
+        if len(far):
+            ends = np.stack([pdf[x].to_numpy()[far] for x in ("c_lo", "c_hi")], axis=1).view(np.uint64)
+            hit = far[np.bitwise_count(codes[far] ^ ends).sum(axis=1) <= RADIUS]
+            a.append(node[hit])
+            b.append(pdf["c_node"].to_numpy()[hit])
+        a, b = np.concatenate(a), np.concatenate(b)
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return out[out["a"] != out["b"]].drop_duplicates()
+
+    return dealt.groupBy("g").applyInPandas(find, "a bigint, b bigint").distinct()
+
+
 def _sought(placed: DataFrame, rows: int) -> DataFrame:
     """Candidates (a, b) of different roots, from shards (key, n, main, node, lo, hi, root): each node outside main is sought in the shard's trees."""
     blocks = F.ceil(F.col("n") / TREE_ROWS).cast("int")
     dealt = placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")).withColumn("probe", F.col("root") != F.col("main"))
     # a node stands in its own sub-tree; one that is sought also goes to the shard's other ones
     dealt = dealt.withColumn("part", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
-    groups = max(parallelism(placed.sparkSession), math.ceil(rows / GROUP_ROWS))
     shard = F.xxhash64("key", "part")
-    dealt = dealt.select(F.pmod(shard, F.lit(groups)).cast("int").alias("g"), shard.alias("shard"), "node", "lo", "hi", "root", "probe", (F.col("part") == F.col("own")).alias("tree"))
+    dealt = dealt.select(_grouped(rows, placed.sparkSession, shard), shard.alias("shard"), "node", "lo", "hi", "root", "probe", (F.col("part") == F.col("own")).alias("tree"))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["shard", "node"], kind="stable")
@@ -158,17 +193,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     masks = tables(count)
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("lo").bitwiseAND(_signed(x)), F.col("hi").bitwiseAND(_signed(y))) for k, (x, y) in enumerate(masks)])
     keyed = nodes.select("node", "lo", "hi", F.explode(keys).alias("key"))
-    whole = F.struct("node", "lo", "hi")
-    ends = keyed.groupBy("key").agg(F.min(whole).alias("low"), F.max(whole).alias("high"), F.count("*").alias("n")).where("n > 1")
-    stars = keyed.join(ends, "key").select("node", "lo", "hi", F.explode(F.array("low", "high")).alias("end")).select("node", "lo", "hi", F.col("end.node").alias("e"), F.col("end.lo").alias("e_lo"), F.col("end.hi").alias("e_hi"))
-    close = stars.where((F.col("e") != F.col("node")) & (_apart("lo", "hi", "e_lo", "e_hi") <= RADIUS))
-    stars = checkpoint(close.select(F.least("e", "node").alias("a"), F.greatest("e", "node").alias("b")).distinct())
-    linked = _checked(stars, nodes, source)
+    pairs = checkpoint(_nearest(keyed, count * len(masks)))
+    paired = checkpoint(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
+    sets = _sets(source, paired)
+    linked = _checked(pairs, sets)
     first = connected_components(linked).withColumnRenamed("node", "m")
-    rooted = nodes.join(first, nodes["node"] == first["m"], "left").select("node", "lo", "hi", F.coalesce("root", "node").alias("root"))
-    placed = rooted.select("node", "lo", "hi", "root", F.explode(keys).alias("key"))
+    rooted = paired.join(first, paired["node"] == first["m"], "left").select("node", "lo", "hi", F.coalesce("root", "node").alias("root"))
+    placed = checkpoint(rooted).select("node", "lo", "hi", "root", F.explode(keys).alias("key"))
     main = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1").drop("parts")
-    rest = _sought(placed.join(main, "key"), count * len(masks)).distinct().join(stars, ["a", "b"], "left_anti")
-    linked = linked.union(_checked(rest, nodes, source))
+    rest = checkpoint(_sought(placed.join(main, "key"), paired.count() * len(masks)).distinct().join(pairs, ["a", "b"], "left_anti"))
+    linked = linked.union(_checked(rest, sets))
     found = connected_components(linked).withColumnRenamed("node", "m")
     return read.join(found, read["node"] == found["m"], "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))

@@ -2,10 +2,11 @@
 
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from attrisieve.llm import decontaminate, packing, simhash, toxicity
+from attrisieve.llm import decontaminate, nearcopies, packing, simhash, toxicity
 from attrisieve.llm.common import table
 
 
@@ -57,7 +58,9 @@ def test_stages_return_the_columns_of_documents(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
-def test_near_dedup_equals_brute_force_similarity(spark, sf):
+@pytest.mark.parametrize("tree_rows", [nearcopies.TREE_ROWS, 4])
+def test_near_dedup_equals_brute_force_similarity(spark, sf, monkeypatch, tree_rows):
+    monkeypatch.setattr(nearcopies, "TREE_ROWS", tree_rows)  # 4: shards are cut into sub-trees
     base = [r["text"].split() for r in table(spark, sf, "documents").collect() if 60 <= len((r["text"] or "").split()) <= 600][:12]
     edit = lambda words, step: " ".join("changed" + str(k) if k % step == 7 else w for k, w in enumerate(words))
     texts = [" ".join(w) for w in base] + [edit(w, step) for w in base for step in (30, 42, 47, 51, 60, 110)] + ["", None, "two words", "Two  words"]
