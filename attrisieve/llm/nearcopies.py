@@ -7,11 +7,11 @@ pigeonhole principle, so shards are drawn: the codes that agree on a random choi
 number of bits follows the number of texts, so that shards stay small, and the number of tables the bits, so that a pair at
 a similarity of 0.8 escapes all of them with a chance of ESCAPES at most. A BK-tree over each shard finds its candidates.
 
-Texts with one set are one node. Each node's nearest candidate in a shard and, if it is one, the shard's least node are
-checked first, which joins a large group in linear work, as a large shard is cut into sub-trees and a node is only sought in
-its own. Nodes without any candidate are done. Of the others, every node outside the largest group of its shard is then
-sought in all trees of the shard, and the candidates that still are apart are checked, so none is left out. Texts are fetched
-once, for the nodes that have a candidate.
+Texts with one set are one node. The candidates of all shards, reduced to a forest per shard, give groups of nodes that may
+be linked; nodes without any candidate are done, and texts are fetched once, for the others. Each node is first checked
+against its nearest candidate and the least and greatest node of its group, which joins a large group in linear work. Where
+that leaves several parts of a group, every node outside the largest part is sought in trees over the group, with the whole
+sets at hand, and only links that join parts are returned. So no pairs are written out, and none is left out.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bktree import Forest
+from .bktree import Forest, roots_of
 from .common import checkpoint, own_columns, parallelism, slices
 from .components import connected_components
 
@@ -36,8 +36,8 @@ LEAST = (4, 5)
 BITS, RADIUS = 128, 34
 #: Nodes in a shard on average, and the chance that all tables miss a pair that differs in EXPECTED bits.
 SHARD_ROWS, ESCAPES, EXPECTED = 64, 0.01, 20
-#: Rows of a sub-tree, and of the shards one task gets at a time.
-TREE_ROWS, GROUP_ROWS = 2048, 50_000
+#: Rows of a sub-tree and of the shards one task gets at a time, and shingles of a sub-tree whose sets are at hand.
+TREE_ROWS, GROUP_ROWS, TREE_SHINGLES = 2048, 50_000, 2_000_000
 _PIECE = 255 * 64
 
 
@@ -113,71 +113,84 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpoint(shared.where(F.col("s") * LEAST[1] >= (F.col("n") - F.col("s")) * LEAST[0]).select("a", "b"))
 
 
-def _grouped(rows: int, spark: SparkSession, shard: Column) -> Column:
-    """A number that deals shards to tasks, each about GROUP_ROWS rows at a time."""
-    return F.pmod(shard, F.lit(max(parallelism(spark), math.ceil(rows / GROUP_ROWS)))).cast("int").alias("g")
+def _dealt(spark: SparkSession, rows: int, per_task: int, shard: Column) -> Column:
+    """A number that deals shards to tasks, about so many rows at a time."""
+    return F.pmod(shard, F.lit(max(parallelism(spark), math.ceil(rows / per_task)))).cast("int").alias("g")
 
 
-def _nearest(keyed: DataFrame, rows: int) -> DataFrame:
-    """(a, b): for each node of shards (key, node, lo, hi) the nearest candidate in its sub-tree and the shard's least node, if it is one."""
+def _candidates(keyed: DataFrame, rows: int) -> DataFrame:
+    """(node, local, centre, best, d) for nodes of shards (key, node, lo, hi) that may have a candidate.
+
+    best: the nearest candidate in the node's sub-tree, d bits away; local: the least node reached over candidates there;
+    centre: the least node of a shard that is cut into sub-trees, whose nodes all count as reached. Each may be the node itself.
+    """
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TREE_ROWS)
-    least = checkpoint(keyed.join(large, "key").groupBy("key", "n").agg(F.min(F.struct("node", "lo", "hi")).alias("c")).select("key", "n", F.col("c.node").alias("c_node"), F.col("c.lo").alias("c_lo"), F.col("c.hi").alias("c_hi")))
-    part = F.pmod(F.xxhash64("node", F.lit(7)), F.coalesce(F.ceil(F.col("n") / TREE_ROWS), F.lit(1)))
-    shard = F.xxhash64("key", part)
-    dealt = keyed.join(least, "key", "left").select(_grouped(rows, keyed.sparkSession, shard), shard.alias("shard"), "node", "lo", "hi", F.col("n").isNotNull().alias("large"), *[F.coalesce(x, F.lit(0)).alias(x) for x in ("c_node", "c_lo", "c_hi")])  # no nulls, which pandas would make floats of
+    least = checkpoint(keyed.join(large, "key").groupBy("key", "n").agg(F.min("node").alias("centre")))
+    shard = F.xxhash64("key", F.pmod(F.xxhash64("node", F.lit(7)), F.coalesce(F.ceil(F.col("n") / TREE_ROWS), F.lit(1))))
+    dealt = keyed.join(least, "key", "left").select(_dealt(keyed.sparkSession, rows, GROUP_ROWS, shard), shard.alias("shard"), "node", "lo", "hi", F.coalesce("centre", "node").alias("centre"))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["shard", "node"], kind="stable")
-        shard, node = pdf["shard"].to_numpy(), pdf["node"].to_numpy()
+        shard, node, centre = (pdf[x].to_numpy() for x in ("shard", "node", "centre"))
         codes = np.stack([pdf["lo"].to_numpy(), pdf["hi"].to_numpy()], axis=1).view(np.uint64)
-        best = np.full(len(node), np.iinfo(np.int64).max)
+        best, local = np.full(len(node), np.iinfo(np.int64).max), np.arange(len(node))
         forest = Forest(shard, codes)
         for probe, hit in forest.search(shard, codes, RADIUS):
             probe, hit = probe[probe != hit], hit[probe != hit]
             np.minimum.at(best, probe, forest.apart(codes[probe], hit) << 32 | hit)
-        own = np.flatnonzero(best < np.iinfo(np.int64).max)
-        a, b = [node[own]], [node[best[own] & 0xFFFFFFFF]]
-        at = forest.roots[np.searchsorted(forest.shards, shard)]
-        close = np.flatnonzero(forest.apart(codes, at) <= RADIUS)
-        a.append(node[close])
-        b.append(node[at[close]])
-        far = np.flatnonzero(pdf["large"].to_numpy())
-        if len(far):
-            ends = np.stack([pdf[x].to_numpy()[far] for x in ("c_lo", "c_hi")], axis=1).view(np.uint64)
-            hit = far[np.bitwise_count(codes[far] ^ ends).sum(axis=1) <= RADIUS]
-            a.append(node[hit])
-            b.append(pdf["c_node"].to_numpy()[hit])
-        a, b = np.concatenate(a), np.concatenate(b)
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        return out[out["a"] != out["b"]].drop_duplicates()
-
-    return dealt.groupBy("g").applyInPandas(find, "a bigint, b bigint").distinct()
-
-
-def _sought(placed: DataFrame, rows: int) -> DataFrame:
-    """Candidates (a, b) of different roots, from shards (key, n, main, node, lo, hi, root): each node outside main is sought in the shard's trees."""
-    blocks = F.ceil(F.col("n") / TREE_ROWS).cast("int")
-    dealt = placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), blocks).cast("int")).withColumn("probe", F.col("root") != F.col("main"))
-    # a node stands in its own sub-tree; one that is sought also goes to the shard's other ones
-    dealt = dealt.withColumn("part", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
-    shard = F.xxhash64("key", "part")
-    dealt = dealt.select(_grouped(rows, placed.sparkSession, shard), shard.alias("shard"), "node", "lo", "hi", "root", "probe", (F.col("part") == F.col("own")).alias("tree"))
+            local = roots_of(len(node), probe, hit, local)
+        found = best < np.iinfo(np.int64).max
+        place = np.where(found, best & 0xFFFFFFFF, np.arange(len(node)))
+        out = pd.DataFrame({"node": node, "local": node[local], "centre": centre, "best": node[place], "d": np.where(found, best >> 32, BITS).astype(np.int32)})
+        return out[found | (centre != node)]
+
+    return dealt.groupBy("g").applyInPandas(find, "node bigint, local bigint, centre bigint, best bigint, d int")
+
+
+def _joined(rooted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes (node, lo, hi, part, root) of a part that join its roots."""
+    sized = sets.select("node", "found", F.size("found").alias("size"))
+    by_root = rooted.join(sized.select("node", "size"), "node").groupBy("part", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    torn = by_root.groupBy("part").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("roots > 1")
+    trees = F.greatest(F.ceil(F.col("n") / TREE_ROWS), F.ceil(F.col("size") / TREE_SHINGLES)).cast("int")
+    torn = checkpoint(torn.select("part", "main", "size", trees.alias("trees")))
+    total = torn.agg(F.sum("size")).first()[0] or 0
+    # a node stands in its own sub-tree; one outside the largest root also goes to the part's other ones
+    dealt = rooted.join(torn.drop("size"), "part").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), "trees").cast("int")).withColumn("probe", F.col("root") != F.col("main"))
+    dealt = dealt.withColumn("at", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), F.col("trees") - 1)).otherwise(F.array("own"))))
+    shard = F.xxhash64("part", "at")
+    dealt = dealt.join(sized.select("node", "found"), "node").select(_dealt(rooted.sparkSession, total, TREE_SHINGLES, shard), shard.alias("shard"), "node", "lo", "hi", "root", "probe", (F.col("at") == F.col("own")).alias("tree"), "found")
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["shard", "node"], kind="stable")
-        shard, node, root = (pdf[x].to_numpy() for x in ("shard", "node", "root"))
+        shard, node = pdf["shard"].to_numpy(), pdf["node"].to_numpy()
+        names, root = np.unique(pdf["root"].to_numpy(), return_inverse=True)
+        merged = np.arange(len(names))
         codes = np.stack([pdf["lo"].to_numpy(), pdf["hi"].to_numpy()], axis=1).view(np.uint64)
+        sizes = np.array([len(x) for x in pdf["found"]], dtype=np.int64)
+        hashes, word = np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["found"]]), return_inverse=True)
+        start = np.cumsum(sizes) - sizes
         grown, probing = np.flatnonzero(pdf["tree"].to_numpy()), np.flatnonzero(pdf["probe"].to_numpy())
         forest = Forest(shard[grown], codes[grown])
-        a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        present = np.zeros(len(hashes), dtype=np.int32)
+        links = []
         for probe, hit in forest.search(shard[probing], codes[probing], RADIUS):
             x, y = probing[probe], grown[hit]
-            other = root[x] != root[y]
-            a.append(np.minimum(node[x[other]], node[y[other]]))
-            b.append(np.maximum(node[x[other]], node[y[other]]))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
-
-    return dealt.groupBy("g").applyInPandas(find, "a bigint, b bigint")
+            apart = merged[root[x]] != merged[root[y]]
+            for one in np.unique(x[apart]):
+                others = y[apart & (x == one)]
+                present[word[start[one] : start[one] + sizes[one]]] = 1
+                flat = np.repeat(start[others] - (np.cumsum(sizes[others]) - sizes[others]), sizes[others]) + np.arange(int(sizes[others].sum()))
+                shared = np.add.reduceat(present[word[flat]], np.cumsum(sizes[others]) - sizes[others])
+                present[word[start[one] : start[one] + sizes[one]]] = 0
+                for other in others[shared * LEAST[1] >= (sizes[one] + sizes[others] - shared) * LEAST[0]]:
+                    a, b = sorted((int(merged[root[one]]), int(merged[root[other]])))
+                    if a != b:
+                        merged[merged == b] = a
+                        links.append((int(node[one]), int(node[other])))
+        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+    return checkpoint(dealt.groupBy("g").applyInPandas(find, "a bigint, b bigint"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,15 +206,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     masks = tables(count)
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("lo").bitwiseAND(_signed(x)), F.col("hi").bitwiseAND(_signed(y))) for k, (x, y) in enumerate(masks)])
     keyed = nodes.select("node", "lo", "hi", F.explode(keys).alias("key"))
-    pairs = checkpoint(_nearest(keyed, count * len(masks)))
-    paired = checkpoint(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
-    sets = _sets(source, paired)
+    met = checkpoint(_candidates(keyed, count * len(masks)))
+    parts = connected_components(met.select(F.col("node").alias("a"), F.explode(F.array("local", "centre", "best")).alias("b")))
+    parts = checkpoint(parts.select("node", F.col("root").alias("part")))
+    nearest = met.groupBy("node").agg(F.min(F.struct("d", "best")).alias("k")).select("node", F.col("k.best").alias("best"))
+    ends = parts.groupBy("part").agg(F.max("node").alias("high"))
+    pairs = parts.join(ends, "part").join(nearest, "node", "left").select("node", F.explode(F.array("part", "high", "best")).alias("end")).where("end <> node")
+    pairs = checkpoint(pairs.select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b")).distinct())
+    placed = checkpoint(nodes.join(parts, "node"))
+    sets = _sets(source, placed)
     linked = _checked(pairs, sets)
     first = connected_components(linked).withColumnRenamed("node", "m")
-    rooted = paired.join(first, paired["node"] == first["m"], "left").select("node", "lo", "hi", F.coalesce("root", "node").alias("root"))
-    placed = checkpoint(rooted).select("node", "lo", "hi", "root", F.explode(keys).alias("key"))
-    main = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1").drop("parts")
-    rest = checkpoint(_sought(placed.join(main, "key"), paired.count() * len(masks)).distinct().join(pairs, ["a", "b"], "left_anti"))
-    linked = linked.union(_checked(rest, sets))
+    rooted = checkpoint(placed.join(first, placed["node"] == first["m"], "left").select("node", "lo", "hi", "part", F.coalesce("root", "node").alias("root")))
+    linked = linked.union(_joined(rooted, sets))
     found = connected_components(linked).withColumnRenamed("node", "m")
     return read.join(found, read["node"] == found["m"], "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
