@@ -119,10 +119,10 @@ def _dealt(spark: SparkSession, rows: int, per_task: int, shard: Column) -> Colu
 
 
 def _candidates(keyed: DataFrame, rows: int) -> DataFrame:
-    """(node, local, centre, best, d) for nodes of shards (key, node, lo, hi) that may have a candidate.
+    """(node, least, best, d) for nodes of shards (key, node, lo, hi) that may have a candidate.
 
-    best: the nearest candidate in the node's sub-tree, d bits away; local: the least node reached over candidates there;
-    centre: the least node of a shard that is cut into sub-trees, whose nodes all count as reached. Each may be the node itself.
+    best: the nearest candidate in the node's sub-tree, d bits away; least: the least node reached over candidates, where all
+    nodes of a shard that is cut into sub-trees count as reached. Each may be the node itself.
     """
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TREE_ROWS)
     least = checkpoint(keyed.join(large, "key").groupBy("key", "n").agg(F.min("node").alias("centre")))
@@ -141,10 +141,10 @@ def _candidates(keyed: DataFrame, rows: int) -> DataFrame:
             local = roots_of(len(node), probe, hit, local)
         found = best < np.iinfo(np.int64).max
         place = np.where(found, best & 0xFFFFFFFF, np.arange(len(node)))
-        out = pd.DataFrame({"node": node, "local": node[local], "centre": centre, "best": node[place], "d": np.where(found, best >> 32, BITS).astype(np.int32)})
+        out = pd.DataFrame({"node": node, "least": np.where(centre != node, centre, node[local]), "best": node[place], "d": np.where(found, best >> 32, BITS).astype(np.int32)})
         return out[found | (centre != node)]
 
-    return dealt.groupBy("g").applyInPandas(find, "node bigint, local bigint, centre bigint, best bigint, d int")
+    return dealt.groupBy("g").applyInPandas(find, "node bigint, least bigint, best bigint, d int")
 
 
 def _joined(rooted: DataFrame, sets: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("lo").bitwiseAND(_signed(x)), F.col("hi").bitwiseAND(_signed(y))) for k, (x, y) in enumerate(masks)])
     keyed = nodes.select("node", "lo", "hi", F.explode(keys).alias("key"))
     met = checkpoint(_candidates(keyed, count * len(masks)))
-    parts = connected_components(met.select(F.col("node").alias("a"), F.explode(F.array("local", "centre", "best")).alias("b")))
+    parts = connected_components(met.select(F.col("node").alias("a"), F.col("least").alias("b")))
     parts = checkpoint(parts.select("node", F.col("root").alias("part")))
     nearest = met.groupBy("node").agg(F.min(F.struct("d", "best")).alias("k")).select("node", F.col("k.best").alias("best"))
     ends = parts.groupBy("part").agg(F.max("node").alias("high"))
