@@ -3,8 +3,13 @@
 An ARC file opens with a version block, whose last line names the fields of every later header line: five in version 1,
 ten in version 2. The declared length, not any separator, says where a record ends. The converter turns each record into a
 WARC record with an identifier made from its place, an ISO date, a type, digests, and a revisit in place of a payload that
-an earlier record already has. Archives are written by Spark's text sink (which writes a string's bytes as they are) to a
-folder that all executors share, and read back as whole files, so no executor touches a file system itself.
+an earlier record already has.
+
+An archive holds about FILE_BYTES of records, each a gzip member of its own, so records can be sought and are read one by one
+whatever an archive's size. Archives are written by Spark's text sink (which writes a string's bytes as they are, and behind
+an archive a zero byte, which gzip takes for padding) to a folder that all executors share, and read back as whole files, so
+no executor touches a file system itself. Which records are revisits is decided from digests alone; payloads aren't dealt
+out again, an archive is converted as a whole, its warcinfo first.
 """
 
 from __future__ import annotations
@@ -13,17 +18,19 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh_path, own_columns
+from .common import checkpoint, discard, fresh_path, own_columns, slices
 
-#: Records an archive holds besides its version block.
-RECORDS_PER_FILE = 4000
+#: Bytes of records after which an archive ends; a longer record has one to itself.
+FILE_BYTES = 16 << 20
+#: How hard members are compressed.
+LEVEL = 1
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 100
 #: Fields of an ARC header line by version (fixed values).
@@ -68,25 +75,66 @@ def arc_record(version: int, page_id: int | None, url: str | None, payload: byte
     return " ".join(values.get(f, "-") for f in FIELDS[version]).encode() + b"\n" + content
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """Records of an ARC file, the version block first.
+class _Source:
+    """Bytes that come in pieces; ``held[at:]`` is what has come and isn't used up, ``place`` where that begins."""
+
+    def __init__(self, data: bytes | Iterable[bytes]):
+        self.pieces = iter([data]) if isinstance(data, bytes) else iter(data)
+        self.held, self.at, self.before = b"", 0, 0
+
+    @property
+    def place(self) -> int:
+        return self.before + self.at
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is None:
+            return False
+        self.before += self.at
+        self.held, self.at = self.held[self.at :] + piece, 0
+        return True
+
+    def has(self, n: int) -> bool:
+        """Whether n bytes are at hand, or can be had."""
+        while len(self.held) - self.at < n:
+            if not self.more():
+                return False
+        return True
+
+    def find(self, mark: bytes) -> int:
+        """How far off a mark begins; -1 if there is none."""
+        while (found := self.held.find(mark, self.at)) < 0:
+            if not self.more():
+                return -1
+        return found - self.at
+
+    def take(self, n: int) -> bytes:
+        self.has(n)
+        out = self.held[self.at : self.at + n]
+        self.at += len(out)
+        return out
+
+
+def parse_arc(data: bytes | Iterable[bytes]) -> Iterator[ArcRecord]:
+    """Records of an ARC file (its bytes, or pieces of them), the version block first.
 
     A record whose declared length runs past the end of the file is marked truncated. Raises ValueError where a header
     line doesn't have the fields its version names.
     """
-    at, names = 0, None
-    while at < len(data):
-        if data[at] in b"\r\n":  # what separates records
-            at += 1
+    source, names = _Source(data), None
+    while source.has(1):
+        if source.held[source.at] in b"\r\n":  # what separates records
+            source.at += 1
             continue
-        stop = data.find(b"\n", at)
+        place, stop = source.place, source.find(b"\n")
         if stop < 0:
-            raise ValueError(f"header line at {at} has no end")
-        line = data[at:stop].rstrip(b"\r").decode("utf-8", "replace")
+            raise ValueError(f"header line at {place} has no end")
+        line = source.take(stop + 1).rstrip(b"\r\n").decode("utf-8", "replace")
         if names is None:
             values = line.split(" ")
             size = int(values[-1])
-            body = data[stop + 1 : stop + 1 + size].decode("utf-8", "replace").splitlines()
+            content = source.take(size)
+            body = content.decode("utf-8", "replace").splitlines()
             if not line.startswith("filedesc://") or len(body) < 2 or not body[0].split(" ")[0].isdigit():
                 raise ValueError("the file doesn't open with a version block")
             names = tuple(body[1].split(" "))
@@ -94,12 +142,11 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         else:
             values = line.rsplit(" ", len(names) - 1)  # only the URL can hold spaces
             if len(values) != len(names) or not values[-1].isdigit():
-                raise ValueError(f"header line at {at} has not the fields {names}")
+                raise ValueError(f"header line at {place} has not the fields {names}")
             fields = dict(zip(names, values, strict=True))
             size = int(values[-1])
-        content = data[stop + 1 : stop + 1 + size]
-        yield ArcRecord(at, fields, content, len(content) < size)
-        at = stop + 1 + size
+            content = source.take(size)
+        yield ArcRecord(place, fields, content, len(content) < size)
 
 
 def split_http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -110,8 +157,13 @@ def split_http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}, head, block[len(head) :]
 
 
+def record_id(place: str, offset: int) -> str:
+    """The identifier of the record at an offset of a file, the same each time it is converted."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place}#{offset}')}>"
+
+
 def to_warc(record: ArcRecord, place: str) -> WarcRecord:
-    """The equivalent WARC record; place names the file, so identifiers are the same each time it is converted."""
+    """The equivalent WARC record; place names the file."""
     d = record.fields.get("Archive-date", CRAWL_DATE)
     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
     url = record.fields["URL"]
@@ -120,7 +172,7 @@ def to_warc(record: ArcRecord, place: str) -> WarcRecord:
     payload = split_http(record.content)[2] if http else record.content
     headers = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place}#{record.offset}')}>",
+        "WARC-Record-ID": record_id(place, record.offset),
         "WARC-Date": date,
         **({"WARC-Filename": url.removeprefix("filedesc://")} if kind == "warcinfo" else {"WARC-Target-URI": url}),
         "WARC-Payload-Digest": f"sha256:{hashlib.sha256(payload).hexdigest()}",
@@ -148,33 +200,42 @@ def write_warc(record: WarcRecord) -> bytes:
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + record.block
 
 
-def parse_warc(data: bytes) -> Iterator[WarcRecord]:
-    """Records of a WARC file by their declared lengths. Raises ValueError where one doesn't begin or end as it should."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/1.", at) or end < 0:
-            raise ValueError(f"no WARC record at {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+def parse_warc(data: bytes | Iterable[bytes]) -> Iterator[WarcRecord]:
+    """Records of a WARC file (its bytes, or pieces of them) by their declared lengths.
+
+    Raises ValueError where one doesn't begin or end as it should.
+    """
+    source = _Source(data)
+    while source.has(1):
+        place, end = source.place, source.find(b"\r\n\r\n")
+        if end < 0 or not source.held.startswith(b"WARC/1.", source.at):
+            raise ValueError(f"no WARC record at {place}")
+        lines = source.take(end + 4)[:-4].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k: v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        stop = start + int(headers["Content-Length"])
-        if data[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at {at} doesn't end after its declared length")
-        yield WarcRecord(headers, data[start:stop])
-        at = stop + 4
+        block = source.take(int(headers["Content-Length"]))
+        if source.take(4) != b"\r\n\r\n":
+            raise ValueError(f"the record at {place} doesn't end after its declared length")
+        yield WarcRecord(headers, block)
+
+
+def _member(raw: bytes) -> bytes:
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return packer.compress(raw) + packer.flush()
 
 
-def _unpacked(content: bytes) -> bytes:
-    """The bytes of an archive that may be gzipped, as one member or one for each record."""
+def _members(content: bytes) -> Iterator[bytes]:
+    """What an archive's gzip members hold, one by one; the archive itself if it isn't gzipped."""
     if content[:2] != b"\x1f\x8b":
-        return content
-    parts = []
-    while content:
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join(parts)
+        yield content.rstrip(b"\0")
+        return
+    view = memoryview(content)
+    while len(view) and view[0]:
+        parts, member = [], zlib.decompressobj(31)
+        while not member.eof and len(view):
+            parts.append(member.decompress(view[: 1 << 16]))
+            left = len(member.unused_data)
+            view = view[min(len(view), 1 << 16) - left :]
+        yield b"".join(parts)
 
 
 def _files(docs: DataFrame, path: str) -> DataFrame:
@@ -195,37 +256,40 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 8 << 20) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write gzipped ARC files of pages; every other one has version 2."""
+def _archives(lines: DataFrame, path: str) -> None:
+    """Write a file for each row's bytes."""
+    lines.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            count = 0
-            for batch in batches:
-                for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    version = 1 + count // records_per_file % 2
-                    if count % records_per_file == 0:
-                        yield (version_block(version, f"part-{count // records_per_file}.arc"),)
-                    count += 1
-                    yield (arc_record(version, page_id, url, (html or "").encode()),)
-
-        yield from _batches(rows(), pa.schema([("value", pa.binary())]))
 
-    source = own_columns(pages, page_id=id_col, url=url_col, html=html_col)
-    lines = source.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file + 1).text(path)
+def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int | None = None) -> None:
+    """Write ARC files of pages, a gzip member for each record; every other one has version 2."""
+    file_bytes = file_bytes or FILE_BYTES
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, room, count = [], 0, 0
+        for batch in slices(batches, 64):
+            for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                version = 1 + count % 2
+                if not members:
+                    members, room = [_member(version_block(version, f"part-{count}.arc") + b"\n")], file_bytes
+                record = arc_record(version, page_id, url, (html or "").encode())
+                members.append(_member(record + b"\n"))
+                room -= len(record)
+                if room <= 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+                    members, count = [], count + 1
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
 
-def _converted(content: bytes, place: str) -> Iterator[WarcRecord]:
-    for record in parse_arc(_unpacked(content)):
-        yield to_warc(record, place)
+    source = own_columns(pages, page_id=id_col, url=url_col, html=html_col)
+    _archives(source.mapInArrow(run, "value binary"), path)
 
 
 def convert(source: DataFrame, arc_path: str, warc_path: str, least_revisit: int = LEAST_REVISIT) -> None:
-    """Write gzipped WARC files with the records of all ARC files under arc_path (source only lends its session).
+    """Write a WARC file for each ARC file under arc_path, a gzip member for each record (source only lends its session).
 
     Of records with equal payloads of at least least_revisit bytes, that with the smallest page id stays a response (no id
-    comes last, then the record's identifier decides) and the others become revisits of it.
+    comes last, then the record's place decides) and the others become revisits of it.
     """
     files = _files(source, arc_path)
 
@@ -233,56 +297,50 @@ def convert(source: DataFrame, arc_path: str, warc_path: str, least_revisit: int
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for path, content in zip(*batch.columns, strict=True):
-                    for record in _converted(content.as_py(), path.as_py()):
-                        if record.headers["WARC-Type"] == "response":
-                            head, _, payload = split_http(record.block)
+                    for record in parse_arc(_members(content.as_py())):
+                        if record.content.startswith(b"HTTP/"):
+                            head, _, payload = split_http(record.content)
                             if len(payload) >= least_revisit:
                                 number = head.get("x-page-id")
-                                yield record.headers["WARC-Record-ID"], record.headers["WARC-Payload-Digest"], number and int(number)
+                                yield path.as_py(), record.offset, hashlib.sha256(payload).digest(), number and int(number)
 
-        yield from _batches(rows(), pa.schema([("rid", pa.string()), ("digest", pa.string()), ("page_id", pa.int64())]))
+        yield from _batches(rows(), pa.schema([("path", pa.string()), ("offset", pa.int64()), ("digest", pa.binary()), ("page_id", pa.int64())]))
 
-    found = checkpoint(files.mapInArrow(facts, "rid string, digest string, page_id bigint"))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid")
+    found = checkpoint(files.mapInArrow(facts, "path string, offset bigint, digest binary, page_id bigint"))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "offset")
     firsts = found.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("digest", F.col("first.rid").alias("of"))
-    again = checkpoint(found.join(firsts, "digest").where("rid <> of").select("rid", "of"))
+    firsts = firsts.select("digest", F.col("first.path").alias("of_path"), F.col("first.offset").alias("of_offset"))
+    again = found.join(firsts, "digest").where("path <> of_path or offset <> of_offset")
+    # an archive's records are bounded by its bytes
+    again = checkpoint(again.groupBy("path").agg(F.collect_list(F.struct("offset", "of_path", "of_offset")).alias("again")))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for path, content in zip(*batch.columns, strict=True):
-                    for record in _converted(content.as_py(), path.as_py()):
-                        yield record.headers["WARC-Record-ID"], write_warc(record)
-
-        yield from _batches(rows(), pa.schema([("rid", pa.string()), ("value", pa.binary())]))
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for value, of in zip(*batch.columns, strict=True):
-                    raw = value.as_py()
-                    yield (write_warc(revisit(next(parse_warc(raw + b"\r\n\r\n")), of.as_py())) if of.is_valid else raw,)
-
-        yield from _batches(rows(), pa.schema([("value", pa.binary())]))
+        for batch in batches:
+            for path, content, known in zip(*batch.columns, strict=True):
+                place = path.as_py()
+                of = {x["offset"]: record_id(x["of_path"], x["of_offset"]) for x in known.as_py() or ()}
+                members = []
+                for record in parse_arc(_members(content.as_py())):
+                    made = to_warc(record, place)
+                    members.append(_member(write_warc(revisit(made, of[record.offset]) if record.offset in of else made) + b"\r\n\r\n"))
+                if members:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
 
-    decided = files.mapInArrow(records, "rid string, value binary").join(again.hint("shuffle_hash"), "rid", "left")
-    lines = decided.select("value", "of").mapInArrow(settle, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(warc_path)
+    _archives(files.join(again, "path", "left").select("path", "content", "again").mapInArrow(records, "value binary"), warc_path)
 
 
 def read_warc(source: DataFrame, path: str) -> DataFrame:
     """(record_id, page_id, url, payload_bytes, payload_digest, record_type, refers_to_id, refers_to) per page in WARC files.
 
     A response's length and digest are those of its payload, and its stated digest must agree; a revisit's are those it
-    states. refers_to is the page id of the record a revisit refers to.
+    states. refers_to is the page id of the record a revisit refers to. The result no longer reads the files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for content in batch.column(1):
-                    for record in parse_warc(_unpacked(content.as_py())):
+                    for record in parse_warc(_members(content.as_py())):
                         kind, stated = record.headers["WARC-Type"], record.headers["WARC-Payload-Digest"]
                         if kind not in ("response", "revisit"):
                             continue
@@ -299,9 +357,12 @@ def read_warc(source: DataFrame, path: str) -> DataFrame:
         yield from _batches(rows(), pa.schema(names))
 
     found = checkpoint(_files(source, path).mapInArrow(run, "record_id string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to_id string"))
-    referred = found.where("refers_to_id is not null").select(F.col("refers_to_id").alias("r")).distinct()
-    originals = found.join(referred, F.col("record_id") == F.col("r"), "left_semi").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return found.join(originals, "refers_to_id", "left")
+    # only revisits are joined: all others would meet in one task, as they refer to nothing
+    revisits = found.where("refers_to_id is not null")
+    referred = revisits.select(F.col("refers_to_id").alias("r")).distinct()
+    originals = found.join(referred, F.col("record_id") == F.col("r"), "left_semi").select(F.col("record_id").alias("o"), F.col("page_id").alias("refers_to"))
+    resolved = revisits.join(originals, F.col("refers_to_id") == F.col("o"), "left").drop("o")
+    return found.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(resolved)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -309,10 +370,14 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     A null html is an empty payload, a null url becomes urn:missing, a null id stays null; repeated rows are records of
     their own, all but one of them revisits where the payload is long enough. An empty table gives no rows; other columns
-    are ignored.
+    are ignored. A payload of any length is one record, in an archive of its own past FILE_BYTES. The archives are deleted
+    once they have been read back.
     """
     spark = pages.sparkSession
     old, new = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, old, id_col, url_col, html_col)
     convert(pages, old, new)
-    return read_warc(pages, new)
+    discard(spark, old)
+    found = read_warc(pages, new)
+    discard(spark, new)
+    return found

@@ -641,10 +641,41 @@ def test_warc_round_trip_in_memory():
         list(arc.parse_warc(data[:-3]))
 
 
+def test_archives_are_members_that_gzip_reads(spark, tmp_path):
+    import gzip
+
+    rows = [(k, f"http://h/{k}", "same page " * 30 if k % 3 else f"page {k} " * 40) for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    old, new = f"file://{tmp_path}/arc", f"file://{tmp_path}/warc"
+    arc.write_arc(df, old, file_bytes=6000)
+    arc.convert(df, old, new)
+    files = sorted((tmp_path / "warc").glob("part-*"))
+    assert len(files) > 2 and len(files) == len(list((tmp_path / "arc").glob("part-*")))
+    kinds = Counter()
+    for f in files:
+        raw = f.read_bytes()
+        records = list(arc.parse_warc(gzip.decompress(raw)))  # the padding behind the members is no fault to gzip
+        assert records[0].headers["WARC-Type"] == "warcinfo" and len(list(arc._members(raw))) == len(records)
+        kinds.update(r.headers["WARC-Type"] for r in records)
+    assert kinds["response"] == 21 and kinds["revisit"] == 39
+    versions = {next(arc.parse_arc(arc._members(f.read_bytes()))).fields["version"] for f in (tmp_path / "arc").glob("part-*")}
+    assert versions == {"1", "2"}
+    assert arc.read_warc(df, new).where("refers_to = 1").count() == 39
+
+
+def test_records_in_pieces_are_read_alike():
+    whole = arc.version_block(1, "n") + b"\n" + b"\n".join(arc.arc_record(1, k, f"http://x/{k}", b"p\r\n" * k) for k in range(9))
+    for size in (1, 7, 64, 10_000):
+        pieces = [whole[k : k + size] for k in range(0, len(whole), size)]
+        assert list(arc.parse_arc(pieces)) == list(arc.parse_arc(whole))
+    packed = arc._member(whole[:300]) + arc._member(whole[300:]) + b"\0"
+    assert b"".join(arc._members(packed)) == whole and list(arc._members(whole + b"\0")) == [whole]
+
+
 def test_pages_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(arc, "RECORDS_PER_FILE", 4)
+    monkeypatch.setattr(arc, "FILE_BYTES", 2000)
     long_ = "é\r\n\r\nWARC/1.1\n" * 20
-    rows = [(5, "http://a/", long_), (2, "http://b c/", long_), (9, None, long_), (3, "u", "short"), (4, "u", "short"), (6, "v", None), (None, "w", long_), (7, "x", ""), (2, "http://b c/", long_), (8, "y", "z" * 200_000)]
+    rows = [(5, "http://a/", long_), (2, "http://b c/", long_), (9, None, long_), (3, "u", "short"), (4, "u", "short"), (6, "v", None), (None, "w", long_), (7, "x", ""), (2, "http://b c/", long_), (8, "y", "z" * 3_000_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest", F.lit(0)).repartition(3)
     got = sorted(((r["page_id"] is None, r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"], r["payload_digest"]) for r in arc.round_trip(df).collect()), key=repr)
     bytes_ = lambda t: (t or "").encode()
