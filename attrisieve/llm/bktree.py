@@ -52,7 +52,7 @@ class Forest:
             gap += np.bitwise_count(codes[:, k] ^ self.codes[node, k])
         return gap
 
-    def search(self, shard: np.ndarray, codes: np.ndarray, radius: int, room: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, shard: np.ndarray, codes: np.ndarray, radius: int, room: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Yield (index into codes, index of node) of all pairs within the radius, following only edges within it."""
         if not len(self.shards):
             return
