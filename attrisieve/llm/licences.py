@@ -28,14 +28,22 @@ SENTENCES = (
     ("BSDSource", r"^(1 )?redistributions of source code must retain the above copyright notice.*$"),
     ("BSDBinary", r"^(2 )?redistributions in binary form must reproduce the above copyright notice.*$"),
     ("BSDEndorse", r"^(3 )?neither the name .* may be used to endorse or promote products( .*)?$"),
-    ("BSDRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?([23] clause )?bsd license$"),
-    ("GPL3Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu general public license,? version 3( 0)?( or later)?$"),
-    ("GPL2Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu general public license,? version 2( 0)?( or later)?$"),
+    ("BSD3Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?(3|three) clause bsd license$"),
+    ("BSD2Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?(2|two) clause bsd license$"),
+    ("BSDRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?bsd license$"),
+    ("GPL3Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu (general public license|gpl),? (version |v)3( 0)?$"),
+    ("GPL3LaterRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu (general public license|gpl),? (version |v)3( 0)? or later$"),
+    ("GPL2Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu (general public license|gpl),? (version |v)2( 0)?$"),
+    ("GPL2LaterRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu (general public license|gpl),? (version |v)2( 0)? or later$"),
     ("GPLRedistribute", r"^(this program is free software )?you can redistribute it and(/| )?or modify it under the terms of the gnu general public license( .*)?$"),
     ("GPL3OrLater", r"^.*either version 3 of the license, or .* any later version$"),
     ("GPL2OrLater", r"^.*either version 2 of the license, or .* any later version$"),
-    ("LGPLRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu lesser general public license,? version (2 1|3)( 0)?( or later)?$"),
-    ("AGPLRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu affero general public license,? version 3( 0)?( or later)?$"),
+    ("LGPL21Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu (lesser general public license|lgpl),? (version |v)2 1$"),
+    ("LGPL21LaterRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu (lesser general public license|lgpl),? (version |v)2 1 or later$"),
+    ("LGPL3Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu (lesser general public license|lgpl),? (version |v)3( 0)?$"),
+    ("LGPL3LaterRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu (lesser general public license|lgpl),? (version |v)3( 0)? or later$"),
+    ("AGPL3Ref", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu (affero general public license|agpl),? (version |v)3( 0)?$"),
+    ("AGPL3LaterRef", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under the (terms of the )?gnu (affero general public license|agpl),? (version |v)3( 0)? or later$"),
     ("MPLRef", r"^(this (file|work|software|project|code) is |this source code form is )?(licensed|released|distributed|subject) (under|to) the terms of the mozilla public license,? v(ersion)? ?2( 0)?$"),
     ("CCBYNC", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under cc by nc( 4 0)?$"),
     ("CCBYSA", r"^(this (file|work|software|project|code) is )?(licensed|released|distributed) under cc by sa( 4 0)?$"),
@@ -45,7 +53,7 @@ SENTENCES = (
     ("UnknownRef", r"^.*\b(licensed|released|distributed) under .*\blicense\b.*$"),
 )
 
-#: Sentences of the official notices, tried before the others; the SQL hasn't them.
+#: Sentences of the official notices, tried before the others (fixed values).
 _GRANT = r"^(.* is free software )?you can redistribute it and(/| )?or modify it under the terms of the gnu "
 _FSF = r" as published by the free software foundation,? "
 _LATER = r" of the license,? or at your option any later version$"
@@ -79,11 +87,19 @@ RULES = (
     ("GPL-2.0-or-later", ("GPLRedistribute", "GPL2OrLater")),
     ("Apache-2.0", ("ApacheRef",)),
     ("MIT", ("MITRef",)),
+    ("BSD-3-Clause", ("BSD3Ref",)),
+    ("BSD-2-Clause", ("BSD2Ref",)),
     ("BSD", ("BSDRef",)),
     ("GPL-3.0", ("GPL3Ref",)),
+    ("GPL-3.0-or-later", ("GPL3LaterRef",)),
     ("GPL-2.0", ("GPL2Ref",)),
-    ("LGPL", ("LGPLRef",)),
-    ("AGPL-3.0", ("AGPLRef",)),
+    ("GPL-2.0-or-later", ("GPL2LaterRef",)),
+    ("LGPL-2.1", ("LGPL21Ref",)),
+    ("LGPL-2.1-or-later", ("LGPL21LaterRef",)),
+    ("LGPL-3.0", ("LGPL3Ref",)),
+    ("LGPL-3.0-or-later", ("LGPL3LaterRef",)),
+    ("AGPL-3.0", ("AGPL3Ref",)),
+    ("AGPL-3.0-or-later", ("AGPL3LaterRef",)),
     ("MPL-2.0", ("MPLRef",)),
     ("CC-BY-NC-4.0", ("CCBYNC",)),
     ("CC-BY-SA-4.0", ("CCBYSA",)),
@@ -93,9 +109,8 @@ RULES = (
     ("unknown", ("UnknownRef",)),
 )
 
-#: What the SQL passes over texts and sentences by; it takes single blanks only, so it may miss sentences that scan() finds.
-HINT = r"(?i)licen[cs]ed|released under|distributed under|licen[cs]e\b|redistribut|permission (?:is hereby|to use)|provided .?as is|in no event shall|public domain"
-TELLING = HINT + r"|you may|neither the name|version [23]|copyright notice|warrant"
+#: Words of which every known sentence has one: a text or sentence without any is passed over.
+LIKELY = r"(?i)licen[cs]e|released|distribut|permission|copyright|provided|in[^a-z0-9]+no[^a-z0-9]+event|neither|version|unless|public[^a-z0-9]+domain"
 #: Ends of sentences: a stop, question or exclamation mark or semicolon before white space, a colon before a line end, an empty line.
 CUT = r"[.!?;]+(?:\s+|$)|\n\s*\n|:\s*\n"
 #: Rules of the notices: those tried before the others, and those of a redistribution grant alone, tried after them.
@@ -113,8 +128,6 @@ NOTICE_RULES = (
 )
 LONE_RULES = (("AGPL", ("AGPLRedistribute",)), ("LGPL", ("LGPLRedistribute",)), ("GPL", ("GPLRedistribute",)))
 
-#: A text or sentence without any of these has no known sentence; blanks may be any signs, as they are gone once normalised.
-LIKELY = TELLING.replace(" .?", " ").replace(r"\b", "").replace(" ", "[^a-z0-9]+")
 #: CUT, but not after the stop of "v. 2".
 STOP = r"(?!(?<=\b[vV])\.\s+[0-9])" + f"(?:{CUT})"
 #: Comment marks at the start of a line.
@@ -161,7 +174,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, sentence_ids, licences) per row of docs: identifiers in order and licences sorted, both joined by a blank.
 
     Null and empty texts and those without a known sentence have empty strings; null ids and repeated rows are scanned like
-    any other; an empty table gives no rows; other columns are ignored.
+    any other; an empty table gives no rows; other columns are ignored. A text of any length is scanned whole, in one row.
     """
     source = own_columns(docs, doc_id=id_col, text=text_col)
     none = F.array().cast("array<string>")
@@ -171,25 +184,34 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def oracle_sql() -> str:
-    """scan() of documents in SQL, from the same tables."""
+    """scan() of documents in SQL: no text or sentence is passed over, and every sentence is tried against every pattern.
+
+    The patterns and rules are data that both sides read; DuckDB's regular expressions can't look behind, so the stop of
+    "v. 2" is taken out before sentences are cut.
+    """
     q = lambda x: "'" + x.replace("'", "''") + "'"
+    known = NOTICES + SENTENCES
+    rules = NOTICE_RULES + RULES + LONE_RULES
     norm = lambda x: f"trim(regexp_replace(replace(lower({x}), 'licence', 'license'), {q(SIGNS)}, ' ', 'g'))"
-    known = q("|".join(f"(?:{p})" for _, p in SENTENCES[:-1]))
-    case = "CASE " + " ".join(f"WHEN regexp_matches(l, {q(p)}) THEN '{n}'" for n, p in SENTENCES) + " END"
-    needles = [f" {'  '.join(sequence)} " for _, sequence in RULES]
+    any_of = lambda x: q("|".join(f"(?:{p})" for _, p in x))
+    case = "CASE " + " ".join(f"WHEN regexp_matches(l, {q(p)}) THEN '{n}'" for n, p in known) + " END"
+    needles = [f" {'  '.join(sequence)} " for _, sequence in rules]
     steps = ", ".join(f"replace(r{k}, '{n}', ' | ') AS r{k + 1}" for k, n in enumerate(needles))
-    hits = ", ".join(f"CASE WHEN contains(r{k}, '{n}') THEN '{RULES[k][0]}' END" for k, n in enumerate(needles))
+    hits = ", ".join(f"CASE WHEN contains(r{k}, '{n}') THEN '{rules[k][0]}' END" for k, n in enumerate(needles))
     return f"""
 WITH raw AS (
-  SELECT doc_id, CASE WHEN regexp_matches(text, {q(HINT)}) THEN list_filter(
-    regexp_split_to_array(regexp_replace(text, {q(MARKS)}, '', 'g'), {q(CUT)}), lambda s: regexp_matches(s, {q(TELLING)})) ELSE [] END AS parts
+  SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), {q(MARKS)}, '', 'g'), '\\b([vV])\\.(\\s+[0-9])', '\\1\\2', 'g'), {q(CUT)})) AS s,
+         generate_subscripts(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), {q(MARKS)}, '', 'g'), '\\b([vV])\\.(\\s+[0-9])', '\\1\\2', 'g'), {q(CUT)}), 1) AS place
   FROM documents
+), whole AS (
+  SELECT doc_id, place, s, {norm("s")} AS n, list_transform(string_split(s, chr(10)), lambda y: {norm("y")}) AS lines FROM raw
 ), cut AS (
-  SELECT doc_id, flatten(list_transform(parts, lambda s: CASE WHEN regexp_matches({norm("s")}, {known}) THEN [{norm("s")}]
-    ELSE list_transform(string_split(s, chr(10)), lambda y: {norm("y")}) END)) AS lines
-  FROM raw
-), named AS (
-  SELECT doc_id, array_to_string(list_filter(list_transform(lines, lambda l: {case}), lambda x: x IS NOT NULL), ' ') AS sentence_ids FROM cut
-), walked AS (SELECT doc_id, sentence_ids, ' ' || replace(sentence_ids, ' ', '  ') || ' ' AS r0, {steps} FROM named)
+  SELECT doc_id, place, CASE WHEN regexp_matches(n, {any_of(known[:-1])}) THEN [n]
+    WHEN regexp_matches(n, {q(known[-1][1])}) AND len(list_filter(lines, lambda y: regexp_matches(y, {any_of(known)}))) = 0 THEN [n] ELSE lines END AS lines
+  FROM whole
+), line AS (SELECT doc_id, place, unnest(lines) AS l, generate_subscripts(lines, 1) AS nth FROM cut
+), named AS (SELECT doc_id, string_agg({case}, ' ' ORDER BY place, nth) AS ids FROM line GROUP BY doc_id
+), ids AS (SELECT d.doc_id, coalesce(n.ids, '') AS sentence_ids FROM documents d LEFT JOIN named n ON d.doc_id = n.doc_id
+), walked AS (SELECT doc_id, sentence_ids, ' ' || replace(sentence_ids, ' ', '  ') || ' ' AS r0, {steps} FROM ids)
 SELECT doc_id, sentence_ids, array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x IS NOT NULL))), ' ') AS licences FROM walked
 """

@@ -345,21 +345,57 @@ EXAMPLES = {
     "ISCGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "BSDGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted", "BSDSource": "Redistributions of source code must retain the above copyright notice",
     "BSDBinary": "Redistributions in binary form must reproduce the above copyright notice", "BSDEndorse": "Neither the name of it nor others may be used to endorse or promote products", "BSDRef": "This code is licensed under the 3-clause BSD license", "GPL3Ref": "Licensed under the GNU General Public License, version 3 or later",
     "GPL2Ref": "Licensed under the GNU General Public License version 2", "GPLRedistribute": "You can redistribute it and/or modify it under the terms of the GNU General Public License", "GPL3OrLater": "either version 3 of the License, or (at your option) any later version", "GPL2OrLater": "either version 2 of the License, or (at your option) any later version",
-    "LGPLRef": "Licensed under the GNU Lesser General Public License, version 3", "AGPLRef": "Licensed under the GNU Affero General Public License, version 3", "MPLRef": "This file is subject to the terms of the Mozilla Public License, version 2.0", "CCBYNC": "Distributed under CC BY-NC 4.0", "CCBYSA": "Distributed under CC BY-SA 4.0", "CCBY": "Released under CC BY 4.0",
+    "LGPL3Ref": "Licensed under the GNU Lesser General Public License, version 3", "AGPL3Ref": "Licensed under the GNU Affero General Public License, version 3", "MPLRef": "This file is subject to the terms of the Mozilla Public License, version 2.0", "CCBYNC": "Distributed under CC BY-NC 4.0", "CCBYSA": "Distributed under CC BY-SA 4.0", "CCBY": "Released under CC BY 4.0",
     "CC0": "Released under CC0 1.0", "Unlicense": "This is free and unencumbered software released into the public domain", "UnknownRef": "It is released under the Foo License",
 }
 
 
+ALONE = {
+    "ApacheRef": "Licensed under the Apache License, Version 2.0.", "ApacheNoUse": "You may not use this file except in compliance with the License.", "ApacheCopy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "ApacheAsIs": "Unless required by applicable law or agreed to in writing, it comes without warranties or conditions of any kind.", "MITRef": "Released under the MIT License.", "MITGrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
+    "MITNotice": "The above copyright notice and this permission notice shall be included in all copies.", "AsIs": "This software is provided by the copyright holders and contributors as is.", "NoLiability": "In no event shall the authors be liable.",
+    "ISCGrant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "BSDGrant": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+    "BSDSource": "Redistributions of source code must retain the above copyright notice.", "BSDBinary": "Redistributions in binary form must reproduce the above copyright notice.", "BSDEndorse": "Neither the name of Foo may be used to endorse or promote products.",
+    "BSD3Ref": "Licensed under the 3-Clause BSD License.", "BSD2Ref": "Licensed under the 2-clause BSD licence.", "BSDRef": "Distributed under the BSD license.", "GPL3Ref": "Released under the GNU General Public License, version 3.", "GPL3LaterRef": "Released under the GNU GPL, version 3 or later.",
+    "GPL2Ref": "Licensed under the GNU General Public License, version 2.", "GPL2LaterRef": "Licensed under the GNU General Public License version 2 or later.", "GPLRedistribute": "You can redistribute it and/or modify it under the terms of the GNU General Public License.",
+    "GPL3OrLater": "Either version 3 of the License, or (at your option) any later version.", "GPL2OrLater": "Either version 2 of the License, or (at your option) any later version.", "LGPL21Ref": "Licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL21LaterRef": "Licensed under the GNU LGPL v2.1 or later.", "LGPL3Ref": "Licensed under the GNU LGPL, version 3.", "LGPL3LaterRef": "Licensed under the GNU Lesser General Public License, version 3 or later.", "AGPL3Ref": "Licensed under the GNU Affero General Public License, version 3.",
+    "AGPL3LaterRef": "Licensed under the GNU AGPL v3 or later.", "MPLRef": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "CCBYNC": "This work is licensed under CC BY-NC 4.0.", "CCBYSA": "Released under CC BY-SA 4.0.", "CCBY": "Released under CC BY 4.0.",
+    "CC0": "Released under CC0 1.0.", "Unlicense": "This is free and unencumbered software released into the public domain.", "UnknownRef": "Distributed under the Foo license of 1999 and so on.",
+}
+
+
 def test_sentences_wrapped_at_every_blank(spark):
-    assert set(EXAMPLES) >= {n for n, _ in licences.SENTENCES}
+    examples = {k: v for k, v in EXAMPLES.items() if k not in ALONE} | {k: v.rstrip(".") for k, v in ALONE.items()}
+    assert set(examples) >= {n for n, _ in licences.SENTENCES}
     cases = []
-    for name, text in EXAMPLES.items():
+    for name, text in examples.items():
         words = text.split(" ")
         cases += [(name, text + ".")] + [(name, lead + " ".join(words[:k]) + gap + " ".join(words[k:]) + ".") for k in range(1, len(words)) for lead, gap in (("", "\n"), ("// ", "\n// "), (" * ", "\n * "))]
     got = {r["doc_id"]: r["sentence_ids"] for r in licences.scan(docs_of(spark, [t for _, t in cases])).collect()}
     assert [(name, text, got[k]) for k, (name, text) in enumerate(cases) if got[k] != name] == []
 
 
+def test_each_sentence_alone(spark):
+    assert set(ALONE) == {name for name, _ in licences.SENTENCES}
+    names = list(ALONE)
+    got = {r["doc_id"]: r for r in licences.scan(docs_of(spark, list(ALONE.values()))).collect()}
+    assert [got[k]["sentence_ids"] for k in range(len(names))] == names
+    named = {n: got[k]["licences"] for k, n in enumerate(names)}
+    assert (named["GPL3LaterRef"], named["GPL3Ref"], named["BSD3Ref"], named["LGPL21LaterRef"]) == ("GPL-3.0-or-later", "GPL-3.0", "BSD-3-Clause", "LGPL-2.1-or-later")
+
+
+def test_licences_as_the_sql_has_them(spark):
+    import duckdb
+
+    rows = list(enumerate([*ALONE.values(), "\n".join(ALONE.values()), *(v.replace(" ", "\n# ", 3) for v in ALONE.values()), MIT, APACHE, None, ""]))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = sorted(con.execute(f"select doc_id, sentence_ids, licences from ({licences.oracle_sql()})").fetchall())
+    assert sorted(tuple(r) for r in licences.scan(docs_of(spark, [t for _, t in rows])).select("doc_id", "sentence_ids", "licences").collect()) == want
+
+
 def test_official_notices(spark):
     gpl = "{what} is free software{sign} you can redistribute it and/or modify\nit under the terms of the GNU {kind}General Public License as published by\nthe Free Software Foundation{then} either version {v} of the License, or\n(at your option) any later version.\n\n{what} is distributed in the hope that it will be useful."
     of = lambda what, kind, v, sign, then: gpl.format(what=what, kind=kind, v=v, sign=sign, then=then)
@@ -460,6 +496,29 @@ def test_packing(spark, path, monkeypatch):
 # ---- 6 URL rules
 
 
+ODD_PAGES = [
+    ("http://a.test/d/p", "<link href='/x' rel='nofollow canonical'>"), ("http://a.test/x", ""), ("http://b.test/1", '<meta http-equiv="refresh" content="0; url=\'http://c.net/2?a=1&amp;b=2\'">'),
+    ("http://c.net/2?a=1&b=2", "<p>"), ("http://d.test/", "<!-- <link rel=canonical href=http://c.net/9> -->"), ("http://c.net/9", None), ("http://e.test/q/r", '<LINK REL="canonical"\n HREF="s">'),
+    ("http://e.test/q/s", "<meta content='5;URL=//f.org/fr/' http-equiv=Refresh>"), ("http://f.org/fr/", ""), ("http://g.test/", '<link data-rel="x" rel="stylesheet" href="http://c.net/9">'), (None, "<link rel=canonical href=http://c.net/9>"),
+    ("nothing", None), ("http://h.test/a>b", '<link title="a > b" rel=canonical href="http://c.net/9#part">'), ("HTTP://H.TEST/a>b", ""),
+]
+
+
+def test_links_as_the_sql_has_them(spark):
+    import duckdb
+
+    df = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(ODD_PAGES)], "page_id long, url string, html string")
+    columns = ["page_id", "host", "path", "rule", "verdict", "alias_of"]
+    got = sorted(tuple(r) for r in urlrules.judge(df).select(*columns).collect())
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", [(k, u, h) for k, (u, h) in enumerate(ODD_PAGES)])
+    assert got == sorted(con.execute(f"select {', '.join(columns)} from ({registry.OP6_SQL})").fetchall())
+    verdict = {r[0]: (r[4], r[5]) for r in got}
+    assert verdict[2] == ("block", "b.test/1") and verdict[0][1] == verdict[1][1] == "a.test/d/p" and verdict[4] == ("allow", None)
+    assert verdict[6] == verdict[7] == ("allow", "e.test/q/r") and verdict[9] == ("allow", None) and verdict[12][0] == verdict[13][0] == "block"
+
+
 def test_urls(spark):
     page = lambda i, url, html=None: (i, url, html)
     rows = [
