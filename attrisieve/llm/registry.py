@@ -65,12 +65,37 @@ WITH RECURSIVE p AS (
 ), own AS (
   SELECT *, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS said FROM k
 ), tags AS (
-  SELECT key, url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM own WHERE key IS NOT NULL
+  SELECT key, url, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|$)', '', 'g'), '(?is)<(?:link|meta)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS tag FROM own WHERE key IS NOT NULL
+), raw AS (
+  SELECT key, url, regexp_matches(tag, '(?i)^<link') AS is_link,
+         regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS rel,
+         regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS href,
+         regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS equiv,
+         regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS content
+  FROM tags
+), said_by AS (
+  SELECT key, url, is_link, lower(trim(rel.a || rel.b || rel.c)) AS rel, lower(trim(equiv.a || equiv.b || equiv.c)) AS equiv,
+         replace(replace(replace(replace(href.a || href.b || href.c, '&#38;', '&amp;'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS href,
+         replace(replace(replace(replace(content.a || content.b || content.c, '&#38;', '&amp;'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS content
+  FROM raw
 ), aims AS (
-  SELECT key, url, regexp_extract(tag, '(?is)(?:\bhref\s*=\s*["'']?|\burl\s*=\s*)([^"''\s>]+)', 1) AS target FROM tags
-  WHERE regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)^<meta\b.*http-equiv\s*=\s*["'']?refresh\b')
-), edges AS (SELECT key AS a, regexp_extract(target, '(?s)^[^:/?#]*://([^#]*)', 1) AS b FROM aims WHERE target <> ''),
-both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+  SELECT key, url, trim(regexp_replace(CASE WHEN is_link AND regexp_matches(rel, '(?:^|\s)canonical(?:\s|$)') THEN href
+         WHEN NOT is_link AND equiv = 'refresh' THEN regexp_extract(content, '(?is)^[\s\d.]*[;,]?\s*url\s*=\s*["'']?\s*([^"'']*)', 1) END, '[\t\n\f\r]', ' ', 'g')) AS aim,
+         regexp_extract(url, '(?s)^([^:/?#]*://[^/?#]*)', 1) AS origin, regexp_extract(url, '(?s)^([^:/?#]*:)//', 1) AS scheme,
+         regexp_extract(url, '(?s)^([^:/?#]*://[^/?#]*(?:/[^?#]*/|/)?)', 1) AS folder
+  FROM said_by
+), links AS (
+  SELECT key, CASE WHEN regexp_matches(aim, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN aim WHEN starts_with(aim, '//') THEN scheme || aim
+         WHEN starts_with(aim, '/') THEN origin || aim ELSE folder || CASE WHEN ends_with(folder, '/') THEN '' ELSE '/' END || aim END AS target
+  FROM aims WHERE aim <> ''
+), bare_links AS (
+  SELECT key, regexp_extract(target, '(?s)^[^:/?#]*://([^#]*)', 1) AS bare FROM links
+), edges AS (
+  SELECT key AS a, translate(regexp_extract(bare, '(?s)^([^/?]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+         || CASE WHEN regexp_extract(bare, '(?s)^[^/?]*(.*)$', 1)[1] = '/' THEN '' ELSE '/' END || regexp_extract(bare, '(?s)^[^/?]*(.*)$', 1) AS b
+  FROM bare_links WHERE regexp_extract(bare, '(?s)^([^/?]*)', 1) <> ''
+),
+both_ways AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.other = w.a),
 roots AS (SELECT node, min(other) AS alias_of FROM reach GROUP BY node),
 votes AS (SELECT alias_of, bool_or(said = 'allow') AS allowed, bool_or(said = 'block') AS blocked FROM own JOIN roots ON own.key = roots.node GROUP BY alias_of)

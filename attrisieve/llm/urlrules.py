@@ -15,6 +15,8 @@ from .components import connected_components
 
 #: (host, path) of the query's rules, by verdict (fixed values).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+#: Entities resolved in attributes, the ampersand's last (fixed values).
+ENTITIES = (("(?i)&quot;|&#34;|&#x22;", '"'), ("(?i)&#39;|&#x27;|&apos;", "'"), ("(?i)&lt;|&#60;|&#x3c;", "<"), ("(?i)&gt;|&#62;|&#x3e;", ">"), ("(?i)&amp;|&#38;|&#x26;", "&"))
 _ASCII_UP, _ASCII_LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,11 +51,23 @@ def url_key(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.when(tail.startswith("/"), tail).otherwise(F.concat(F.lit("/"), tail))))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute, quoted or not, its commonest entities resolved; empty if there is none."""
+    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, k), F.lit("")) for k in (1, 2, 3)])
+    for entity, sign in ENTITIES:
+        value = F.regexp_replace(value, entity, sign)
+    return F.trim(F.regexp_replace(value, r"[\t\n\f\r]", " "))
+
+
 def _targets(html: Column) -> Column:
-    """URLs a page declares itself the same as: rel=canonical links and refresh redirects."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    telling = F.filter(tags, lambda t: t.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)^<meta\b.*http-equiv\s*=\s*[\"']?refresh\b"))
-    found = F.transform(telling, lambda t: F.regexp_extract(t, r"(?is)(?:\bhref\s*=\s*[\"']?|\burl\s*=\s*)([^\"'\s>]+)", 1))
+    """URLs a page declares itself the same as: rel=canonical links and refresh redirects outside comments."""
+    shown = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
+    tags = F.regexp_extract_all(shown, F.lit(r"(?is)<(?:link|meta)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), F.lit(0))
+    canonical = lambda t: t.rlike("(?i)^<link") & F.lower(_attribute(t, "rel")).rlike(r"(?:^|\s)canonical(?:\s|$)")
+    refresh = lambda t: t.rlike("(?i)^<meta") & (F.lower(_attribute(t, "http-equiv")) == "refresh")
+    goal = lambda t: F.regexp_extract(_attribute(t, "content"), r"(?is)^[\s\d.]*[;,]?\s*url\s*=\s*[\"']?\s*([^\"']*)", 1)
+    found = F.transform(tags, lambda t: F.trim(F.when(canonical(t), _attribute(t, "href")).when(refresh(t), goal(t)).otherwise("")))
     return F.filter(found, lambda u: u != "")
 
 
@@ -85,7 +99,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_
     aliases have. Any other is allowed when its component has an explicit allow, else blocked when it has a block, else
     allowed. alias_of: the smallest URL key of the component, null for a page with no alias. Null URLs and those without
     '://' have empty host and path, no rule and no alias, and are allowed; null html declares nothing; repeated rows are
-    judged alike; an empty table gives no rows; other columns are ignored.
+    judged alike; an empty table gives no rows; other columns are ignored. An html of any length is searched whole, in one row.
     """
     source = own_columns(pages, page_id=id_col, _url=url_col, html=html_col)
     host, path = split_url(F.col("_url"))
@@ -96,10 +110,12 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_
         more = redirects.select(url_key(F.col("source")).alias("a"), url_key(F.col("target")).alias("b"))
         edges = edges.union(more.where("a is not null and b is not null"))
     stars = connected_components(edges).withColumnRenamed("node", "key").withColumnRenamed("root", "alias_of")
-    own = checkpoint(ruled.join(stars, "key", "left"))
-    votes = own.where("alias_of is not null").groupBy("alias_of").agg(
-        F.max((F.col("fit.verdict") == "allow").cast("int")).alias("allowed"), F.max((F.col("fit.verdict") == "block").cast("int")).alias("blocked")
-    )
-    heard = own.join(votes, "alias_of", "left")
+    # a page without a key, or without an alias, has nothing to be joined to: all such would meet in one task
+    keyed = checkpoint(ruled.where("key is not null").join(stars, "key", "left"))
+    own = keyed.where("alias_of is not null")
+    votes = own.groupBy("alias_of").agg(F.max((F.col("fit.verdict") == "allow").cast("int")).alias("allowed"), F.max((F.col("fit.verdict") == "block").cast("int")).alias("blocked"))
     from_aliases = F.when((F.coalesce("allowed", F.lit(0)) == 0) & (F.coalesce("blocked", F.lit(0)) == 1), "block").otherwise("allow")
-    return heard.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", from_aliases).alias("verdict"), "alias_of")
+    columns = ["page_id", "host", "path", F.col("fit.rule").alias("rule")]
+    heard = own.join(votes, "alias_of").select(*columns, F.coalesce("fit.verdict", from_aliases).alias("verdict"), "alias_of")
+    alone = keyed.where("alias_of is null").drop("alias_of").unionByName(ruled.where("key is null"))
+    return heard.unionByName(alone.select(*columns, F.coalesce("fit.verdict", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("alias_of")))
