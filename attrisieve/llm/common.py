@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +60,29 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
             yield batch.slice(at, rows)
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: the worker process outlives it and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """What run yields, and then give_back()."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name like the wanted one that df doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import own_columns
+from .common import own_columns, tidy
 
 #: Tokens of benchmark text that one pass over the documents carries.
 BLOCK_TOKENS = 2_000_000
@@ -221,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, item_kind), *(pa.array(x, pa.int32()) for x in (covered, total, count)), pa.array(share, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "covered", "item_tokens", "tiles", "share"])
 
-        part = source.mapInArrow(run, schema)
+        part = source.mapInArrow(tidy(run), schema)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -238,5 +238,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 keep = [next(block.match(block.number(text.as_py()), min_share), None) is None for text in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

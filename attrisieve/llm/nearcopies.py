@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import Forest, roots_of
-from .common import checkpoint, own_columns, parallelism, slices
+from .common import checkpoint, give_back, own_columns, parallelism, slices, tidy
 from .components import connected_components
 
 WORDS = 5
@@ -37,7 +37,7 @@ BITS, RADIUS = 128, 34
 #: Nodes in a shard on average, and the chance that all tables miss a pair that differs in EXPECTED bits.
 SHARD_ROWS, ESCAPES, EXPECTED = 64, 0.01, 20
 #: Rows of a sub-tree and of the shards one task gets at a time, and shingles of a sub-tree whose sets are at hand.
-TREE_ROWS, GROUP_ROWS, TREE_SHINGLES = 2048, 50_000, 2_000_000
+TREE_ROWS, GROUP_ROWS, TREE_SHINGLES = 2048, 25_000, 1_000_000
 _PIECE = 255 * 64
 
 
@@ -76,7 +76,7 @@ def _read(docs: DataFrame) -> DataFrame:
             none = np.array([not len(s) for s in sets], dtype=bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), *(pa.array(codes[:, k], mask=none) for k in (0, 1))], names=["doc_id", "text_key", "node", "lo", "hi"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, node bigint, lo bigint, hi bigint")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key bigint, node bigint, lo bigint, hi bigint")
 
 
 def tables(nodes: int) -> list[tuple[int, int]]:
@@ -103,7 +103,7 @@ def _sets(source: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "found"])
 
     texts = source.select("text_key", "text").join(nodes.select("node", "text_key"), "text_key").dropDuplicates(["node"])
-    return checkpoint(texts.select("node", "text").mapInArrow(run, "node bigint, found array<bigint>"))
+    return checkpoint(texts.select("node", "text").mapInArrow(tidy(run), "node bigint, found array<bigint>"))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -142,6 +142,7 @@ def _candidates(keyed: DataFrame, rows: int) -> DataFrame:
         found = best < np.iinfo(np.int64).max
         place = np.where(found, best & 0xFFFFFFFF, np.arange(len(node)))
         out = pd.DataFrame({"node": node, "least": np.where(centre != node, centre, node[local]), "best": node[place], "d": np.where(found, best >> 32, BITS).astype(np.int32)})
+        give_back()
         return out[found | (centre != node)]
 
     return dealt.groupBy("g").applyInPandas(find, "node bigint, least bigint, best bigint, d int")
@@ -188,6 +189,7 @@ def _joined(rooted: DataFrame, sets: DataFrame) -> DataFrame:
                     if a != b:
                         merged[merged == b] = a
                         links.append((int(node[one]), int(node[other])))
+        give_back()
         return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
     return checkpoint(dealt.groupBy("g").applyInPandas(find, "a bigint, b bigint"))

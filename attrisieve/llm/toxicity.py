@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, slices
+from .common import own_columns, slices, tidy
 
 #: Labelled documents the models are fitted on at most, chosen by a hash of the id, and bytes of them all and of each.
 FIT_ROWS, FIT_BYTES, FIT_TEXT_BYTES = 4000, 64 << 20, 1 << 20
@@ -217,7 +217,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "
             columns = [batch.column(0), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(p[:, own.categories.index(DECIDES)] >= threshold)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *own.categories, "toxic_flag"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} double" for c in chain.categories) + ", toxic_flag boolean")
+    return source.mapInArrow(tidy(run), f"doc_id {kind}, " + ", ".join(f"{c} double" for c in chain.categories) + ", toxic_flag boolean")
 
 
 def clean(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -233,4 +233,4 @@ def clean(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str =
             p = own.predict(batch.column(at).to_pylist(), memo)
             yield batch.filter(pa.array(p[:, own.categories.index(DECIDES)] < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
