@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+#: Edges a partition of a round holds.
+ROWS = 200_000
+
+
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node of its component.
 
@@ -16,10 +20,13 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     edges stays cheap) joined back to the edges (a join that AQE can split). Each round is checkpointed. Edges with a
     null end are ignored, repeated edges and loops count once; no edges give no rows.
     """
+    # few edges stay in few partitions: every round writes files for each of them
+    narrow = lambda df, n: df.coalesce(max(1, -(-n // ROWS)))
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"), (F.col(left) != F.col(right)).alias("differ"))
     current = checkpoint(pairs.where(F.col("differ") & F.col("u").isNotNull()).select("u", "v").distinct())
     seen = _digest(current)
     while seen[0]:
+        current = narrow(current, seen[0])
         both = current.union(current.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         wide = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
