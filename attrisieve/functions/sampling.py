@@ -31,16 +31,28 @@ def sample_array(seed: int, key: Column, name: str, values: Column, n: Column) -
     return F.transform(F.slice(F.array_sort(tagged), 1, n), lambda t: t["v"])
 
 
-def rank_in_groups(df: DataFrame, groups: list[str], order: str, name: str, width: int = 100_000) -> DataFrame:
+def rank_in_groups(df: DataFrame, groups: list[str], order: str, name: str, rows: int = 100_000) -> DataFrame:
     """df with column name: 0, 1, 2... by the whole-number column order within groups (none: over all rows).
 
-    Counts per stretch of ``width`` order values are summed first, so a row's rank is its stretch's base plus its place
-    there, and no group is brought to one task whatever its size. order must not be null.
+    Values of order are cut into equal stretches, about one for every ``rows`` rows, however far apart the values are. Counts
+    per stretch are summed first, so a row's rank is its stretch's base plus its place there, and no group is brought to one
+    task whatever its size. order must not be null.
     """
-    keyed = df.withColumn("_stretch", F.floor(F.col(order) / width))
-    sizes = keyed.groupBy(*groups, "_stretch").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*groups).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
-    bases = sizes.select(*groups, "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    place = F.row_number().over(W.partitionBy(*groups, "_stretch").orderBy(order))
-    ranked = keyed.withColumn("_place", place).join(bases, [*groups, "_stretch"])
-    return ranked.withColumn(name, F.col("_base") + F.col("_place") - 1).drop("_stretch", "_base", "_place")
+    span = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
+    low, stretches = span["low"] or 0, max(1, -(-span["n"] // rows))
+    width = max(1, -(-((span["high"] or 0) - low + 1) // stretches))
+    stretch, size, base, place = (free_name(df, x) for x in ("stretch", "size", "base", "place"))
+    keyed = df.withColumn(stretch, F.floor((F.col(order).cast("decimal(38,0)") - F.lit(str(low)).cast("decimal(38,0)")) / F.lit(str(width)).cast("decimal(38,0)")).cast("bigint"))
+    sizes = keyed.groupBy(*groups, stretch).agg(F.count("*").alias(size))
+    before = W.partitionBy(*groups).orderBy(stretch).rowsBetween(W.unboundedPreceding, -1)
+    bases = sizes.select(*groups, stretch, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(base))
+    ranked = keyed.withColumn(place, F.row_number().over(W.partitionBy(*groups, stretch).orderBy(order))).join(bases, [*groups, stretch])
+    return ranked.withColumn(name, F.col(base) + F.col(place) - 1).drop(*{stretch, base, place} - {name})
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name like the wanted one that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{wanted}".lower() in taken:
+        wanted = f"_{wanted}"
+    return f"_{wanted}"

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What a negated feature opens with (fixed values).
+NEGATIONS = ("no ", "not ", "without ", "doesn't have ", "does not have ")
+
 
 def first_number_token(name: Column) -> Column:
     """The first token between underscores that has digits only, as a whole number; null without one."""
@@ -63,4 +68,5 @@ def first_present(values: Column, keys: list[str]) -> Column:
 
 def starts_with_negation(text: Column) -> Column:
     """Does a feature open with a negation?"""
-    return F.lower(text).rlike(r"^(no|not|without|doesn't have|does not have) ")
+    low = F.lower(text)
+    return reduce(lambda x, y: x | y, [low.startswith(n) for n in NEGATIONS])

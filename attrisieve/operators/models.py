@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import starts_with_negation
+from ..functions.text import NEGATIONS, starts_with_negation
 
 Client = Callable[[list[dict], str], str]
 #: Keys of each kind of reply: required, then optional (fixed values).
@@ -22,7 +22,6 @@ REPLIES = {
     "buckets": (("common_features", "unique_features_a", "unique_features_b", "neither_features"), ()),
     "rephrase": (("rephrased_query",), ()),
 }
-NEGATIONS = ("no ", "not ", "without ", "doesn't have ", "does not have ")
 
 
 def route(model_id: str) -> str:

@@ -11,10 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sampling import rank_in_groups
+from ..session import shared_dir
 
 CUTOFFS = (1, 5, 10, 50, 100, 1000)
-#: Vectors of a query block and of a corpus block.
-QUERY_BLOCK, CORPUS_BLOCK = 1024, 8192
+#: Queries that travel to every task at once, and corpus vectors scored at once.
+QUERY_BLOCK, CORPUS_BLOCK = 4096, 8192
 
 
 def corpus(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,12 +25,13 @@ def corpus(rows: DataFrame, columns: list[str]) -> DataFrame:
         part = rows.select(F.col(c).alias("text"))
         texts = part if texts is None else texts.union(part)
     distinct = texts.where("text is not null").distinct()
-    # stretches by first characters keep the numbering from running in one task
-    keyed = distinct.withColumn("s", F.substring("text", 1, 3))
+    # ranges of whole texts keep the numbering from running in one task, however many texts open alike
+    shared_dir(rows.sparkSession)
+    keyed = distinct.repartitionByRange("text").withColumn("s", F.spark_partition_id()).checkpoint()
     sizes = keyed.groupBy("s").agg(F.count("*").alias("n"))
     bases = sizes.select("s", F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     place = F.row_number().over(W.partitionBy("s").orderBy("text"))
-    return keyed.withColumn("p", place).join(bases, "s").select((F.col("base") + F.col("p") - 1).alias("corpus_id"), "text")
+    return keyed.withColumn("p", place).join(F.broadcast(bases), "s").select((F.col("base") + F.col("p") - 1).alias("corpus_id"), "text")
 
 
 def query_ids(rows: DataFrame, query: str = "anchor", order: str = "row_id") -> DataFrame:
@@ -46,34 +48,55 @@ def qrels(rows: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
 def top_k(queries: DataFrame, base: DataFrame, k: int, exclude_same_id: bool = False) -> DataFrame:
     """(query_id, corpus_id, score, rank): the k best corpus vectors per query by cosine, ties by id.
 
-    queries (query_id, v) meet base (corpus_id, v) in blocks: one matrix product per pair of blocks keeps k per query, and
-    only those are compared further. Vectors without length score nothing; all have the same number of dimensions.
+    queries (query_id, v) travel to the tasks in blocks of QUERY_BLOCK; for each block the corpus (corpus_id, v) is scanned
+    where it lies, a matrix product per CORPUS_BLOCK vectors, and a task keeps k per query, so neither side is copied or
+    shuffled. Vectors without length score nothing; all have the same number of dimensions.
     """
-    q_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    c_blocks = max(1, -(-base.count() // CORPUS_BLOCK))
-    left = queries.where("query_id is not null and v is not null").select("query_id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
-    right = base.where("corpus_id is not null and v is not null").select("corpus_id", F.col("v").cast("array<double>").alias("v"), F.pmod(F.xxhash64("corpus_id"), F.lit(c_blocks)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
+    asked = queries.where("query_id is not null and v is not null").select("query_id", F.col("v").cast("array<double>").alias("v"))
+    source = base.where("corpus_id is not null and v is not null").select("corpus_id", F.col("v").cast("array<double>").alias("v"))
+    spark = queries.sparkSession
 
-    def unit(pdf: pd.DataFrame) -> np.ndarray:
-        m = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 1))
+    def unit(vectors: list) -> np.ndarray:
+        m = np.array([np.asarray(x, dtype=float) for x in vectors])
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
 
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "corpus_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        b = b.sort_values("corpus_id")
-        ids = b["corpus_id"].to_numpy()
-        scores = unit(a) @ unit(b).T
-        if exclude_same_id:
-            scores[a["query_id"].to_numpy()[:, None] == ids[None, :]] = np.nan
-        down = np.where(np.isnan(scores), np.inf, -scores)
-        best = np.argsort(down, axis=1, kind="stable")[:, :k]
-        score = np.take_along_axis(scores, best, axis=1)
-        out = pd.DataFrame({"query_id": np.repeat(a["query_id"].to_numpy(), best.shape[1]), "corpus_id": ids[best].ravel(), "score": score.ravel()})
-        return out[out["score"].notna()]
-
-    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(block, "query_id bigint, corpus_id bigint, score double")
+    def scan(block: list) -> DataFrame:
+        shipped = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), unit([r["v"] for r in block])))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, vectors = shipped.value
+            kept_score, kept_id = np.full((len(names), k), np.nan), np.zeros((len(names), k), dtype=np.int64)
+            for frame in frames:
+                for at in range(0, len(frame), CORPUS_BLOCK):
+                    part = frame.iloc[at : at + CORPUS_BLOCK]
+                    ids = part["corpus_id"].to_numpy()
+                    scores = vectors @ unit(part["v"].tolist()).T
+                    if exclude_same_id:
+                        scores[names[:, None] == ids[None, :]] = np.nan
+                    scores, ids = np.concatenate([kept_score, scores], axis=1), np.concatenate([kept_id, np.broadcast_to(ids, scores.shape)], axis=1)
+                    down = np.where(np.isnan(scores), np.inf, -scores)
+                    kth = np.partition(down, k - 1, axis=1)[:, k - 1 : k]
+                    for row in np.flatnonzero((down <= kth).sum(axis=1) > k):  # ties with the kth: only the smallest ids stay
+                        tied = np.flatnonzero(down[row] == kth[row])
+                        keep = k - int((down[row] < kth[row]).sum())
+                        down[row, tied[np.argsort(ids[row, tied], kind="stable")[keep:]]] = np.inf
+                    best = np.argpartition(down, k - 1, axis=1)[:, :k]
+                    kept_score, kept_id = np.take_along_axis(scores, best, axis=1), np.take_along_axis(ids, best, axis=1)
+                    kept_score[np.isinf(np.take_along_axis(down, best, axis=1))] = np.nan
+            there = ~np.isnan(kept_score)
+            yield pd.DataFrame({"query_id": np.repeat(names, there.sum(axis=1)), "corpus_id": kept_id[there], "score": kept_score[there]})
+
+        return source.mapInPandas(run, "query_id bigint, corpus_id bigint, score double")
+
+    found, block = None, []
+    for row in asked.toLocalIterator():
+        block.append(row)
+        if len(block) == QUERY_BLOCK:
+            found, block = scan(block) if found is None else found.union(scan(block)), []
+    if block or found is None:
+        last = scan(block) if block else source.limit(0).select(F.col("corpus_id").alias("query_id"), "corpus_id", F.lit(0.0).alias("score"))
+        found = last if found is None else found.union(last)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

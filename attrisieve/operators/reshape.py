@@ -25,22 +25,30 @@ def rename_query(rows: DataFrame, generated: list[str]) -> DataFrame:
     return rows.withColumnRenamed("query", "original_query")
 
 
+def _sides(mode: str, max_distance: int) -> tuple[Column, Column]:
+    """The hard and the easy row of an example, as structs of the same fields."""
+    if mode not in ("sentinel", "double_max"):
+        raise ValueError(f"mode {mode!r} isn't sentinel or double_max")
+    value = SENTINEL if mode == "sentinel" else 2.0 * max_distance
+    shared = [*(F.col(c) for c in ("row_id", "original_query", "nl_query", "rephrased_query")), F.col("positive_text").alias("positive_example")]
+    hard = F.struct(*shared, F.col("hard_text").alias("negative_example"), F.col("negative_example_source"), F.col("query_distance").cast("double").alias("query_distance"))
+    easy = F.struct(*shared, F.col("easy_text").alias("negative_example"), F.lit("random").alias("negative_example_source"), F.lit(value).alias("query_distance"))
+    return hard, easy
+
+
 def hard_rows(examples: DataFrame) -> DataFrame:
     """Positive against the hard negative, with its source and recorded distance."""
-    return examples.select("row_id", "original_query", "nl_query", "rephrased_query", F.col("positive_text").alias("positive_example"), F.col("hard_text").alias("negative_example"), "negative_example_source", F.col("query_distance").cast("double").alias("query_distance"))
+    return examples.select(_sides("sentinel", 0)[0].alias("r")).select("r.*")
 
 
 def easy_rows(examples: DataFrame, mode: str = "sentinel", max_distance: int = 10) -> DataFrame:
     """Positive against the easy negative; its distance is the sentinel, or twice the largest distance."""
-    if mode not in ("sentinel", "double_max"):
-        raise ValueError(f"mode {mode!r} isn't sentinel or double_max")
-    value = SENTINEL if mode == "sentinel" else 2.0 * max_distance
-    return examples.select("row_id", "original_query", "nl_query", "rephrased_query", F.col("positive_text").alias("positive_example"), F.col("easy_text").alias("negative_example"), F.lit("random").alias("negative_example_source"), F.lit(value).alias("query_distance"))
+    return examples.select(_sides(mode, max_distance)[1].alias("r")).select("r.*")
 
 
 def training_rows(examples: DataFrame, mode: str = "sentinel", max_distance: int = 10) -> DataFrame:
-    """Hard rows, then easy rows."""
-    return hard_rows(examples).unionByName(easy_rows(examples, mode, max_distance))
+    """The hard and the easy row of each example, from one pass over the examples."""
+    return examples.select(F.inline(F.array(*_sides(mode, max_distance))))
 
 
 def anchors(rows: DataFrame, query: str = "nl_query", drop_blank: bool = False) -> DataFrame:

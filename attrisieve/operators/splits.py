@@ -6,37 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.sampling import shuffle_key
+from ..functions.sampling import free_name, shuffle_key
 from ..session import shared_dir
 
 SPLITS = ("train", "validation", "test")
 
 
-def _shuffled_places(queries: DataFrame, seed: int) -> DataFrame:
-    """(anchor, place): places of distinct queries in seeded shuffled order.
+def _shuffled_places(queries: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """(_asked, _place), places of distinct queries in seeded shuffled order, and how many there are. Null is a query, too.
 
     The first three hex digits of the hash are the stretch whose counts are summed first, so no task sorts all queries.
     """
-    keyed = queries.select("anchor").distinct().withColumn("h", shuffle_key(seed, F.col("anchor"))).withColumn("s", F.substring("h", 1, 3))
-    sizes = keyed.groupBy("s").agg(F.count("*").alias("n"))  # 4096 rows at most
-    bases = sizes.select("s", F.coalesce(F.sum("n").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    shared_dir(queries.sparkSession)
+    keyed = queries.select("anchor").distinct().withColumn("h", shuffle_key(seed, F.col("anchor"))).withColumn("s", F.substring("h", 1, 3)).checkpoint()
+    sizes = sorted(keyed.groupBy("s").agg(F.count("*").alias("n")).collect())  # 4096 rows at most
+    bases, total = [], 0
+    for s, n in sizes:
+        bases.append((s, total))
+        total += n
+    bases = queries.sparkSession.createDataFrame(bases, "s string, base bigint")
     place = F.row_number().over(W.partitionBy("s").orderBy("h", "anchor"))
-    return keyed.withColumn("p", place).join(F.broadcast(bases), "s").select("anchor", (F.col("base") + F.col("p") - 1).alias("place"))
+    return keyed.withColumn("p", place).join(F.broadcast(bases), "s").select(F.col("anchor").alias("_asked"), (F.col("base") + F.col("p") - 1).alias("_place")), total
 
 
 def split_by_query(rows: DataFrame, seed: int = 42) -> DataFrame:
     """rows with column split: all rows of a query together, 80/10/10 of the queries (a fifth held out, half of that test).
 
-    Sizes round up as a two-step hold-out does. Raises ValueError below three queries.
+    Sizes round up as a two-step hold-out does. Rows without a query are those of one query. Raises ValueError below three.
     """
-    places = _shuffled_places(rows, seed)
-    n = places.count()
+    places, n = _shuffled_places(rows, seed)
     if n < 3:
         raise ValueError("a split needs at least three queries")
     out = -(-n // 5)
     test = -(-out // 2)
-    name = F.when(F.col("place") < test, "test").when(F.col("place") < out, "validation").otherwise("train")
-    return rows.join(places, "anchor").withColumn("split", name).drop("place")
+    name = F.when(F.col("_place") < test, "test").when(F.col("_place") < out, "validation").otherwise("train")
+    return rows.join(places, F.col("anchor").eqNullSafe(F.col("_asked"))).withColumn("split", name).drop("_asked", "_place")
 
 
 def only(rows: DataFrame, split: str) -> DataFrame:
@@ -51,9 +55,9 @@ def query_fraction(rows: DataFrame, fraction: float, seed: int = 42) -> DataFram
         raise ValueError("fraction must be above 0 and at most 1")
     if fraction == 1:
         return rows
-    places = _shuffled_places(rows, seed)
-    n = max(1, round(places.count() * fraction))
-    return rows.join(places.where(F.col("place") < n).select("anchor"), "anchor", "left_semi")
+    places, total = _shuffled_places(rows, seed)
+    n = max(1, round(total * fraction))
+    return rows.join(places.where(F.col("_place") < n), F.col("anchor").eqNullSafe(F.col("_asked")), "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -78,17 +82,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def split_without_leakage(rows: DataFrame, keys: list[str], seed: int = 42, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
-    """rows with column split such that no value of the key columns occurs in two splits: whole components, by seeded hash."""
-    tagged = rows.select("*", F.concat(F.lit(f"{keys[0]}="), F.col(keys[0]).cast("string")).alias("_first"))
-    parts = [tagged.select(F.col("_first").alias("a"), F.concat(F.lit(f"{k}="), F.col(k).cast("string")).alias("b")) for k in keys]
-    edges = parts[0]
-    for p in parts[1:]:
-        edges = edges.union(p)
-    roots = components(edges)
-    u = F.conv(F.substring(shuffle_key(seed, F.col("root")), 1, 8), 16, 10).cast("double") / 2**32
+    """rows with column split such that no value of the key columns occurs in two splits: whole components, by seeded hash.
+
+    A null key links nothing: a row belongs with the keys it has, and all rows without any key are one component.
+    """
+    node, root, key = (free_name(rows, x) for x in ("node", "root", "key"))
+    named = [F.concat(F.lit(f"{k}="), F.col(f"`{k}`").cast("string")) for k in keys]
+    tagged = rows.withColumn(key, F.coalesce(*named, F.lit("")))
+    edges = tagged.select(F.col(key).alias("a"), F.explode(F.array(*named)).alias("b")).where("b is not null")
+    roots = components(edges).select(F.col("node").alias(node), F.col("root").alias(root))
+    joined = tagged.join(roots, F.col(key) == F.col(node), "left")
+    u = F.conv(F.substring(shuffle_key(seed, F.coalesce(F.col(root), F.col(key))), 1, 8), 16, 10).cast("double") / 2**32
     name = F.when(u < shares[0], "train").when(u < shares[0] + shares[1], "validation").otherwise("test")
-    joined = tagged.join(roots, tagged["_first"] == roots["node"])
-    return joined.withColumn("split", name).drop("_first", "node", "root")
+    return joined.withColumn("split", name).drop(key, node, root)
 
 
 def overlap(rows: DataFrame, key: str) -> DataFrame:

@@ -19,10 +19,15 @@ def windowed_metrics(events: DataFrame, width: str = "1 day", late: str = "7 day
 
 
 def run_available(spark: SparkSession, source: str, build, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drive a streaming plan over the parquet files there now, and return what it has found."""
+    """Drive a streaming plan over the parquet files there now; what it finds is written beside its checkpoint and read from there."""
     schema = spark.read.parquet(source).schema
     folder, _, file = source.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
-    query = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    path = f"{checkpoint.rstrip('/')}-{name}"
+
+    def keep(found: DataFrame, _batch: int) -> None:
+        found.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    query = build(stream).writeStream.outputMode(mode).foreachBatch(keep).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.parquet(path)
