@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Chunks a Python worker remembers at most, in two generations. Bounds memory only, never the result.
-MEMO_CHUNKS = 300_000
+MEMO_CHUNKS = 600_000
 #: Words sent to the merges in one string.
 _RUN = 256
 
