@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, own_columns
+from .common import checkpoint, own_columns, tidy
 from .tokens import ChunkTokenizer
 
 SYMBOLS, OWN = 512, 496
@@ -435,7 +435,7 @@ def train(training: DataFrame, tokenizer: str) -> tuple[DataFrame, Model]:
             values = [None, None, TaskContext.get().partitionId(), float(trainer.tokens), words, share, _flat(trainer.w), used.astype("<i4").tobytes(), trainer.expected[used].astype("<f4").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
-    found = checkpoint(training.select("text").mapInArrow(learn, _FOUND))
+    found = checkpoint(training.select("text").mapInArrow(tidy(learn), _FOUND))
     models = found.where("word is null").drop("word", "c")
     left = models.count()
     while left > 1:  # sums of sums, so none holds more than FAN_IN models
@@ -532,7 +532,7 @@ def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "attention_score", "tail", "tail_a"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    scored = marked.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, attention_score double, tail array<binary>, tail_a array<float>")
+    scored = marked.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, attention_score double, tail array<binary>, tail_a array<float>")
     scored = checkpoint(scored.withColumn("row", F.monotonically_increasing_id()))
     rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_a")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_a").alias("a"))
     share = F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(floor)
