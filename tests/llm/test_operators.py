@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force version, an exact round trip or held-out accuracy, and its edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -296,33 +297,122 @@ def test_markers():
         assert chat.marker(line) == want
 
 
-def test_roles_recovered(spark, sf):
+def held_out(conv_id):
+    return conv_id is not None and zlib.crc32(str(conv_id).encode()) % 7 == 2
+
+
+def test_roles_recovered_of_conversations_not_fitted_to(spark, sf):
     got = chat.format_conversations(spark.read.parquet(f"{sf}/conversations.parquet")).collect()
-    assert sum(r["role"] == r["source_role"] for r in got) / len(got) > 0.9
+    assert all(r["held_out"] == held_out(r["conv_id"]) for r in got)
+    kept = [r for r in got if r["held_out"]]
+    assert kept and sum(r["role"] == r["source_role"] for r in kept) / len(kept) > 0.9
     assert all(r["text"].startswith(f"<|{r['role']}|>\n") for r in got)
 
 
+def random_model(rng):
+    n = len(chat.STATES)
+    return chat.Model(rng.integers(0, 9, n).astype(float), rng.integers(0, 9, (n, n)).astype(float), rng.integers(0, 9, (n, chat.SYMBOLS)).astype(float))
+
+
+def score_of(model, states, seen):
+    total = model.start[states[0]] + model.show[states[0], seen[0]]
+    return total + sum(model.move[a, b] + model.show[b, s] for a, b, s in zip(states, states[1:], seen[1:]))
+
+
+def test_viterbi_against_every_path():
+    rng = np.random.default_rng(5)
+    for _ in range(8):
+        model, seen = random_model(rng), rng.integers(0, chat.SYMBOLS, 4)
+        best = max(score_of(model, x, seen) for x in itertools.product(range(len(chat.STATES)), repeat=4))
+        assert score_of(model, model.path(seen, None, None), seen) == pytest.approx(best)
+
+
 def test_blocks_decode_like_one_piece():
     rng = np.random.default_rng(1)
-    n = len(chat.STATES)
-    model = chat.Model(rng.integers(0, 9, n).astype(float), rng.integers(0, 9, (n, n)).astype(float), rng.integers(0, 9, (n, chat.SYMBOLS)).astype(float))
-    seen = rng.integers(0, chat.SYMBOLS, 40)
-    whole = model.path(seen, None, None)
-    cut = [seen[:13], seen[13:14], seen[14:]]
-    first = (model.start + model.show[:, cut[0][0]])[:, None] + model.through(cut[0][1:])
-    ends = chat._borders(model, [model.through(c) for c in cut[1:]], first.max(axis=0))
+    model, seen = random_model(rng), rng.integers(0, chat.SYMBOLS, 40)
+    cut = [seen[:13], seen[13:14], seen[14:30], seen[30:]]
+    tables = [model.opening(cut[0]), *[model.through(c) for c in cut[1:]]]
+    ends = chat.borders(tables)
     parts = [model.path(c, None if k == 0 else ends[k - 1], ends[k]) for k, c in enumerate(cut)]
-    assert sum(parts, []) == whole
+    assert sum(parts, []) == model.path(seen, None, None)
+    joints = chat.borders([chat.fold(tables[:2]), chat.fold(tables[2:])])
+    assert ends == chat.borders(tables[:2], None, joints[0]) + chat.borders(tables[2:], joints[0], joints[1])
+
+
+def plain_chat(rows):
+    """Every conversation decoded in one piece, in plain Python, with the model counted over whole conversations' blocks of one."""
+    found = []
+    for conv in rows:
+        leading, lines = chat.lines_of(conv)
+        seen, blank = [], bool(leading)
+        for line, tail, _, _ in lines:
+            seen.append(chat.look(line, blank))
+            blank = bool(tail)
+        counts = {}
+        for k, (_, form) in enumerate(seen):
+            if form:
+                times, at = counts.get(form, (0, k))
+                counts[form] = (times + 1, at)
+        usual = [max((f for f in counts if f[0] == kind), key=lambda f: (counts[f][0], -counts[f][1], f)) for kind in {f[0] for f in counts}]
+        found.append((conv, chat.symbols([x for x, _ in seen], [f for _, f in seen], usual)))
+    return found
+
+
+def test_query_like_whole_conversations(spark, sf):
+    """All turns of a fixture against decoding each conversation whole, without blocks, tables or borders."""
+    df = spark.read.parquet(f"{sf}/conversations.parquet").where("conv_id is not null")
+    pieces = chat.transcript_turns(df)
+    cut = chat.blocks(pieces, 3).checkpoint()
+    seen = chat.lookings(cut)
+    model = chat.fit(seen)
+    got = {}
+    for r in sorted(chat.recover(cut, seen, model).collect(), key=lambda r: (r["conv_id"], r["block"], r["seq"])):
+        words = r["text"].split("\n", 1)[1]
+        if r["continues"]:
+            got[r["conv_id"]][-1] = (got[r["conv_id"]][-1][0], got[r["conv_id"]][-1][1] + "\n" + words)
+        else:
+            got.setdefault(r["conv_id"], []).append((r["role"], words))
+    whole = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r["conv_id"], r["turn"], r["tie"])):
+        whole.setdefault(r["conv_id"], []).append(r)
+    want = {}
+    for conv_id, (conv, shown) in zip(whole, plain_chat(whole.values()), strict=True):
+        want[conv_id] = [(t[1], "\n".join(t[3])) for t in chat.said(conv, -1, model.path(shown, None, None))]
+    assert got == want
+
+
+def test_turns_keep_their_text(spark):
+    said = {0: "def f():\n\n    return 1\n", 1: "    indented\u2028still one line\x0cand here\n\n\nlast", 2: "Answer: yes", 3: "Q: is it?\nA: it is"}
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", said.get(t, f"turn {t} of many words in this one")) for c in range(40) for t in range(8)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    marked = {(r["conv_id"], r["turn"]) for r in chat.transcript_turns(df).where("marked").collect()}
+    forms = {r["conv_id"]: r["text"][:2] for r in chat.transcript_turns(df).where("marked").collect()}
+    got = chat.format_conversations(df, 3).collect()
+    text = {}
+    for r in sorted(got, key=lambda r: (r["conv_id"], r["block"], r["seq"])):
+        text.setdefault(r["conv_id"], []).append(r["text"].split("\n", 1)[1])
+    for conv_id, parts in text.items():
+        if forms[conv_id] not in ("Q:", "A:") and all((conv_id, t) in marked for t in range(8)):  # nothing tells such words from markers
+            assert "\n".join(parts) == "\n".join(said.get(t, f"turn {t} of many words in this one") for t in range(8))
+    flat = "\n".join("\n".join(x) for x in text.values())
+    assert "def f():\n\n    return 1\n" in flat and "    indented\u2028still one line\x0cand here\n\n\nlast" in flat and "Answer: yes" in flat
 
 
 def test_chat_edges(spark):
-    rows = [(1, 0, "user", "Hello\n\nthere"), (1, 1, "assistant", None), (1, 1, "assistant", ""), (2, None, None, "x"), (None, 0, "user", "lost"), (3, 0, "user", "a"), (3, 0, "user", "a")]
+    rows = [(1, 0, "user", "Hello\n\nthere"), (1, 1, "assistant", None), (1, 1, "assistant", ""), (2, None, None, "x"), (None, 0, "user", "alone"), (None, None, None, None), (3, 0, "user", "a"), (3, 0, "user", "a")]
     rows += [(4, t, "user" if t % 2 == 0 else "assistant", f"turn {t}") for t in range(300)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("extra", F.lit(1))
+    rows += [(5, None, "user", "same")] * 200 + [(6, 0, "user", "word " * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("extra", F.lit(1)).withColumn("block", F.lit("b")).withColumn("rows", F.lit(2))
     got = chat.format_conversations(df)
-    assert {r["conv_id"] for r in got.collect()} == {1, 2, 3, 4}
+    assert {r["conv_id"] for r in got.collect()} == {None, 1, 2, 3, 4, 5, 6}
     assert "".join(r["text"] for r in got.where("conv_id = 4").orderBy("block", "seq").collect()).count("turn ") == 300
+    assert "".join(r["text"] for r in got.where("conv_id = 5").collect()).count("same") == 200
+    assert "word " * 300_000 in got.where("conv_id = 6").first()["text"]
+    assert got.where("conv_id is null").count() == 2
+    assert max(len(r["rows"]) for r in chat.blocks(chat.transcript_turns(df)).collect()) <= chat.BLOCK_TURNS
     assert chat.format_conversations(df.limit(0)).count() == 0
+    named = df.select(F.concat(F.lit("c"), "conv_id").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text")
+    assert {r["conv_id"] for r in chat.format_conversations(named).collect()} == {None, *(f"c{i}" for i in range(1, 7))}
 
 
 # ---- 4 licences
