@@ -70,3 +70,9 @@ def starts_with_negation(text: Column) -> Column:
     """Does a feature open with a negation?"""
     low = F.lower(text)
     return reduce(lambda x, y: x | y, [low.startswith(n) for n in NEGATIONS])
+
+
+def utc_now() -> Column:
+    """The moment a query runs as ISO text in UTC, whatever the session's time zone."""
+    now = F.to_utc_timestamp(F.current_timestamp().cast("timestamp"), F.current_timezone())
+    return F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

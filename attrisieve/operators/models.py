@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NEGATIONS, starts_with_negation
+from ..session import shared_dir
+from . import attributes, reshape
 
 Client = Callable[[list[dict], str], str]
 #: Keys of each kind of reply: required, then optional (fixed values).
@@ -142,3 +144,59 @@ def rephrase(rows: DataFrame, model_id: str, client: Client = stub_client) -> Da
     replies = ask(todo.select("key", F.concat(F.lit("Rephrase. Query: "), "nl_query").alias("prompt")), "rephrase", model_id, client)
     filled = F.when(F.col("rephrased_query").isNotNull(), F.col("rephrased_query")).otherwise(F.coalesce(F.get_json_object("reply", "$.rephrased_query"), "nl_query"))
     return rows.join(replies, "key", "left").withColumn("rephrased_query", filled).drop("reply", "calls")
+
+
+def process_examples(pairs: DataFrame, model_id: str, seed: int = 42, max_distance: int = 10, client: Client = stub_client) -> DataFrame:
+    """pairs (key, query, a, b, vocabulary) with item, buckets and a drawn conjunction; query is called original_query after.
+
+    A pair whose item or buckets the model doesn't give is left out. Raises ValueError where a generated column is there already.
+    """
+    items = infer_items(pairs.select("key", "query"), model_id, client).select("key", "item")
+    made = ["item", *[f"full_{b}" for b in attributes.BUCKETS], "target", *[f"selected_{b}" for b in attributes.BUCKETS], "required", "forbidden", "nl_query", "query_distance", "num_attributes"]
+    named = reshape.rename_query(pairs, made)
+    return attributes.generate_queries(extract_buckets(named.join(items, "key"), model_id, client).drop("calls"), "key", seed, max_distance)
+
+
+def extract_visual_buckets(pairs: DataFrame, model_id: str, client: Client = stub_client, keep_failures: bool = False) -> DataFrame:
+    """extract_buckets for what a model sees in two images (a, b: what the client needs of them); only gemini- models can."""
+    if route(model_id) != "gemini":
+        raise ValueError(f"model {model_id!r} can't read images")
+    return extract_buckets(pairs, model_id, client, keep_failures)
+
+
+def score_visually(pairs: DataFrame, model_id: str, seed: int = 42, max_distance: int = 10, client: Client = stub_client, keep_failures: bool = False) -> DataFrame:
+    """pairs (key, item, a, b, vocabulary) with a conjunction and its distance from the images, and the model as its source.
+
+    Failures go, or stay with neither a conjunction nor a source.
+    """
+    split = extract_visual_buckets(pairs, model_id, client, keep_failures).drop("calls")
+    made = attributes.generate_queries(split.where("full_common is not null"), "key", seed, max_distance).withColumn("hard_negative_distance_source", F.lit(model_id))
+    return made.unionByName(split.where("full_common is null"), allowMissingColumns=True) if keep_failures else made
+
+
+def stable_json(messages: list[dict]) -> str:
+    """Messages as text whose keys are sorted, so equal messages have equal memo keys."""
+    return json.dumps(messages, sort_keys=True, ensure_ascii=False)
+
+
+def ask_remembered(requests: DataFrame, kind: str, model_id: str, path: str, client: Client = stub_client, tries: int = 5, use_memo: bool = True) -> DataFrame:
+    """ask for requests (id, prompt) with a memo of Parquet at path: what it lacks is asked once for equal prompts and added to it.
+
+    Returns (id, reply, calls); calls stand with the replies just asked for and are 0 for remembered ones. Failures aren't
+    remembered. use_memo False asks everything and writes nothing.
+    """
+    opening, closing = '[{"content": ', ', "role": "user"}]'
+    # to_json of one text, with the blank after its key that stable_json has
+    text = F.concat(F.lit(opening), F.regexp_replace(F.to_json(F.array("prompt")), r"^\[|\]$", ""), F.lit(closing))
+    keyed = requests.select("id", "prompt", memo_key(text, F.lit(model_id)).alias("key"))
+    spark = requests.sparkSession
+    asked = keyed.select("key", "prompt").dropDuplicates(["key"])
+    if not use_memo:
+        return keyed.select("id", "key").join(ask(asked, kind, model_id, client, tries), "key").select("id", "reply", "calls")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    memo = spark.read.schema("key string, reply string").parquet(path) if there else spark.createDataFrame([], "key string, reply string")
+    shared_dir(spark)
+    replies = ask(asked, kind, model_id, client, tries, memo).checkpoint()  # the client isn't asked again when rows are read twice
+    replies.where("calls > 0 and reply is not null").select("key", "reply").write.mode("append").parquet(path)
+    return keyed.select("id", "key").join(replies, "key").select("id", "reply", "calls")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import close_to, created_seconds, first_number_token, first_present, token_after
@@ -80,6 +80,22 @@ def grid_series(rows: DataFrame, x: str, row: str, metrics: list[str]) -> DataFr
     return long_.dropna(subset=["row_value", "x", "y"])
 
 
+def run_list(spark: SparkSession, runs: list[tuple], id_type: str = "string") -> DataFrame:
+    """An inline relation (trained_on, method, evaluated_on, run_id)."""
+    return spark.createDataFrame(runs, f"trained_on string, method string, evaluated_on string, run_id {id_type}")
+
+
+def listed(runs: DataFrame, values: DataFrame, metrics: list[str]) -> DataFrame:
+    """Listed runs beside a column per metric, of values (run_id, metric, value); null where a run or a metric isn't there."""
+    return runs.join(wide(values.join(F.broadcast(runs.select("run_id").distinct()), "run_id", "left_semi"), metrics), "run_id", "left")
+
+
+def easy_and_hard(values: DataFrame) -> DataFrame:
+    """(run_id, metric, variant, value): a metric whose name ends in _easy or _hard is that variant of it, others are 'all'."""
+    variant = F.regexp_extract("metric", "_(easy|hard)$", 1)
+    return values.select("run_id", F.regexp_replace("metric", "_(easy|hard)$", "").alias("metric"), F.when(variant == "", "all").otherwise(variant).alias("variant"), "value")
+
+
 def mixed_order(column: str) -> list[Column]:
     """Order numbers by value, then texts, then nulls."""
     number = F.col(column).try_cast("double")

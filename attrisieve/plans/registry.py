@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-from ..operators import attributes, boolean, catalogue, costs, losses, mining, models, profiling, ranking, reshape, runs, splits
+from ..operators import attributes, boolean, catalogue, costs, language, losses, mining, models, profiling, ranking, reshape, runs, splits
 from ..session import shared_dir, table
 from ..streaming import metrics as streaming
 from . import evaluation, fixtures
@@ -97,21 +97,11 @@ def condition_violations(spark, sf):
     return g.select(z.alias("present"), s.alias("sign")).groupBy("present", "sign").agg(F.count("*").alias("n"), F.sum(attributes.violation(F.col("sign"), F.col("present"))).cast("double").alias("violated"))
 
 
-@_query(f"WITH {GENERATED_SQL} SELECT key, CAST({_DIST.format(a='b')} AS INTEGER) AS distance FROM generated WHERE num_attributes <= 10")
-def brute_force_distance(spark, sf):
-    """brute_force_distance_all for the queries of ten conditions at most alone, as its SQL has it."""
-    return _brute_force(fixtures.generated(spark, sf).where("num_attributes <= 10"))
-
-
 @_query(f"WITH {GENERATED_SQL} SELECT key, CAST({_DIST.format(a='b')} AS INTEGER) AS distance FROM generated")
-def brute_force_distance_all(spark, sf):
+def brute_force_distance(spark, sf):
     """Distances of hard negatives by trying every assignment, for all queries; the SQL is the closed form."""
-    return _brute_force(fixtures.generated(spark, sf))
-
-
-def _brute_force(g: DataFrame) -> DataFrame:
     conditions = F.concat("required", "forbidden")
-    rows = g.select("key", F.transform(conditions, lambda a: F.array_contains(F.col("b"), a)).alias("features"), F.transform(conditions, lambda a: F.when(F.array_contains(F.col("required"), a), 1).otherwise(-1)).alias("signs"))
+    rows = fixtures.generated(spark, sf).select("key", F.transform(conditions, lambda a: F.array_contains(F.col("b"), a)).alias("features"), F.transform(conditions, lambda a: F.when(F.array_contains(F.col("required"), a), 1).otherwise(-1)).alias("signs"))
     return attributes.brute_force_distance(rows, "key", "features", "signs")
 
 
@@ -125,7 +115,11 @@ def signed_difference(spark, sf):
     return g.select("key", attributes.signed_difference(signs, has("attributes"), has("b")).alias("difference"))
 
 
-@_query()
+@_query(f"""WITH {BUCKETS_SQL}, bits AS (SELECT a, a & 1 <> 0 AS z0, a & 2 <> 0 AS z1, a & 4 <> 0 AS z2, a & 8 <> 0 AS z3 FROM range(16) t(a)),
+ok AS (SELECT a FROM bits WHERE NOT z0 OR (z1 AND (NOT z2 OR z3))),
+own AS (SELECT key, attributes, list_sum(list_transform(range(4), lambda i: CASE WHEN list_contains(b, attributes[i + 1]) THEN 1 << i ELSE 0 END))::BIGINT AS z FROM pairs)
+SELECT key, CAST((SELECT min(bit_count(xor(a, z))) FROM ok) AS INTEGER) AS distance,
+'not ' || attributes[1] || ' or ( ( ( ' || attributes[2] || ' and ( ( not ' || attributes[3] || ' ) or ( ' || attributes[4] || ' ) ) ) ) )' AS expression FROM own""")
 def random_boolean_distance(spark, sf):
     """Distances to a random Boolean expression over the first four attributes' presence in the hard negative."""
     tokens = boolean.random_tokens(4, SEED)
@@ -171,11 +165,15 @@ def query_fraction(spark, sf):
     return splits.query_fraction(_anchored(spark, sf), 0.3, SEED).select("row_id", "anchor", "negative_example_source")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {JUDGED_SQL}, r AS (SELECT row_id, query_id || '/' || product_title AS query, md5(product_text) AS product FROM judged),
+reach AS (SELECT DISTINCT product, product AS root FROM r UNION SELECT y.product, w.root FROM reach w JOIN r x ON x.product = w.product JOIN r y ON y.query = x.query),
+roots AS (SELECT product, 'product=' || min(root) AS root FROM reach GROUP BY product),
+u AS (SELECT r.*, ('0x' || substr(md5('{SEED}:' || coalesce(root, '')), 1, 8))::BIGINT / 4294967296 AS u FROM r LEFT JOIN roots USING (product))
+SELECT row_id, query, product, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'validation' ELSE 'test' END AS split FROM u""")
 def leakage_free_split(spark, sf):
-    """Judged rows split by components over query and product; no value is in two splits."""
-    rows = fixtures.judged(spark, sf).select("row_id", F.concat_ws("/", "query_id", F.substring("product_title", 1, 12)).alias("query"), "product_title")
-    return splits.split_without_leakage(rows, ["query", "product_title"], SEED).select("row_id", "query", "split")
+    """Judged rows split by components over query and product text; no value is in two splits."""
+    rows = fixtures.judged(spark, sf).select("row_id", F.concat("query_id", F.lit("/"), "product_title").alias("query"), F.md5(F.col("product_text").cast("binary")).alias("product"))
+    return splits.split_without_leakage(rows, ["query", "product"], SEED).select("row_id", "query", "product", "split")
 
 
 @_query(f"""WITH {EXAMPLES_SQL}, docs AS (SELECT text, row_number() OVER (ORDER BY text) - 1 AS corpus_id FROM (SELECT positive AS text FROM anchored UNION SELECT negative FROM anchored)),
@@ -477,6 +475,42 @@ def model_bucket_extraction(spark, sf):
     return models.extract_buckets(pairs, "stub").select("key", *[_joined(f"full_{b}") for b in attributes.BUCKETS])
 
 
+@_query(f"WITH {GENERATED_SQL} SELECT key, p_asked AS original_query, item, nl_query, query_distance, num_attributes FROM (SELECT g.*, p.color || ' ' || p.category AS p_asked FROM generated g JOIN parts p USING (key))")
+def example_pipeline(spark, sf):
+    """Item, then buckets, then a conjunction for every product beside its hard negative, with the stub as the model."""
+    pairs = fixtures.bucket_pairs(spark, sf).select("key", F.col("attributes").alias("a"), "b", F.array_sort(F.concat("full_neither", "full_common", "full_pos", "full_neg")).alias("vocabulary"))
+    asked = fixtures.parts(spark, sf).select("key", F.concat_ws(" ", "color", "category").alias("query"))
+    return models.process_examples(pairs.join(asked, "key"), "stub", SEED).select("key", "original_query", "item", "nl_query", "query_distance", "num_attributes")
+
+
+@_query(f"WITH {GENERATED_SQL} SELECT key, nl_query, query_distance, 'gemini-stub' AS hard_negative_distance_source FROM generated")
+def visual_distances(spark, sf):
+    """Hard negatives scored through the image model's boundary, with the stub as the model."""
+    pairs = fixtures.bucket_pairs(spark, sf).select("key", "item", F.col("attributes").alias("a"), "b", F.array_sort(F.concat("full_neither", "full_common", "full_pos", "full_neg")).alias("vocabulary"))
+    return models.score_visually(pairs, "gemini-stub", SEED).select("key", "nl_query", "query_distance", "hard_negative_distance_source")
+
+
+_HITS = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)}))) AS n_{lang}" for lang, words in language.COMMON.items())
+
+
+@_query(f"""WITH t AS (SELECT doc_id, string_split_regex(trim(regexp_replace(lower(text), '[^a-zà-öø-ÿ]+', ' ', 'g')), ' ') AS w FROM documents), h AS (SELECT doc_id, {_HITS} FROM t)
+SELECT doc_id, CASE WHEN greatest({", ".join(f"n_{x}" for x in language.COMMON)}) = 0 THEN NULL {" ".join(f"WHEN n_{x} = greatest({', '.join(f'n_{y}' for y in language.COMMON)}) THEN '{x}'" for x in language.COMMON)} END AS detected FROM h""")
+def detected_language(spark, sf):
+    """Languages told by the stand-in detector over whole texts; null where it fails, which the filters reject."""
+    return language.detect(table(spark, sf, "documents").select("doc_id", "text"), "text", "detected").select("doc_id", "detected")
+
+
+_LISTED = [("Text", "Triplet", "Text", 1), ("Text", "Classic MSE", "Text", 2), ("Text", "Marginal MSE (ours)", "Text", 3), ("Text+Image", "Triplet", "Image", 4), ("Text+Image", "Marginal MSE (ours)", "Image", 5), ("Image", "Triplet", "Image", -1)]
+
+
+@_query(f"""WITH {HISTORY_SQL}, l AS (SELECT run_id, metric, arg_max(value, (ts, event_id)) AS value FROM history GROUP BY ALL), listed(trained_on, method, evaluated_on, run_id) AS (VALUES {", ".join(map(str, _LISTED))})
+SELECT trained_on, method, evaluated_on, run_id, (SELECT value FROM l WHERE l.run_id = listed.run_id AND metric = 'view') AS "view", (SELECT value FROM l WHERE l.run_id = listed.run_id AND metric = 'purchase') AS purchase FROM listed""")
+def listed_runs(spark, sf):
+    """A given list of runs beside their last metrics; a run that isn't there keeps its row."""
+    last = runs.last_values(fixtures.run_history(spark, sf), F.col("step"))
+    return runs.listed(runs.run_list(spark, _LISTED, "bigint"), last, ["view", "purchase"])
+
+
 @_query("SELECT p_partkey AS key, 'Find ' || p_name AS rephrased_query, split_part(p_name, ' ', -1) AS item FROM part")
 def model_rephrase(spark, sf):
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("nl_query"), F.lit(None).cast("string").alias("rephrased_query"))
