@@ -309,7 +309,7 @@ def test_roles_recovered_of_conversations_not_fitted_to(spark, sf):
     assert all(r["text"].startswith(f"<|{r['role']}|>\n") for r in got)
 
 
-def random_model(rng):
+def random_chat_model(rng):
     n = len(chat.STATES)
     return chat.Model(rng.integers(0, 9, n).astype(float), rng.integers(0, 9, (n, n)).astype(float), rng.integers(0, 9, (n, chat.SYMBOLS)).astype(float))
 
@@ -322,14 +322,14 @@ def score_of(model, states, seen):
 def test_viterbi_against_every_path():
     rng = np.random.default_rng(5)
     for _ in range(8):
-        model, seen = random_model(rng), rng.integers(0, chat.SYMBOLS, 4)
+        model, seen = random_chat_model(rng), rng.integers(0, chat.SYMBOLS, 4)
         best = max(score_of(model, x, seen) for x in itertools.product(range(len(chat.STATES)), repeat=4))
         assert score_of(model, model.path(seen, None, None), seen) == pytest.approx(best)
 
 
 def test_blocks_decode_like_one_piece():
     rng = np.random.default_rng(1)
-    model, seen = random_model(rng), rng.integers(0, chat.SYMBOLS, 40)
+    model, seen = random_chat_model(rng), rng.integers(0, chat.SYMBOLS, 40)
     cut = [seen[:13], seen[13:14], seen[14:30], seen[30:]]
     tables = [model.opening(cut[0]), *[model.through(c) for c in cut[1:]]]
     ends = chat.borders(tables)
