@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, chat, decontaminate, licences, lm, mih, packing, simhash, toxicity, urlrules
+from . import arc, chat, decontaminate, licences, lm, mih, packing, simhash, tokencount, toxicity, urlrules
 from .common import table
 
 
@@ -154,6 +154,12 @@ FROM p LEFT JOIN f ON p.h = f.h AND p.n >= 100
 """
 
 
+def op13_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -173,6 +179,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_bktree": op8_simhash_bktree,
         "op9_classifier_chain": op9_classifier_chain,
         "op10_arc_to_warc": op10_arc_to_warc,
+        "op13_transducer_counts": op13_transducer_counts,
     }
 
 
