@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sampling import rank_in_groups
 from ..session import shared_dir
+from . import tiles
 
 CUTOFFS = (1, 5, 10, 50, 100, 1000)
-#: Queries that travel to every task at once, and corpus vectors scored at once.
-QUERY_BLOCK, CORPUS_BLOCK = 4096, 8192
+#: Queries of a tile, and corpus vectors scored against them at once.
+QUERY_BLOCK, CORPUS_BLOCK = 2048, 4096
+#: More than the rounding errors of two ways to sum up one cosine.
+ROUNDING = 1e-12
 
 
 def corpus(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,60 +46,71 @@ def qrels(rows: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(ids, "anchor").join(docs, rows["positive"] == docs["text"]).select("query_id", "corpus_id").distinct()
 
 
+def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Rows of length one; NaN for vectors without length."""
+    m = np.array(vectors.to_pylist(), dtype=float)
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
+
+
+def _best(names: np.ndarray, vectors: np.ndarray, bound: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int, exclude_same_id: bool) -> tuple[np.ndarray, ...]:
+    """(row of names, row of ids, cosine) of the k best per name that reach its bound, ties by id.
+
+    Matrix products differ in the last digits by the shape of their blocks, so what comes near the kth is taken along and
+    settled by the sum over each pair's own products, which is the same wherever a pair meets.
+    """
+    at, corpus_at, score = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, float))
+    floor = bound.copy()
+    for low in range(0, len(ids), CORPUS_BLOCK):
+        scores = vectors @ others[low : low + CORPUS_BLOCK].T
+        if exclude_same_id:
+            scores[names[:, None] == ids[None, low : low + CORPUS_BLOCK]] = np.nan
+        if scores.shape[1] > k:
+            down = np.where(np.isnan(scores), np.inf, -scores)
+            floor = np.fmax(floor, -np.partition(down, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero(scores >= floor[:, None] - ROUNDING)
+        exact = np.concatenate([np.einsum("ij,ij->i", vectors[i[a : a + 65_536]], others[low + j[a : a + 65_536]]) for a in range(0, len(i), 65_536)] or [np.zeros(0)])
+        at, corpus_at, score = np.r_[at, i], np.r_[corpus_at, low + j], np.r_[score, exact]
+        order = np.lexsort((ids[corpus_at], -score, at))
+        at, corpus_at, score = at[order], corpus_at[order], score[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        kth = place == k - 1
+        floor[at[kth]] = np.fmax(floor[at[kth]], score[kth])
+        at, corpus_at, score = at[place < k], corpus_at[place < k], score[place < k]
+    return at, corpus_at, score
+
+
 def top_k(queries: DataFrame, base: DataFrame, k: int, exclude_same_id: bool = False) -> DataFrame:
     """(query_id, corpus_id, score, rank): the k best corpus vectors per query by cosine, ties by id.
 
-    queries (query_id, v) travel to the tasks in blocks of QUERY_BLOCK; for each block the corpus (corpus_id, v) is scanned
-    where it lies, a matrix product per CORPUS_BLOCK vectors, and a task keeps k per query, so neither side is copied or
-    shuffled. Vectors without length score nothing; all have the same number of dimensions.
+    queries (query_id, v) and base (corpus_id, v) meet tile by tile; a round's kth scores bound what the next round's tasks
+    return. Vectors without length score nothing; all have the same number of dimensions; repeated query ids are one
+    query, repeated rows of the base are rows of their own.
     """
-    asked = queries.where("query_id is not null and v is not null").select("query_id", F.col("v").cast("array<double>").alias("v"))
-    source = base.where("corpus_id is not null and v is not null").select("corpus_id", F.col("v").cast("array<double>").alias("v"))
-    spark = queries.sparkSession
-
-    def unit(vectors: list) -> np.ndarray:
-        m = np.array([np.asarray(x, dtype=float) for x in vectors])
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, length, out=np.full_like(m, np.nan), where=length > 0)
-
-    def scan(block: list) -> DataFrame:
-        shipped = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block]), unit([r["v"] for r in block])))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names, vectors = shipped.value
-            kept_score, kept_id = np.full((len(names), k), np.nan), np.zeros((len(names), k), dtype=np.int64)
-            for frame in frames:
-                for at in range(0, len(frame), CORPUS_BLOCK):
-                    part = frame.iloc[at : at + CORPUS_BLOCK]
-                    ids = part["corpus_id"].to_numpy()
-                    scores = vectors @ unit(part["v"].tolist()).T
-                    if exclude_same_id:
-                        scores[names[:, None] == ids[None, :]] = np.nan
-                    scores, ids = np.concatenate([kept_score, scores], axis=1), np.concatenate([kept_id, np.broadcast_to(ids, scores.shape)], axis=1)
-                    down = np.where(np.isnan(scores), np.inf, -scores)
-                    kth = np.partition(down, k - 1, axis=1)[:, k - 1 : k]
-                    for row in np.flatnonzero((down <= kth).sum(axis=1) > k):  # ties with the kth: only the smallest ids stay
-                        tied = np.flatnonzero(down[row] == kth[row])
-                        keep = k - int((down[row] < kth[row]).sum())
-                        down[row, tied[np.argsort(ids[row, tied], kind="stable")[keep:]]] = np.inf
-                    best = np.argpartition(down, k - 1, axis=1)[:, :k]
-                    kept_score, kept_id = np.take_along_axis(scores, best, axis=1), np.take_along_axis(ids, best, axis=1)
-                    kept_score[np.isinf(np.take_along_axis(down, best, axis=1))] = np.nan
-            there = ~np.isnan(kept_score)
-            yield pd.DataFrame({"query_id": np.repeat(names, there.sum(axis=1)), "corpus_id": kept_id[there], "score": kept_score[there]})
-
-        return source.mapInPandas(run, "query_id bigint, corpus_id bigint, score double")
-
-    found, block = None, []
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found, block = scan(block) if found is None else found.union(scan(block)), []
-    if block or found is None:
-        last = scan(block) if block else source.limit(0).select(F.col("corpus_id").alias("query_id"), "corpus_id", F.lit(0.0).alias("score"))
-        found = last if found is None else found.union(last)
+    asked = queries.where("query_id is not null and v is not null").select(F.col("query_id").cast("bigint").alias("query_id"), F.col("v").cast("array<double>").alias("v")).dropDuplicates(["query_id"])
+    source = base.where("corpus_id is not null and v is not null").select(F.col("corpus_id").cast("bigint").alias("corpus_id"), F.col("v").cast("array<double>").alias("v"))
+    asked, query_tiles = tiles.deal(asked, "query_tile", QUERY_BLOCK, QUERY_BLOCK)
+    source, base_tiles = tiles.deal(source, "base_tile")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        if left.num_rows and right.num_rows:
+            names, ids = left["query_id"].to_numpy(), right["corpus_id"].to_numpy()
+            i, j, score = _best(names, _unit(left["v"]), left["bound"].to_numpy(), ids, _unit(right["v"]), k, exclude_same_id)
+            found = names[i], ids[j], score
+        return pa.table(dict(zip(("query_id", "corpus_id", "score"), found, strict=True)))
+
+    schema, best = "query_id bigint, corpus_id bigint, score double", None
+    for span in tiles.rounds(base_tiles, max(1, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // query_tiles)):
+        bound = F.lit(float("-inf"))
+        bounded = asked.withColumn("bound", bound)
+        if best is not None:
+            kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+            bounded = asked.join(kth, "query_id", "left").withColumn("bound", F.coalesce("kth", bound)).drop("kth")
+        met = tiles.meet(bounded, source, query_tiles, span, run, schema)
+        best = tiles.first_of(met if best is None else best.unionByName(met), ["query_id"], [F.desc("score"), F.asc("corpus_id")], k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("rank", rank)
 
 
 def per_query_metrics(ranked: DataFrame, relevant: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
