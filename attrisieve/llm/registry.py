@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arc, chat, decontaminate, licences, lm, mih, packing, simhash, tokencount, toxicity, urlrules
+from . import arc, chat, decontaminate, licences, lm, mih, negatives, packing, simhash, tokencount, toxicity, urlrules, whitening
 from .common import table
 
 
@@ -154,6 +154,30 @@ FROM p LEFT JOIN f ON p.h = f.h AND p.n >= 100
 """
 
 
+def op11_svd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op12_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.shifted(table(spark, sf_dir, "embeddings")))
+
+
+OP12_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT * FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND n.label <> n.own AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
 def op13_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -179,9 +203,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_bktree": op8_simhash_bktree,
         "op9_classifier_chain": op9_classifier_chain,
         "op10_arc_to_warc": op10_arc_to_warc,
+        "op11_svd_whitening": op11_svd_whitening,
+        "op12_bit_sliced_negatives": op12_bit_sliced_negatives,
         "op13_transducer_counts": op13_transducer_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licence_sentences": licences.oracle_sql(), "op6_redirect_equivalence": OP6_SQL, "op7_multi_index_hashing": OP7_SQL, "op10_arc_to_warc": OP10_SQL}
+    return {"op4_licence_sentences": licences.oracle_sql(), "op6_redirect_equivalence": OP6_SQL, "op7_multi_index_hashing": OP7_SQL, "op10_arc_to_warc": OP10_SQL, "op12_bit_sliced_negatives": OP12_SQL}
