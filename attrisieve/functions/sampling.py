@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def draw(seed: int, key: Column, name: str) -> Column:
     """A number in [0, 2**32) from seed, key and the name of the draw."""
@@ -31,23 +33,25 @@ def sample_array(seed: int, key: Column, name: str, values: Column, n: Column) -
     return F.transform(F.slice(F.array_sort(tagged), 1, n), lambda t: t["v"])
 
 
-def rank_in_groups(df: DataFrame, groups: list[str], order: str, name: str, rows: int = 100_000) -> DataFrame:
-    """df with column name: 0, 1, 2... by the whole-number column order within groups (none: over all rows).
+def rank_in_groups(df: DataFrame, groups: list[str], order: str, name: str) -> DataFrame:
+    """df with column name: 0, 1, 2... by the column order within groups (none: over all rows); df should hold keys, not texts.
 
-    Values of order are cut into equal stretches, about one for every ``rows`` rows, however far apart the values are. Counts
-    per stretch are summed first, so a row's rank is its stretch's base plus its place there, and no group is brought to one
-    task whatever its size. order must not be null.
+    Rows are dealt out by ranges of (groups, order), whose borders Spark samples, so neither a large group nor a far value
+    fills a task. Within a range a row's place is its distance from the first one of its group, and what a group has in the
+    ranges before is counted first. The ranged rows are written to the shared folder once, so that places stay what they
+    are. order must not be null; rows of a group with one value of it stay together.
     """
-    span = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
-    low, stretches = span["low"] or 0, max(1, -(-span["n"] // rows))
-    width = max(1, -(-((span["high"] or 0) - low + 1) // stretches))
-    stretch, size, base, place = (free_name(df, x) for x in ("stretch", "size", "base", "place"))
-    keyed = df.withColumn(stretch, F.floor((F.col(order).cast("decimal(38,0)") - F.lit(str(low)).cast("decimal(38,0)")) / F.lit(str(width)).cast("decimal(38,0)")).cast("bigint"))
-    sizes = keyed.groupBy(*groups, stretch).agg(F.count("*").alias(size))
-    before = W.partitionBy(*groups).orderBy(stretch).rowsBetween(W.unboundedPreceding, -1)
-    bases = sizes.select(*groups, stretch, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(base))
-    ranked = keyed.withColumn(place, F.row_number().over(W.partitionBy(*groups, stretch).orderBy(order))).join(bases, [*groups, stretch])
-    return ranked.withColumn(name, F.col(base) + F.col(place) - 1).drop(*{stretch, base, place} - {name})
+    shared_dir(df.sparkSession)
+    at, slot, first, n, base = (free_name(df, x) for x in ("at", "slot", "first", "n", "base"))
+    ranged = df.repartitionByRange(*groups, order).sortWithinPartitions(*groups, order)
+    kept = ranged.withColumn(at, F.monotonically_increasing_id()).withColumn(slot, F.spark_partition_id()).checkpoint()
+    counts = kept.groupBy(*groups, slot).agg(F.count("*").alias(n), F.min(at).alias(first))
+    if groups:
+        before = F.sum(n).over(W.partitionBy(*groups).orderBy(slot).rowsBetween(W.unboundedPreceding, -1))
+    else:
+        before = F.sum(n).over(W.orderBy(slot).rowsBetween(W.unboundedPreceding, -1))  # a row per range
+    begins = counts.select(*groups, slot, (F.coalesce(before, F.lit(0)) - F.col(first)).alias(base))
+    return kept.join(begins, [*groups, slot]).withColumn(name, F.col(at) + F.col(base)).drop(*{at, slot, base} - {name})
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -25,7 +25,7 @@ def group_members(records: DataFrame, group: str) -> DataFrame:
 
 def _other_in_group(records: DataFrame, groups: list[str], seed: int, name: str) -> DataFrame:
     """(key, <name>): another product of the same groups, drawn without building the pairs: an index into the group without its own place."""
-    ranked = rank_in_groups(records, groups, "key", "place")
+    ranked = rank_in_groups(records.select("key", *groups), groups, "key", "place")
     sizes = records.groupBy(*groups).agg(F.count("*").alias("n"))
     others = ranked.join(sizes, groups).where("n > 1").withColumn("pick", draw(seed, F.col("key"), name) % (F.col("n") - 1))
     wanted = others.select("key", *groups, F.when(F.col("pick") >= F.col("place"), F.col("pick") + 1).otherwise(F.col("pick")).alias("place"))
@@ -50,7 +50,7 @@ def easy_negatives(records: DataFrame, seed: int = 42) -> DataFrame:
     sizes = records.groupBy("category").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("category").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     blocks = sizes.select("category", "n", before.alias("start"), F.sum("n").over(W.partitionBy()).alias("total"))  # a row per category
-    ranked = rank_in_groups(records, ["category"], "key", "inner_place").join(blocks, "category")
+    ranked = rank_in_groups(records.select("key", "category"), ["category"], "key", "inner_place").join(blocks, "category")
     ranked = ranked.withColumn("place", F.col("start") + F.col("inner_place"))
     wanted = ranked.where("total > n").withColumn("pick", draw(seed, F.col("key"), "easy") % (F.col("total") - F.col("n")))
     wanted = wanted.select("key", F.when(F.col("pick") >= F.col("start"), F.col("pick") + F.col("n")).otherwise(F.col("pick")).alias("place"))

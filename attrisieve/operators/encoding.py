@@ -9,9 +9,13 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sampling import free_name
+from ..functions.vectors import dot
+from ..session import shared_dir
+
 Encoder = Callable[[list], list]
 DIM, BATCH = 64, 256
 
@@ -44,12 +48,38 @@ def encode(rows: DataFrame, column: str, encoder: Encoder = stand_in, batch: int
     return rows.withColumn(name, run(F.col(f"`{column}`")))
 
 
+def encode_distinct(rows: DataFrame, column: str, encoder: Encoder = stand_in, batch: int = BATCH, name: str = "v") -> DataFrame:
+    """rows with column name, each distinct text encoded once however many rows have it; null stays null.
+
+    Texts are written to the shared folder with their vectors, so that no encoder is asked again when rows are read twice.
+    """
+    shared_dir(rows.sparkSession)
+    text, vector = free_name(rows, "text"), free_name(rows, "vector")
+    texts = rows.select(F.col(f"`{column}`").alias(text)).where(F.col(text).isNotNull()).distinct()
+    vectors = encode(texts.repartition(text), text, encoder, batch, vector).checkpoint()
+    return rows.join(vectors, F.col(f"`{column}`") == F.col(text), "left").withColumn(name, F.col(vector)).drop(*{text, vector} - {name})
+
+
+def truncated(vector: Column, dims: int | None) -> Column:
+    """The first dims numbers of a vector, brought to length one again; the whole vector where dims is None, zeros where nothing is left of it."""
+    if dims is None:
+        return vector
+    if dims < 1:
+        raise ValueError("a vector keeps one dimension at least")
+    head = F.slice(vector, 1, dims)
+    length = F.sqrt(dot(head, head))
+    return F.transform(head, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+
+
 def encode_files(rows: DataFrame, path: str, files: str, encoder: Encoder = stand_in, batch: int = BATCH) -> DataFrame:
     """rows with column v: the vector of the file a path column names, loaded from folder files before it is encoded.
 
-    A row whose file isn't there has a null vector. Files are told apart by the part of their path below the folder.
+    A row whose file isn't there has a null vector. Files are told apart by the part of their path below the folder; only
+    those that rows name are loaded, each once.
     """
+    shared_dir(rows.sparkSession)
     below = F.substring_index(F.col("path"), f"{files.rstrip('/').split('/')[-1]}/", -1)
+    wanted = rows.select(F.col(f"`{path}`").alias("_file")).where("_file is not null").distinct()
     loaded = rows.sparkSession.read.option("recursiveFileLookup", "true").format("binaryFile").load(files).select(below.alias("_file"), F.col("content").alias("_content"))
-    vectors = encode(loaded, "_content", encoder, batch).select("_file", "v")
+    vectors = encode(loaded.join(wanted, "_file", "left_semi"), "_content", encoder, batch).select("_file", "v").checkpoint()
     return rows.join(vectors, F.col(f"`{path}`") == F.col("_file"), "left").drop("_file")

@@ -24,15 +24,15 @@ def cosine_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def losses(rows: DataFrame, margin: float = 0.2, scale: float = 25.0) -> DataFrame:
+def losses(rows: DataFrame, margin: float = 0.2) -> DataFrame:
     """One row of mean losses: triplet (cosine distance), margin and its reversed form, pairwise, attribute-Hamming.
 
-    rows have q, p, n, pos_sim, neg_sim and label; label times scale is the distance the attribute-Hamming loss reads.
+    rows have q, p, n, pos_sim, neg_sim and label, the distance over its scale.
     """
     gap = F.col("pos_sim") - F.col("neg_sim")
     y = F.col("label").cast("double")
     pair = (F.pow(F.col("pos_sim") - 1, 2) + F.pow(F.col("neg_sim") - (1 - y), 2)) / 2
-    hamming = F.pow(dot(F.col("q"), minus(F.col("p"), F.col("n"))) - y * scale / scale, 2)
+    hamming = F.pow(dot(F.col("q"), minus(F.col("p"), F.col("n"))) - y, 2)
     return rows.agg(
         F.avg(F.greatest(F.lit(0.0), (1 - F.col("pos_sim")) - (1 - F.col("neg_sim")) + margin)).alias("triplet_loss"), F.avg(F.pow(gap - y, 2)).alias("margin_loss"),
         F.avg(F.pow(-gap - y, 2)).alias("reversed_margin_loss"), F.avg(pair).alias("pairwise_loss"), F.avg(hamming).alias("attribute_hamming_loss"),
@@ -50,9 +50,33 @@ def probe_by_deletion(queries: DataFrame) -> DataFrame:
 
     queries have conditions (sorted array of attribute:sign) and f. b is the sign times the difference of vectors.
     """
-    deleted = queries.select("conditions", F.col("f").alias("f_all"), F.explode("conditions").alias("condition"))
-    deleted = deleted.withColumn("rest", F.array_remove("conditions", F.col("condition")))
-    rest = queries.select(F.col("conditions").alias("rest"), F.col("f").alias("f_rest"))
-    sign = F.element_at(F.split("condition", ":"), 2).cast("double")
-    joined = deleted.join(rest, "rest").withColumn("sign", sign)
-    return joined.select(F.element_at(F.split("condition", ":"), 1).alias("attribute"), F.zip_with(minus(F.col("f_all"), F.col("f_rest")), F.array_repeat("sign", F.size("f_all")), lambda d, s: d * s).alias("b"))
+    return _deletions(queries.withColumn("f_of", F.col("f"))).select("attribute", "b")
+
+
+def _deletions(queries: DataFrame) -> DataFrame:
+    """queries (conditions, f, ...) with attribute, b, one row per condition without which the query is there, too.
+
+    A condition list is looked up by its canonical form: conditions sorted, each once. Null vectors give no probe.
+    """
+    canonical = queries.withColumn("conditions", F.array_sort(F.array_distinct("conditions"))).where("f is not null")
+    each = canonical.withColumnRenamed("f", "f_all").withColumn("condition", F.explode("conditions")).withColumn("rest", F.array_remove("conditions", F.col("condition")))
+    rest = canonical.groupBy(F.col("conditions").alias("rest")).agg(F.first("f").alias("f_rest"))  # equal queries have equal vectors
+    parted = F.split("condition", ":(?=[^:]*$)")  # an attribute may hold colons
+    joined = each.join(rest, "rest").withColumn("attribute", F.element_at(parted, 1)).withColumn("sign", F.element_at(parted, 2).cast("double"))
+    return joined.withColumn("b", F.zip_with(minus(F.col("f_all"), F.col("f_rest")), F.array_repeat("sign", F.size("f_all")), lambda d, s: d * s)).drop("f_rest", "rest", "sign")
+
+
+def probes_with_intercept(queries: DataFrame, products: DataFrame) -> DataFrame:
+    """(conditions, attribute, b, beta): probes by deletion, beta from a product that fits the whole query.
+
+    queries have conditions, f and reference, the key of a product that fits (a query's positive does); products have key,
+    attributes and f. beta is the reference's bit of the attribute less its product with b. A reference that isn't there, or
+    doesn't fit, gives no probe.
+    """
+    probes = _deletions(queries.select("conditions", "f", "reference"))
+    known = products.select(F.col("key").alias("reference"), F.col("attributes").alias("_has"), F.col("f").alias("_f"))
+    required = F.transform(F.filter("conditions", lambda c: c.endswith(":1")), lambda c: F.regexp_replace(c, ":1$", ""))
+    forbidden = F.transform(F.filter("conditions", lambda c: c.endswith(":-1")), lambda c: F.regexp_replace(c, ":-1$", ""))
+    joined = probes.join(known, "reference").where((F.size(F.array_except(required, "_has")) == 0) & (F.size(F.array_intersect(forbidden, "_has")) == 0))
+    z = F.when(F.array_contains("_has", F.col("attribute")), 1.0).otherwise(0.0)
+    return joined.select("conditions", "attribute", "b", (z - dot(F.col("b"), F.col("_f"))).alias("beta"))

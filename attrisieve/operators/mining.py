@@ -42,10 +42,11 @@ def reduction(judged: DataFrame, locale: str = "us") -> DataFrame:
 def triplets(judged: DataFrame, seed: int = 42, locale: str = "us", language: str = "en") -> DataFrame:
     """Hard pairs in the language, each with an easy negative drawn from all the locale's rows in the language (any label)."""
     pairs = hard_pairs(judged, locale).where((F.col("positive.lang") == language) & (F.col("hard.lang") == language))
-    pool = rank_in_groups(judged.where((F.col("product_locale") == locale) & (F.col("lang") == language)), [], "row_id", "place")
+    own = judged.where((F.col("product_locale") == locale) & (F.col("lang") == language))
+    pool = rank_in_groups(own.select("row_id"), [], "row_id", "place").withColumnRenamed("row_id", "easy_id")
     size = pool.agg(F.count("*").alias("pool_size"))
     drawn = pairs.join(F.broadcast(size)).withColumn("place", draw(seed, F.col("row_id"), "easy") % F.col("pool_size"))  # one row
-    easy = pool.select("place", F.struct(*PRODUCT).alias("easy_neg_product"))
-    found = drawn.join(easy, "place")
+    easy = own.select(F.col("row_id").alias("easy_id"), F.struct(*PRODUCT).alias("easy_neg_product"))
+    found = drawn.join(pool, "place").join(easy, "easy_id")
     product = lambda c: F.struct(*[F.col(f"{c}.{p}") for p in PRODUCT])
     return found.select("row_id", "query_id", "query", product("positive").alias("positive_product"), product("hard").alias("hard_neg_product"), "easy_neg_product", F.col("esci_label").alias("negative_example_source"))

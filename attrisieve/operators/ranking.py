@@ -15,8 +15,8 @@ from . import tiles
 CUTOFFS = (1, 5, 10, 50, 100, 1000)
 #: Queries of a tile, and corpus vectors scored against them at once.
 QUERY_BLOCK, CORPUS_BLOCK = 2048, 4096
-#: More than the rounding errors of two ways to sum up one cosine.
-ROUNDING = 1e-12
+#: Decimals of a score; far more than rounding errors reach, so equal cosines are equal scores however they were summed up.
+DECIMALS = 9
 
 
 def corpus(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -56,8 +56,8 @@ def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
 def _best(names: np.ndarray, vectors: np.ndarray, bound: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int, exclude_same_id: bool) -> tuple[np.ndarray, ...]:
     """(row of names, row of ids, cosine) of the k best per name that reach its bound, ties by id.
 
-    Matrix products differ in the last digits by the shape of their blocks, so what comes near the kth is taken along and
-    settled by the sum over each pair's own products, which is the same wherever a pair meets.
+    Matrix products differ in the last digits by the shape of their blocks, so scores are rounded before they are compared,
+    and what comes near the kth is taken along and settled by the sum over each pair's own products.
     """
     at, corpus_at, score = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, float))
     floor = bound.copy()
@@ -68,8 +68,8 @@ def _best(names: np.ndarray, vectors: np.ndarray, bound: np.ndarray, ids: np.nda
         if scores.shape[1] > k:
             down = np.where(np.isnan(scores), np.inf, -scores)
             floor = np.fmax(floor, -np.partition(down, k - 1, axis=1)[:, k - 1])
-        i, j = np.nonzero(scores >= floor[:, None] - ROUNDING)
-        exact = np.concatenate([np.einsum("ij,ij->i", vectors[i[a : a + 65_536]], others[low + j[a : a + 65_536]]) for a in range(0, len(i), 65_536)] or [np.zeros(0)])
+        i, j = np.nonzero(scores >= floor[:, None] - 10.0**-DECIMALS)
+        exact = np.concatenate([np.einsum("ij,ij->i", vectors[i[a : a + 65_536]], others[low + j[a : a + 65_536]]) for a in range(0, len(i), 65_536)] or [np.zeros(0)]).round(DECIMALS)
         at, corpus_at, score = np.r_[at, i], np.r_[corpus_at, low + j], np.r_[score, exact]
         order = np.lexsort((ids[corpus_at], -score, at))
         at, corpus_at, score = at[order], corpus_at[order], score[order]
@@ -81,7 +81,7 @@ def _best(names: np.ndarray, vectors: np.ndarray, bound: np.ndarray, ids: np.nda
 
 
 def top_k(queries: DataFrame, base: DataFrame, k: int, exclude_same_id: bool = False) -> DataFrame:
-    """(query_id, corpus_id, score, rank): the k best corpus vectors per query by cosine, ties by id.
+    """(query_id, corpus_id, score, rank): the k best corpus vectors per query by cosine to DECIMALS, ties by id.
 
     queries (query_id, v) and base (corpus_id, v) meet tile by tile; a round's kth scores bound what the next round's tasks
     return. Vectors without length score nothing; all have the same number of dimensions; repeated query ids are one

@@ -113,6 +113,29 @@ def merge_maps(first: Column, second: Column) -> Column:
     return F.map_concat(keep, second)
 
 
+def merged_metrics(summaries: DataFrame, entries: DataFrame) -> DataFrame:
+    """(path, metrics): per run folder its summary's numbers with what its log told later over them.
+
+    summaries (path, metrics) and entries (path, key, value, place) name run folders; of a key's entries the one that comes
+    last wins, even where its value is null. Tasks keep one value a key before anything is shuffled.
+    """
+    first = summaries.select("path", F.explode("metrics").alias("key", "value")).select("path", "key", "value", F.lit(None).cast(entries.schema["place"].dataType).alias("place"))
+    last = first.unionByName(entries).groupBy("path", "key").agg(F.max_by("value", F.struct(F.col("place").isNotNull().alias("logged"), "place")).alias("value"))
+    return last.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metrics"))
+
+
+def recall_table(listed: DataFrame, folders: DataFrame, summaries: DataFrame, entries: DataFrame, args: DataFrame, cutoffs: tuple[int, ...] = (5, 10, 100)) -> DataFrame:
+    """listed (trained_on, method, evaluated_on, run_id) with run_dir, recall_at_<k> per cut-off and the run's arguments as one text.
+
+    folders (run_id, path), summaries (path, metrics), entries (path, key, value, place) and args (path, args) name run
+    folders by path. A run without a folder has nulls, and no arguments.
+    """
+    told = folders.join(merged_metrics(summaries, entries), "path", "left").join(args.select("path", F.array_join("args", " ").alias("verified_args")), "path", "left")
+    recalls = [recall_at(F.col("metrics"), k).alias(f"recall_at_{k}") for k in cutoffs]
+    found = told.select("run_id", F.col("path").alias("run_dir"), *recalls, "verified_args")
+    return listed.join(found, "run_id", "left").withColumn("verified_args", F.coalesce("verified_args", F.lit("")))
+
+
 def log_dicts(text: Column) -> Column:
     """Flat dict literals with an '@5' in a log, each as a map of text to number; the last one wins when they are merged."""
     found = F.regexp_extract_all(text, F.lit(r"\{[^{}]*@5[^{}]*\}"), F.lit(0))

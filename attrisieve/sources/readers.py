@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import json
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import last_path_part, product_of_view
 
+#: Columns of judged tables and catalogues, in the names their sources give them (fixed values).
 JUDGED = "row_id long, example_id long, query string, query_id long, product_id string, product_locale string, esci_label string, small_version long, large_version long, product_title string, product_text string"
 CATALOGUE = ("image_id", "image_path", "item_id", "product_id", "split", "category1", "category2", "category3", "color", "description", "text")
 
@@ -58,26 +57,48 @@ def catalogue(raw: DataFrame, limit: int | None = None) -> DataFrame:
     return own.select("row_id", *[fixed.get(c, None) if c in fixed else text(c) for c in CATALOGUE])
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, value): lines that aren't blank, of a file, a folder or a pattern; block is where the line's split of its file begins, at grows within it.
+
+    Long files are read in splits by many tasks. at counts the lines of a task without gaps; as splits are dealt to tasks by
+    sizes alone, it is the same whenever the same DataFrame is run.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return raw.where(F.col("value").rlike(r"\S")).withColumn("at", F.monotonically_increasing_id())
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, value): lines that aren't blank with their place among all of them from 0, files by name.
+
+    Lines are counted per split, and a split's lines are numbered from what stands before it, so lines are neither sorted nor
+    shuffled, and a file of any length is read by many tasks.
+    """
+    lines = placed_lines(spark, path)
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    per_file = counts.groupBy("file").agg(F.sum("n").alias("m"))
+    files = per_file.select("file", F.coalesce(F.sum("m").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row per file
+    inside = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = counts.withColumn("inside", inside).join(files, "file").select("file", "block", (F.col("base") + F.col("inside") - F.col("first")).alias("offset"))
+    return lines.join(begins, ["file", "block"]).select((F.col("at") + F.col("offset")).alias("row_id"), "value")
+
+
 def whitespace_table(spark: SparkSession, path: str, least_columns: int) -> DataFrame:
     """(row_id, parts) of lines after the first two that aren't blank, split at white space, with so many parts at least.
 
-    row_id is the line's place among those that aren't blank. The file is read as a whole: such files list a data set's
-    images, a few MB. Raises where the path is missing.
+    row_id is the line's place among those that aren't blank. path is a file, or a folder whose files follow each other by
+    name. Raises where it is missing.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
-    whole = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    rows = whole.select(F.posexplode(lines).alias("row_id", "line")).where("row_id >= 2")
-    parts = rows.select("row_id", F.split(F.trim("line"), r"\s+").alias("parts"))
-    return parts.where(F.size("parts") >= least_columns)
+    parts = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
+    return numbered_lines(spark, path).where("row_id >= 2").select("row_id", parts.alias("parts")).where(F.size("parts") >= least_columns)
 
 
 def annotated_images(spark: SparkSession, partition_path: str, boxes_path: str) -> tuple[DataFrame, DataFrame]:
     """(partition rows, box rows) of the annotation files; no boxes where their file is missing."""
     rows = whitespace_table(spark, partition_path, 3)
     partition = rows.select("row_id", F.col("parts")[0].alias("image_name"), F.col("parts")[1].alias("item_id"), F.col("parts")[2].alias("split"))
-    schema = "row_id int, image_name string, clothes_type string, pose_type string, bbox array<int>"
+    schema = "row_id bigint, image_name string, clothes_type string, pose_type string, bbox array<int>"
     if not path_exists(spark, boxes_path):
         return partition, spark.createDataFrame([], schema)
     found = whitespace_table(spark, boxes_path, 7)
@@ -86,23 +107,19 @@ def annotated_images(spark: SparkSession, partition_path: str, boxes_path: str)
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, rgb) decoded with PIL, which must be installed; undecodable files have nulls."""
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from PIL import Image
-
-        for pdf in frames:
-            rows = []
-            for p, content in zip(pdf["path"], pdf["content"], strict=True):
-                try:
-                    with Image.open(io.BytesIO(content)) as image:
-                        rgb = image.convert("RGB")
-                        rows.append((p, rgb.width, rgb.height, rgb.tobytes()))
-                except OSError:
-                    rows.append((p, None, None, None))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "rgb"])
+    """(path, width, height, rgb): decoded images, three bytes a pixel, line by line; nulls where a file can't be decoded.
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, width int, height int, rgb binary")
+    Spark's own image source decodes them, to one, three (blue first) or four channels of 8 bits; grey ones are repeated and
+    transparency is dropped.
+    """
+    raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
+    pixels = F.hex("data")
+    turned = {1: ("(..)", "$1$1$1"), 3: ("(..)(..)(..)", "$3$2$1"), 4: ("(..)(..)(..)..", "$3$2$1")}
+    rgb = F.lit(None).cast("string")
+    for channels, (pattern, order) in turned.items():
+        rgb = F.when(F.col("nChannels") == channels, F.regexp_replace(pixels, pattern, order)).otherwise(rgb)
+    size = lambda c: F.when(F.col(c) >= 0, F.col(c)).alias(c)
+    return raw.select(F.col("origin").alias("path"), size("width"), size("height"), F.unhex(rgb).alias("rgb"))
 
 
 def runs(table: DataFrame, groups: list[str] | None = None) -> DataFrame:
@@ -110,6 +127,20 @@ def runs(table: DataFrame, groups: list[str] | None = None) -> DataFrame:
     return table.where(F.col("group").isin(*groups)) if groups else table
 
 
+def run_files(spark: SparkSession, base: str) -> DataFrame:
+    """(path, folder): files of the run folders below base, named like base/run-20250101_120000-<id>/files/<file>. Contents aren't read."""
+    try:
+        found = spark.read.format("binaryFile").load(f"{base.rstrip('/')}/run-*/files/*").select("path")
+    except AnalysisException:  # no such folder
+        return spark.createDataFrame([], "path string, folder string")
+    return found.select("path", folder_of(F.col("path")).alias("folder"))
+
+
+def folder_of(path: Column) -> Column:
+    """The run folder of a file in it."""
+    return F.regexp_extract(path, "^(.*)/files/[^/]*$", 1)
+
+
 def run_dirs(listing: DataFrame) -> DataFrame:
     """(run_id, path): per run id the last of its directories by name. listing has path, named like run-20250101_120000-<id>."""
     run = F.element_at(F.split(last_path_part(F.col("path")), "-"), -1)
@@ -128,9 +159,12 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def yaml_args(spark: SparkSession, path: str) -> DataFrame:
-    """(path, args): the args list of YAML metadata files, read as a flat block list, which is how they are written."""
-    raw = spark.read.text(path, wholetext=True)
-    block = F.regexp_extract("value", r"(?m)^args:\s*\n((?:[ \t]*-[^\n]*(?:\n|$))*)", 1)
+    """(path, args): the first args list of YAML metadata files, at whatever depth, read as a block list, which is how they are written; no rows where there are no files."""
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, args array<string>")
+    block = F.regexp_extract("value", r"(?m)^[ \t]*args:[ \t]*\n((?:[ \t]*-[^\n]*(?:\n|$))*)", 1)
     items = F.transform(F.filter(F.split(block, r"\n"), lambda x: F.trim(x) != ""), lambda x: F.trim(F.regexp_replace(x, r"^\s*-\s*", ""), F.lit("'\"")))
     return raw.select(F.input_file_name().alias("path"), items.alias("args"))
 
@@ -146,6 +180,26 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def log_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(path, key, value, place) of the flat dict literals that logs print with a recall or accuracy at 5, one row per key.
+
+    place orders a file's entries as they stand in it, over whatever tasks have read its splits. Literals that can't be read
+    are left out; a value that is no number is null. No rows where there are no files.
+    """
+    try:
+        lines = placed_lines(spark, path)
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, key string, value double, place struct<block: bigint, at: bigint, nth: int>")
+    literal = r"\{[^{}]*(?:recall|accuracy)@5[^{}]*\}"
+    found = lines.where(F.col("value").rlike(literal)).select("file", "block", "at", F.posexplode(F.regexp_extract_all("value", F.lit(literal), F.lit(0))).alias("nth", "literal"))
+    words = F.col("literal")
+    for python, plain in (("None", "null"), ("True", "true"), ("False", "false")):
+        words = F.regexp_replace(words, rf"(?<![\w'\"]){python}(?![\w'\"])", plain)
+    read = F.from_json(words, "map<string,string>", {"allowSingleQuotes": "true"})
+    each = found.select("file", F.struct("block", "at", "nth").alias("place"), F.explode(read).alias("key", "value"))
+    return each.select(F.col("file").alias("path"), "key", F.col("value").try_cast("double").alias("value"), "place")
+
+
 def config(yaml_text: str, overrides: dict, defaults: dict) -> dict:
     """Settings: overrides that aren't None win over flat 'key: value' lines, those over defaults."""
     found: dict = {}

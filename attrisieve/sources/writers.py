@@ -98,28 +98,50 @@ def image_report(examples: DataFrame, report_path: str, n: int = 20) -> str:
     return "\n".join(parts)
 
 
-def materialise(images: DataFrame, folder: str) -> DataFrame:
-    """(name, path): writes each image's bytes under a safe name to a shared folder, once; images have name and content.
+def files(rows: DataFrame, folder: str) -> DataFrame:
+    """(name, path): writes rows (name, content) as files below a shared folder, once each; names may have folders of their own.
 
-    Every executor writes through pyarrow's file systems, which take the folder's scheme.
+    A file that is there already stays. Every executor writes through pyarrow's file systems, which take the folder's scheme;
+    a file is written under another name and then moved, so a task that is run again leaves no half of one.
     """
-    import pandas as pd
+    import uuid
 
-    from ..functions.text import safe_filename
+    import pandas as pd
 
     def write(frames):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
         for pdf in frames:
             paths = []
             for name, content in zip(pdf["name"], pdf["content"], strict=True):
                 path = f"{root}/{name}"
                 if store.get_file_info(path).type == fs.FileType.NotFound:
-                    with store.open_output_stream(path) as out:
+                    store.create_dir(posixpath.dirname(path), recursive=True)
+                    draft = f"{posixpath.dirname(path)}/.{uuid.uuid4().hex}"
+                    with store.open_output_stream(draft) as out:
                         out.write(content)
+                    store.move(draft, path)
                 paths.append(path)
             yield pd.DataFrame({"name": pdf["name"], "path": paths})
 
-    return images.select(safe_filename(F.col("name")).alias("name"), "content").mapInPandas(write, "name string, path string")
+    return rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(write, "name string, path string")
+
+
+def materialise(images: DataFrame, folder: str) -> DataFrame:
+    """(name, path): writes each image's bytes under a safe name to a shared folder, once; images have name and content."""
+    from ..functions.text import safe_filename
+
+    return files(images.select(safe_filename(F.col("name")).alias("name"), "content"), folder)
+
+
+def whitespace_table(rows: DataFrame, path: str, header: str, order: str = "row_id") -> None:
+    """Lines of rows (order, value) as an annotation table: their number, a header, then the lines by order.
+
+    Part files follow each other by name, so a table of any length is written by many tasks.
+    """
+    spark = rows.sparkSession
+    lines = rows.select(F.col(order).cast("bigint").alias("place"), "value")
+    top = lines.agg(F.count("*").cast("string").alias("value")).select(F.lit(-2).cast("bigint").alias("place"), "value")  # one row
+    second = spark.createDataFrame([(-1, header)], "place bigint, value string")
+    lines.unionByName(top).unionByName(second).orderBy("place").select("value").write.mode("overwrite").text(path)
