@@ -20,10 +20,13 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import checkpoint, discard, fresh_path, own_columns, slices
 
@@ -66,10 +69,10 @@ def version_block(version: int, name: str, date: str = CRAWL_DATE) -> bytes:
     return " ".join(values.get(f, "-") for f in FIELDS[version]).encode() + b"\n" + body
 
 
-def arc_record(version: int, page_id: int | None, url: str | None, payload: bytes, date: str = CRAWL_DATE) -> bytes:
+def arc_record(version: int, page_id: int | str | None, url: str | None, payload: bytes, date: str = CRAWL_DATE) -> bytes:
     """An ARC record of an HTTP response with the payload; the page's id travels in an HTTP header."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n"
-    head += f"X-Page-Id: {page_id}\r\n\r\n" if page_id is not None else "\r\n"
+    head += f"X-Page-Id: {quote(str(page_id), safe='')}\r\n\r\n" if page_id is not None else "\r\n"
     content = head.encode() + payload
     values = {"URL": _escape(url), "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/html", "Result-code": "200", "Archive-length": str(len(content))}
     return " ".join(values.get(f, "-") for f in FIELDS[version]).encode() + b"\n" + content
@@ -262,30 +265,51 @@ def _archives(lines: DataFrame, path: str) -> None:
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int | None = None) -> None:
-    """Write ARC files of pages, a gzip member for each record; every other one has version 2."""
+    """Write ARC files of pages, a gzip member for each record.
+
+    A task fills one archive of either version at a time and a hash of its id says which a page goes to, so both versions
+    are written whatever the number of pages.
+    """
     file_bytes = file_bytes or FILE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members, room, count = [], 0, 0
+        members, room = {v: [] for v in FIELDS}, dict.fromkeys(FIELDS, 0)
+        task, count = TaskContext.get().partitionId(), 0
+
+        def archive(version: int) -> pa.RecordBatch:
+            whole, members[version] = b"".join(members[version]), []
+            return pa.RecordBatch.from_arrays([pa.array([whole], pa.binary())], names=["value"])
+
         for batch in slices(batches, 64):
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                version = 1 + count % 2
-                if not members:
-                    members, room = [_member(version_block(version, f"part-{count}.arc") + b"\n")], file_bytes
+                version = 1 + zlib.crc32(str(page_id).encode()) % 2
+                if not members[version]:
+                    members[version], room[version] = [_member(version_block(version, f"part-{task}-{count}.arc") + b"\n")], file_bytes
+                    count += 1
                 record = arc_record(version, page_id, url, (html or "").encode())
-                members.append(_member(record + b"\n"))
-                room -= len(record)
-                if room <= 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
-                    members, count = [], count + 1
-        if members:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+                members[version].append(_member(record + b"\n"))
+                room[version] -= len(record)
+                if room[version] <= 0:
+                    yield archive(version)
+        for version in FIELDS:
+            if members[version]:
+                yield archive(version)
 
     source = own_columns(pages, page_id=id_col, url=url_col, html=html_col)
     _archives(source.mapInArrow(run, "value binary"), path)
 
 
-def convert(source: DataFrame, arc_path: str, warc_path: str, least_revisit: int = LEAST_REVISIT) -> None:
+def _page(head: dict[str, str], whole: bool) -> int | str | None:
+    """The page id an HTTP head carries, as a whole number or a text."""
+    told = head.get("x-page-id")
+    return None if told is None else int(told) if whole else unquote(told)
+
+
+def _id_kind(whole: bool) -> tuple[str, pa.DataType]:
+    return ("bigint", pa.int64()) if whole else ("string", pa.string())
+
+
+def convert(source: DataFrame, arc_path: str, warc_path: str, least_revisit: int = LEAST_REVISIT, whole_ids: bool = True) -> None:
     """Write a WARC file for each ARC file under arc_path, a gzip member for each record (source only lends its session).
 
     Of records with equal payloads of at least least_revisit bytes, that with the smallest page id stays a response (no id
@@ -301,12 +325,11 @@ def convert(source: DataFrame, arc_path: str, warc_path: str, least_revisit: int
                         if record.content.startswith(b"HTTP/"):
                             head, _, payload = split_http(record.content)
                             if len(payload) >= least_revisit:
-                                number = head.get("x-page-id")
-                                yield path.as_py(), record.offset, hashlib.sha256(payload).digest(), number and int(number)
+                                yield path.as_py(), record.offset, hashlib.sha256(payload).digest(), _page(head, whole_ids)
 
-        yield from _batches(rows(), pa.schema([("path", pa.string()), ("offset", pa.int64()), ("digest", pa.binary()), ("page_id", pa.int64())]))
+        yield from _batches(rows(), pa.schema([("path", pa.string()), ("offset", pa.int64()), ("digest", pa.binary()), ("page_id", _id_kind(whole_ids)[1])]))
 
-    found = checkpoint(files.mapInArrow(facts, "path string, offset bigint, digest binary, page_id bigint"))
+    found = checkpoint(files.mapInArrow(facts, f"path string, offset bigint, digest binary, page_id {_id_kind(whole_ids)[0]}"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "offset")
     firsts = found.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = firsts.select("digest", F.col("first.path").alias("of_path"), F.col("first.offset").alias("of_offset"))
@@ -329,7 +352,7 @@ def convert(source: DataFrame, arc_path: str, warc_path: str, least_revisit: int
     _archives(files.join(again, "path", "left").select("path", "content", "again").mapInArrow(records, "value binary"), warc_path)
 
 
-def read_warc(source: DataFrame, path: str) -> DataFrame:
+def read_warc(source: DataFrame, path: str, whole_ids: bool = True) -> DataFrame:
     """(record_id, page_id, url, payload_bytes, payload_digest, record_type, refers_to_id, refers_to) per page in WARC files.
 
     A response's length and digest are those of its payload, and its stated digest must agree; a revisit's are those it
@@ -350,25 +373,25 @@ def read_warc(source: DataFrame, path: str) -> DataFrame:
                             size = len(payload)
                             if f"sha256:{hashlib.sha256(payload).hexdigest()}" != stated:
                                 raise ValueError(f"payload of {record.headers['WARC-Record-ID']} isn't what was written")
-                        number = head.get("x-page-id")
-                        yield record.headers["WARC-Record-ID"], number and int(number), record.headers["WARC-Target-URI"], size, stated.removeprefix("sha256:"), kind, record.headers.get("WARC-Refers-To")
+                        yield record.headers["WARC-Record-ID"], _page(head, whole_ids), record.headers["WARC-Target-URI"], size, stated.removeprefix("sha256:"), kind, record.headers.get("WARC-Refers-To")
 
-        names = [("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string())]
+        names = [("record_id", pa.string()), ("page_id", _id_kind(whole_ids)[1]), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string())]
         yield from _batches(rows(), pa.schema(names))
 
-    found = checkpoint(_files(source, path).mapInArrow(run, "record_id string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to_id string"))
+    found = checkpoint(_files(source, path).mapInArrow(run, f"record_id string, page_id {_id_kind(whole_ids)[0]}, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to_id string"))
     # only revisits are joined: all others would meet in one task, as they refer to nothing
     revisits = found.where("refers_to_id is not null")
     referred = revisits.select(F.col("refers_to_id").alias("r")).distinct()
     originals = found.join(referred, F.col("record_id") == F.col("r"), "left_semi").select(F.col("record_id").alias("o"), F.col("page_id").alias("refers_to"))
     resolved = revisits.join(originals, F.col("refers_to_id") == F.col("o"), "left").drop("o")
-    return found.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(resolved)
+    return found.where("refers_to_id is null").withColumn("refers_to", F.lit(None).cast(_id_kind(whole_ids)[0])).unionByName(resolved)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Archive pages as ARC, convert to WARC and read back: read_warc's rows, one per row of pages.
 
-    A null html is an empty payload, a null url becomes urn:missing, a null id stays null; repeated rows are records of
+    A null html is an empty payload, a null url becomes urn:missing, a null id stays null and ids that aren't whole numbers
+    come back as texts; repeated rows are records of
     their own, all but one of them revisits where the payload is long enough. An empty table gives no rows; other columns
     are ignored. A payload of any length is one record, in an archive of its own past FILE_BYTES. The archives are deleted
     once they have been read back.
@@ -376,8 +399,9 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     old, new = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, old, id_col, url_col, html_col)
-    convert(pages, old, new)
+    whole = isinstance(pages.schema[id_col].dataType, IntegralType)
+    convert(pages, old, new, whole_ids=whole)
     discard(spark, old)
-    found = read_warc(pages, new)
+    found = read_warc(pages, new, whole)
     discard(spark, new)
     return found
