@@ -114,11 +114,14 @@ def slots(found: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 
 
 def ranked(parts: DataFrame, histogram: dict[int, int]) -> DataFrame:
-    """parts with rank: 0, 1, 2... among the pieces of its length, without bringing a length to one task."""
+    """parts with rank: 0, 1, 2... among the pieces of its length, without bringing a length to one task.
+
+    Where a piece stands in parts takes part in its bucket's hash, so that repeated rows are dealt out like any others.
+    """
     many = [(length, -(-n // BUCKET_ROWS)) for length, n in histogram.items()]
     buckets = parts.sparkSession.createDataFrame(many, "length bigint, buckets bigint")
-    keyed = parts.join(F.broadcast(buckets), "length")  # a row per length, at most as many as the capacity
-    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "buckets")).drop("buckets")
+    keyed = parts.withColumn("stands", F.monotonically_increasing_id()).join(F.broadcast(buckets), "length")  # a row per length, at most as many as the capacity
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "stands"), "buckets")).drop("buckets", "stands")
     sizes = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     bases = sizes.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
@@ -132,7 +135,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Every piece gets one place; offsets in a sequence run from 0 without gaps. Pieces with equal lengths are taken in
     the order of a hash, then of doc_id; repeated rows are pieces of their own; an empty table gives no rows. parts is
-    read twice and should be a checkpoint.
+    read twice and has to be a checkpoint, whose rows stand where they are.
     """
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
     places = slots(plan(histogram, capacity))
