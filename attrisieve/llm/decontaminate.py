@@ -10,6 +10,7 @@ whose parts come in another order is still found.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -121,6 +122,15 @@ def tiles(item: np.ndarray, text: np.ndarray, min_tile: int) -> list[tuple[int,
 class Block:
     """Tokens and seeds of some benchmark items."""
 
+    @classmethod
+    def of_worker(cls, key: str, rows: list[tuple], min_tile: int) -> Block:
+        """The block a worker process keeps between the tasks of one pass."""
+        kept = pa.__dict__.get("_attrisieve_block", (None, None))
+        if kept[0] != key:
+            kept = key, cls(rows, min_tile)
+            pa.__dict__["_attrisieve_block"] = kept
+        return kept[1]
+
     def __init__(self, rows: list[tuple], min_tile: int):
         self.names = [name for name, _ in rows]
         split = [words(text) for _, text in rows]
@@ -162,10 +172,12 @@ class Block:
                 covered[where + k] = True
             near = np.where(covered, text, -1)
             near = near[covered | np.r_[False, covered[:-1]]]  # one stranger stays between any two stretches
-            for k in np.unique(item[rows]):
+            rows = rows[np.argsort(item[rows], kind="stable")]
+            for own in np.split(rows, np.flatnonzero(np.diff(item[rows])) + 1):
+                k = item[own[0]]
                 mine = np.zeros(len(self.items[k]), dtype=bool)
                 for s in range(size):
-                    mine[at[rows[item[rows] == k]] + s] = True
+                    mine[at[own] + s] = True
                 if mine.sum() >= min_share * len(mine):  # tiles lie within shared runs, so this bounds them
                     laid = tiles(np.where(mine, self.items[k], -1), near, size)
                     tokens = sum(x[2] for x in laid)
@@ -204,10 +216,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = f"doc_id {kinds[0]}, item_id {'bigint' if item_kind == pa.int64() else 'string'}, covered int, item_tokens int, tiles int, share double"
     out = None
     for rows in _blocks(named, "name", "text"):
-        shipped = spark.sparkContext.broadcast(rows)
+        shipped, key = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            block = Block(shipped.value, min_tile)
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, key=key) -> Iterator[pa.RecordBatch]:
+            block = Block.of_worker(key, shipped.value, min_tile)
             for batch in batches:
                 at, item, covered, total, count = [], [], [], [], []
                 for row, text in enumerate(batch.column(1)):
@@ -230,10 +242,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     """docs without the rows in which tiles cover min_share of an item; all columns stay, no row moves. Nulls as above."""
     at = docs.columns.index(text_col)
     for rows in _blocks(benchmark, item_col, item_text_col):
-        shipped = docs.sparkSession.sparkContext.broadcast(rows)
+        shipped, key = docs.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            block = Block(shipped.value, min_tile)
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, key=key) -> Iterator[pa.RecordBatch]:
+            block = Block.of_worker(key, shipped.value, min_tile)
             for batch in batches:
                 keep = [next(block.match(block.number(text.as_py()), min_share), None) is None for text in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
