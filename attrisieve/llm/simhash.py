@@ -1,10 +1,12 @@
 """Operator 8: near duplicates by SimHash, found in BK-trees.
 
 Fingerprints within ``radius`` bits are linked. By the pigeonhole principle two such codes agree on some ``blocks -
-radius`` of ``blocks`` bit blocks, so a shard holds the codes that agree on one such choice, and a BK-tree is built over each
-shard; a probe follows only tree edges within the radius. Trees travel to one task each, since a broadcast of all of them
-would grow with the corpus; a shard above ``tree_rows`` codes is dealt into sub-trees of about that size, and each sub-tree
-(a bounded size) goes to every probe block of its shard. Tasks return a spanning forest of the links they find, never all
+radius`` of ``blocks`` bit blocks, so codes that agree on some bits of one such choice are a shard, of a few thousand codes
+whatever the size of the corpus. A BK-tree is built over each shard, children keyed by their Hamming distance to the parent,
+and a probe follows only edges within the radius. Each tree travels to one task, with the probes of its shard: a broadcast
+of all trees, or of one group of them after another, would send the whole corpus to every executor. A shard above
+``tree_rows`` codes first takes all bits of its blocks; if that isn't enough it is dealt into sub-trees of about that size,
+and each goes to every probe block of its shard. Tasks return a spanning forest of the links they find, never all
 pairs of a group; the forests' components are those of all links.
 """
 
@@ -26,6 +28,8 @@ from .common import checkpoint, free_name, own_columns, parallelism
 from .components import connected_components
 
 _PIECE = 255 * 256
+#: Codes a shard should have: a tree that large is some eight levels deep, and prunes. Codes a tree may have.
+SHARD_ROWS, TREE_ROWS = 2048, 8192
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -61,32 +65,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_key bigint, fp bigint")
 
 
-def shard_masks(radius: int, distinct: int, shard_rows: int = 64) -> list[int]:
-    """Bit masks such that two codes within the radius agree under at least one, with shards of about shard_rows codes."""
-    need = max(8, math.log2(max(1, distinct / shard_rows)))
-    best = None
-    for blocks in range(radius + 1, radius + 5):
-        kept = blocks - radius
-        if best is None or math.floor(64 / blocks) * kept >= need > math.floor(64 / best) * (best - radius):
-            best = blocks
-    edges = [round(64 * k / best) for k in range(best + 1)]
-    parts = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
-    return [sum(choice) for choice in combinations(parts, best - radius)]
+def shard_masks(radius: int, distinct: int, shard_rows: int = SHARD_ROWS) -> list[tuple[int, int]]:
+    """(mask, whole mask) pairs such that two codes within the radius agree under the whole masks of at least one pair.
+
+    The mask is as much of the whole one as leaves shards of about shard_rows codes, if codes are spread evenly.
+    """
+    need = math.ceil(math.log2(max(1, distinct / shard_rows)))
+    if not need:
+        return [(0, 0)]  # one shard of all
+    blocks = radius + 1
+    while 64 // blocks * (blocks - radius) < need and blocks < radius + 4:
+        blocks += 1
+    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
+    found = []
+    for choice in combinations(range(blocks), blocks - radius):
+        bits = [b for k in choice for b in range(edges[k], edges[k + 1])]
+        found.append((sum(1 << b for b in bits[:need]), sum(1 << b for b in bits)))
+    return found
+
+
+def _signed(mask: int) -> F.Column:
+    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
 
 
-def links(codes: DataFrame, radius: int = 3, tree_rows: int = 2048, group_rows: int = 50_000) -> DataFrame:
+def links(codes: DataFrame, radius: int = 3, tree_rows: int = TREE_ROWS, group_rows: int = 50_000, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (a, b) between the distinct codes of column fp whose components are those of all links within the radius."""
     distinct = codes.count()
-    masks = shard_masks(radius, distinct)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for i, m in enumerate(signed)])
-    rows = codes.select("fp", F.explode(keys).alias("s")).select("fp", "s.t", "s.key")
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    masks = shard_masks(radius, distinct, shard_rows)
+    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(_signed(m)).alias("key"), F.col("fp").bitwiseAND(_signed(w)).alias("whole")) for i, (m, w) in enumerate(masks)])
+    rows = codes.select("fp", F.explode(keys).alias("s")).select("fp", "s.t", "s.key", "s.whole")
+    wide = rows.groupBy("t", "key").agg(F.count("*").alias("n"))
+    # a shard that holds too many takes all bits of its blocks, which linked codes share, too
+    rows = rows.join(wide, ["t", "key"]).where("n > 1").select("fp", "t", F.when(F.col("n") > tree_rows, F.struct(F.lit(1).alias("depth"), F.col("whole").alias("bits"))).otherwise(F.struct(F.lit(0).alias("depth"), F.col("key").alias("bits"))).alias("key"))
+    sizes = checkpoint(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
     blocks = F.ceil(F.col("n") / tree_rows).cast("int")
     dealt = rows.join(sizes, ["t", "key"]).select("fp", "t", "key", blocks.alias("k")).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), "k").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("fp", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "t", "key", (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") == F.col("other")).alias("same"))
-    groups = max(parallelism(codes.sparkSession), math.ceil(distinct * len(masks) / group_rows))
+    written = sizes.agg(F.sum(F.col("n") * blocks)).first()[0] or 0  # with what the sub-trees of large shards repeat
+    groups = max(parallelism(codes.sparkSession), math.ceil(written / group_rows))
     dealt = dealt.withColumn("g", F.pmod("shard", F.lit(groups)).cast("int"))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -106,7 +123,7 @@ def links(codes: DataFrame, radius: int = 3, tree_rows: int = 2048, group_rows:
     return dealt.select("g", "shard", "fp", "tree", "same").groupBy("g").applyInPandas(find, "a bigint, b bigint")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, tree_rows: int = 2048) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(doc_id, text_key, fp, component_id) per row of docs.
 
     component_id is the smallest doc_id whose fingerprint can be reached over links of at most ``radius`` differing bits.
@@ -118,7 +135,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _rooted(docs, id_col, text_col, shingle, radius, seed, tree_rows).drop("root")
 
 
-def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, seed: int = 42, tree_rows: int = 2048) -> DataFrame:
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, seed: int = 42, tree_rows: int = TREE_ROWS) -> DataFrame:
     """simhash_components() and the least fingerprint of each component, as its root."""
     prints = checkpoint(fingerprints(docs, id_col, text_col, shingle, seed))
     codes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))

@@ -70,6 +70,20 @@ def test_bk_forest_finds_all_pairs():
 # ---- 1 decontamination
 
 
+def test_decontamination_with_odd_rows(spark):
+    """Repeated rows, null ids and texts, empty tables, clashing columns, and an opening that many items share."""
+    opening = "which of the following is the best description of"
+    items = spark.createDataFrame([(k, f"{opening} thing{k} and nothing{k} else{k} at all{k}", "x") for k in range(50)] + [(None, None, "x"), (99, " ", "x")], "item_id long, text string, share string")
+    rows = [(1, f"so {opening} thing7 and nothing7 else7 at all7 there"), (1, f"so {opening} thing7 and nothing7 else7 at all7 there"), (None, f"{opening} thing3 and nothing3 else3 at all3"), (2, None), (3, opening), (4, "")]
+    docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, covered double")
+    own = lambda r: (str(r["doc_id"]), r["item_id"])
+    got = [own(r) for r in decontaminate.contaminated(docs, items, min_share=0.8).collect()]
+    assert sorted(got) == sorted([("1", 7), ("1", 7), ("None", 3)])
+    kept = decontaminate.clean(docs, items, min_share=0.8)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+    assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
+
+
 def slow_tiles(a, b, least):
     fa, fb, out = [x >= 0 for x in a], [x >= 0 for x in b], []
     while True:
@@ -699,7 +713,39 @@ def test_shards_cover_every_close_pair():
         masks = simhash.shard_masks(radius, distinct)
         for _ in range(300):
             flips = sum(1 << b for b in draw.sample(range(64), radius))
-            assert any(not flips & m for m in masks)
+            assert any(not flips & w for _, w in masks) and all(m & w == m for m, w in masks)
+        need = math.log2(distinct / simhash.SHARD_ROWS)
+        assert all(need <= m.bit_count() < need + 1 for m, _ in masks) if need > 0 else masks == [(0, 0)]
+
+
+def test_trees_prune(monkeypatch):
+    """A tree of a shard's usual size compares a probe with a small part of its codes, and finds the same pairs."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, simhash.SHARD_ROWS // 2, dtype=np.uint64) & ~np.uint64(0x7F)  # they agree on seven bits
+    codes = np.unique(np.r_[base, base ^ (np.uint64(1) << rng.integers(7, 64, len(base)).astype(np.uint64))])
+    shard, compared, plain = np.zeros(len(codes), dtype=np.int64), [0], bktree.Forest.apart
+    forest = bktree.Forest(shard, codes)
+
+    def counting(self, some, node):
+        compared[0] += len(some)
+        return plain(self, some, node)
+
+    monkeypatch.setattr(bktree.Forest, "apart", counting)
+    pairs = {(int(i), int(j)) for probe, node in forest.search(shard, codes, 3) for i, j in zip(probe, node)}
+    apart = np.bitwise_count(codes[:, None] ^ codes[None, :])
+    assert pairs == {(int(i), int(j)) for i, j in zip(*np.nonzero(apart <= 3))}
+    assert compared[0] < 0.3 * len(codes) ** 2
+
+
+def test_large_shards_take_all_bits_of_their_blocks(spark):
+    """Codes that share the bits a shard is made by, and others that share a whole block."""
+    rng = np.random.default_rng(6)
+    codes = [int(x) & ~0xFF for x in rng.integers(0, 2**62, 300)] + [int(x) << 16 for x in rng.integers(0, 2**46, 200)]
+    codes = sorted({*codes, *[c ^ 1 << int(b) for c, b in zip(codes, rng.integers(0, 62, 500))]})
+    got = simhash.links(spark.createDataFrame([(c,) for c in codes], "fp long"), tree_rows=20, group_rows=300, shard_rows=30).collect()
+    where = {c: k for k, c in enumerate(codes)}
+    want = union_find(len(codes), [(i, j) for i in range(len(codes)) for j in range(i) if (codes[i] ^ codes[j]).bit_count() <= 3])
+    assert union_find(len(codes), [(where[r["a"]], where[r["b"]]) for r in got]) == want
 
 
 def test_keep_one_leaves_columns_alone(spark):
@@ -812,6 +858,17 @@ def test_archives_are_members_that_gzip_reads(spark, tmp_path):
     assert arc.read_warc(df, new).where("refers_to = 1").count() == 39
 
 
+def test_both_versions_are_written_and_ids_of_any_type_come_back(spark, tmp_path):
+    pages = [(f"p {k}/é:{k}\n", f"http://h/{k}", "the same page " * 20) for k in range(20)] + [(None, "u", "x")]
+    df = spark.createDataFrame(pages, "page_id string, url string, html string").coalesce(1)
+    arc.write_arc(df, f"file://{tmp_path}/arc")
+    blocks = [next(arc.parse_arc(arc._members(f.read_bytes()))).fields for f in (tmp_path / "arc").glob("part-*")]
+    assert {b["version"] for b in blocks} == {"1", "2"} and len({b["URL"] for b in blocks}) == len(blocks)
+    got = arc.round_trip(df).collect()
+    assert {r["page_id"] for r in got} == {p for p, _, _ in pages}
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {min(p for p, _, _ in pages if p)} and len(got) == 21
+
+
 def test_records_in_pieces_are_read_alike():
     whole = arc.version_block(1, "n") + b"\n" + b"\n".join(arc.arc_record(1, k, f"http://x/{k}", b"p\r\n" * k) for k in range(9))
     for size in (1, 7, 64, 10_000):
