@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sampling import rank_in_groups
 from ..session import shared_dir
-from . import tiles
+from . import encoding, tiles
 
 CUTOFFS = (1, 5, 10, 50, 100, 1000)
 #: Queries of a tile, and corpus vectors scored against them at once.
@@ -152,6 +152,19 @@ def mean_metrics(per_query: DataFrame, groups: list[str] | None = None) -> DataF
     return per_query.groupBy(*(groups or []), "k").agg(*[F.avg(n).alias(n) for n in names], F.count("*").alias("n_queries"))
 
 
+def encoded_metrics(rows: DataFrame, encoder: encoding.Encoder, cutoffs: tuple[int, ...] = CUTOFFS, dims: int | None = None) -> DataFrame:
+    """per_query_metrics() of rows (row_id, anchor, positive, negative) whose texts an encoder turns into vectors.
+
+    The corpus is all distinct positives and negatives; each distinct text is encoded once. dims keeps the first dimensions of
+    every vector.
+    """
+    docs, ids = corpus(rows, ["positive", "negative"]).checkpoint(), query_ids(rows).checkpoint()
+    vector = encoding.truncated(F.col("v"), dims).alias("v")
+    asked = encoding.encode(ids, "anchor", encoder).select("query_id", vector)
+    base = encoding.encode(docs, "text", encoder).select("corpus_id", vector)
+    return per_query_metrics(top_k(asked, base, max(cutoffs)), qrels(rows, ids, docs), cutoffs)
+
+
 def clamp_cutoffs(cutoffs: tuple[int, ...], size: int) -> tuple[int, ...]:
     """Cut-offs no larger than the corpus, each once, in order."""
     return tuple(sorted({min(k, size) for k in cutoffs if k > 0 and size > 0}))

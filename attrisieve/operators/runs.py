@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import close_to, created_seconds, first_number_token, first_present, token_after
+from ..sources import readers
 
 #: Keys a run may hold recall at k under, in the order they are tried (fixed values).
 RECALL_KEYS = (
@@ -136,6 +137,18 @@ def recall_table(listed: DataFrame, folders: DataFrame, summaries: DataFrame, en
     return listed.join(found, "run_id", "left").withColumn("verified_args", F.coalesce("verified_args", F.lit("")))
 
 
+def read_recalls(spark: SparkSession, base: str, listed: DataFrame, cutoffs: tuple[int, ...] = (5, 10, 100)) -> DataFrame:
+    """recall_table() of the run folders below base, of which only those of listed runs, each run's newest, are read.
+
+    A folder holds files/*summary.json, files/output.log and files/config.yaml, or some of them.
+    """
+    wanted = listed.select("run_id").distinct()
+    folders = readers.run_dirs(readers.run_files(spark, base).select(F.col("folder").alias("path")).distinct()).join(wanted, "run_id", "left_semi").checkpoint()
+    own = lambda rows: rows.withColumn("path", readers.folder_of(F.col("path"))).join(folders.select("path"), "path", "left_semi")
+    inside = lambda name: f"{base.rstrip('/')}/run-*/files/{name}"
+    return recall_table(listed, folders, own(readers.summaries(spark, inside("*summary.json"))), own(readers.log_entries(spark, inside("output.log"))), own(readers.yaml_args(spark, inside("config.yaml"))), cutoffs)
+
+
 def log_dicts(text: Column) -> Column:
     """Flat dict literals with an '@5' in a log, each as a map of text to number; the last one wins when they are merged."""
     found = F.regexp_extract_all(text, F.lit(r"\{[^{}]*@5[^{}]*\}"), F.lit(0))

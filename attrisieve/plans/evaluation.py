@@ -75,7 +75,7 @@ asked AS (SELECT nl_query, max(key) AS key, arg_max(num_attributes, key) AS num_
 relevant AS (SELECT DISTINCT nl_query, corpus_id FROM own),
 totals AS (SELECT nl_query, count(*) AS n_relevant FROM relevant GROUP BY nl_query),
 ranks AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rk
+  SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id) AS rk
   FROM embeddings q CROSS JOIN embeddings c QUALIFY rk <= 20),
 encoded AS (SELECT 'direct' AS model, asked.*, key % n AS query_id FROM asked, n UNION ALL SELECT 'shifted', asked.*, (key * 3 + 1) % n FROM asked, n),
 hits AS (
@@ -93,7 +93,7 @@ FROM shaped GROUP BY GROUPING SETS ((model, num_attributes), (model, query_dista
 SHAPE_ROWS_SQL = f"WITH {SHAPE_SQL} SELECT * FROM shaped"
 
 LABEL_METRICS_SQL = """WITH ranks AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, q.label = c.label AS rel, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) DESC, c.vec_id) AS rk
+  SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, q.label = c.label AS rel, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) DESC, c.vec_id) AS rk
   FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id QUALIFY rk <= 1000),
 totals AS (SELECT vec_id AS query_id, count(*) OVER (PARTITION BY label) - 1 AS n_relevant FROM embeddings QUALIFY n_relevant > 0),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rk) AS hit FROM ranks WHERE rel),

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import attributes, boolean, catalogue, costs, language, losses, mining, models, profiling, ranking, reshape, runs, splits
 from ..session import shared_dir, table
 from ..streaming import metrics as streaming
-from . import evaluation, fixtures
+from . import evaluation, fixtures, round_trips
 from .fixtures import BUCKETS_SQL, EXAMPLES_SQL, GENERATED_SQL, HARD_SQL, HISTORY_SQL, JUDGED_SQL, PARTS_SQL, RUNS_SQL, SEED, draw_sql
 
 _Q: dict = {}
@@ -186,7 +186,7 @@ def qrels(spark, sf):
     return ranking.qrels(rows, ids, docs).join(ids, "query_id").join(docs, "corpus_id").select("query_id", "corpus_id", "anchor", "text")
 
 
-@_query("""WITH r AS (SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, c.vec_id) AS rank
+@_query("""WITH r AS (SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, c.vec_id) AS rank
 FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id QUALIFY rank <= 50) SELECT query_id, corpus_id, round(s, 6) AS score, rank FROM r""")
 def cosine_top_k(spark, sf):
     found = evaluation.vector_ranks(spark, sf, 50)
@@ -240,7 +240,7 @@ def last_seen_metadata(spark, sf):
     return ranking.last_metadata(_anchored(spark, sf))
 
 
-@_query("""WITH r AS (SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, c.label, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, c.vec_id) AS rank
+@_query("""WITH r AS (SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, c.label, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, c.vec_id) AS rank
 FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id QUALIFY rank <= 50)
 SELECT 'vector ' || query_id AS anchor, string_agg('[' || printf('%.4f', s) || '] vector ' || corpus_id || ' (Type: ' || CASE WHEN label = query_id % 10 THEN 'Positive' ELSE 'Random' END || ', Distance: ' || CASE WHEN label = query_id % 10 THEN '0.0' ELSE 'N/A' END || ')', chr(10) ORDER BY rank) AS predictions FROM r GROUP BY query_id""")
 def prediction_listing(spark, sf):
@@ -398,7 +398,7 @@ def run_recall_fallback(spark, sf):
 
 def _profile(spark, sf):
     e = table(spark, sf, "events")
-    name = F.element_at(F.array(F.lit("main.py"), F.lit("test.py"), F.lit("utils/retry.py"), F.lit("/usr/lib/python3/json.py")), (F.col("event_id") % 4 + 1).cast("int"))
+    name = F.element_at(F.array(F.lit("app.py"), F.lit("load.py"), F.lit("lib/wait.py"), F.lit("/usr/lib/python3/json.py")), (F.col("event_id") % 4 + 1).cast("int"))
     micro = F.col("event_id") % 9973
     seconds = lambda x: F.format_string("%d.%06d", F.floor(x / 1000000), x % 1000000)
     line = F.format_string("  %d/%d %s %s %s %s %s:%d(%s)", F.col("user_id") + 2, F.lit(1), seconds(micro), seconds(micro % 97), seconds(micro * 3), seconds(micro % 89), name, (F.col("event_id") % 500).cast("int"), F.col("event_type"))
@@ -406,8 +406,8 @@ def _profile(spark, sf):
 
 
 _PROFILE_SQL = """prof AS (SELECT (user_id + 2) || '/1' AS ncalls, user_id + 2 AS calls, CAST(event_id % 9973 AS DOUBLE) / 1e6 AS tottime, CAST(event_id % 9973 * 3 AS DOUBLE) / 1e6 AS cumtime,
-['main.py', 'test.py', 'utils/retry.py', '/usr/lib/python3/json.py'][CAST(event_id % 4 + 1 AS INTEGER)] AS filename, CAST(event_id % 500 AS INTEGER) AS lineno, event_type AS funcname FROM events)"""
-_FILES = ("main.py", "test.py", "utils/retry.py", "utils/sat.py")
+['app.py', 'load.py', 'lib/wait.py', '/usr/lib/python3/json.py'][CAST(event_id % 4 + 1 AS INTEGER)] AS filename, CAST(event_id % 500 AS INTEGER) AS lineno, event_type AS funcname FROM events)"""
+_FILES = ("app.py", "load.py", "lib/wait.py", "lib/none.py")
 
 
 @_query(f"WITH {_PROFILE_SQL} SELECT ncalls, tottime, cumtime, filename, lineno, funcname, calls FROM prof WHERE filename NOT LIKE '/usr%' AND (tottime > 0.001 OR cumtime > 0.001)")
@@ -500,7 +500,7 @@ def detected_language(spark, sf):
     return language.detect(table(spark, sf, "documents").select("doc_id", "text"), "text", "detected").select("doc_id", "detected")
 
 
-_LISTED = [("Text", "Triplet", "Text", 1), ("Text", "Classic MSE", "Text", 2), ("Text", "Marginal MSE (ours)", "Text", 3), ("Text+Image", "Triplet", "Image", 4), ("Text+Image", "Marginal MSE (ours)", "Image", 5), ("Image", "Triplet", "Image", -1)]
+_LISTED = [("words", "ranked", "words", 1), ("words", "squared", "words", 2), ("words", "gap", "words", 3), ("both", "ranked", "pictures", 4), ("both", "gap", "pictures", 5), ("pictures", "ranked", "pictures", -1)]
 
 
 @_query(f"""WITH {HISTORY_SQL}, l AS (SELECT run_id, metric, arg_max(value, (ts, event_id)) AS value FROM history GROUP BY ALL), listed(trained_on, method, evaluated_on, run_id) AS (VALUES {", ".join(map(str, _LISTED))})
@@ -548,8 +548,8 @@ def streaming_last_metrics(spark, sf):
 
 
 def queries() -> dict:
-    return dict(_Q)
+    return _Q | round_trips.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | round_trips.SQL

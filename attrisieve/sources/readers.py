@@ -107,7 +107,7 @@ def annotated_images(spark: SparkSession, partition_path: str, boxes_path: str)
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, rgb): decoded images, three bytes a pixel, line by line; nulls where a file can't be decoded.
+    """(path, width, height, rgb): decoded images, three bytes a pixel, line by line; nulls where a file can't be decoded, no row for an empty one.
 
     Spark's own image source decodes them, to one, three (blue first) or four channels of 8 bits; grey ones are repeated and
     transparency is dropped.
@@ -155,7 +155,7 @@ def summaries(spark: SparkSession, path: str) -> DataFrame:
     except AnalysisException:
         return spark.createDataFrame([], "path string, metrics map<string,double>")
     numbers = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: v.try_cast("double").isNotNull())
-    return raw.select(F.input_file_name().alias("path"), F.coalesce(F.transform_values(numbers, lambda k, v: v.try_cast("double")), empty).alias("metrics"))
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.coalesce(F.transform_values(numbers, lambda k, v: v.try_cast("double")), empty).alias("metrics"))
 
 
 def yaml_args(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +166,7 @@ def yaml_args(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], "path string, args array<string>")
     block = F.regexp_extract("value", r"(?m)^[ \t]*args:[ \t]*\n((?:[ \t]*-[^\n]*(?:\n|$))*)", 1)
     items = F.transform(F.filter(F.split(block, r"\n"), lambda x: F.trim(x) != ""), lambda x: F.trim(F.regexp_replace(x, r"^\s*-\s*", ""), F.lit("'\"")))
-    return raw.select(F.input_file_name().alias("path"), items.alias("args"))
+    return raw.select(F.col("_metadata.file_path").alias("path"), items.alias("args"))
 
 
 def arg_value(args, flag: str):

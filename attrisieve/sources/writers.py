@@ -25,9 +25,17 @@ def csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def append_ledger(record: DataFrame, path: str) -> None:
-    """Add a row to a CSV ledger; each part file has its own header, so readers see one table."""
-    record.coalesce(1).write.mode("append").option("header", "true").csv(path)
+def append_ledger(record: DataFrame, path: str, run: str | None = None) -> None:
+    """Add a row to a CSV ledger; each part file has its own header, so readers see one table.
+
+    With a run the record has a folder of its own, which Spark writes aside and then puts in place: appending the same run
+    again, as a retried call does, replaces it, so that each run counts once.
+    """
+    if run is None:
+        record.coalesce(1).write.mode("append").option("header", "true").csv(path)
+        return
+    keyed = record.coalesce(1).withColumn("run", F.lit(run))
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", "true").partitionBy("run").csv(path)
 
 
 def overwrite_partition(rows: DataFrame, path: str, key: str) -> None:

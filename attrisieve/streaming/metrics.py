@@ -18,15 +18,20 @@ def windowed_metrics(events: DataFrame, width: str = "1 day", late: str = "7 day
     return timed.groupBy(F.window("at", width).alias("w"), F.col("event_type").alias("metric")).agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), "metric", "n", "mean")
 
 
-def run_available(spark: SparkSession, source: str, build, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Drive a streaming plan over the parquet files there now; what it finds is written beside its checkpoint and read from there."""
+def run_available(spark: SparkSession, source: str, build, name: str, checkpoint: str, mode: str = "complete", repeat: int = 1) -> DataFrame:
+    """Drive a streaming plan over the parquet files there now; what it finds is written beside its checkpoint and read from there.
+
+    In append mode every batch has a folder named by its number, so a batch that is run again after a failure replaces what
+    it had written and counts once. repeat writes each batch so many times, as restarts would.
+    """
     schema = spark.read.parquet(source).schema
     folder, _, file = source.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
     path = f"{checkpoint.rstrip('/')}-{name}"
 
-    def keep(found: DataFrame, _batch: int) -> None:
-        found.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    def keep(found: DataFrame, batch: int) -> None:
+        for _ in range(repeat):
+            found.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={batch}")
 
     query = build(stream).writeStream.outputMode(mode).foreachBatch(keep).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
