@@ -30,9 +30,14 @@ def safe_filename(name: Column) -> Column:
     return F.trim(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), F.lit("_"))
 
 
+#: Endings of views' item ids and of sized files (fixed values).
+VIEW_SUFFIX = r"_\d+_(front|back|side|full|additional|flat)$"
+SIZED_FILE = r"_(\d+)\.jsonl$"
+
+
 def product_of_view(item_id: Column) -> Column:
     """An image's item id without its view suffix, such as _1_front."""
-    return F.regexp_replace(item_id, r"_\d+_(front|back|side|full|additional|flat)$", "")
+    return F.regexp_replace(item_id, VIEW_SUFFIX, "")
 
 
 def category_or_unknown(value: Column) -> Column:
@@ -41,7 +46,23 @@ def category_or_unknown(value: Column) -> Column:
 
 def size_of_file(name: Column) -> Column:
     """The number a file name like x_1000.jsonl ends with; null without one."""
-    return F.nullif(F.regexp_extract(name, r"_(\d+)\.jsonl$", 1), F.lit("")).cast("bigint")
+    return F.nullif(F.regexp_extract(name, SIZED_FILE, 1), F.lit("")).cast("bigint")
+
+
+def with_suffix(name: Column, old: str, new: str) -> Column:
+    """A name whose ending old is new instead; one that ends otherwise gets new behind it."""
+    return F.when(name.endswith(old), F.concat(F.substring(name, F.lit(1), F.length(name) - len(old)), F.lit(new))).otherwise(F.concat(name, F.lit(new)))
+
+
+def relative_path(path: Column, folder: Column) -> Column:
+    """A path as seen from a folder: one step up for each part of the folder that the path doesn't share."""
+    parts = lambda p: F.filter(F.split(p, "/"), lambda x: (x != "") & (x != "."))
+    a, b = parts(path), parts(folder)
+    apart = F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda i: ~F.coalesce(F.get(a, i) == F.get(b, i), F.lit(False)))
+    shared = F.array_min(apart)
+    up = F.array_repeat(F.lit(".."), F.size(b) - shared)
+    out = F.array_join(F.concat(up, F.slice(a, shared + 1, F.size(a))), "/")
+    return F.when(out == "", ".").otherwise(out)
 
 
 def close_to(a: Column, b: Column | float, rtol: float = 1e-5, atol: float = 1e-8) -> Column:

@@ -19,8 +19,9 @@ def representatives(records: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def group_members(records: DataFrame, group: str) -> DataFrame:
-    """(group, members, n): keys per group, sorted."""
-    return records.groupBy(group).agg(F.sort_array(F.collect_list("key")).alias("members"), F.count("*").alias("n"))
+    """(group, key, place, n): the members of each group by key, from place 0, and how many it has; no group is gathered anywhere."""
+    ranked = rank_in_groups(records.select(group, "key"), [group], "key", "place")
+    return ranked.join(records.groupBy(group).agg(F.count("*").alias("n")), group)
 
 
 def _other_in_group(records: DataFrame, groups: list[str], seed: int, name: str) -> DataFrame:

@@ -7,17 +7,23 @@ the prompt alone, always the same way.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+from typing import TypeVar
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import NEGATIONS, starts_with_negation
 from ..session import shared_dir
+from ..sources.readers import path_exists
 from . import attributes, reshape
 
 Client = Callable[[list[dict], str], str]
+Result = TypeVar("Result")
+#: Requests a task has under way at once; digits of its key that name the folder a remembered reply lies in.
+WINDOW, SHARD_DIGITS = 8, 2
 #: Keys of each kind of reply: required, then optional (fixed values).
 REPLIES = {
     "item": (("item",), ("features",)),
@@ -104,14 +110,45 @@ def ask_with_retry(client: Client, messages: list[dict], model_id: str, kind: st
     return None, tries
 
 
-def ask(requests: DataFrame, kind: str, model_id: str, client: Client = stub_client, tries: int = 5, memo: DataFrame | None = None) -> DataFrame:
-    """(key, reply, calls) for requests (key, prompt): null where no valid reply came. Requests in the memo (key, reply) make no call."""
+def in_order(jobs: Iterable[Callable[[], Result]], window: int) -> Iterator[Result]:
+    """The results of jobs in their order, so many of them under way at once; a job is drawn only when there is room for it."""
+    from collections import deque
+    from concurrent.futures import ThreadPoolExecutor
+
+    if window < 1:
+        raise ValueError("one job at least has to be under way")
+    with ThreadPoolExecutor(window) as pool:
+        under_way: deque = deque()
+        try:
+            for job in jobs:
+                under_way.append(pool.submit(job))
+                if len(under_way) >= window:
+                    yield under_way.popleft().result()
+            while under_way:
+                yield under_way.popleft().result()
+        finally:  # whoever reads may stop early, or a job may have failed
+            for later in under_way:
+                later.cancel()
+
+
+def ask(requests: DataFrame, kind: str, model_id: str, client: Client = stub_client, tries: int = 5, memo: DataFrame | None = None, window: int = WINDOW) -> DataFrame:
+    """(key, reply, calls) for requests (key, prompt): null where no valid reply came. Requests in the memo (key, reply) make no call.
+
+    A task has up to ``window`` requests under way, each with its own retries, and returns replies in the order of its
+    requests; clients are called from several threads at once unless the window is 1. calls is what a request took, so
+    totals are sums over rows and need no counters in workers.
+    """
     todo = requests if memo is None else misses(requests, memo)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            got = [ask_with_retry(client, [{"role": "user", "content": p}], model_id, kind, tries) for p in pdf["prompt"]]
-            yield pd.DataFrame({"key": pdf["key"], "reply": [r for r, _ in got], "calls": [n for _, n in got]})
+        def jobs() -> Iterator[Callable[[], tuple]]:
+            for pdf in frames:
+                for key, prompt in zip(pdf["key"].tolist(), pdf["prompt"], strict=True):
+                    yield lambda key=key, prompt=prompt: (key, *ask_with_retry(client, [{"role": "user", "content": prompt}], model_id, kind, tries))
+
+        told = in_order(jobs(), window)
+        while some := list(islice(told, 256)):
+            yield pd.DataFrame({"key": [k for k, _, _ in some], "reply": [r for _, r, _ in some], "calls": [n for _, _, n in some]})
 
     kind_of_key = todo.schema["key"].dataType.simpleString()
     fresh = todo.select("key", "prompt").mapInPandas(run, f"key {kind_of_key}, reply string, calls int")
@@ -179,24 +216,55 @@ def stable_json(messages: list[dict]) -> str:
     return json.dumps(messages, sort_keys=True, ensure_ascii=False)
 
 
-def ask_remembered(requests: DataFrame, kind: str, model_id: str, path: str, client: Client = stub_client, tries: int = 5, use_memo: bool = True) -> DataFrame:
+def ask_remembered(requests: DataFrame, kind: str, model_id: str, path: str, client: Client = stub_client, tries: int = 5, use_memo: bool = True, window: int = WINDOW) -> DataFrame:
     """ask for requests (id, prompt) with a memo of Parquet at path: what it lacks is asked once for equal prompts and added to it.
 
     Returns (id, reply, calls); calls stand with the replies just asked for and are 0 for remembered ones. Failures aren't
-    remembered. use_memo False asks everything and writes nothing.
+    remembered. use_memo False asks everything and writes nothing. The memo lies in folders by the first digits of its keys,
+    and only those of the requests' keys are read.
     """
     opening, closing = '[{"content": ', ', "role": "user"}]'
     # to_json of one text, with the blank after its key that stable_json has
     text = F.concat(F.lit(opening), F.regexp_replace(F.to_json(F.array("prompt")), r"^\[|\]$", ""), F.lit(closing))
     keyed = requests.select("id", "prompt", memo_key(text, F.lit(model_id)).alias("key"))
-    spark = requests.sparkSession
     asked = keyed.select("key", "prompt").dropDuplicates(["key"])
     if not use_memo:
-        return keyed.select("id", "key").join(ask(asked, kind, model_id, client, tries), "key").select("id", "reply", "calls")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    memo = spark.read.schema("key string, reply string").parquet(path) if there else spark.createDataFrame([], "key string, reply string")
-    shared_dir(spark)
-    replies = ask(asked, kind, model_id, client, tries, memo).checkpoint()  # the client isn't asked again when rows are read twice
-    replies.where("calls > 0 and reply is not null").select("key", "reply").write.mode("append").parquet(path)
+        return keyed.select("id", "key").join(ask(asked, kind, model_id, client, tries, window=window), "key").select("id", "reply", "calls")
+    shared_dir(requests.sparkSession)
+    memo = read_memo(requests.sparkSession, path, asked)
+    replies = ask(asked, kind, model_id, client, tries, memo, window).checkpoint()  # the client isn't asked again when rows are read twice
+    fresh = replies.where("calls > 0 and reply is not null").select("key", "reply", _shard(F.col("key")).alias("shard"))
+    fresh.repartition("shard").write.mode("append").partitionBy("shard").parquet(path)  # a file a folder and run
     return keyed.select("id", "key").join(replies, "key").select("id", "reply", "calls")
+
+
+def _shard(key: Column) -> Column:
+    return F.substring(key, 1, SHARD_DIGITS)
+
+
+def read_memo(spark: SparkSession, path: str, asked: DataFrame | None = None) -> DataFrame:
+    """(key, reply) of the memo at path, each key once; with asked (key) only the folders its keys lie in. Empty where there is no memo."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], "key string, reply string")
+    memo = spark.read.schema("key string, reply string, shard string").parquet(path)
+    if asked is not None:
+        shards = [r[0] for r in asked.select(_shard(F.col("key"))).distinct().collect()]  # 16 ** SHARD_DIGITS at most
+        memo = memo.where(F.col("shard").isin(shards))
+    return memo.select("key", "reply").dropDuplicates(["key"])
+
+
+def compact_memo(spark: SparkSession, path: str, most_files: int = 8) -> int:
+    """Rewrite the folders of a memo that have more files than most_files as one file each; returns how many.
+
+    Runs only add files. A folder's rows are written aside before they take its place, so readers never miss one.
+    """
+    if not path_exists(spark, path):
+        return 0
+    memo = spark.read.schema("key string, reply string, shard string").parquet(path)
+    files = memo.select("shard", F.col("_metadata.file_path").alias("file")).distinct()
+    full = [r["shard"] for r in files.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > most_files).collect()]  # 16 ** SHARD_DIGITS at most
+    if full:
+        shared_dir(spark)
+        kept = memo.where(F.col("shard").isin(full)).dropDuplicates(["key"]).checkpoint()
+        kept.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    return len(full)

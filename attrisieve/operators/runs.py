@@ -81,6 +81,15 @@ def grid_series(rows: DataFrame, x: str, row: str, metrics: list[str]) -> DataFr
     return long_.dropna(subset=["row_value", "x", "y"])
 
 
+def ordered_series(rows: DataFrame) -> DataFrame:
+    """(row_value, metric, style, points) of grid_series() rows: the points (x, y) a line goes through, by x, y the mean where an x comes again.
+
+    Points that share an x are one before a series is put together, so it is as long as it has different x.
+    """
+    points = mean_per_x(rows, "x", "y", ["row_value", "metric", "style"])
+    return points.groupBy("row_value", "metric", "style").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))
+
+
 def run_list(spark: SparkSession, runs: list[tuple], id_type: str = "string") -> DataFrame:
     """An inline relation (trained_on, method, evaluated_on, run_id)."""
     return spark.createDataFrame(runs, f"trained_on string, method string, evaluated_on string, run_id {id_type}")

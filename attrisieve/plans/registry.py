@@ -305,7 +305,9 @@ def catalogue_representatives(spark, sf):
 
 @_query(f"WITH {PARTS_SQL} SELECT color, count(*) AS n, CAST(min(key) AS BIGINT) AS first_key, CAST(max(key) AS BIGINT) AS last_key FROM parts GROUP BY 1")
 def catalogue_groups(spark, sf):
-    return catalogue.group_members(fixtures.parts(spark, sf), "color").select("color", "n", F.element_at("members", 1).alias("first_key"), F.element_at("members", -1).alias("last_key"))
+    members = catalogue.group_members(fixtures.parts(spark, sf), "color")
+    ends = [F.max(F.when(F.col("place") == at, F.col("key"))) for at in (F.lit(0), F.col("n") - 1)]
+    return members.groupBy("color", "n").agg(ends[0].alias("first_key"), ends[1].alias("last_key"))
 
 
 @_query("""WITH last_box AS (SELECT l_partkey, arg_max(l_linenumber, (l_orderkey, l_linenumber)) AS t, arg_max(l_returnflag, (l_orderkey, l_linenumber)) AS pose, arg_max(l_quantity, (l_orderkey, l_linenumber)) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)

@@ -14,13 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sampling import draw
-from ..operators import boolean, catalogue, costs, encoding, language, losses, mining, ranking, reshape, runs
+from ..functions import text as T
+from ..functions.sampling import draw, rank_in_groups
+from ..operators import boolean, catalogue, costs, encoding, language, losses, mining, models, profiling, ranking, reshape, runs, splits
 from ..session import shared_dir, table
 from ..sources import readers, writers
 from ..streaming import metrics as streaming
 from . import fixtures
-from .fixtures import EXAMPLES_SQL, GENERATED_SQL, HISTORY_SQL, JUDGED_SQL, SEED, draw_sql
+from .fixtures import EXAMPLES_SQL, GENERATED_SQL, HISTORY_SQL, JUDGED_SQL, RUNS_SQL, SEED, draw_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -348,3 +349,83 @@ def stream_written_once(spark, sf):
     """Events appended by a stream whose every batch is written a second time, as after a restart: each event is there once."""
     name = f"appended-{uuid.uuid4().hex}"
     return streaming.run_available(spark, f"{sf}/events.parquet", lambda s: s.select("event_id", "event_type", "value"), name, f"{shared_dir(spark)}/{name}", "append", repeat=2).select("event_id", "event_type", "value")
+
+
+# ---- scans, runs and models
+
+
+@_query(r"""WITH raw AS (SELECT p_partkey AS row_id, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN 'id_' || p_size || '_' || p_partkey || '_front' END AS upper_id, CASE WHEN p_partkey % 5 <> 0 THEN 'id_' || p_partkey || '_2_full' END AS lower_id, p_brand, CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN '' ELSE p_type END AS kind FROM part),
+named AS (SELECT *, coalesce(nullif(trim(upper_id), ''), nullif(trim(lower_id), ''), '') AS item FROM raw)
+SELECT row_id, item AS item_id, regexp_replace(item, '_\d+_(front|back|side|full|additional|flat)$', '') AS product_id, coalesce(kind, '') AS category1, coalesce(nullif(lower(kind), ''), 'unknown') AS category, '' AS description, p_brand AS color FROM named WHERE item <> ''""")
+def catalogue_scan(spark, sf):
+    """Catalogue records: the item under either of its names, rows without one left out, absent texts blank, categories unknown where blank."""
+    key = F.col("p_partkey")
+    kind = F.when(key % 4 == 1, "").when(key % 4 > 1, F.col("p_type"))
+    upper = F.when(key % 3 == 0, "").when(key % 3 == 1, F.concat(F.lit("id_"), F.col("p_size"), F.lit("_"), key, F.lit("_front")))
+    raw = table(spark, sf, "part").select(key.alias("row_id"), upper.alias("item_ID"), F.when(key % 5 != 0, F.concat(F.lit("id_"), key, F.lit("_2_full"))).alias("item_id2"), F.col("p_brand").alias("Color"), kind.alias("category1"))
+    found = readers.catalogue(raw, names=("item_ID", "item_id2"))
+    return found.select("row_id", "item_id", "product_id", "category1", T.category_or_unknown(F.col("category1")).alias("category"), "description", "color")
+
+
+@_query(f"""WITH {RUNS_SQL} SELECT DISTINCT "group" AS source, v AS value FROM runs WHERE "group" IN ('sweep_b', 'other') UNION SELECT 'style', nullif(style, '') FROM runs WHERE nullif(style, '') IS NOT NULL AND "group" IN ('sweep_b', 'other')""")
+def run_values(spark, sf):
+    """Distinct settings of the runs of two groups, which the scan asks for, and their distinct styles."""
+    own = readers.runs(fixtures.run_table(spark, sf), ["sweep_b", "other"])
+    scales = own.select(F.col("group").alias("source"), F.col("config")["V"].alias("value")).distinct()
+    styles = runs.distinct_values(own.select(F.nullif(F.col("config")["style"], F.lit("")).alias("value")), "value").select(F.lit("style").alias("source"), "value")
+    return scales.unionByName(styles)
+
+
+@_query(f"""WITH {RUNS_SQL}, last AS (SELECT run_id, metric, arg_max(value, (ts, event_id)) AS value FROM history WHERE value IS NOT NULL AND metric IN ('view', 'purchase') GROUP BY ALL),
+p AS (SELECT CAST(v AS DOUBLE) AS row_value, metric, coalesce(nullif(style, ''), split_part(name, '_', 1)) AS style, CAST(split_part(name, '_', 2) AS DOUBLE) AS x, avg(value) AS y FROM runs JOIN last USING (run_id) GROUP BY ALL)
+SELECT row_value, metric, CASE WHEN style = 'ours-mse' THEN 'marginal-mse' ELSE style END AS style, string_agg(printf('%.0f:%.6f', x, y), ' ' ORDER BY x) AS points FROM p GROUP BY ALL""")
+def run_series(spark, sf):
+    """The lines of a grid of plots: per setting, metric and style its points by size, the mean where runs share a size."""
+    last = runs.wide(runs.last_values(fixtures.run_history(spark, sf), F.col("step")), ["view", "purchase"])
+    rows = fixtures.run_table(spark, sf).join(last, "run_id").select(F.col("config")["V"].cast("double").alias("scale"), runs.style_of(F.col("config")["style"], F.col("name")).alias("style"), T.first_number_token(F.col("name")).cast("double").alias("size"), "view", "purchase")
+    lines = runs.ordered_series(runs.grid_series(rows, "size", "scale", ["view", "purchase"]))
+    return lines.select("row_value", "metric", "style", F.array_join(F.transform("points", lambda p: F.format_string("%.0f:%.6f", p["x"], p["y"])), " ").alias("points"))
+
+
+@_query(f"""WITH {EXAMPLES_SQL}, shuffled AS (SELECT anchor, row_number() OVER (ORDER BY md5('{SEED}:' || anchor), anchor) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT anchor FROM anchored))
+SELECT a.row_id, a.anchor, a.negative_example_source FROM anchored a JOIN shuffled USING (anchor) WHERE place >= ceil(ceil(n / 5) / 2) AND place < ceil(n / 5)""")
+def evaluation_split(spark, sf):
+    """The rows of the validation split alone, as evaluating without training reads them."""
+    rows = reshape.anchors(reshape.training_rows(fixtures.examples(spark, sf)), "nl_query", drop_blank=True)
+    return splits.only(splits.split_by_query(rows, SEED), "validation").select("row_id", "anchor", "negative_example_source")
+
+
+@_query("""SELECT p_partkey AS key, p_brand || '/part_' || p_partkey || '_rephrased.jsonl' AS rephrased, CASE WHEN p_partkey % 2 = 0 THEN 'img/part ' || p_partkey || '.jpg' ELSE '../shared/img/part ' || p_partkey || '.jpg' END AS seen FROM part""")
+def file_names(spark, sf):
+    """Names of rephrased files beside their own, and image paths as a report in another folder sees them."""
+    p, key = table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    name = F.concat("p_brand", F.lit("/part_"), key, F.lit(".jsonl"))
+    image = F.concat(F.when(F.col("p_partkey") % 2 == 0, "/data/out/img/part ").otherwise("/data/./shared/img/part "), key, F.lit(".jpg"))
+    return p.select(F.col("p_partkey").alias("key"), T.with_suffix(name, ".jsonl", "_rephrased.jsonl").alias("rephrased"), T.relative_path(image, F.lit("/data/out")).alias("seen"))
+
+
+@_query("""SELECT p_partkey AS id, split_part(p_name, ' ', -1) AS item, true AS asked, 0 AS calls_again FROM part""")
+def remembered_replies(spark, sf):
+    """Items told by a model with a memo: equal prompts are asked once, a few at a time, and asked again after the memo was compacted they make no call."""
+    path = _folder(spark, "memo")
+    requests = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("Query: "), "p_name").alias("prompt"))
+    first = models.ask_remembered(requests, "item", "stub", path).checkpoint()
+    models.compact_memo(spark, path, 0)
+    again = models.ask_remembered(requests, "item", "stub", path).select("id", F.col("calls").alias("calls_again"))
+    told = first.select("id", F.get_json_object("reply", "$.item").alias("item"), (F.col("calls") == 1).alias("asked"))
+    return told.join(again, "id").select("id", "item", "asked", "calls_again")
+
+
+_ORDERED = "/usr/lib/python3/abc.py"
+
+
+@_query("""SELECT row_number() OVER (ORDER BY cumtime DESC, filename, lineno, funcname) AS place, filename, lineno, funcname, cumtime FROM (
+SELECT 'app.py' AS filename, CAST(event_id AS INTEGER) AS lineno, event_type AS funcname, CAST(event_id % 991 AS DOUBLE) / 1000 AS cumtime FROM events WHERE event_id % 3 <> 0)""")
+def profile_order(spark, sf):
+    """Profile lines of the files asked for, by cumulative time."""
+    e = table(spark, sf, "events")
+    seconds = F.format_string("%d.%03d", F.floor(F.col("event_id") % 991 / 1000), F.col("event_id") % 991 % 1000)
+    line = F.format_string(" 1 0.001 0.001 %s 0.001 %s:%d(%s)", seconds, F.when(F.col("event_id") % 3 == 0, _ORDERED).otherwise("app.py"), F.col("event_id").cast("int"), F.col("event_type"))
+    ordered = profiling.by_cumulative_time(profiling.parse(e.select(line.alias("value")), only=("app.py",)))
+    keyed = ordered.select(F.struct((-F.col("cumtime")).alias("down"), "filename", "lineno", "funcname").alias("order"), "filename", "lineno", "funcname", "cumtime")
+    return rank_in_groups(keyed, [], "order", "place").select((F.col("place") + 1).alias("place"), "filename", "lineno", "funcname", "cumtime")

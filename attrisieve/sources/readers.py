@@ -43,14 +43,14 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", "true").schema(schema).csv(path)
 
 
-def catalogue(raw: DataFrame, limit: int | None = None) -> DataFrame:
-    """Catalogue records from raw rows: item_ID or item_id names the item; rows without either go; absent text is blank.
+def catalogue(raw: DataFrame, limit: int | None = None, names: tuple[str, ...] = ("item_ID", "item_id")) -> DataFrame:
+    """Catalogue records from raw rows: item_ID or item_id (or what else is among names) names the item; rows without one go; absent text is blank.
 
     limit keeps the first rows by row_id, before anything else goes.
     """
     own = raw.where(F.col("row_id") < limit) if limit else raw
     there = {c.lower(): c for c in own.columns}
-    item = F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in ("item_ID", "item_id") if c in own.columns], F.lit(""))
+    item = F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names if c in own.columns], F.lit(""))
     own = own.withColumn("_item", item).where("_item <> ''")
     text = lambda c: F.coalesce(F.col(there[c]).cast("string"), F.lit("")).alias(c) if c in there else F.lit("").alias(c)
     fixed = {"item_id": F.col("_item").alias("item_id"), "product_id": product_of_view(F.col("_item")).alias("product_id")}

@@ -68,6 +68,73 @@ def test_memo_is_written_back(spark, tmp_path):
     assert models.stable_json([{"b": 1, "a": "é"}]) == '[{"a": "é", "b": 1}]'
 
 
+def test_calls_in_order_and_never_more_than_the_window():
+    import threading
+    import time
+
+    lock, under_way, most, drawn = threading.Lock(), [0], [0], []
+
+    def job(k):
+        with lock:
+            under_way[0] += 1
+            most[0] = max(most[0], under_way[0])
+        time.sleep(0.03 if k % 4 == 0 else 0.001)
+        with lock:
+            under_way[0] -= 1
+        return k
+
+    def jobs():
+        for k in range(40):
+            drawn.append(k)
+            yield lambda k=k: job(k)
+
+    told = models.in_order(jobs(), 4)
+    assert [next(told) for _ in range(3)] == [0, 1, 2] and len(drawn) <= 7  # nothing is drawn ahead of the window
+    assert list(told) == list(range(3, 40)) and 1 < most[0] <= 4
+    assert list(models.in_order(iter([]), 2)) == []
+    with pytest.raises(ValueError):
+        list(models.in_order(jobs(), 0))
+    with pytest.raises(ZeroDivisionError):
+        list(models.in_order((lambda k=k: 1 // k for k in (1, 0, 2)), 2))
+
+
+def test_replies_come_whatever_the_window(spark):
+    df = spark.createDataFrame([(k, f"Query: red shirt{k}") for k in range(600)], "key long, prompt string").repartition(2)
+    want = {k: json.dumps({"item": f"shirt{k}", "features": ["red"]}) for k in range(600)}
+    for window in (1, 7):
+        got = models.ask(df, "item", "m", window=window).collect()
+        assert {r["key"]: r["reply"] for r in got} == want and all(r["calls"] == 1 for r in got)
+    assert models.ask(df.limit(0), "item", "m").count() == 0
+
+
+def test_memo_is_compacted_and_read_in_part(spark, tmp_path):
+    path = str(tmp_path / "memo")
+    ask = lambda low, high: models.ask_remembered(spark.range(low, high).select("id", F.format_string("Query: shirt%d", "id").alias("prompt")), "item", "m", path)
+    for low in (0, 100, 200):
+        assert ask(low, low + 120).where("reply is not null").count() == 120
+    files = lambda: [p for p in (tmp_path / "memo").rglob("*.parquet")]
+    before, known = len(files()), {(r["key"], r["reply"]) for r in models.read_memo(spark, path).collect()}
+    assert len(known) == 320
+    assert models.compact_memo(spark, path, 1) > 0 and len(files()) < before
+    assert {(r["key"], r["reply"]) for r in models.read_memo(spark, path).collect()} == known
+    assert models.compact_memo(spark, path, 1) == 0 and models.compact_memo(spark, str(tmp_path / "none")) == 0
+    one = spark.createDataFrame([(next(iter(known))[0],)], "key string")
+    part = models.read_memo(spark, path, one)
+    assert 0 < part.count() < 320 and "PartitionFilters: [shard" in part._jdf.queryExecution().toString().replace("isnotnull(shard", "shard")
+    assert ask(0, 320).where("calls = 0").count() == 320
+
+
+def test_paths_and_suffixes(spark):
+    import posixpath
+
+    cases = [("/a/b/c.jpg", "/a/b"), ("/a/b/c.jpg", "/a/d/e"), ("x/y", "x/y"), ("/a/./b//c", "/a"), ("img/c", "/"), ("a/b", "a/b/c/d")]
+    df = spark.createDataFrame(cases, "path string, folder string")
+    got = [r[0] for r in df.select(T.relative_path(F.col("path"), F.col("folder"))).collect()]
+    assert got == [posixpath.relpath(p.lstrip("/") or ".", f.lstrip("/") or ".") for p, f in cases]
+    names = spark.createDataFrame([("x.jsonl",), ("x.jsonl.gz",), (None,)], "n string")
+    assert [r[0] for r in names.select(T.with_suffix(F.col("n"), ".jsonl", "_rephrased.jsonl")).collect()] == ["x_rephrased.jsonl", "x.jsonl.gz_rephrased.jsonl", None]
+
+
 def test_language_boundary(spark):
     rows = [(1, "The cat is with the dog", "and of the"), (2, "der Hund und die Katze", "the"), (3, "1234", "the"), (4, None, "the"), (5, "the " * 50_000, "of")]
     df = spark.createDataFrame(rows, "id long, x string, y string")
@@ -89,9 +156,9 @@ def test_encoders(spark, tmp_path):
 
 def test_listed_runs_and_variants(spark):
     values = spark.createDataFrame([("r1", "acc", 1.0), ("r1", "acc_easy", 2.0), ("r1", "acc_hard", 3.0), ("r9", "acc", 4.0)], "run_id string, metric string, value double")
-    listed = runs.run_list(spark, [("Text", "Triplet", "Text", "r1"), ("Text", "Triplet", "Image", "r1"), ("Image", "Triplet", "Image", "r2")])
+    listed = runs.run_list(spark, [("words", "ranked", "words", "r1"), ("words", "ranked", "pictures", "r1"), ("pictures", "ranked", "pictures", "r2")])
     got = {(r["run_id"], r["evaluated_on"]): (r["acc"], r["other"]) for r in runs.listed(listed, values, ["acc", "other"]).collect()}
-    assert got == {("r1", "Text"): (1.0, None), ("r1", "Image"): (1.0, None), ("r2", "Image"): (None, None)}
+    assert got == {("r1", "words"): (1.0, None), ("r1", "pictures"): (1.0, None), ("r2", "pictures"): (None, None)}
     assert {(r["run_id"], r["metric"], r["variant"]) for r in runs.easy_and_hard(values).collect()} == {("r1", "acc", "all"), ("r1", "acc", "easy"), ("r1", "acc", "hard"), ("r9", "acc", "all")}
 
 
