@@ -28,9 +28,13 @@ PREFIXES = (4, 5, 6, 7)
 _MIX = 40503
 #: Features kept per model: in so many rows at least, of so much chi-square at least, and so many at most.
 MIN_ROWS, LEAST_CHI, SELECTED = 3, 12.0, 2500
-#: Categories in the order of the chain, and the one that decides: all come from the columns quality and toxic of the labels.
-CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
+#: Categories in the order of the chain, and the one that decides, which comes last and so hears from all others. Which words
+#: are toxic depends on a text's language, and what junk looks like on both: the first comes from the documents' column lang,
+#: the others from quality and toxic of the labels.
+CATEGORIES = ("other_language", "low_quality", "toxic")
 DECIDES = "toxic"
+#: The language that isn't another one.
+MAIN_LANGUAGE = "en"
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -160,15 +164,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     """(place, text, label per category) of at most fit_rows labelled documents, by the hash of their id.
 
     Ids may have any type. An id that several labels or documents share counts once: toxic or of low quality if one label
-    says so, with the text whose hash is smallest. Rows with a null id, label or text are left out.
+    says so, with the text whose hash is smallest. Rows with a null id, label or text are left out; a null language, or none
+    in the table, is the main one.
     """
     own = own_columns(labels, doc_id="doc_id", quality="quality", toxic="toxic").dropna()
     own = own.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"), F.max((F.col("quality").cast("int") == 0).cast("int")).alias("low_quality"))
     chosen = own.withColumn("place", F.xxhash64(F.col("doc_id").cast("string"), F.lit(9))).orderBy("place", "doc_id").limit(fit_rows)
-    texts = own_columns(docs, doc_id="doc_id", text="text").where(F.octet_length("text") <= FIT_TEXT_BYTES)
+    other = F.coalesce(F.col("lang").cast("string") != MAIN_LANGUAGE, F.lit(False)) if "lang" in docs.columns else F.lit(False)
+    texts = docs.select(F.col("doc_id"), F.col("text"), other.cast("int").alias("other_language")).where(F.octet_length("text") <= FIT_TEXT_BYTES)
     joined = texts.join(F.broadcast(chosen), "doc_id")  # chosen has fit_rows rows at most
-    one = joined.groupBy("doc_id", "place", "toxic", "low_quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    return one.select("place", "text", "low_quality", "toxic", (F.col("toxic") * F.col("low_quality")).alias("toxic_low_quality"))
+    one = joined.groupBy("doc_id", "place", "toxic", "low_quality").agg(F.min_by(F.struct("text", "other_language"), F.struct(F.xxhash64("text"), "other_language")).alias("t"))
+    return one.select("place", "t.text", "t.other_language", "low_quality", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Chain:

@@ -791,9 +791,86 @@ def test_chain_on_held_out(spark):
     assert chain.models[1].earlier.shape == (1,) and chain.models[2].earlier.shape == (2,)
 
 
+def plain_logistic(rows, y):
+    """fit_linear on dense rows, feature by feature: rows are (set of features, earlier probabilities)."""
+    n, positive = len(rows), sum(y)
+    chi = {}
+    for f in set().union(*[own for own, _ in rows]):
+        seen, with_ = sum(f in own for own, _ in rows), sum(v for (own, _), v in zip(rows, y) if f in own)
+        expected = seen * positive / n
+        spread = expected * (1 - positive / n) * (1 - seen / n)
+        if seen >= toxicity.MIN_ROWS and spread > 0 and (with_ - expected) ** 2 / spread >= toxicity.LEAST_CHI:
+            chi[f] = (with_ - expected) ** 2 / spread
+    kept = sorted(sorted(chi, key=lambda f: (-chi[f], f))[: toxicity.SELECTED])
+    x = np.array([[f in own for f in kept] + list(earlier) + [True] for own, earlier in rows], dtype=float)
+    theta = np.zeros(x.shape[1])
+    theta[-1] = math.log((positive + 1) / (n - positive + 1))
+    first, second = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, 251):
+        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ theta, -35, 35))) - y) / n
+        slope[:-1] += 3e-5 * theta[:-1]
+        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+        theta = theta - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
+    return lambda own, earlier: float(1 / (1 + np.exp(-np.clip(np.array([f in own for f in kept] + list(earlier) + [True], dtype=float) @ theta, -35, 35))))
+
+
+def plain_features(text):
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    seen = Counter(zlib.crc32(p.encode()) % toxicity.BUCKETS for w in words for p in [f"={w}", *(w[:k] for k in (4, 5, 6, 7) if len(w) >= k)])
+    found = {f for f in seen} | {(f * 40503 + k) % toxicity.BUCKETS for f, n in seen.items() for k in (2, 3) if n >= k}
+    return found | {k * 40503 % toxicity.BUCKETS for k in range(1, len(words).bit_length() + 1)} if words else set()
+
+
+def test_the_whole_query_in_plain_python(spark, tmp_path):
+    """op9 over a small folder of tables against a chain fitted row by row, out of fold."""
+    draw = random.Random(8)
+    said = {"en": "the kind words of a good day and more".split(), "de": "der die das gute Wort vom Tag".split()}
+    bad = {"en": ["idiot", "scum", "trashy"], "de": ["achlich", "achlicher"]}
+    docs, labels = [], []
+    for i in range(150):
+        lang, toxic, low = draw.choice(["en", "en", "de"]), draw.random() < 0.3, draw.random() < 0.3
+        words = draw.choices(said[lang], k=9) + [draw.choice(bad[lang])] * toxic + ["spam", "spam"] * low
+        docs.append((i, " ".join(draw.sample(words, len(words))), lang))
+        if i % 4:
+            labels.append((i, int(not low), int(toxic)))
+    docs += [(150, None, "en"), (151, "", None), (5, docs[5][1], docs[5][2]), (None, "idiot scum", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    by_id = {i: (t, lang) for i, t, lang in docs}
+    fitted = [(plain_features(by_id[i][0]), by_id[i][0], [int(by_id[i][1] != "en"), int(q == 0), x]) for i, q, x in labels]
+    before, models = [()] * len(fitted), []
+    for k in range(3):
+        y = np.array([f[2][k] for f in fitted], dtype=float)
+        rows = [(f[0], b) for f, b in zip(fitted, before)]
+        models.append(plain_logistic(rows, y))
+        fold = [zlib.crc32(f[1].encode()) % toxicity.FOLDS for f in fitted]
+        told = [0.0] * len(rows)
+        for out in range(toxicity.FOLDS):
+            inside = [j for j in range(len(rows)) if fold[j] != out]
+            model = plain_logistic([rows[j] for j in inside], y[inside])
+            for j in range(len(rows)):
+                if fold[j] == out:
+                    told[j] = model(*rows[j])
+        before = [(*b, p) for b, p in zip(before, told)]
+    want = []
+    for i, text, _ in docs:
+        earlier = ()
+        for model in models:
+            earlier = (*earlier, model(plain_features(text), earlier))
+        want.append((i, *earlier, earlier[-1] >= 0.5))
+    key = lambda r: (r[0] is None, r[0] or 0)
+    got = sorted((tuple(r) for r in registry.op9_classifier_chain(spark, str(tmp_path)).collect()), key=key)
+    want = sorted(want, key=key)
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert np.allclose([r[1:4] for r in got], [r[1:4] for r in want], atol=1e-5)
+    assert all(g[4] == w[4] for g, w in zip(got, want) if abs(w[3] - 0.5) > 1e-4)
+    labelled = {i: x for i, _, x in labels}
+    assert sum(r[4] == (labelled[r[0]] == 1) for r in got if r[0] in labelled) > 0.95 * len(labels)
+
+
 def test_chain_edges(spark):
     texts = ["you idiot scum", "you stupid trash", *["kind words", "good day", "well met"] * 6] * 12
-    chain = toxicity.fit_chain(texts, np.array([[0, 1, 0], [1, 1, 1], *[[0, 0, 0]] * 18] * 12, dtype=float), toxicity.CATEGORIES)
+    chain = toxicity.fit_chain(texts, np.array([[0, 0, 1], [0, 1, 1], *[[0, 0, 0]] * 18] * 12, dtype=float), toxicity.CATEGORIES)
     docs = docs_of(spark, [None, "", "you idiot scum", "kind words " * 20000, "you idiot scum"], [1, 2, None, 4, 5]).withColumn("toxic", F.lit(True))
     got = toxicity.score(docs, chain).collect()
     assert len(got) == 5 and {r["doc_id"] for r in got if r["toxic_flag"]} == {None, 5}
