@@ -75,8 +75,8 @@ WITH RECURSIVE p AS (
   FROM tags
 ), said_by AS (
   SELECT key, url, is_link, lower(trim(rel.a || rel.b || rel.c)) AS rel, lower(trim(equiv.a || equiv.b || equiv.c)) AS equiv,
-         replace(replace(replace(replace(href.a || href.b || href.c, '&#38;', '&amp;'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS href,
-         replace(replace(replace(replace(content.a || content.b || content.c, '&#38;', '&amp;'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS content
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(href.a || href.b || href.c, '&quot;|&#34;|&#x22;', '"', 'gi'), '&#39;|&#x27;|&apos;', '''', 'gi'), '&lt;|&#60;|&#x3c;', '<', 'gi'), '&gt;|&#62;|&#x3e;', '>', 'gi'), '&amp;|&#38;|&#x26;', '&', 'gi') AS href,
+         regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content.a || content.b || content.c, '&quot;|&#34;|&#x22;', '"', 'gi'), '&#39;|&#x27;|&apos;', '''', 'gi'), '&lt;|&#60;|&#x3c;', '<', 'gi'), '&gt;|&#62;|&#x3e;', '>', 'gi'), '&amp;|&#38;|&#x26;', '&', 'gi') AS content
   FROM raw
 ), aims AS (
   SELECT key, url, trim(regexp_replace(CASE WHEN is_link AND regexp_matches(rel, '(?:^|\s)canonical(?:\s|$)') THEN href
@@ -112,7 +112,7 @@ def op7_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 WITH c AS (
-  SELECT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i], 0) > 0) AS bits FROM embeddings WHERE embedding IS NOT NULL
+  SELECT vec_id, list_transform(range(1, 65), lambda i: coalesce(embedding[i], 0) > 0 AND NOT isnan(coalesce(embedding[i], 0))) AS bits FROM embeddings WHERE embedding IS NOT NULL
 ), h AS (
   SELECT vec_id,
          CAST(list_sum(list_transform(range(1, 33), lambda i: CASE WHEN bits[i] THEN 1::BIGINT << (i - 1) ELSE 0::BIGINT END)) AS BIGINT) AS lo,

@@ -604,7 +604,7 @@ ODD_PAGES = [
     ("http://a.test/d/p", "<link href='/x' rel='nofollow canonical'>"), ("http://a.test/x", ""), ("http://b.test/1", '<meta http-equiv="refresh" content="0; url=\'http://c.net/2?a=1&amp;b=2\'">'),
     ("http://c.net/2?a=1&b=2", "<p>"), ("http://d.test/", "<!-- <link rel=canonical href=http://c.net/9> -->"), ("http://c.net/9", None), ("http://e.test/q/r", '<LINK REL="canonical"\n HREF="s">'),
     ("http://e.test/q/s", "<meta content='5;URL=//f.org/fr/' http-equiv=Refresh>"), ("http://f.org/fr/", ""), ("http://g.test/", '<link data-rel="x" rel="stylesheet" href="http://c.net/9">'), (None, "<link rel=canonical href=http://c.net/9>"),
-    ("nothing", None), ("http://h.test/a>b", '<link title="a > b" rel=canonical href="http://c.net/9#part">'), ("HTTP://H.TEST/a>b", ""),
+    ("http://i.test/1", "<link rel=canonical href='http://c.net/it&apos;s&#x22;&lt;&#X3E;'>"), ("http://c.net/it's\"<>", None), ("nothing", None), ("http://h.test/a>b", '<link title="a > b" rel=canonical href="http://c.net/9#part">'), ("HTTP://H.TEST/a>b", ""),
 ]
 
 
@@ -620,7 +620,8 @@ def test_links_as_the_sql_has_them(spark):
     assert got == sorted(con.execute(f"select {', '.join(columns)} from ({registry.OP6_SQL})").fetchall())
     verdict = {r[0]: (r[4], r[5]) for r in got}
     assert verdict[2] == ("block", "b.test/1") and verdict[0][1] == verdict[1][1] == "a.test/d/p" and verdict[4] == ("allow", None)
-    assert verdict[6] == verdict[7] == ("allow", "e.test/q/r") and verdict[9] == ("allow", None) and verdict[12][0] == verdict[13][0] == "block"
+    assert verdict[6] == verdict[7] == ("allow", "e.test/q/r") and verdict[9] == ("allow", None) and verdict[14][0] == verdict[15][0] == "block"
+    assert verdict[11] == ("block", "c.net/it's\"<>")
 
 
 def test_urls(spark):
@@ -651,6 +652,18 @@ def test_tags_over_several_lines(spark):
 # ---- 7 exact top-k
 
 
+def test_odd_components_as_the_sql_has_them(spark, tmp_path):
+    import duckdb
+
+    nan = float("nan")
+    rows = [(k, [0.5 if (k >> b) & 1 else -0.5 for b in range(64)]) for k in range(60)] + [(100, [nan] * 64), (150, [None, nan, 0.5] + [-1.0] * 61), (200, [0.5] * 10), (250, [0.5] * 70), (300, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = registry.op7_multi_index_hashing(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(f"select query_id, vec_id, distance, rank from ({registry.OP7_SQL})").fetchall())
+
+
 @pytest.mark.parametrize("n,k", [(400, 10), (30, 5), (3, 10)])
 def test_top_k_equals_brute_force(spark, n, k):
     rng = np.random.default_rng(n)
