@@ -500,6 +500,44 @@ def test_licences_as_the_sql_has_them(spark):
     assert sorted(tuple(r) for r in licences.scan(docs_of(spark, [t for _, t in rows])).select("doc_id", "sentence_ids", "licences").collect()) == want
 
 
+BODY_TEXTS = [
+    ("The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.", "GPL-3.0"), ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community.", "AGPL-3.0"),
+    ("0. This License applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this General Public License.", "GPL-2.0"),
+    ("This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.", "LGPL-3.0"),
+    ("This License Agreement applies to any software library or other program which contains a notice placed by the copyright holder or other authorized party.", "LGPL-2.1"), ("Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license:", "MPL-2.0"),
+    ('"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.', "Apache-2.0"),
+    ("By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\").", "CC-BY-4.0"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use it.", "BSL-1.0"),
+    ("This software is provided 'as-is', without any express or implied warranty.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it.", "Zlib"),
+    ("  3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from it.", ""),
+    ("This project is distributed under the terms of the BSD-3-Clause license.", "BSD-3-Clause"), ("the library is licensed under Apache License, version 2.0", "unknown"), ("You can redistribute it and/or modify it under the terms of the GNU General Public License as you like.", "GPL"),
+    ("Permission is hereby granted, free of charge, to any person who asks.", ""),
+]
+
+
+def test_bodies_and_openings(spark):
+    import duckdb
+
+    texts = [t for t, _ in BODY_TEXTS] + [f"/* {t.upper()} */" for t, _ in BODY_TEXTS] + ["\n".join(t for t, _ in BODY_TEXTS)]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licences"]) for r in licences.scan(docs_of(spark, texts)).collect()}
+    assert [got[k][1] for k in range(len(BODY_TEXTS))] == [want for _, want in BODY_TEXTS]
+    assert {name for name, _ in licences.BODIES} - set(" ".join(x for x, _ in got.values()).split()) == {"CCBYSABody"}
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert got == {i: (x, y) for i, x, y in con.execute(f"select doc_id, sentence_ids, licences from ({licences.oracle_sql()})").fetchall()}
+
+
+def test_known_sentences_are_in_normal_form(spark):
+    """Each form is what normalising makes of it, so that the maps can be met at all, and has a word that isn't passed over."""
+    forms = [form for _, form in licences.NOTICES + licences.BODIES + licences.SENTENCES]
+    plain = [f.replace("*", "xyz") for f in forms]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(plain)), "k int, f string").orderBy("k").select(licences.normal(F.col("f"))).collect()]
+    assert [(a, b) for a, b in zip(got, plain) if a != b] == []
+    assert all(re.search(licences.LIKELY, f) for f in forms)
+    assert {x for _, sequence in licences.NOTICE_RULES + licences.RULES + licences.LONE_RULES for x in sequence} <= {n for n, _ in licences.NOTICES + licences.BODIES + licences.SENTENCES}
+
+
 def test_official_notices(spark):
     gpl = "{what} is free software{sign} you can redistribute it and/or modify\nit under the terms of the GNU {kind}General Public License as published by\nthe Free Software Foundation{then} either version {v} of the License, or\n(at your option) any later version.\n\n{what} is distributed in the hope that it will be useful."
     of = lambda what, kind, v, sign, then: gpl.format(what=what, kind=kind, v=v, sign=sign, then=then)
