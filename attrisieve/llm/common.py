@@ -53,6 +53,14 @@ def own_columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in wanted.items()])
 
 
+def distinct(values):
+    """The different values of an array, in order. Sorting is many times faster than numpy's unique, which hashes."""
+    import numpy as np
+
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
     """Record batches of at most so many rows, so that what is made of a batch stays small."""
     for batch in batches:

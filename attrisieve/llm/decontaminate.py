@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import own_columns, tidy
+from .common import distinct, own_columns, tidy
 
 #: Tokens of benchmark text that one pass over the documents carries.
 BLOCK_TOKENS = 2_000_000
@@ -67,6 +67,13 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return out[: len(ids) - size + 1]
 
 
+def among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among keys, which are in order."""
+    if not len(keys):
+        return np.zeros(len(values), dtype=bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
 def tiles(item: np.ndarray, text: np.ndarray, min_tile: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (item position, text position, length) of non-overlapping equal runs, longest first.
 
@@ -84,7 +91,7 @@ def tiles(item: np.ndarray, text: np.ndarray, min_tile: int) -> list[tuple[int,
         return at, rolling(ids, size)[at]
 
     def share(size: int) -> bool:
-        return bool(np.isin(open_runs(item, free_item, size)[1], open_runs(text, free_text, size)[1]).any())
+        return bool(among(open_runs(item, free_item, size)[1], np.sort(open_runs(text, free_text, size)[1])).any())
 
     high = min(len(item), len(text))
     while high >= min_tile and share(min_tile):
@@ -161,8 +168,8 @@ class Block:
             if not where.size:
                 continue
             hashes = rolling(text, size)[where]
-            hit = np.isin(hashes, keys)
-            where, hashes = where[hit], np.unique(hashes[hit])
+            hit = among(hashes, keys)
+            where, hashes = where[hit], distinct(hashes[hit])
             if not where.size:
                 continue
             first, last = np.searchsorted(keys, hashes), np.searchsorted(keys, hashes, side="right")
