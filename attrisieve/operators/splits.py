@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,35 +12,42 @@ from ..session import shared_dir
 SPLITS = ("train", "validation", "test")
 
 
-def _shuffled_places(queries: DataFrame, seed: int) -> tuple[DataFrame, int]:
-    """(_asked, _place), places of distinct queries in seeded shuffled order, and how many there are. Null is a query, too.
+def _shuffled(queries: DataFrame, seed: int) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """(distinct queries as a checkpoint (anchor, h, s), how many begin with each s): h is what a seeded shuffle orders them by. Null is a query, too.
 
-    The first three hex digits of the hash are the stretch whose counts are summed first, so no task sorts all queries.
+    s is the first three hex digits of h, so there are 4096 counts at most and no task sorts all queries.
     """
     shared_dir(queries.sparkSession)
     keyed = queries.select("anchor").distinct().withColumn("h", shuffle_key(seed, F.col("anchor"))).withColumn("s", F.substring("h", 1, 3)).checkpoint()
-    sizes = sorted(keyed.groupBy("s").agg(F.count("*").alias("n")).collect())  # 4096 rows at most
-    bases, total = [], 0
+    return keyed, sorted(tuple(r) for r in keyed.groupBy("s").agg(F.count("*").alias("n")).collect())
+
+
+def _before(keyed: DataFrame, sizes: list[tuple[str, int]], place: int, seed: int) -> Column:
+    """Whether a row's anchor comes before a place of the shuffled order: a comparison with the query that stands there."""
+    seen = 0
     for s, n in sizes:
-        bases.append((s, total))
-        total += n
-    bases = queries.sparkSession.createDataFrame(bases, "s string, base bigint")
-    place = F.row_number().over(W.partitionBy("s").orderBy("h", "anchor"))
-    return keyed.withColumn("p", place).join(F.broadcast(bases), "s").select(F.col("anchor").alias("_asked"), (F.col("base") + F.col("p") - 1).alias("_place")), total
+        if place < seen + n:
+            inside = F.row_number().over(W.partitionBy("s").orderBy("h", "anchor"))
+            at = keyed.where(F.col("s") == s).withColumn("place", inside).where(F.col("place") == place - seen + 1).first()
+            h = shuffle_key(seed, F.col("anchor"))
+            return (h < at["h"]) | ((h == at["h"]) & F.coalesce(F.col("anchor") < at["anchor"], F.lit(False)))
+        seen += n
+    return F.lit(True)
 
 
 def split_by_query(rows: DataFrame, seed: int = 42) -> DataFrame:
     """rows with column split: all rows of a query together, 80/10/10 of the queries (a fifth held out, half of that test).
 
     Sizes round up as a two-step hold-out does. Rows without a query are those of one query. Raises ValueError below three.
+    Two queries of the shuffled order are where splits change, so a row's split is two comparisons and nothing is joined.
     """
-    places, n = _shuffled_places(rows, seed)
+    keyed, sizes = _shuffled(rows, seed)
+    n = sum(x for _, x in sizes)
     if n < 3:
         raise ValueError("a split needs at least three queries")
     out = -(-n // 5)
     test = -(-out // 2)
-    name = F.when(F.col("_place") < test, "test").when(F.col("_place") < out, "validation").otherwise("train")
-    return rows.join(places, F.col("anchor").eqNullSafe(F.col("_asked"))).withColumn("split", name).drop("_asked", "_place")
+    return rows.withColumn("split", F.when(_before(keyed, sizes, test, seed), "test").when(_before(keyed, sizes, out, seed), "validation").otherwise("train"))
 
 
 def only(rows: DataFrame, split: str) -> DataFrame:
@@ -55,9 +62,8 @@ def query_fraction(rows: DataFrame, fraction: float, seed: int = 42) -> DataFram
         raise ValueError("fraction must be above 0 and at most 1")
     if fraction == 1:
         return rows
-    places, total = _shuffled_places(rows, seed)
-    n = max(1, round(total * fraction))
-    return rows.join(places.where(F.col("_place") < n), F.col("anchor").eqNullSafe(F.col("_asked")), "left_semi")
+    keyed, sizes = _shuffled(rows, seed)
+    return rows.where(_before(keyed, sizes, max(1, round(sum(x for _, x in sizes) * fraction)), seed))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,9 +5,7 @@ Everything written comes from the given tables, in folders of its own.
 
 from __future__ import annotations
 
-import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,18 +80,10 @@ def triplets_in_detected_english(spark, sf):
 # ---- images
 
 
-def png(width: int, height: int, pixels: bytes, channels: int) -> bytes:
-    """A PNG file of 8-bit samples: 1 channel is grey, 3 are colours, 4 have transparency."""
-    kind = {1: 0, 3: 2, 4: 6}[channels]
-    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
-    lines = b"".join(b"\0" + pixels[k * width * channels : (k + 1) * width * channels] for k in range(height))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
-
-
 def _drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(name, content): an image file per row (key, width, height, channels, samples in hex); every fifth one is cut off."""
     for pdf in frames:
-        made = [png(w, h, bytes.fromhex(x)[: w * h * c], c) for w, h, c, x in zip(pdf["width"], pdf["height"], pdf["channels"], pdf["samples"], strict=True)]
+        made = [writers.png(w, h, bytes.fromhex(x)[: w * h * c], c) for w, h, c, x in zip(pdf["width"], pdf["height"], pdf["channels"], pdf["samples"], strict=True)]
         yield pd.DataFrame({"name": [f"view {k}.png" for k in pdf["key"]], "content": [m[:40] if k % 5 == 0 else m for k, m in zip(pdf["key"], made, strict=True)]})
 
 
@@ -112,6 +102,19 @@ def images_as_rgb(spark, sf):
     return readers.images(spark, folder).select(number.alias("key"), "width", "height", F.hex("rgb").alias("rgb"))
 
 
+@_query("""SELECT s_suppkey AS key, CAST(1 + s_suppkey % 4 AS INTEGER) AS width, CAST(1 + s_suppkey % 3 AS INTEGER) AS height, upper(array_to_string(list_transform(range(CAST((1 + s_suppkey % 4) * (1 + s_suppkey % 3) AS BIGINT)), lambda i: substr(repeat(md5(CAST(s_suppkey AS VARCHAR)), 3), 8 * i + 1, 6)), '')) AS rgb FROM supplier WHERE s_suppkey % 5 <> 0""")
+def images_kept_as_rgb(spark, sf):
+    """Half-transparent images decoded, kept as RGB files under safe names, and decoded again; those that can't be decoded aren't kept."""
+    key = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select(key.alias("key"), (1 + key % 4).alias("width"), (1 + key % 3).alias("height"), F.lit(4).alias("channels"), F.repeat(F.md5(key.cast("string").cast("binary")), 3).alias("samples"))
+    first, second = _folder(spark, "images"), _folder(spark, "images")
+    writers.materialise(rows.mapInPandas(_drawn, "name string, content binary"), first).write.format("noop").mode("overwrite").save()
+    decoded = readers.images(spark, first).select(T.last_path_part(F.col("path")).alias("name"), "width", "height", "rgb")
+    writers.materialise_rgb(decoded, second).write.format("noop").mode("overwrite").save()
+    number = F.regexp_extract("path", r"(\d+)\.png$", 1).cast("bigint")
+    return readers.images(spark, second).select(number.alias("key"), "width", "height", F.hex("rgb").alias("rgb"))
+
+
 # ---- annotation files
 
 

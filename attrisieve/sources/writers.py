@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import posixpath
+import struct
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,6 +138,28 @@ def files(rows: DataFrame, folder: str) -> DataFrame:
     return rows.select("name", F.col("content").cast("binary").alias("content")).mapInPandas(write, "name string, path string")
 
 
+def png(width: int, height: int, pixels: bytes, channels: int) -> bytes:
+    """A PNG file of 8-bit samples: 1 channel is grey, 3 are colours, 4 have transparency."""
+    kind = {1: 0, 3: 2, 4: 6}[channels]
+    chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    lines = b"".join(b"\0" + pixels[k * width * channels : (k + 1) * width * channels] for k in range(height))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", width, height, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def materialise_rgb(images: DataFrame, folder: str) -> DataFrame:
+    """(name, path): writes decoded images (name, width, height, rgb) as PNG files under safe names, once; those without pixels are left out."""
+    import pandas as pd
+
+    from ..functions.text import safe_filename
+
+    def packed(frames):
+        for pdf in frames:
+            yield pd.DataFrame({"name": pdf["name"], "content": [png(w, h, x, 3) for w, h, x in zip(pdf["width"], pdf["height"], pdf["rgb"], strict=True)]})
+
+    own = images.where("rgb is not null").select(F.concat(F.regexp_replace(safe_filename(F.col("name")), r"\.[^.]*$", ""), F.lit(".png")).alias("name"), "width", "height", "rgb")
+    return files(own.mapInPandas(packed, "name string, content binary"), folder)
+
+
 def materialise(images: DataFrame, folder: str) -> DataFrame:
     """(name, path): writes each image's bytes under a safe name to a shared folder, once; images have name and content."""
     from ..functions.text import safe_filename

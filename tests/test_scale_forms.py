@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from attrisieve.functions.sampling import rank_in_groups
 from attrisieve.operators import boolean, encoding, language, losses, ranking, runs, tiles
-from attrisieve.plans.round_trips import png
 from attrisieve.sources import readers, writers
 
 
@@ -92,7 +91,7 @@ def test_whitespace_tables(spark, tmp_path):
 def test_images_of_all_kinds(spark, tmp_path):
     samples = bytes(range(1, 49))
     for channels in (1, 3, 4):
-        (tmp_path / f"{channels}.png").write_bytes(png(2, 2, samples, channels))
+        (tmp_path / f"{channels}.png").write_bytes(writers.png(2, 2, samples, channels))
     (tmp_path / "bad.png").write_bytes(b"no image")
     (tmp_path / "empty.png").write_bytes(b"")
     got = {r["path"].rsplit("/", 1)[1]: (r["width"], r["height"], r["rgb"] and bytes(r["rgb"])) for r in readers.images(spark, str(tmp_path)).collect()}
