@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import own_columns, slices, tidy
+from .common import distinct, own_columns, slices, tidy
 
 #: Labelled documents the models are fitted on at most, chosen by a hash of the id, and bytes of them all and of each.
 FIT_ROWS, FIT_BYTES, FIT_TEXT_BYTES = 4000, 64 << 20, 1 << 20
@@ -65,7 +65,7 @@ def features(text: str | None, memo: dict[str, array] | None = None) -> np.ndarr
     ids = ids.astype(np.int64)
     again = [(ids[counts >= k] * _MIX + k) % BUCKETS for k in (2, 3)]
     length = np.arange(1, len(words).bit_length() + 1) * _MIX % BUCKETS
-    return np.unique(np.concatenate([ids, *again, length]))
+    return distinct(np.concatenate([ids, *again, length]))
 
 
 @dataclass
