@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bktree import Forest, roots_of
-from .common import checkpoint, give_back, own_columns, parallelism, slices, tidy
+from .common import checkpoint, distinct, give_back, own_columns, parallelism, slices, tidy
 from .components import connected_components
 
 WORDS = 5
@@ -48,7 +48,7 @@ def shingles(text: str | None) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     size = min(WORDS, len(words))
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(x) for x in map(b" ".join, zip(*[words[k:] for k in range(size)], strict=False))), dtype=np.uint64))
+    return distinct(np.fromiter((digest(x) for x in map(b" ".join, zip(*[words[k:] for k in range(size)], strict=False))), dtype=np.uint64))
 
 
 def code(found: np.ndarray) -> np.ndarray:
