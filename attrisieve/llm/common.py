@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,10 +39,25 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Checkpoints after which the driver is asked to collect its garbage.
+COLLECT_AFTER = 4
+_written = [0]
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder now and go on from the copy, so a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared folder now and go on from the copy, so a lost executor costs no recomputation.
+
+    Spark deletes shuffle files, and checkpoints where it is told to, when the driver collects what refers to them. In a
+    plan of many rounds over small tables that can take long, so it is asked to every few checkpoints.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)
+    _written[0] += 1
+    if _written[0] % COLLECT_AFTER == 0:
+        gc.collect()
+        spark._jvm.System.gc()
+    return kept
 
 
 def parallelism(spark: SparkSession) -> int:
