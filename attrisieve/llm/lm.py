@@ -8,7 +8,7 @@ shares are a table learnt with them by expectation maximisation. So a token cost
 the probabilities of all ids add up to one.
 
 Training reads every training document once, all its windows, each partition from the same start, which a bounded sample
-gives (WARM_DOCS, WARM_IDS). The weights of the partitions are averaged by tokens and their expected counts added up, in
+gives (WARM_DOCS whole texts of at most WARM_BYTES, WARM_IDS). The weights of the partitions are averaged by tokens and their expected counts added up, in
 groups of FAN_IN, so no task and not the driver ever holds more than a few models, however many partitions there are. The
 same pass counts words. The shares therefore rest on every training token.
 
@@ -43,6 +43,8 @@ START, PAD = SYMBOLS, SYMBOLS + 1
 END_ID = 1
 #: Documents and ids the start of training is fitted on at most, how often and for about how many batches, and windows of a batch.
 WARM_DOCS, WARM_IDS, WARM_PASSES, WARM_BATCHES, BATCH = 800, 600_000, 20, 1000, 128
+#: Bytes of each of these documents at most: they are held at once, whole.
+WARM_BYTES = 1 << 18
 #: Batches between two looks at the shares, and tokens' worth of the ids' own frequencies in each share.
 REFRESH, PRIOR = 96, 20.0
 WARM_RATE, RATE = 0.02, 0.004
@@ -386,7 +388,8 @@ def train(training: DataFrame, tokenizer: str) -> tuple[DataFrame, Model]:
     """(word, c) of all words of columns doc_id and text, and the model, from one pass over all windows after a warm start."""
     spark = training.sparkSession
     chosen = training.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), "doc_id").limit(WARM_DOCS).distinct()
-    sample = training.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").limit(WARM_DOCS).repartition(1)
+    short = training.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= WARM_BYTES)
+    sample = short.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").limit(WARM_DOCS).repartition(1)
 
     def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkTokenizer(tokenizer)
@@ -394,9 +397,9 @@ def train(training: DataFrame, tokenizer: str) -> tuple[DataFrame, Model]:
         found, left = [], WARM_IDS
         for text in texts:
             own = np.r_[np.frombuffer(encoder.encode(text), dtype="<u4").astype(np.int32), np.int32(END_ID)]
-            if len(own) <= left or not found:
-                found.append(own[:WARM_IDS])
-                left -= len(found[-1])
+            if len(own) <= left:
+                found.append(own)
+                left -= len(own)
         weights, expected, symbol_of = warm_start(np.concatenate(found) if found else np.zeros(0, dtype=np.int32), np.array([len(x) for x in found], dtype=np.int64), len(encoder.ends))
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (_flat(weights), expected.astype("<f4").tobytes(), symbol_of.astype("<i4").tobytes())], names=["w", "e", "s"])
 
