@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.sampling import draw, rank_in_groups
+from ..functions.sampling import draw, merge_join, rank_in_groups
 from ..operators import boolean, catalogue, costs, encoding, language, losses, mining, models, profiling, ranking, reshape, runs, splits
 from ..session import shared_dir, table
 from ..sources import readers, writers
@@ -243,7 +243,7 @@ def encoded_metrics(spark, sf):
     text = F.concat(F.array_join("attributes", " "), F.lit(" number "), (F.col("key") % 97).cast("string"))
     product = fixtures.parts(spark, sf).select("key", text.alias("positive"))
     other = product.select(F.col("key").alias("hard_key"), F.col("positive").alias("negative"))
-    rows = e.join(product, "key").join(other, "hard_key").select("row_id", "anchor", "positive", "negative")
+    rows = merge_join(merge_join(e, product, "key"), other, "hard_key").select("row_id", "anchor", "positive", "negative")
     means = ranking.mean_metrics(ranking.encoded_metrics(rows, hashed_words, (1, 5, 10), dims=_DIMS))
     return means.select("k", *[F.round(c, 6).alias(c) for c in ("accuracy", "recall", "precision", "mrr", "ndcg", "map")], "n_queries")
 
