@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot, minus
@@ -39,10 +39,10 @@ def losses(rows: DataFrame, margin: float = 0.2) -> DataFrame:
     )
 
 
-def probe_residuals(rows: DataFrame, tolerance: float) -> DataFrame:
-    """(attribute, holds, largest): does a linear probe b, beta recover bit z of all rows' vectors f to the tolerance?"""
+def probe_residuals(rows: DataFrame, tolerance: float, *more: Column) -> DataFrame:
+    """(attribute, holds, largest): does a linear probe b, beta recover bit z of all rows' vectors f to the tolerance? More aggregates come from the same pass."""
     residual = F.abs(dot(F.col("b"), F.col("f")) + F.col("beta") - F.col("z"))
-    return rows.withColumn("e", residual).groupBy("attribute").agg(F.every(F.col("e") < tolerance).alias("holds"), F.max("e").alias("largest"))
+    return rows.withColumn("e", residual).groupBy("attribute").agg(F.every(F.col("e") < tolerance).alias("holds"), F.max("e").alias("largest"), *more)
 
 
 def probe_by_deletion(queries: DataFrame) -> DataFrame:
@@ -53,13 +53,13 @@ def probe_by_deletion(queries: DataFrame) -> DataFrame:
     return _deletions(queries.withColumn("f_of", F.col("f"))).select("attribute", "b")
 
 
-def _deletions(queries: DataFrame) -> DataFrame:
+def _deletions(queries: DataFrame, probed: Column | None = None) -> DataFrame:
     """queries (conditions, f, ...) with attribute, b, one row per condition without which the query is there, too.
 
-    A condition list is looked up by its canonical form: conditions sorted, each once. Null vectors give no probe.
+    Only probed queries (none: all) are taken apart; the others are what is left of them. A condition list is looked up by its canonical form: conditions sorted, each once. Null vectors give no probe.
     """
     canonical = queries.withColumn("conditions", F.array_sort(F.array_distinct("conditions"))).where("f is not null")
-    each = canonical.withColumnRenamed("f", "f_all").withColumn("condition", F.explode("conditions")).withColumn("rest", F.array_remove("conditions", F.col("condition")))
+    each = (canonical if probed is None else canonical.where(probed)).withColumnRenamed("f", "f_all").withColumn("condition", F.explode("conditions")).withColumn("rest", F.array_remove("conditions", F.col("condition")))
     rest = canonical.groupBy(F.col("conditions").alias("rest")).agg(F.first("f").alias("f_rest"))  # equal queries have equal vectors
     parted = F.split("condition", ":(?=[^:]*$)")  # an attribute may hold colons
     joined = each.join(rest, "rest").withColumn("attribute", F.element_at(parted, 1)).withColumn("sign", F.element_at(parted, 2).cast("double"))
@@ -67,16 +67,16 @@ def _deletions(queries: DataFrame) -> DataFrame:
 
 
 def probes_with_intercept(queries: DataFrame, products: DataFrame) -> DataFrame:
-    """(conditions, attribute, b, beta): probes by deletion, beta from a product that fits the whole query.
+    """(reference, conditions, attribute, b, beta): probes by deletion, beta from a product that fits the whole query.
 
     queries have conditions, f and reference, the key of a product that fits (a query's positive does); products have key,
     attributes and f. beta is the reference's bit of the attribute less its product with b. A reference that isn't there, or
-    doesn't fit, gives no probe.
+    doesn't fit, gives no probe; a query without one (null) is taken apart no further.
     """
-    probes = _deletions(queries.select("conditions", "f", "reference"))
+    probes = _deletions(queries.select("conditions", "f", "reference"), F.col("reference").isNotNull())
     known = products.select(F.col("key").alias("reference"), F.col("attributes").alias("_has"), F.col("f").alias("_f"))
     required = F.transform(F.filter("conditions", lambda c: c.endswith(":1")), lambda c: F.regexp_replace(c, ":1$", ""))
     forbidden = F.transform(F.filter("conditions", lambda c: c.endswith(":-1")), lambda c: F.regexp_replace(c, ":-1$", ""))
     joined = probes.join(known, "reference").where((F.size(F.array_except(required, "_has")) == 0) & (F.size(F.array_intersect(forbidden, "_has")) == 0))
     z = F.when(F.array_contains("_has", F.col("attribute")), 1.0).otherwise(0.0)
-    return joined.select("conditions", "attribute", "b", (z - dot(F.col("b"), F.col("_f"))).alias("beta"))
+    return joined.select("reference", "conditions", "attribute", "b", (z - dot(F.col("b"), F.col("_f"))).alias("beta"))

@@ -259,7 +259,8 @@ def probe_recovery(spark, sf):
 
     Products are encoded so that the theorem's hypothesis holds: a unit vector per attribute plus an offset all share.
     """
-    g = fixtures.generated(spark, sf).select("key", "hard_key", "attributes", "b", "required", "forbidden").where("size(required) + size(forbidden) > 0")
+    shared_dir(spark)
+    g = fixtures.generated(spark, sf).select("key", "hard_key", "attributes", "b", "required", "forbidden").where("size(required) + size(forbidden) > 0").checkpoint()
     names = [r[0] for r in fixtures.parts(spark, sf).select(F.explode("attributes").alias("a")).distinct().orderBy("a").collect()]  # a few dozen attributes
     every = F.array(*[F.lit(n) for n in names])
     vector = lambda has: F.concat(F.array(F.lit(1.0)), F.transform(every, lambda a: F.when(F.array_contains(has, a), 1.5).otherwise(0.5)))
@@ -268,15 +269,15 @@ def probe_recovery(spark, sf):
     deleted = asked.select("key", F.explode("conditions").alias("gone"), "conditions").select("key", F.array_remove("conditions", F.col("gone")).alias("conditions"))
     sign = lambda c, a: F.when(F.array_contains(c, F.concat(a, F.lit(":1"))), 1.0).when(F.array_contains(c, F.concat(a, F.lit(":-1"))), -1.0).otherwise(0.0)
     encoded = F.concat(F.array(F.lit(0.25)), F.transform(every, lambda a: sign(F.col("conditions"), a)))
-    queries = asked.select("key", "conditions").union(deleted).select("key", "conditions", encoded.alias("f"))
+    whole, rest = asked.select(F.col("key").alias("reference"), "conditions"), deleted.select(F.lit(None).cast("bigint").alias("reference"), "conditions")
+    queries = whole.union(rest).select("reference", "conditions", encoded.alias("f"))
     fits = g.select("key", F.array_sort(F.array_union(F.array_except("attributes", F.col("forbidden")), F.col("required"))).alias("attributes"))  # a product that fits
     products = fits.select("key", "attributes", vector(F.col("attributes")).alias("f"))
-    probes = losses.probes_with_intercept(queries.select("conditions", "f", F.col("key").alias("reference")), products)
-    own = asked.select("key", "conditions").join(probes, "conditions").select("key", "attribute", "b", "beta").dropDuplicates(["key", "attribute"])
+    own = losses.probes_with_intercept(queries, products).select(F.col("reference").alias("key"), "attribute", "b", "beta")
     seen = g.select("key", F.explode(F.array("attributes", "b")).alias("has")).select("key", "has", vector(F.col("has")).alias("f"))
     rows = own.join(seen, "key").select("key", "attribute", "b", "beta", "f", F.when(F.array_contains("has", F.col("attribute")), 1.0).otherwise(0.0).alias("z"))
-    told = losses.probe_residuals(rows, 1e-6).select("attribute", "holds", F.round("largest", 6).alias("largest"))
-    return told.join(rows.groupBy("attribute").agg(F.countDistinct("key").alias("n")), "attribute")
+    told = losses.probe_residuals(rows, 1e-6, F.countDistinct("key").alias("n"))
+    return told.select("attribute", "holds", F.round("largest", 6).alias("largest"), "n")
 
 
 # ---- sources and sinks

@@ -2,6 +2,9 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from attrisieve.operators import losses
 from attrisieve.plans import fixtures, registry
 
 
@@ -14,3 +17,12 @@ def test_tables_that_grow_are_not_broadcast(spark, sf):
     """However small the file of a table is: its products meet their negatives by sorting."""
     for df in (fixtures.examples(spark, sf), registry.queries()["query_split"](spark, sf), registry.queries()["catalogue_hard_negatives"](spark, sf)):
         assert not [j for j in broadcast_joins(df) if re.search(r"\b(key|hard_key|easy_key|place)#", j)]
+
+
+def test_deleted_queries_are_not_taken_apart(spark):
+    """A query without a reference serves as what is left of another, and gives no probes, so it isn't exploded either."""
+    queries = spark.createDataFrame([(["a:1", "b:1"], [1.0, 1.0], 1), (["a:1"], [1.0, 0.0], None), (["b:1"], [0.0, 1.0], None), ([], [0.0, 0.0], None)], "conditions array<string>, f array<double>, reference long")
+    taken = losses._deletions(queries, F.col("reference").isNotNull())
+    assert sorted((r["attribute"], r["b"]) for r in taken.collect()) == [("a", [1.0, 0.0]), ("b", [0.0, 1.0])]
+    products = spark.createDataFrame([(1, ["a", "b"], [1.0, 1.0])], "key long, attributes array<string>, f array<double>")
+    assert sorted((r["reference"], r["attribute"], r["beta"]) for r in losses.probes_with_intercept(queries, products).collect()) == [(1, "a", 0.0), (1, "b", 0.0)]
