@@ -2,9 +2,10 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from attrisieve.operators import losses
+from attrisieve.operators import losses, ranking
 from attrisieve.plans import fixtures, registry
 
 
@@ -26,3 +27,36 @@ def test_deleted_queries_are_not_taken_apart(spark):
     assert sorted((r["attribute"], r["b"]) for r in taken.collect()) == [("a", [1.0, 0.0]), ("b", [0.0, 1.0])]
     products = spark.createDataFrame([(1, ["a", "b"], [1.0, 1.0])], "key long, attributes array<string>, f array<double>")
     assert sorted((r["reference"], r["attribute"], r["beta"]) for r in losses.probes_with_intercept(queries, products).collect()) == [(1, "a", 0.0), (1, "b", 0.0)]
+
+
+def test_ranking_over_many_tiles_and_rounds(spark, monkeypatch):
+    """Tiles, rounds, blocks and sampled columns give what a plain sort gives, ties included, and so do hits of a group."""
+    for name, value in {"BASE_TILE": 37, "QUERY_BLOCK": 8, "CORPUS_BLOCK": 64, "LISTED": 90, "SAMPLED": 3}.items():
+        monkeypatch.setattr(ranking, name, value)
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-2, 3, (300, 3)).astype(float)  # many equal cosines, some without length
+    labels = [None if i % 11 == 0 else i % 4 for i in range(300)]
+    rows = spark.createDataFrame([(i, v, g) for i, (v, g) in enumerate(zip(vectors.tolist(), labels, strict=True))], "corpus_id long, v array<float>, group int")
+    queries = rows.where("corpus_id < 21").withColumnRenamed("corpus_id", "query_id")
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, length, out=np.full_like(vectors, np.nan), where=length > 0)
+    scores = np.einsum("id,jd->ij", unit, unit).round(ranking.DECIMALS)
+    for k in (1, 10, 60):
+        wanted = {q: [c for _, c in sorted((-scores[q, c], c) for c in range(300) if c != q and not np.isnan(scores[q, c]))[:k]] for q in range(21)}
+        found, hits = {}, {}
+        for r in ranking.top_k(queries, rows, k, True).orderBy("rank").collect():
+            found.setdefault(r["query_id"], []).append(r["corpus_id"])
+        assert found == {q: w for q, w in wanted.items() if w}
+        for r in ranking.group_hits(queries, rows, k, True).orderBy("rank").collect():
+            hits.setdefault(r["query_id"], []).append((r["rank"], r["hit"]))
+        own = {q: [n + 1 for n, c in enumerate(w) if labels[q] is not None and labels[c] == labels[q]] for q, w in wanted.items()}
+        assert hits == {q: [(r, h + 1) for h, r in enumerate(o)] for q, o in own.items() if o}
+
+
+def test_vectors_are_sent_to_few_tiles(spark, monkeypatch):
+    """There are about as many pairs of tiles as tasks, so a vector is sent no more often when there are more of them."""
+    met = []
+    monkeypatch.setattr(ranking.tiles, "meet", lambda queries, base, query_tiles, span, *more, meet=ranking.tiles.meet: met.append((query_tiles, span)) or meet(queries, base, query_tiles, span, *more))
+    rows = spark.range(9000).select(F.col("id").alias("corpus_id"), F.array(F.sin("id"), F.cos("id")).alias("v"))
+    ranking.top_k(rows.withColumnRenamed("corpus_id", "query_id"), rows, 3)
+    assert met == [(4, (0, 1))]  # 4 shuffle partitions; it was 5 query tiles by 8 base tiles
