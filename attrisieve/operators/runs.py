@@ -152,10 +152,12 @@ def read_recalls(spark: SparkSession, base: str, listed: DataFrame, cutoffs: tup
     A folder holds files/*summary.json, files/output.log and files/config.yaml, or some of them.
     """
     wanted = listed.select("run_id").distinct()
-    folders = readers.run_dirs(readers.run_files(spark, base).select(F.col("folder").alias("path")).distinct()).join(wanted, "run_id", "left_semi").checkpoint()
+    files = readers.run_files(spark, base)
+    folders = readers.run_dirs(files.select(F.col("folder").alias("path")).distinct()).join(wanted, "run_id", "left_semi").checkpoint()
     own = lambda rows: rows.withColumn("path", readers.folder_of(F.col("path"))).join(folders.select("path"), "path", "left_semi")
-    inside = lambda name: f"{base.rstrip('/')}/run-*/files/{name}"
-    return recall_table(listed, folders, own(readers.summaries(spark, inside("*summary.json"))), own(readers.log_entries(spark, inside("output.log"))), own(readers.yaml_args(spark, inside("config.yaml"))), cutoffs)
+    texts = lambda named: files.where(named).select("path", F.col("content").cast("string").alias("value"))
+    summaries, args = readers.summaries_in(texts(F.col("name").endswith("summary.json"))), readers.yaml_args_in(texts(F.col("name") == "config.yaml"))
+    return recall_table(listed, folders, own(summaries), own(readers.entries_in(readers.run_logs(spark, base))), own(args), cutoffs)
 
 
 def log_dicts(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -63,7 +64,11 @@ def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     Long files are read in splits by many tasks. at counts the lines of a task without gaps; as splits are dealt to tasks by
     sizes alone, it is the same whenever the same DataFrame is run.
     """
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return _placed(spark.read.text(path))
+
+
+def _placed(text: DataFrame) -> DataFrame:
+    raw = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     return raw.where(F.col("value").rlike(r"\S")).withColumn("at", F.monotonically_increasing_id())
 
 
@@ -128,12 +133,41 @@ def runs(table: DataFrame, groups: list[str] | None = None) -> DataFrame:
 
 
 def run_files(spark: SparkSession, base: str) -> DataFrame:
-    """(path, folder): files of the run folders below base, named like base/run-20250101_120000-<id>/files/<file>. Contents aren't read."""
+    """(path, folder, name, content): files of the run folders below base, named like base/run-20250101_120000-<id>/files/<name>. Contents are read only where they are used."""
+    if not path_exists(spark, base):
+        return spark.createDataFrame([], "path string, folder string, name string, content binary")
+    found = _below(spark, "binaryFile", base, "*").select("path", F.col("_metadata.file_name").alias("name"), "content")
+    return found.where(_in_run(F.col("path"), base)).select("path", folder_of(F.col("path")).alias("folder"), "name", "content")
+
+
+def run_logs(spark: SparkSession, base: str, name: str = "output.log") -> DataFrame:
+    """placed_lines() of the logs in the run folders below base, files named as run_files() names them, not encoded."""
+    if not path_exists(spark, base):
+        return spark.createDataFrame([], "file string, block bigint, at bigint, value string")
+    lines = _placed(_below(spark, "text", base, name)).withColumn("file", F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))))
+    return lines.where(_in_run(F.col("file"), base))
+
+
+def _below(spark: SparkSession, kind: str, base: str, names: str) -> DataFrame:
+    """Files at any depth below base. Tasks list its folders, once for a DataFrame and all that is made of it; a pattern of folders would have the driver ask for each.
+
+    Spark lists with as many tasks as there are folders, 10,000 at most; here a few for each core do.
+    """
+    key, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 8 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(tasks))
     try:
-        found = spark.read.format("binaryFile").load(f"{base.rstrip('/')}/run-*/files/*").select("path")
-    except AnalysisException:  # no such folder
-        return spark.createDataFrame([], "path string, folder string")
-    return found.select("path", folder_of(F.col("path")).alias("folder"))
+        return spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(base)
+    finally:
+        spark.conf.set(key, before)
+
+
+def _in_run(path: Column, base: str) -> Column:
+    """Does the path lie two folders below base, the first named like a run's, the second 'files'?"""
+    bare = r"^(?:[A-Za-z][\w+.-]*:(?://[^/]*)?)?/*"
+    parts = F.split(F.regexp_replace(path, bare, ""), "/")
+    depth = len([x for x in re.sub(bare, "", base).split("/") if x])
+    return (F.size(parts) == depth + 3) & F.try_element_at(parts, F.lit(-3)).startswith("run-") & (F.try_element_at(parts, F.lit(-2)) == "files")
 
 
 def folder_of(path: Column) -> Column:
@@ -148,25 +182,34 @@ def run_dirs(listing: DataFrame) -> DataFrame:
 
 
 def summaries(spark: SparkSession, path: str) -> DataFrame:
-    """(path, metrics): the numbers of JSON summary files; an empty map where a file can't be read as JSON, no rows where there are none."""
+    """summaries_in() of files; no rows where there are none."""
+    return summaries_in(_whole(spark, path))
+
+
+def summaries_in(texts: DataFrame) -> DataFrame:
+    """(path, metrics): the numbers of JSON summary files (path, value); an empty map where a file can't be read as JSON."""
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    try:
-        raw = spark.read.text(path, wholetext=True)
-    except AnalysisException:
-        return spark.createDataFrame([], "path string, metrics map<string,double>")
     numbers = F.map_filter(F.from_json("value", "map<string,string>"), lambda k, v: v.try_cast("double").isNotNull())
-    return raw.select(F.col("_metadata.file_path").alias("path"), F.coalesce(F.transform_values(numbers, lambda k, v: v.try_cast("double")), empty).alias("metrics"))
+    return texts.select("path", F.coalesce(F.transform_values(numbers, lambda k, v: v.try_cast("double")), empty).alias("metrics"))
 
 
 def yaml_args(spark: SparkSession, path: str) -> DataFrame:
-    """(path, args): the first args list of YAML metadata files, at whatever depth, read as a block list, which is how they are written; no rows where there are no files."""
-    try:
-        raw = spark.read.text(path, wholetext=True)
-    except AnalysisException:
-        return spark.createDataFrame([], "path string, args array<string>")
+    """yaml_args_in() of files; no rows where there are none."""
+    return yaml_args_in(_whole(spark, path))
+
+
+def yaml_args_in(texts: DataFrame) -> DataFrame:
+    """(path, args): the first args list of YAML metadata files (path, value), at whatever depth, read as a block list, which is how they are written."""
     block = F.regexp_extract("value", r"(?m)^[ \t]*args:[ \t]*\n((?:[ \t]*-[^\n]*(?:\n|$))*)", 1)
     items = F.transform(F.filter(F.split(block, r"\n"), lambda x: F.trim(x) != ""), lambda x: F.trim(F.regexp_replace(x, r"^\s*-\s*", ""), F.lit("'\"")))
-    return raw.select(F.col("_metadata.file_path").alias("path"), items.alias("args"))
+    return texts.select("path", items.alias("args"))
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    except AnalysisException:
+        return spark.createDataFrame([], "path string, value string")
 
 
 def arg_value(args, flag: str):
@@ -181,15 +224,19 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(path, key, value, place) of the flat dict literals that logs print with a recall or accuracy at 5, one row per key.
-
-    place orders a file's entries as they stand in it, over whatever tasks have read its splits. Literals that can't be read
-    are left out; a value that is no number is null. No rows where there are no files.
-    """
+    """entries_in() of files; no rows where there are none."""
     try:
-        lines = placed_lines(spark, path)
+        return entries_in(placed_lines(spark, path))
     except AnalysisException:
         return spark.createDataFrame([], "path string, key string, value double, place struct<block: bigint, at: bigint, nth: int>")
+
+
+def entries_in(lines: DataFrame) -> DataFrame:
+    """(path, key, value, place) of the flat dict literals that logs, as placed_lines(), print with a recall or accuracy at 5, one row per key.
+
+    place orders a file's entries as they stand in it, over whatever tasks have read its splits. Literals that can't be read
+    are left out; a value that is no number is null.
+    """
     literal = r"\{[^{}]*(?:recall|accuracy)@5[^{}]*\}"
     found = lines.where(F.col("value").rlike(literal)).select("file", "block", "at", F.posexplode(F.regexp_extract_all("value", F.lit(literal), F.lit(0))).alias("nth", "literal"))
     words = F.col("literal")

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -138,6 +139,33 @@ def test_run_folders_that_lack_files(spark, tmp_path):
     assert got == {"a": (2.0, None, ""), "b": (None, None, "--x 3"), "c": (None, None, "")}
 
 
+def test_run_folders_are_listed_by_tasks_and_once(spark, tmp_path):
+    """No pattern of folders, which the driver would look up one by one; what lies elsewhere or in a run's own subfolders is left out."""
+    base = tmp_path / "files" / "b + ase"
+    for k in range(40):
+        folder = base / f"run-20250101_1-{k}" / "files"
+        (folder / "run-x" / "files").mkdir(parents=True)
+        (folder / "output.log").write_text(f"{{'recall@5': {k}.0}}")
+        (folder / "run-x" / "files" / "output.log").write_text("{'recall@5': -1.0}")
+        (base / f"run-20250101_1-{k}" / "output.log").write_text("{'recall@5': -2.0}")
+    (base / "run-20250201_1-0" / "files").mkdir(parents=True)
+    (base / "run-20250201_1-0" / "files" / "output.log").write_text("")
+    (base / "other-20250201_1-1" / "files").mkdir(parents=True)
+    (base / "other-20250201_1-1" / "files" / "output.log").write_text("{'recall@5': -3.0}")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    files, logs = readers.run_files(spark, str(base)), readers.run_logs(spark, str(base))
+    assert spark.conf.get(key) == before
+    assert files.count() == 40 and {r["name"] for r in files.select("name").distinct().collect()} == {"output.log"}
+    found = {r["path"].rsplit("-", 1)[1].split("/")[0]: r["value"] for r in readers.entries_in(logs).collect()}
+    assert found == {str(k): float(k) for k in range(40)}
+    listed = spark.createDataFrame([(str(k),) for k in range(41)], "run_id string")
+    table = runs.read_recalls(spark, str(base), listed)
+    assert {r["run_id"]: r["recall_at_5"] for r in table.collect()} == found | {"40": None}
+    assert set(re.findall(r"InMemoryFileIndex\((\d+) path", table._jdf.queryExecution().executedPlan().toString())) == {"1"}  # a pattern gives 40
+    assert readers.run_files(spark, f"{base}/none").count() == 0 == readers.run_logs(spark, f"{base}/none").count()
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 13])
 def test_distance_tables_against_all_assignments(spark, monkeypatch, n):
     monkeypatch.setattr(boolean, "LOW_BITS", 3)
