@@ -41,6 +41,16 @@ def test_brute_force_takes_every_query(spark, sf, monkeypatch):
     assert len(got) == len(want) and {r["key"]: r["distance"] for r in got} == want
 
 
+def test_brute_force_works_features_out_once(spark, sf):
+    """A test for nulls that Spark adds would repeat all that features come from in the condition of a join below."""
+    from attrisieve.plans import registry
+
+    plan = registry.queries()["brute_force_distance"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join Inner" in x and "aggregate(" in x]
+    rows = spark.createDataFrame([(1, [True], [-1]), (2, None, [1]), (3, [True], None), (4, [], [])], "key int, z array<boolean>, s array<int>")
+    assert {r["key"]: r["distance"] for r in attributes.brute_force_distance(rows, "key", "z", "s").collect()} == {1: 1, 4: 0}
+
+
 BUCKETS = "key long, item string, full_pos array<string>, full_neg array<string>, full_common array<string>, full_neither array<string>"
 
 
