@@ -25,7 +25,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -54,7 +54,11 @@ FAN_IN, BLOCK = 16, 256
 HEAD_WORDS, HEAD_BYTES = 262_144, 64
 _LN10 = float(np.log(10))
 _SHAPES = {"bias": (MIXTURES,), "distance": (WINDOW,), "embed": (SYMBOLS + 2, DIM), "hidden": (DIM, DIM), "key": (DIM, DIM), "mix": (DIM, DIM), "out": (DIM, MIXTURES), "query": (DIM, DIM), "value": (DIM, DIM)}
-_SEES = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))[CONTEXT:]
+_FROM_EMBED = ("query", "key", "value", "hidden")
+#: Rows of a table of shares worked on at once, so that they stay in a core's cache.
+_ROWS = 2048
+_CELLS = np.arange((SYMBOLS + 2) * DIM // 2).reshape(-1, DIM // 2)
+_SEES = np.tril(np.ones((WINDOW, WINDOW), dtype=bool))[CONTEXT:]
 _BACK = np.maximum(np.arange(WINDOW)[CONTEXT:, None] - np.arange(WINDOW)[None, :], 0)
 
 
@@ -84,9 +88,20 @@ def fresh_weights(seed: int = 1) -> dict[str, np.ndarray]:
 
 def shares_of(expected: np.ndarray) -> np.ndarray:
     """Shares from expected counts (ids, MIXTURES): each also gets PRIOR tokens dealt as all text is, one added to each id."""
-    total = expected.sum(axis=1) + 1.0
-    smoothed = expected + (PRIOR / total.sum() * total)[:, None]
-    return (smoothed / smoothed.sum(axis=0)).astype(np.float32)
+    ones = np.ones(MIXTURES, dtype=expected.dtype)
+    parts = [slice(at, at + _ROWS) for at in range(0, len(expected), _ROWS)]
+    total = np.concatenate([expected[x] @ ones for x in parts])
+    total += 1
+    extra, whole = total * (PRIOR / total.sum(dtype=float)), np.zeros(MIXTURES)
+    out = np.empty(expected.shape, dtype=np.float32)
+    for x in parts:
+        smoothed = expected[x] + extra[x, None]
+        whole += smoothed.sum(axis=0)
+        out[x] = smoothed
+    scale = (1 / whole).astype(np.float32)
+    for x in parts:
+        out[x] *= scale
+    return out
 
 
 def lay_windows(ids: np.ndarray, lengths: np.ndarray, symbol_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,114 +124,143 @@ def lay_windows(ids: np.ndarray, lengths: np.ndarray, symbol_of: np.ndarray) ->
     return seen[rows - 1], aim.reshape(-1, STRIDE)[rows]
 
 
-def forward(w: dict[str, np.ndarray], seen: np.ndarray) -> dict[str, np.ndarray]:
-    """What the scored positions of windows (n, WINDOW) compute; gates (n * STRIDE, MIXTURES) add up to one in each row."""
-    e = w["embed"].take(seen.ravel(), axis=0)
-    now = np.ascontiguousarray(e.reshape(-1, WINDOW, DIM)[:, CONTEXT:])
-    q = (now.reshape(-1, DIM) @ w["query"]).reshape(now.shape)
-    k, v = ((e @ w[x]).reshape(-1, WINDOW, DIM) for x in ("key", "value"))
-    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
-    s *= np.float32(DIM**-0.5)
-    s += w["distance"][_BACK]
-    np.minimum(s, 40, out=s)  # keeps the exponentials in range; no trained logit comes near
-    np.exp(s, out=s)
-    s *= _SEES
-    s *= (seen != PAD)[:, None, :]
-    s /= np.maximum(s @ np.ones((WINDOW, 1), dtype=np.float32), np.float32(1e-20))
-    a = s @ v
-    flat, heard = now.reshape(-1, DIM), a.reshape(-1, DIM)
-    h = np.maximum(flat @ w["hidden"] + heard @ w["mix"], 0) + flat
+def by_symbol(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What a symbol brings along wherever it stands: its query (scaled), key, value, what is heard of it, and its own way."""
+    e = w["embed"]
+    v = e @ w["value"]
+    return {"q": e @ (w["query"] * np.float32(DIM**-0.5)), "k": e @ w["key"], "v": v, "heard": v @ w["mix"], "own": e @ w["hidden"]}
+
+
+def below(x: np.ndarray, limit: float) -> np.ndarray:
+    """x in place, nothing of it above limit. Looking first is cheaper than writing: no trained logit comes near."""
+    return np.minimum(x, limit, out=x) if x.max(initial=limit) > limit else x
+
+
+def heats(w: dict[str, np.ndarray], seen: np.ndarray, of: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What the scored positions of windows (n, WINDOW) compute, up to their gates (n * STRIDE, MIXTURES) times their sums.
+
+    Queries, keys and values depend on the symbol alone, so they are worked out once for each symbol and looked up. Attention
+    s is likewise kept before its division by its sums, z.
+    """
+    everywhere, here = (x.astype(np.intp).ravel() for x in (seen, seen[:, CONTEXT:]))
+    q = of["q"].take(here, axis=0).reshape(-1, STRIDE, DIM)
+    k, heard = (of[x].take(everywhere, axis=0).reshape(-1, WINDOW, DIM) for x in ("k", "heard"))
+    s = q @ k.transpose(0, 2, 1)
+    s += np.where(_SEES, w["distance"][_BACK], np.float32(-1e4))  # the exponential of which is 0
+    np.exp(below(s, 40), out=s)
+    if len(some := np.flatnonzero((seen == PAD).any(axis=1))):
+        s[some] *= (seen[some] != PAD).astype(s.dtype)[:, None, :]
+    z = np.maximum(s.reshape(-1, WINDOW) @ np.ones(WINDOW, dtype=s.dtype), np.float32(1e-20))[:, None]
+    a = (s @ heard).reshape(-1, DIM)
+    a /= z
+    pre = of["own"].take(here, axis=0)
+    pre += a
+    h = np.maximum(pre, np.zeros_like(pre))
+    h += w["embed"].take(here, axis=0)
     g = h @ w["out"]
-    g += w["bias"]
-    np.minimum(g, 60, out=g)
-    np.exp(g, out=g)
-    g /= g @ np.ones((MIXTURES, 1), dtype=np.float32)
-    return {"e": e, "now": flat, "q": q, "k": k, "v": v, "s": s, "a": heard, "h": h, "gates": g}
+    g.reshape(len(seen), -1)[:] += np.tile(w["bias"], STRIDE)
+    np.exp(below(g, 60), out=g)
+    return {"everywhere": everywhere, "here": here, "q": q, "k": k, "heard": heard, "s": s, "z": z, "a": a, "pre": pre, "h": h, "g": g}
+
+
+def forward(w: dict[str, np.ndarray], seen: np.ndarray, of: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """heats(...), and the gates, which add up to one in each row."""
+    f = heats(w, seen, of or by_symbol(w))
+    f["gates"] = f.pop("g")
+    f["gates"] /= (f["gates"] @ np.ones(MIXTURES, dtype=f["gates"].dtype))[:, None]
+    return f
 
 
 def log_probs(model: Model, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of each id of documents laid end to end."""
     seen, target = lay_windows(ids, lengths, model.symbol_of)
+    of = by_symbol(model.weights)
     parts, ones = [np.zeros(0, dtype=np.float32)], np.ones(MIXTURES, dtype=np.float32)
     for at in range(0, len(seen), BATCH):
         aim = target[at : at + BATCH].ravel()
-        there = np.flatnonzero(aim >= 0)
-        p = model.shares.take(np.maximum(aim, 0), axis=0)
-        p *= forward(model.weights, seen[at : at + BATCH])["gates"]
-        parts.append((p @ ones).take(there))
+        g = heats(model.weights, seen[at : at + BATCH], of)["g"]
+        whole = g @ ones
+        g *= model.shares.take(np.maximum(aim, 0), axis=0)
+        parts.append((g @ ones / whole)[aim >= 0])
     return np.log10(np.maximum(np.concatenate(parts), np.float32(1e-37))).astype(np.float64)
 
 
 def gradients(w: dict[str, np.ndarray], shares: np.ndarray, seen: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """(gradients of the mean negative log probability, what each mixture is answerable for of each target, probabilities).
 
-    Where there is no target, no mixture is answerable.
+    Where there is no target, no mixture is answerable. Slopes are summed up by symbol first and led through the weights
+    then, a row for each symbol instead of one for each position.
     """
-    f = forward(w, seen)
+    of = by_symbol(w)
+    f = forward(w, seen, of)
     aim = target.ravel()
     counted = aim >= 0
     blame = shares.take(np.maximum(aim, 0), axis=0)
     blame *= f["gates"]
-    p = np.maximum(blame @ np.ones(MIXTURES, dtype=np.float32), np.float32(1e-37))
+    p = np.maximum(blame @ np.ones(MIXTURES, dtype=blame.dtype), np.float32(1e-37))
     blame *= (counted / p)[:, None]
     slack = f["gates"]
-    slack *= counted[:, None]
+    slack[np.flatnonzero(~counted)] = 0
     slack -= blame
-    slack *= np.float32(1 / max(1, counted.sum()))
-    g = {"out": f["h"].T @ slack, "bias": np.ones(len(slack), dtype=np.float32) @ slack}
-    dh = slack @ w["out"].T
-    dpre = dh * (f["h"] > f["now"])
-    g["hidden"], g["mix"] = f["now"].T @ dpre, f["a"].T @ dpre
-    da = (dpre @ w["mix"].T).reshape(f["q"].shape)
-    s = f["s"]
-    ds = da @ np.ascontiguousarray(f["v"].transpose(0, 2, 1))
-    back = np.ascontiguousarray(s.transpose(0, 2, 1))
-    dv = (back @ da).reshape(-1, DIM)
-    ds -= (ds * s) @ np.ones((WINDOW, 1), dtype=np.float32)
+    part = np.float32(1 / max(1, np.count_nonzero(counted)))
+    g = {"out": f["h"].T @ slack * part, "bias": np.ones(len(slack), dtype=slack.dtype) @ slack * part}
+    dh = slack @ (w["out"].T * part)
+    dpre = dh * (f["pre"] > 0)
+    q, k, s = f["q"], f["k"], f["s"]
+    da = dpre / f["z"]
+    mean = (da * f["a"]) @ np.ones(DIM, dtype=da.dtype)
+    da = da.reshape(q.shape)
+    dheard = s.transpose(0, 2, 1) @ da
+    ds = da @ f["heard"].transpose(0, 2, 1)
+    ds -= mean.reshape(-1, STRIDE, 1)
     ds *= s
-    g["distance"] = np.bincount(_BACK.ravel(), ds.sum(axis=0).ravel(), minlength=WINDOW).astype(np.float32)
-    ds *= np.float32(DIM**-0.5)
-    dq = (ds @ f["k"]).reshape(-1, DIM)
-    dk = (np.ascontiguousarray(ds.transpose(0, 2, 1)) @ f["q"]).reshape(-1, DIM)
-    e = f["e"]
-    g["query"], g["key"], g["value"] = f["now"].T @ dq, e.T @ dk, e.T @ dv
-    de = dk @ w["key"].T
-    de += dv @ w["value"].T
-    de.reshape(-1, WINDOW, DIM)[:, CONTEXT:] += (dh + dpre @ w["hidden"].T + dq @ w["query"].T).reshape(f["q"].shape)
-    g["embed"] = summed(seen.ravel(), de, len(w["embed"]))
+    g["distance"] = np.bincount(_BACK.ravel(), np.ones(len(ds), dtype=ds.dtype) @ ds.reshape(len(ds), -1), minlength=WINDOW).astype(ds.dtype)
+    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    here, everywhere = _CELLS.take(f["here"], axis=0).ravel(), _CELLS.take(f["everywhere"], axis=0).ravel()
+    dq, down, de = (add_rows(np.zeros(w["embed"].shape, dtype=x.dtype), here, x) for x in (dq, dpre, dh))
+    dk, dheard = (add_rows(np.zeros(w["embed"].shape, dtype=x.dtype), everywhere, x) for x in (dk, dheard))
+    g["mix"] = of["v"].T @ dheard
+    dq *= np.float32(DIM**-0.5)
+    slopes = np.concatenate([dq, dk, dheard @ w["mix"].T, down], axis=1)
+    led = w["embed"].T @ slopes
+    g |= {x: led[:, at * DIM : (at + 1) * DIM] for at, x in enumerate(_FROM_EMBED)}
+    de += slopes @ np.concatenate([w[x].T for x in _FROM_EMBED])
+    g["embed"] = de
     return g, blame, p
 
 
-def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums (size, width) of rows by the place each belongs to."""
-    out = np.zeros((size, rows.shape[1]), dtype=rows.dtype)
-    if len(at):
-        order = np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")
-        place = at[order]
-        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        out[place[starts]] = np.add.reduceat(rows.take(order, axis=0), starts, axis=0)
-    return out
+def add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """table, with rows of the same width added to its own; at are the places of their pairs of numbers in it.
+
+    Two numbers are added at once, as one complex number, which is several times faster than sorting rows and summing them up.
+    """
+    pair = np.result_type(table.dtype, np.complex64)
+    np.add.at(table.reshape(-1).view(pair), at, rows.reshape(-1).view(pair))
+    return table
 
 
 class Trainer:
     """Adam for the weights, expectation maximisation for the shares, in one pass over windows."""
 
     def __init__(self, weights: dict[str, np.ndarray], expected: np.ndarray, rate: Callable[[int], float], forget: float = 1.0):
-        self.w = {k: v.copy() for k, v in weights.items()}
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in weights.items()} for _ in range(2))
+        self.flat = np.concatenate([weights[k].ravel() for k in sorted(weights)])
+        self.w = _views(self.flat)
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
         self.before, self.rate, self.forget = expected, rate, forget
-        self.expected = np.zeros_like(expected)
+        self.expected, self.fresh = np.zeros_like(expected), np.zeros_like(expected)
         self.shares = shares_of(expected)
-        self.steps, self.tokens = 0, 0
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.steps, self.tokens, self.waiting = 0, 0, 0
 
     def settle(self) -> None:
-        """Add what has been held back to the expected counts and look at the shares again."""
-        if self.held:
-            at, rows = (np.concatenate(x) for x in zip(*self.held, strict=True))
-            self.expected += summed(at, rows, len(self.expected))
-            self.held = []
-            self.shares = shares_of(self.before + self.expected)
+        """Add what has come in since to the expected counts and look at the shares again."""
+        if self.waiting:
+            for at in range(0, len(self.fresh), _ROWS):
+                fresh, expected, both = (x[at : at + _ROWS] for x in (self.fresh, self.expected, self.shares))
+                expected += fresh
+                fresh[:] = 0
+                np.add(self.before[at : at + _ROWS], expected, out=both)
+            self.waiting = 0
+            self.shares = shares_of(self.shares)
 
     def step(self, seen: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Probabilities of the targets (any where there is none), and one step that learns from them."""
@@ -224,14 +268,16 @@ class Trainer:
         self.steps += 1
         self.tokens += int((target >= 0).sum())
         t, rate = self.steps, np.float32(self.rate(self.steps))
-        for k, slope in found.items():
-            first, second = self.first[k], self.second[k]
-            first += np.float32(0.1) * (slope - first)
-            second += np.float32(0.01) * (slope * slope - second)
-            self.w[k] -= rate * (first / np.float32(1 - 0.9**t)) / (np.sqrt(second / np.float32(1 - 0.99**t)) + np.float32(1e-8))
-        self.held.append((np.maximum(target.ravel(), 0), blame))
+        slope = np.concatenate([found[k].ravel() for k in sorted(found)])
+        self.first += np.float32(0.1) * (slope - self.first)
+        self.second += np.float32(0.01) * (slope * slope - self.second)
+        self.flat -= rate * (self.first / np.float32(1 - 0.9**t)) / (np.sqrt(self.second / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+        at = np.maximum(target.ravel(), 0).astype(np.intp) * (MIXTURES // 2)
+        add_rows(self.fresh, (at[:, None] + np.arange(MIXTURES // 2)).ravel(), blame)
+        self.waiting += 1
         if t % REFRESH == 0:
-            self.expected *= self.forget
+            if self.forget != 1:
+                self.expected *= self.forget
             self.settle()
         return p
 
@@ -265,17 +311,35 @@ def warm_start(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[dict[st
 
 
 def mixed(share: np.ndarray, attention: np.ndarray, weight: float) -> np.ndarray:
-    """log10 of the mixture of two probabilities given by their log10."""
-    return np.logaddexp(share * _LN10 + np.log(weight), attention * _LN10 + np.log(1 - weight)) / _LN10
+    """log10 of the mixture of two probabilities given by their log10; the first is a share of a text, never near 0."""
+    return np.log10(weight * np.exp(share * _LN10) + (1 - weight) * np.exp(attention * _LN10))
 
 
 def held_out(doc_id: object, fold: int = 2, folds: int = 7) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def _split(text) -> list[bytes]:
-    """ASCII-lower-cased runs of other than ASCII white space."""
-    return (text.as_py() or b"").lower().split()
+@dataclass
+class Words:
+    """The words of some texts: the different ones, which of them each word is, and how many words each text has."""
+
+    different: pa.Array
+    which: np.ndarray
+    n: np.ndarray
+
+
+def words_of(texts: pa.Array) -> Words:
+    """ASCII-lower-cased runs of other than ASCII white space of texts in UTF-8; null is empty."""
+    import pyarrow.compute as pc
+
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.binary()).view(pa.string()), "")))
+    n, flat = pc.list_value_length(found).to_numpy().astype(np.int64), found.flatten()
+    empty = pc.binary_length(flat).to_numpy() == 0  # before the first white space and behind the last
+    if empty.any():
+        n -= np.bincount(np.repeat(np.arange(len(n)), n)[empty], minlength=len(n))
+        flat = flat.filter(pa.array(~empty))
+    told = flat.dictionary_encode()
+    return Words(told.dictionary.view(pa.binary()), told.indices.to_numpy().astype(np.int64), n)
 
 
 class Lexicon:
@@ -285,19 +349,28 @@ class Lexicon:
 
     @classmethod
     def of_worker(cls, key: str, tokenizer: str, head: dict[bytes, int] | None = None) -> Lexicon:
-        """The lexicon a worker process keeps between the tasks of one pass; its counts start at the head's, else at 0."""
+        """The lexicon a worker process keeps; in each pass its counts start at the head's, else at 0, its words' ids stay."""
         import tokenizers
 
-        kept = tokenizers.__dict__.get("_attrisieve_lexicon", (None, None))
-        if kept[0] != key:
-            kept = key, cls(tokenizer, head)
-            tokenizers.__dict__["_attrisieve_lexicon"] = kept
-        return kept[1]
+        was, kept = tokenizers.__dict__.get("_attrisieve_lexicon", (None, None))
+        if was != key:
+            kept = kept if kept is not None and kept.tokenizer == tokenizer else cls(tokenizer)
+            kept.begin(head)
+            tokenizers.__dict__["_attrisieve_lexicon"] = key, kept
+        return kept
 
     def __init__(self, tokenizer: str, head: dict[bytes, int] | None = None):
-        self.encoder, self.head = ChunkTokenizer(tokenizer), head
-        self.forgotten: list[pa.RecordBatch] = []
+        self.tokenizer, self.encoder = tokenizer, ChunkTokenizer(tokenizer)
         self._reset()
+        self.begin(head)
+
+    def begin(self, head: dict[bytes, int] | None) -> None:
+        """Set the counts of the words met before to where a pass begins."""
+        self.head, self.forgotten = head, []
+        self.count[: len(self.words)] = self._from(self.words)
+
+    def _from(self, words: list[bytes]) -> list[int] | int:
+        return 0 if self.head is None else [self.head.get(w, -1) for w in words]
 
     def _reset(self) -> None:
         self.place: dict[bytes, int] = {}
@@ -307,7 +380,7 @@ class Lexicon:
         self.used = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        ids, size = self.encoder.encode_flat(words)
+        ids, size = self.encoder.encode_flat(words, (self.place, self.ids, self.start, self.size))
         n, at = len(self.words), self.used
         while at + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -317,7 +390,7 @@ class Lexicon:
                 setattr(self, name, np.concatenate([own, np.zeros_like(own)]))
         self.ids[at : at + len(ids)] = ids
         self.start[n : n + len(words)], self.size[n : n + len(words)] = at + np.cumsum(size) - size, size
-        self.count[n : n + len(words)] = 0 if self.head is None else [self.head.get(w, -1) for w in words]
+        self.count[n : n + len(words)] = self._from(words)
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
         self.words += words
         self.used = at + len(ids)
@@ -330,48 +403,44 @@ class Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array([self.words[k] for k in some.tolist()], pa.binary()), pa.array(self.count[some])], names=["word", "c"])
         self.count[:] = 0
 
-    def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(places of all words, words of each text, ids of all texts with END_ID behind each, ids of each text).
+    def read(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the different words, ids of each word, ids of all texts with END_ID behind each, ids of each text).
 
         Places are good until the next call; forgotten tells when one has taken all earlier words away.
         """
-        n_words = np.array([len(x) for x in texts], dtype=np.int64)
-        words = list(chain.from_iterable(texts))
-        look = lambda: np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        place = look()
-        if len(unknown := np.flatnonzero(place < 0)):
-            new = {words[k] for k in unknown.tolist()}
-            if self.place and len(self.place) + len(new) > self.LIMIT:
+        listed = words.different.to_numpy(zero_copy_only=False).tolist()
+        own = np.fromiter(map(self.place.get, listed, repeat(-1)), dtype=np.int64, count=len(listed))
+        if len(unknown := np.flatnonzero(own < 0)):
+            if self.place and len(self.place) + len(unknown) > self.LIMIT:
                 self.forgotten += [*self.counted()] if self.head is None else []
                 self._reset()
-                new = set(words)
-            self._learn(list(new))
-            place = look() if len(unknown) * 2 > len(words) or len(new) == len(self.place) else place
-            place[unknown] = [self.place[words[k]] for k in unknown.tolist()]
-        size = self.size[place]
+                unknown = np.arange(len(listed))
+            own[unknown] = len(self.words) + np.arange(len(unknown))
+            self._learn([listed[k] for k in unknown.tolist()])
+        size = self.size[own][words.which]
         total = np.r_[0, np.cumsum(size)]
-        stops = np.cumsum(n_words)
-        lengths = total[stops] - total[stops - n_words] + 1
+        stops = np.cumsum(words.n)
+        lengths = total[stops] - total[stops - words.n] + 1
         ids = np.full(int(lengths.sum()), END_ID, dtype=np.int32)
         inside = np.ones(len(ids), dtype=bool)
         inside[np.cumsum(lengths) - 1] = False
-        ids[inside] = self.ids[np.repeat(self.start[place] - total[:-1], size) + np.arange(total[-1])]
-        return place, n_words, ids, lengths
+        ids[inside] = self.ids[np.repeat(self.start[own][words.which] - total[:-1], size) + np.arange(total[-1])]
+        return own, size, ids, lengths
+
 
-    def word_sums(self, points: np.ndarray, place: np.ndarray, n_words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of its ids' points for each word, points of each text's end)."""
-        size = self.size[place]
-        upto = np.r_[0.0, np.cumsum(points)]
-        first = np.cumsum(size) - size + np.repeat(np.arange(len(n_words)), n_words)
-        return upto[first + size] - upto[first], points[np.cumsum(lengths) - 1]
+def word_sums(points: np.ndarray, size: np.ndarray, n_words: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of its ids' points for each word, points of each text's end)."""
+    upto = np.r_[0.0, np.cumsum(points)]
+    first = np.cumsum(size) - size + np.repeat(np.arange(len(n_words)), n_words)
+    return upto[first + size] - upto[first], points[np.cumsum(lengths) - 1]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
-    """Record batches of at most BLOCK texts, and the words of each."""
+def _blocks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Record batches of at most BLOCK texts, and their words."""
     for batch in batches:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
-            yield part, [_split(t) for t in part.column(text_at).cast(pa.binary())]
+            yield part, words_of(part.column(text_at))
 
 
 _FOUND = "word binary, c bigint, shard bigint, n double, words double, share double, weights binary, ids binary, expected binary"
@@ -415,27 +484,27 @@ def train(training: DataFrame, tokenizer: str) -> tuple[DataFrame, Model]:
         weights, expected, symbol_of = start.value
         lexicon, trainer = Lexicon.of_worker(key, tokenizer), Trainer(weights, expected, lambda t: RATE / (1 + t / 500) ** 0.5)
         lexicon.count[:], lexicon.forgotten = 0, []  # a task that failed may have left some
-        share, words, seen, met = 0.5, 0.0, 0, 0
-        for _, texts in _blocks(batches, 0):
-            place, n_words, ids, lengths = lexicon.read(texts)
+        share, fitted, seen, met = 0.5, 0.0, 0, 0
+        for _, words in _blocks(batches, 0):
+            own, size, ids, lengths = lexicon.read(words)
             if lexicon.forgotten:
                 yield from (_no_model(x, _FOUND_ARROW) for x in lexicon.forgotten)
                 lexicon.forgotten, seen, met = [], 0, 0
-            attention, _ = lexicon.word_sums(trainer.learn(ids, lengths, symbol_of), place, n_words, lengths)
+            attention, _ = word_sums(trainer.learn(ids, lengths, symbol_of), size, words.n, lengths)
+            count = lexicon.count[own]
             if seen:  # how much of each word its share so far explains, the share of the mixture as it stands
-                by_share = (lexicon.count[place] + 1.0) / (seen + met + 1)
-                part = share * by_share / (share * by_share + (1 - share) * 10.0**attention)
-                words += len(place)
-                share += (part.sum() - share * len(place)) / max(1.0, words)
-            here = np.bincount(place, minlength=len(lexicon.words))
-            met += int(((lexicon.count[: len(here)] == 0) & (here > 0)).sum())
-            lexicon.count[: len(here)] += here
-            seen += len(place)
+                by_share = share * (count[words.which] + 1.0) / (seen + met + 1)
+                part = by_share / (by_share + (1 - share) * np.exp(attention * _LN10))
+                fitted += len(part)
+                share += (part.sum() - share * len(part)) / max(1.0, fitted)
+            met += np.count_nonzero(count == 0)
+            lexicon.count[own] += np.bincount(words.which, minlength=len(own))
+            seen += len(words.which)
         yield from (_no_model(x, _FOUND_ARROW) for x in lexicon.counted())
         trainer.settle()
         if trainer.tokens:
             used = np.flatnonzero(trainer.expected.any(axis=1))
-            values = [None, None, TaskContext.get().partitionId(), float(trainer.tokens), words, share, _flat(trainer.w), used.astype("<i4").tobytes(), trainer.expected[used].astype("<f4").tobytes()]
+            values = [None, None, TaskContext.get().partitionId(), float(trainer.tokens), fitted, share, _flat(trainer.w), used.astype("<i4").tobytes(), trainer.expected[used].astype("<f4").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
     found = checkpoint(training.select("text").mapInArrow(tidy(learn), _FOUND))
@@ -458,10 +527,15 @@ def _flat(w: dict[str, np.ndarray]) -> bytes:
 
 
 def _unflat(raw: bytes) -> dict[str, np.ndarray]:
-    flat, at, out = np.frombuffer(raw, dtype="<f4"), 0, {}
+    return _views(np.frombuffer(raw, dtype="<f4").astype(np.float32))
+
+
+def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights by name that lie one behind another in flat, in the order of their names."""
+    at, out = 0, {}
     for k in sorted(_SHAPES):
         size = int(np.prod(_SHAPES[k]))
-        out[k] = flat[at : at + size].astype(np.float32).reshape(_SHAPES[k])
+        out[k] = flat[at : at + size].reshape(_SHAPES[k])
         at += size
     return out
 
@@ -516,22 +590,23 @@ def score(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, head = shipped.value
         lexicon = Lexicon.of_worker(key, tokenizer, head)
-        for part, texts in _blocks(batches, 1):
-            place, n_words, ids, lengths = lexicon.read(texts)
-            attention, end = lexicon.word_sums(log_probs(own, ids, lengths), place, n_words, lengths)
-            owner = np.repeat(np.arange(len(texts)), n_words)
-            by_owner = lambda at, x, n=len(texts): np.bincount(owner[at], x, minlength=n)  # noqa: B023, E731
-            count = lexicon.count[place]
-            known = count >= 0
-            share = np.log10(count[known] + 1.0) - floor
+        for part, words in _blocks(batches, 1):
+            places, size, ids, lengths = lexicon.read(words)
+            attention, end = word_sums(log_probs(own, ids, lengths), size, words.n, lengths)
+            n_texts = part.num_rows
+            owner = np.repeat(np.arange(n_texts), words.n)
+            by_owner = lambda at, x, n=n_texts: np.bincount(owner[at], x, minlength=n)  # noqa: B023, E731
+            count = lexicon.count[places]
+            known = (count >= 0)[words.which]
+            share = (np.log10(np.maximum(count, 0) + 1.0) - floor)[words.which[known]]
             base = by_owner(known, share) + end_share
-            score_ = by_owner(known, mixed(share, attention[known], own.word_weight)) + mixed(np.full(len(texts), end_share), end, own.word_weight)
-            alone = np.bincount(owner, attention, minlength=len(texts)) + end
-            n_known = np.bincount(owner[known], minlength=len(texts)).astype(np.int64)
+            score_ = by_owner(known, mixed(share, attention[known], own.word_weight)) + mixed(np.full(n_texts, end_share), end, own.word_weight)
+            alone = np.bincount(owner, attention, minlength=n_texts) + end
+            n_known = np.bincount(owner[known], minlength=n_texts).astype(np.int64)
             rare = np.flatnonzero(~known)
-            offsets = pa.array(np.searchsorted(owner[rare], np.arange(len(texts) + 1)).astype(np.int32))
-            names = pa.array([lexicon.words[x] for x in place[rare].tolist()], pa.binary())
-            columns = [part.column(0), part.column(2), pa.array(n_words + 1), pa.array(n_known), pa.array(base), pa.array(score_), pa.array(alone), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(attention[rare].astype(np.float32)))]
+            offsets = pa.array(np.searchsorted(owner[rare], np.arange(n_texts + 1)).astype(np.int32))
+            names = words.different.take(pa.array(words.which[rare]))
+            columns = [part.column(0), part.column(2), pa.array(words.n + 1), pa.array(n_known), pa.array(base), pa.array(score_), pa.array(alone), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(attention[rare].astype(np.float32)))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "attention_score", "tail", "tail_a"])
 
     kind = source.schema["doc_id"].dataType.simpleString()

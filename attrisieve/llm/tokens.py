@@ -85,19 +85,24 @@ class ChunkTokenizer:
                 self.marks[signs] = known
         return known
 
-    def encode_flat(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_flat(self, chunks: list[bytes], known: tuple[dict[bytes, int], np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all of some chunks one behind another, ids of each chunk), without the memo.
 
-        Chunks are lower-cased and without ASCII white space.
+        Chunks are lower-cased and without ASCII white space. ``known`` are the places of chunks whose ids are known already,
+        ids, and where those of a place start and how many they are: a word with signs behind it takes the word's from there.
         """
         words: dict[bytes, int] = {}
+        met, lent = ({} if known is None else known[0]), {}
         front, signs, other = np.full(len(chunks), -1, dtype=np.int64), {}, []
         for k, chunk in enumerate(chunks):
             word = chunk.rstrip(_SIGNS)
             if word.isalpha() or _SIMPLE(word.decode()):
-                front[k] = words.setdefault(word, len(words))
                 if len(word) < len(chunk):
                     signs[k] = self._mark(chunk[len(word) :])
+                    if word in met:
+                        front[k] = -1 - lent.setdefault(met[word], len(lent))
+                        continue
+                front[k] = words.setdefault(word, len(words))
             else:
                 other.append(k)
         listed = list(words)
@@ -107,15 +112,22 @@ class ChunkTokenizer:
         ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
         stops = np.flatnonzero(self.ends[ids]) + 1
         starts = np.r_[0, stops[:-1]] if len(stops) else stops
-        # pieces: words, then signs, then other chunks; a chunk is one piece or a word and its signs
-        tail = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in signs.values()]
-        tail += [np.array(x.ids, dtype=np.int32) for x in self.whole.encode_batch_fast([chunks[k].decode() for k in other], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in tail], dtype=np.int64)
+        # pieces: words, then signs, then other chunks, then known words; a chunk is one piece or a word and its signs
+        tail = [self._ids(x.ids) for x in self.whole.encode_batch_fast([chunks[k].decode() for k in other], add_special_tokens=False)]
+        tail = [*signs.values(), *tail]
+        sizes = np.array([len(x) for x in tail], dtype=np.int64) // 4
         begin = np.r_[starts, len(ids) + np.cumsum(sizes) - sizes]
         size = np.r_[stops - starts, sizes]
-        flat = np.concatenate([ids, *tail])
+        flat = np.concatenate([ids, np.frombuffer(b"".join(tail), dtype="<u4").astype(np.int32)])
         second = np.fromiter(signs, dtype=np.int64, count=len(signs))
         front[other] = len(listed) + len(second) + np.arange(len(other))
+        if lent:
+            front = np.where(front < 0, len(size) - 1 - front, front)
+            place = np.fromiter(lent, dtype=np.int64, count=len(lent))
+            sizes = known[3][place]
+            before = np.cumsum(sizes) - sizes
+            begin, size = np.r_[begin, len(flat) + before], np.r_[size, sizes]
+            flat = np.concatenate([flat, known[1][np.repeat(known[2][place] - before, sizes) + np.arange(int(sizes.sum()))]])
         chunk_of = np.r_[np.arange(len(chunks)), second]
         piece = np.r_[front, len(listed) + np.arange(len(second))]
         order = np.argsort(chunk_of, kind="stable")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,6 +294,49 @@ def test_training_takes_every_token_once(spark, path):
     assert np.allclose(model.shares.sum(axis=0, dtype=float), 1, atol=1e-4)
 
 
+def test_words_are_split_and_lowered_by_bytes():
+    draw = random.Random(6)
+    for _ in range(300):
+        texts = ["".join(draw.choice("aBÉ \t\n\r\x0b\x0c\x1c\x85\xa0\u3000x,") for _ in range(draw.randint(0, 12))) for _ in range(3)] + [None]
+        found = lm.words_of(pa.array(texts, pa.string()))
+        want = [(t or "").encode().lower().split() for t in texts]
+        listed = found.different.to_pylist()
+        assert len(set(listed)) == len(listed) and found.n.tolist() == [len(w) for w in want]
+        assert [listed[k] for k in found.which] == [w for words in want for w in words]
+
+
+def test_ids_of_words_stay_from_pass_to_pass(path, monkeypatch):
+    encoder, draw = tokens.ChunkTokenizer(path), random.Random(7)
+    texts = [" ".join("".join(draw.choice("abcéß") for _ in range(draw.randint(1, 3))) + draw.choice(["", "", ",", "!?", "'s", "9"]) for _ in range(n)) for n in (0, 1, 70, 90)]
+    lexicon = lm.Lexicon.of_worker("training", path)
+    for some in (texts[:3], texts):  # words met before lend their ids to the same ones with signs behind them
+        _, _, ids, lengths = lexicon.read(lm.words_of(pa.array(some)))
+        want = [np.r_[np.frombuffer(encoder.encode(t.encode()), dtype="<u4"), lm.END_ID] for t in some]
+        assert np.array_equal(ids, np.concatenate(want)) and lengths.tolist() == [len(x) for x in want]
+    monkeypatch.setattr(tokens.ChunkTokenizer, "encode_flat", None)  # nothing is encoded a second time
+    words = lm.words_of(pa.array(texts))
+    head = {w: k for k, w in enumerate(words.different.to_pylist()[::2])}
+    again = lm.Lexicon.of_worker("scoring", path, head)
+    own, _, now, _ = again.read(words)
+    assert np.array_equal(now, ids) and again.count[own].tolist() == [head.get(w, -1) for w in words.different.to_pylist()]
+
+
+def test_a_step_adds_what_each_mixture_answers_for():
+    rng = np.random.default_rng(5)
+    model = random_model(rng)
+    weights = {k: v.astype(np.float32) for k, v in model.weights.items()}
+    ids = rng.integers(0, 700, 900).astype(np.int32)
+    seen, target = lm.lay_windows(ids, np.array([1, 40, 859]), model.symbol_of)
+    trainer = lm.Trainer(weights, model.shares.astype(np.float32) * 1000, lambda t: 0.0)
+    _, blame, _ = lm.gradients(weights, trainer.shares, seen, target)
+    trainer.step(seen, target)
+    assert not trainer.expected.any()  # shares stand until they are looked at
+    trainer.settle()
+    want = np.zeros(model.shares.shape)
+    np.add.at(want, target.ravel()[target.ravel() >= 0], blame[target.ravel() >= 0])
+    assert np.allclose(trainer.expected, want, atol=1e-4) and np.allclose(trainer.shares.sum(axis=0, dtype=float), 1, atol=1e-4)
+
+
 def test_lm_edges(spark, path, monkeypatch):
     monkeypatch.setattr(lm, "HEAD_WORDS", 2)  # all but two words take the joined way
     docs = docs_of(spark, [None, "", "a b a", "a b a", "Ünï \U0001f389 a", "word " * 3000], [1, 2, 3, 3, None, 6])
