@@ -48,6 +48,8 @@ WARM_BYTES = 1 << 18
 #: Batches between two looks at the shares, and tokens' worth of the ids' own frequencies in each share.
 REFRESH, PRIOR = 96, 20.0
 WARM_RATE, RATE = 0.02, 0.004
+#: Windows scored at once; no score depends on it.
+AT_ONCE = 256
 #: Models averaged at once, texts read together.
 FAN_IN, BLOCK = 16, 256
 #: Words whose counts travel to every task, and the longest of them in bytes.
@@ -136,20 +138,39 @@ def below(x: np.ndarray, limit: float) -> np.ndarray:
     return np.minimum(x, limit, out=x) if x.max(initial=limit) > limit else x
 
 
-def heats(w: dict[str, np.ndarray], seen: np.ndarray, of: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def nearness(w: dict[str, np.ndarray], of: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Exponentials of what a symbol has to do with each other one, and of distances: weights that stay need them only once.
+
+    None where their products could leave the range in which exponentials are exact.
+    """
+    s = of["q"] @ of["k"].T
+    if np.abs(s).max() + np.abs(w["distance"]).max() > 40:
+        return None
+    s = np.exp(s)
+    s[:, PAD] = 0
+    return s, np.exp(w["distance"])[_BACK] * _SEES
+
+
+def heats(w: dict[str, np.ndarray], seen: np.ndarray, of: dict[str, np.ndarray], near: tuple[np.ndarray, np.ndarray] | None = None, alike: bool = False) -> dict[str, np.ndarray]:
     """What the scored positions of windows (n, WINDOW) compute, up to their gates (n * STRIDE, MIXTURES) times their sums.
 
     Queries, keys and values depend on the symbol alone, so they are worked out once for each symbol and looked up. Attention
-    s is likewise kept before its division by its sums, z.
+    s is likewise kept before its division by its sums, z. ``alike`` multiplies window by window, so that equal windows come
+    out equal to the last bit wherever they stand; one product of all, rounded by the place of a row, is quicker.
     """
     everywhere, here = (x.astype(np.intp).ravel() for x in (seen, seen[:, CONTEXT:]))
-    q = of["q"].take(here, axis=0).reshape(-1, STRIDE, DIM)
-    k, heard = (of[x].take(everywhere, axis=0).reshape(-1, WINDOW, DIM) for x in ("k", "heard"))
-    s = q @ k.transpose(0, 2, 1)
-    s += np.where(_SEES, w["distance"][_BACK], np.float32(-1e4))  # the exponential of which is 0
-    np.exp(below(s, 40), out=s)
-    if len(some := np.flatnonzero((seen == PAD).any(axis=1))):
-        s[some] *= (seen[some] != PAD).astype(s.dtype)[:, None, :]
+    heard = of["heard"].take(everywhere, axis=0).reshape(-1, WINDOW, DIM)
+    q = k = None
+    if near is None:
+        q, k = of["q"].take(here, axis=0).reshape(-1, STRIDE, DIM), of["k"].take(everywhere, axis=0).reshape(-1, WINDOW, DIM)
+        s = q @ k.transpose(0, 2, 1)
+        s += np.where(_SEES, w["distance"][_BACK], np.float32(-1e4))  # the exponential of which is 0
+        np.exp(below(s, 40), out=s)
+        if len(some := np.flatnonzero((seen == PAD).any(axis=1))):
+            s[some] *= (seen[some] != PAD).astype(s.dtype)[:, None, :]
+    else:
+        s = near[0].take((here * len(near[0])).reshape(-1, STRIDE, 1) + everywhere.reshape(-1, 1, WINDOW))
+        s *= near[1]
     z = np.maximum(s.reshape(-1, WINDOW) @ np.ones(WINDOW, dtype=s.dtype), np.float32(1e-20))[:, None]
     a = (s @ heard).reshape(-1, DIM)
     a /= z
@@ -157,7 +178,7 @@ def heats(w: dict[str, np.ndarray], seen: np.ndarray, of: dict[str, np.ndarray])
     pre += a
     h = np.maximum(pre, np.zeros_like(pre))
     h += w["embed"].take(here, axis=0)
-    g = h @ w["out"]
+    g = (h.reshape(-1, STRIDE, DIM) @ w["out"]).reshape(-1, MIXTURES) if alike else h @ w["out"]
     g.reshape(len(seen), -1)[:] += np.tile(w["bias"], STRIDE)
     np.exp(below(g, 60), out=g)
     return {"everywhere": everywhere, "here": here, "q": q, "k": k, "heard": heard, "s": s, "z": z, "a": a, "pre": pre, "h": h, "g": g}
@@ -175,10 +196,11 @@ def log_probs(model: Model, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 probability of each id of documents laid end to end."""
     seen, target = lay_windows(ids, lengths, model.symbol_of)
     of = by_symbol(model.weights)
+    near = nearness(model.weights, of)
     parts, ones = [np.zeros(0, dtype=np.float32)], np.ones(MIXTURES, dtype=np.float32)
-    for at in range(0, len(seen), BATCH):
-        aim = target[at : at + BATCH].ravel()
-        g = heats(model.weights, seen[at : at + BATCH], of)["g"]
+    for at in range(0, len(seen), AT_ONCE):
+        aim = target[at : at + AT_ONCE].ravel()
+        g = heats(model.weights, seen[at : at + AT_ONCE], of, near, alike=True)["g"]
         whole = g @ ones
         g *= model.shares.take(np.maximum(aim, 0), axis=0)
         parts.append((g @ ones / whole)[aim >= 0])
@@ -270,8 +292,16 @@ class Trainer:
         t, rate = self.steps, np.float32(self.rate(self.steps))
         slope = np.concatenate([found[k].ravel() for k in sorted(found)])
         self.first += np.float32(0.1) * (slope - self.first)
-        self.second += np.float32(0.01) * (slope * slope - self.second)
-        self.flat -= rate * (self.first / np.float32(1 - 0.9**t)) / (np.sqrt(self.second / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+        slope *= slope
+        slope -= self.second
+        slope *= np.float32(0.01)
+        self.second += slope
+        even = (1 - 0.99**t) ** 0.5  # of the second moment, taken out of the root
+        np.sqrt(self.second, out=slope)
+        slope += np.float32(1e-8 * even)
+        np.divide(self.first, slope, out=slope)
+        slope *= rate * np.float32(even / (1 - 0.9**t))
+        self.flat -= slope
         at = np.maximum(target.ravel(), 0).astype(np.intp) * (MIXTURES // 2)
         add_rows(self.fresh, (at[:, None] + np.arange(MIXTURES // 2)).ravel(), blame)
         self.waiting += 1
@@ -284,12 +314,12 @@ class Trainer:
     def learn(self, ids: np.ndarray, lengths: np.ndarray, symbol_of: np.ndarray) -> np.ndarray:
         """log10 probability of each id, each given before it was learnt from; windows are taken in a fixed random order."""
         seen, target = lay_windows(ids, lengths, symbol_of)
-        found = np.zeros(target.shape, dtype=np.float32)
+        found = np.ones(target.shape, dtype=np.float32)
         order = np.random.default_rng(len(seen)).permutation(len(seen))
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
-            found[some] = np.log10(self.step(seen[some], target[some])).reshape(-1, STRIDE)
-        return found[target >= 0].astype(np.float64)
+            found[some] = self.step(seen[some], target[some]).reshape(-1, STRIDE)
+        return np.log10(found[target >= 0]).astype(np.float64)
 
 
 def warm_start(ids: np.ndarray, lengths: np.ndarray, size: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
@@ -345,7 +375,7 @@ def words_of(texts: pa.Array) -> Words:
 class Lexicon:
     """Ids and a count of each word a task has met."""
 
-    LIMIT = 600_000
+    LIMIT = 1_000_000
 
     @classmethod
     def of_worker(cls, key: str, tokenizer: str, head: dict[bytes, int] | None = None) -> Lexicon:

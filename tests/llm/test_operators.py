@@ -294,6 +294,28 @@ def test_training_takes_every_token_once(spark, path):
     assert np.allclose(model.shares.sum(axis=0, dtype=float), 1, atol=1e-4)
 
 
+def test_equal_texts_score_equal_wherever_they_stand():
+    rng = np.random.default_rng(8)
+    model = random_model(rng)
+    model = lm.Model({k: v.astype(np.float32) for k, v in model.weights.items()}, model.symbol_of, model.shares.astype(np.float32), 0.4)
+    text = rng.integers(0, 700, 45).astype(np.int32)
+    docs = [x for k in range(1, 40) for x in (text, rng.integers(0, 700, k * 7).astype(np.int32))]
+    lengths = np.array([len(x) for x in docs])
+    found = np.split(lm.log_probs(model, np.concatenate(docs), lengths), np.cumsum(lengths)[:-1])
+    assert all(np.array_equal(found[0], x) for x in found[::2])
+
+
+def test_scoring_looks_up_what_training_works_out():
+    model = random_model(np.random.default_rng(9))
+    seen, target = lm.lay_windows(np.arange(300, dtype=np.int32), np.array([1, 99, 200]), model.symbol_of)
+    of = lm.by_symbol(model.weights)
+    near = lm.nearness(model.weights, of)
+    there = target.ravel() >= 0
+    assert np.allclose(lm.heats(model.weights, seen, of, near)["g"][there], lm.heats(model.weights, seen, of)["g"][there])
+    model.weights["distance"][0] = 50.0
+    assert lm.nearness(model.weights, of) is None
+
+
 def test_words_are_split_and_lowered_by_bytes():
     draw = random.Random(6)
     for _ in range(300):
