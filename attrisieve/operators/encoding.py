@@ -66,9 +66,10 @@ def truncated(vector: Column, dims: int | None) -> Column:
         return vector
     if dims < 1:
         raise ValueError("a vector keeps one dimension at least")
-    head = F.slice(vector, 1, dims)
-    length = F.sqrt(dot(head, head))
-    return F.transform(head, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+    # a lambda's variable is worked out once, an expression within a lambda once for each number
+    once = lambda value, then: F.transform(F.array(value), then)[0]
+    scaled = lambda head, length: F.transform(head, lambda x: F.when(length > 0, x / length).otherwise(0.0))
+    return once(F.slice(vector, 1, dims), lambda head: once(F.sqrt(dot(head, head)), lambda length: scaled(head, length)))
 
 
 def encode_files(rows: DataFrame, path: str, files: str, encoder: Encoder = stand_in, batch: int = BATCH) -> DataFrame:

@@ -206,11 +206,13 @@ def hashed_words(texts: list[str]) -> list[list[float]]:
     """Signed counts of words by their MD5, so that SQL can encode, too."""
     from hashlib import md5
 
-    out = []
+    out, known = [], {}
     for text in texts:
         v = [0.0] * encoding.DIM
         for word in text.split():
-            h = int(md5(word.encode()).hexdigest()[:8], 16)
+            h = known.get(word)
+            if h is None:
+                h = known[word] = int(md5(word.encode()).hexdigest()[:8], 16)
             v[h % encoding.DIM] += 1.0 if h & 0x8000 else -1.0
         out.append(v)
     return out

@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from attrisieve.operators import losses, ranking
+from attrisieve.operators import encoding, losses, ranking
 from attrisieve.plans import fixtures, registry
 
 
@@ -53,6 +53,36 @@ def test_ranking_over_many_tiles_and_rounds(spark, monkeypatch):
         assert hits == {q: [(r, h + 1) for h, r in enumerate(o)] for q, o in own.items() if o}
 
 
+def test_equal_vectors_are_ranked_once(spark, monkeypatch):
+    """Encoded texts often have equal vectors; each is compared once, and lists are those of all texts, ties and members cut off included."""
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-1, 2, (240, 3)).astype(float)  # 27 different ones, one without length, some in one direction
+    vectors[:40] *= 2
+    base = spark.createDataFrame([(int(i), None if i % 31 == 0 else v) for i, v in zip(rng.permutation(240), vectors.tolist(), strict=True)], "corpus_id long, v array<double>")
+    queries = base.where("corpus_id < 90").withColumnRenamed("corpus_id", "query_id")
+    seen = []
+    for k in (1, 7, 100):
+        wanted = sorted(tuple(r) for r in ranking.top_k(queries, base, k).select("query_id", "corpus_id", "rank", "score").collect())
+        with monkeypatch.context() as m:
+            m.setattr(ranking, "top_k", lambda q, b, k, plain=ranking.top_k: seen.append((q.count(), b.count())) or plain(q, b, k))
+            kinds, ranked = ranking.top_k_by_kind(queries, base, k)
+        assert sorted(tuple(r) for r in kinds.join(ranked, "kind").select("query_id", "corpus_id", "rank", "score").collect()) == wanted
+        assert kinds.count() == queries.where("v is not null").count()
+    different = [df.where("v is not null").select("v").distinct().count() for df in (queries, base)]
+    assert seen == [tuple(different)] * 3 and different[1] < 60
+
+
+def test_encoded_metrics_compares_different_vectors(spark, monkeypatch):
+    """Two hundred texts of which many have one vector: as many are ranked as vectors differ."""
+    dealt = []
+    monkeypatch.setattr(ranking.tiles, "deal", lambda rows, *more, deal=ranking.tiles.deal: dealt.append(rows.count()) or deal(rows, *more))
+    words = ["red", "blue", "green", "small"]
+    rows = spark.createDataFrame([(i, f"{words[i % 4]} {' ' * (i // 4)}", words[i % 4] + " " * i, words[(i + 1) % 4] + " " * i) for i in range(100)], "row_id long, anchor string, positive string, negative string")
+    found = {(r["query_id"], r["k"]): r["recall"] for r in ranking.encoded_metrics(rows, encoding.stand_in, (1, 50)).collect()}
+    assert sorted(dealt) == [4, 4] and len(found) == 200
+    assert {q for (q, k), recall in found.items() if k == 50 and recall == 1.0} == set(range(100))
+
+
 def test_vectors_are_sent_to_few_tiles(spark, monkeypatch):
     """There are about as many pairs of tiles as tasks, so a vector is sent no more often when there are more of them."""
     met = []
