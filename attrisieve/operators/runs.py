@@ -140,10 +140,12 @@ def recall_table(listed: DataFrame, folders: DataFrame, summaries: DataFrame, en
     folders (run_id, path), summaries (path, metrics), entries (path, key, value, place) and args (path, args) name run
     folders by path. A run without a folder has nulls, and no arguments.
     """
-    told = folders.join(merged_metrics(summaries, entries), "path", "left").join(args.select("path", F.array_join("args", " ").alias("verified_args")), "path", "left")
+    # sorted, not broadcast: a list of paths is estimated by its file, which tells little of what the paths' files hold
+    metrics, texts = merged_metrics(summaries, entries), args.select("path", F.array_join("args", " ").alias("verified_args"))
+    told = folders.join(metrics.hint("merge"), "path", "left").join(texts.hint("merge"), "path", "left")
     recalls = [recall_at(F.col("metrics"), k).alias(f"recall_at_{k}") for k in cutoffs]
     found = told.select("run_id", F.col("path").alias("run_dir"), *recalls, "verified_args")
-    return listed.join(found, "run_id", "left").withColumn("verified_args", F.coalesce("verified_args", F.lit("")))
+    return listed.join(found.hint("merge"), "run_id", "left").withColumn("verified_args", F.coalesce("verified_args", F.lit("")))
 
 
 def read_recalls(spark: SparkSession, base: str, listed: DataFrame, cutoffs: tuple[int, ...] = (5, 10, 100)) -> DataFrame:
@@ -153,11 +155,13 @@ def read_recalls(spark: SparkSession, base: str, listed: DataFrame, cutoffs: tup
     """
     wanted = listed.select("run_id").distinct()
     files = readers.run_files(spark, base)
-    folders = readers.run_dirs(files.select(F.col("folder").alias("path")).distinct()).join(wanted, "run_id", "left_semi").checkpoint()
-    own = lambda rows: rows.withColumn("path", readers.folder_of(F.col("path"))).join(folders.select("path"), "path", "left_semi")
-    texts = lambda named: files.where(named).select("path", F.col("content").cast("string").alias("value"))
+    folders = readers.run_dirs(files.select(F.col("folder").alias("path")).distinct()).join(wanted.hint("merge"), "run_id", "left_semi").checkpoint()
+    own = files.join(folders.select(F.col("path").alias("folder")).hint("merge"), "folder", "left_semi")
+    of_folder = lambda rows: rows.withColumn("path", readers.folder_of(F.col("path")))
+    texts = lambda named: readers.whole_texts(own.where(named), base)
     summaries, args = readers.summaries_in(texts(F.col("name").endswith("summary.json"))), readers.yaml_args_in(texts(F.col("name") == "config.yaml"))
-    return recall_table(listed, folders, own(summaries), own(readers.entries_in(readers.run_logs(spark, base))), own(args), cutoffs)
+    entries = readers.entries_in(readers.split_lines(own.where("name = 'output.log'"), base))
+    return recall_table(listed, folders, of_folder(summaries), of_folder(entries), of_folder(args), cutoffs)
 
 
 def log_dicts(text: Column) -> Column:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import last_path_part, product_of_view
+from ..session import shared_dir
 
 #: Columns of judged tables and catalogues, in the names their sources give them (fixed values).
 JUDGED = "row_id long, example_id long, query string, query_id long, product_id string, product_locale string, esci_label string, small_version long, large_version long, product_title string, product_text string"
@@ -64,11 +68,7 @@ def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     Long files are read in splits by many tasks. at counts the lines of a task without gaps; as splits are dealt to tasks by
     sizes alone, it is the same whenever the same DataFrame is run.
     """
-    return _placed(spark.read.text(path))
-
-
-def _placed(text: DataFrame) -> DataFrame:
-    raw = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     return raw.where(F.col("value").rlike(r"\S")).withColumn("at", F.monotonically_increasing_id())
 
 
@@ -132,42 +132,133 @@ def runs(table: DataFrame, groups: list[str] | None = None) -> DataFrame:
     return table.where(F.col("group").isin(*groups)) if groups else table
 
 
-def run_files(spark: SparkSession, base: str) -> DataFrame:
-    """(path, folder, name, content): files of the run folders below base, named like base/run-20250101_120000-<id>/files/<name>. Contents are read only where they are used."""
-    if not path_exists(spark, base):
-        return spark.createDataFrame([], "path string, folder string, name string, content binary")
-    found = _below(spark, "binaryFile", base, "*").select("path", F.col("_metadata.file_name").alias("name"), "content")
-    return found.where(_in_run(F.col("path"), base)).select("path", folder_of(F.col("path")).alias("folder"), "name", "content")
+#: Bytes of a split of a log; bytes of files or lines that a task hands on at once, about.
+SPLIT, HANDED = 1 << 24, 1 << 22
 
 
-def run_logs(spark: SparkSession, base: str, name: str = "output.log") -> DataFrame:
-    """placed_lines() of the logs in the run folders below base, files named as run_files() names them, not encoded."""
-    if not path_exists(spark, base):
-        return spark.createDataFrame([], "file string, block bigint, at bigint, value string")
-    lines = _placed(_below(spark, "text", base, name)).withColumn("file", F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B"))))
-    return lines.where(_in_run(F.col("file"), base))
+def _store(base: str):
+    """(file system of a folder, the folder as it names it), through pyarrow, which writers.files() uses as well."""
+    from pyarrow import fs
+
+    local = re.match("file:/*", base)
+    return (fs.LocalFileSystem(), f"/{base[local.end() :]}") if local else fs.FileSystem.from_uri(base)
+
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to a few tasks for each core."""
+    return rows.repartition(8 * rows.sparkSession.sparkContext.defaultParallelism)
 
-def _below(spark: SparkSession, kind: str, base: str, names: str) -> DataFrame:
-    """Files at any depth below base. Tasks list its folders, once for a DataFrame and all that is made of it; a pattern of folders would have the driver ask for each.
 
-    Spark lists with as many tasks as there are folders, 10,000 at most; here a few for each core do.
+def run_files(spark: SparkSession, base: str) -> DataFrame:
+    """(path, folder, name, size): files in the run folders below base, named like base/run-20250101_120000-<id>/files/<name>; those that are hidden or empty are left out.
+
+    A task lists the names of the run folders, many tasks what lies in them, and the list goes to the shared folder; Spark's
+    own sources would have the driver hold every file.
     """
-    key, tasks = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 8 * spark.sparkContext.defaultParallelism
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(tasks))
-    try:
-        return spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(base)
-    finally:
-        spark.conf.set(key, before)
+    schema = "path string, folder string, name string, size bigint"
+    base = base.rstrip("/")
+    if not path_exists(spark, base):
+        return spark.createDataFrame([], schema)
+
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for _ in batches:
+            store, root = _store(base)
+            names = pa.array([x.base_name for x in store.get_file_info(fs.FileSelector(root)) if x.type == fs.FileType.Directory and x.base_name.startswith("run-")], pa.string())
+            yield from pa.table([names], names=["top"]).to_batches(10_000)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = _store(base)
+        for batch in batches:
+            rows = []
+            for top in batch.column("top").to_pylist():
+                found = store.get_file_info(fs.FileSelector(f"{root}/{top}/files", allow_not_found=True))
+                folder = f"{base}/{top}"
+                rows += [(f"{folder}/files/{x.base_name}", folder, x.base_name, x.size) for x in found if x.type == fs.FileType.File and x.size and not x.base_name.startswith((".", "_"))]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["path", "folder", "name", "size"])
+
+    kept = f"{shared_dir(spark).rstrip('/')}/listing-{uuid.uuid4().hex}"
+    _spread(spark.range(1, numPartitions=1).mapInArrow(tops, "top string")).mapInArrow(inside, schema).write.parquet(kept)
+    return spark.read.schema(schema).parquet(kept)
+
+
+def whole_texts(files: DataFrame, base: str) -> DataFrame:
+    """(path, value): files (path) below base, each as one text."""
+    base = base.rstrip("/")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(base)
+        for batch in batches:
+            rows, size = [], 0
+            for path in batch.column("path").to_pylist():
+                with store.open_input_file(root + path[len(base) :]) as file:
+                    rows.append((path, file.read()))
+                size += len(rows[-1][1])
+                if size > HANDED:
+                    yield _packed(rows, _WHOLE)
+                    rows, size = [], 0
+            if rows:
+                yield _packed(rows, _WHOLE)
+
+    return _spread(files.select("path")).mapInArrow(read, "path string, value binary").select("path", F.col("value").cast("string").alias("value"))
 
 
-def _in_run(path: Column, base: str) -> Column:
-    """Does the path lie two folders below base, the first named like a run's, the second 'files'?"""
-    bare = r"^(?:[A-Za-z][\w+.-]*:(?://[^/]*)?)?/*"
-    parts = F.split(F.regexp_replace(path, bare, ""), "/")
-    depth = len([x for x in re.sub(bare, "", base).split("/") if x])
-    return (F.size(parts) == depth + 3) & F.try_element_at(parts, F.lit(-3)).startswith("run-") & (F.try_element_at(parts, F.lit(-2)) == "files")
+def run_logs(spark: SparkSession, base: str, name: str = "output.log") -> DataFrame:
+    """split_lines() of the logs in the run folders below base."""
+    return split_lines(run_files(spark, base).where(F.col("name") == name), base)
+
+
+def split_lines(files: DataFrame, base: str) -> DataFrame:
+    """(file, block, at, value) as placed_lines() gives them, of files (path, size) below base; long ones are read in splits by many tasks."""
+    base, split = base.rstrip("/"), SPLIT
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(base)
+        for batch in batches:
+            rows, size = [], 0
+            for path, block in zip(batch.column("path").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                with store.open_input_file(root + path[len(base) :]) as file:
+                    for at, line in enumerate(lines_from(file, block, block + split)):
+                        rows.append((path, block, at, line))
+                        size += len(line) + len(path)
+                        if size > HANDED:
+                            yield _packed(rows, _LINES)
+                            rows, size = [], 0
+            if rows:
+                yield _packed(rows, _LINES)
+
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(split).cast("bigint"))).alias("block")
+    lines = _spread(files.where("size > 0").select("path", block)).mapInArrow(read, "file string, block bigint, at bigint, value binary")
+    return lines.withColumn("value", F.col("value").cast("string")).where(F.col("value").rlike(r"\S"))
+
+
+_WHOLE = {"path": pa.string(), "value": pa.binary()}
+_LINES = {"file": pa.string(), "block": pa.int64(), "at": pa.int64(), "value": pa.binary()}
+
+
+def _packed(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], names=list(types))
+
+
+def lines_from(file, start: int, end: int) -> list[bytes]:
+    """Lines that begin at a byte of a file from start to before end, without their ends, which are those of Spark's text source: LF, CR or both."""
+    ends = rb"\r\n|[\r\n]"
+    file.seek(max(0, start - 1))
+    data = bytearray(file.read(end - max(0, start - 1)))
+    if start:  # what stands before the first end is of a line that began earlier
+        first = re.search(ends, data)
+        data = data[first.end() :] if first else bytearray()
+    while data and not data.endswith((b"\r", b"\n")):
+        more = file.read(1 << 16)
+        if not more:
+            break
+        last = re.search(rb"[\r\n]", more)
+        data += more[: last.end()] if last else more
+    return [bytes(x) for x in re.split(ends, data)]
 
 
 def folder_of(path: Column) -> Column:

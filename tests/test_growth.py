@@ -1,12 +1,15 @@
 """What must not grow faster than the input: broadcasts, dealt tiles, rows of a hot key."""
 
+import io
+import random
 import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from attrisieve.operators import encoding, losses, ranking
+from attrisieve.operators import encoding, losses, ranking, runs
 from attrisieve.plans import fixtures, registry
+from attrisieve.sources import readers
 
 
 def broadcast_joins(df) -> list[str]:
@@ -90,3 +93,32 @@ def test_vectors_are_sent_to_few_tiles(spark, monkeypatch):
     rows = spark.range(9000).select(F.col("id").alias("corpus_id"), F.array(F.sin("id"), F.cos("id")).alias("v"))
     ranking.top_k(rows.withColumnRenamed("corpus_id", "query_id"), rows, 3)
     assert met == [(4, (0, 1))]  # 4 shuffle partitions; it was 5 query tiles by 8 base tiles
+
+
+def test_driver_holds_no_files_of_run_folders(spark, tmp_path, monkeypatch):
+    """Tasks list run folders and read them, long logs in splits; a list of a run's files is never the driver's."""
+    monkeypatch.setattr(readers, "SPLIT", 50)
+    monkeypatch.setattr(readers, "HANDED", 100)
+    for k in range(30):
+        folder = tmp_path / f"run-20250101_1-{k}" / "files"
+        folder.mkdir(parents=True)
+        (folder / "output.log").write_bytes(b"\r\n".join(b"%d {'val/recall@5': %d.5, 'x': None}\r\n" % (n, n) for n in range(k + 1)))
+        (folder / ".output.log").write_text("{'val/recall@5': -1.0}")
+        (folder / "w-summary.json").write_text('{"recall@10": %d, "recall@5": -1}' % k)
+    newer = tmp_path / "run-20250201_1-3" / "files"
+    newer.mkdir(parents=True)
+    (newer / "output.log").write_text("")  # holds nothing, so the older folder counts
+    listed = spark.createDataFrame([(str(k),) for k in range(0, 31, 3)], "run_id string")
+    for base in (str(tmp_path), f"file:{tmp_path}/"):
+        table = runs.read_recalls(spark, base, listed)
+        assert not [f for f in table.inputFiles() if "run-" in f] and not broadcast_joins(table)
+        assert {r["run_id"]: (r["recall_at_5"], r["recall_at_10"]) for r in table.collect()} == {str(k): (k + 0.5, float(k)) if k < 30 else (None, None) for k in range(0, 31, 3)}
+
+
+def test_lines_of_splits():
+    """Every line is in one split, wherever splits are cut and whatever ends lines."""
+    draw = random.Random(1)
+    for _ in range(500):
+        data, step = bytes(draw.choice(b"ab\r\n\n") for _ in range(draw.randrange(1, 30))), draw.randrange(1, 9)
+        lines = [x for at in range(0, len(data), step) for x in readers.lines_from(io.BytesIO(data), at, at + step) if x]
+        assert lines == [x for x in re.split(rb"[\r\n]+", data) if x]
